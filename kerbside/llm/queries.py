@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kerbside.llm.mixing import mix_sources
 from kerbside.llm.ngram_jaccard import ngram_components
+from kerbside.llm.quality_rules import quality_rules
+from kerbside.llm.token_output import token_index
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +18,20 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_index(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -35,9 +52,40 @@ FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT doc_id, min(c) AS
 """
 
 
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (
+  SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS BIGINT) + 1] AS w, source_size * 3 AS most FROM s),
+r AS (SELECT *, most / w AS ratio FROM w),
+l AS (
+  SELECT *, row_number() OVER o AS k,
+    CAST(sum(source_size) OVER () - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)
+    / CAST(sum(w) OVER () - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS level
+  FROM r WINDOW o AS (ORDER BY ratio, source IS NULL, source)),
+f AS (SELECT min(k) AS free, arg_min(level, k) AS level FROM l WHERE level <= ratio),
+t AS (
+  SELECT l.source, l.source_size, CASE WHEN f.free IS NULL OR l.k < f.free THEN CAST(l.most AS DOUBLE) ELSE l.w * f.level END AS target FROM l, f),
+p AS (
+  SELECT *, CAST(floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS INTEGER) AS whole FROM t),
+c AS (
+  SELECT d.*, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS part,
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key) AS upto FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target, whole + CASE WHEN upto <= part THEN 1 ELSE 0 END AS repeats,
+  CAST(size * (whole + CASE WHEN upto <= part THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM c
+"""
+
+
 def queries() -> dict:
-    return {"op1_ngram_jaccard": op1_ngram_jaccard}
+    return {
+        "op1_ngram_jaccard": op1_ngram_jaccard,
+        "op2_mixing": op2_mixing,
+        "op7_token_output": op7_token_output,
+        "op10_quality_rules": op10_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op2_mixing": OP2_SQL}
