@@ -14,8 +14,8 @@ LEAST = 200
 #: Units whose estimates are broadcast (about 250 bytes each); beyond it the join shuffles.
 BROADCAST_UNITS = 50_000
 DIMS = 5
-#: Squared distance above which a document is rejected.
-CUT = 120.0
+#: Squared distance above which a document is rejected: the 1 - 1e-5 quantile of chi-squared with 5 degrees.
+CUT = 30.86
 #: Quantiles of the chi-squared distribution with 5 degrees and the consistency factors of a truncated normal covariance.
 HALF, HALF_FACTOR, TRIM, TRIM_FACTOR = 0.75, 1.41, 12.83, 1.055
 #: Standard deviations below which a statistic's spread is not taken to be known.
