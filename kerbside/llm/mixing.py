@@ -56,18 +56,32 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
     Null or empty text: size 0. Null source: a source, the last. Null doc_id: hashed as such. Repeated rows of a
     doc_id share a hash and are taken together or not; sources without words have target 0. Empty input: no rows.
     """
+    d = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("_mix_size"))
+    out = _with_repeats(d, weights, cap, seed)
+    return out.select("doc_id", F.col("_mix_size").alias("size"), F.col("_mix_total").alias("source_size"), F.col("_mix_target").alias("target"), F.col("_mix_repeats").alias("repeats"), (F.col("_mix_size") * F.col("_mix_repeats")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: int = 17) -> DataFrame:
+    """The rows of docs, each as often as mix_sources repeats it; whole texts stay where they are read."""
+    d = docs.withColumn("_mix_size", n_words(F.col("text")))
+    out = _with_repeats(d, weights, cap, seed).where("_mix_repeats > 0")
+    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_repeats")))).select(*(out[f"`{c}`"] for c in docs.columns))
+
+
+def _with_repeats(docs: DataFrame, weights: tuple[int, ...], cap: int, seed: int) -> DataFrame:
+    """docs has doc_id, source, _mix_size; adds _mix_total, _mix_target, _mix_repeats."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    d = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), key.alias("key"))
-    d = scratch.write(d.withColumn("range", F.conv(F.substring("key", 1, 3), 16, 10).cast("int")), "sizes")
-    ranges = scratch.write(d.groupBy("source", "range").agg(F.sum("size").alias("s")), "ranges")
+    docs = docs.withColumn("_mix_key", key).withColumn("_mix_range", F.conv(F.substring("_mix_key", 1, 3), 16, 10).cast("int"))
+    sizes = scratch.write(docs.select(F.col("source").cast("string").alias("source"), F.col("_mix_size").alias("size"), F.col("_mix_key").alias("key"), F.col("_mix_range").alias("range")), "sizes")
+    ranges = scratch.write(sizes.groupBy("source", "range").agg(F.sum("size").alias("s")), "ranges")
     targets = scratch.write(water_fill(ranges.groupBy("source").agg(F.sum("s").alias("source_size")), weights, cap), "targets")
     n = targets.count()
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
     hint = F.broadcast if n <= BROADCAST_SOURCES else (lambda t: t)
     q = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = targets.withColumn("q", q).withColumn("whole", F.floor("q").cast("int"))
+    plan = targets.withColumn("whole", F.floor(q).cast("int"))
     plan = plan.withColumn("part", F.col("target") - F.col("whole") * F.col("source_size"))
     running = Window.partitionBy("source").orderBy("range")
     r = ranges.withColumn("to", F.sum("s").over(running)).alias("r").join(hint(plan).alias("p"), same("r", "p"))
@@ -75,11 +89,13 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
     ends = r.where("to > part").groupBy("r.source").agg(F.min(F.struct("range", (F.col("part") - F.col("to") + F.col("s")).alias("rest"))).alias("e"))
     plan = plan.alias("p").join(ends.alias("e"), same("p", "e"), "left").select("p.*", F.coalesce("e.range", F.lit(RANGES)).alias("end"), F.col("e.rest").alias("rest"))
     plan = scratch.write(plan, "plan")
-    within = d.alias("d").join(hint(plan).alias("p"), same("d", "p")).select("d.*", "source_size", "target", "whole", "end", "rest")
-    last = within.where(F.col("range") == F.col("end"))
-    upto = last.groupBy("source", "key").agg(F.sum("size").alias("s"), F.first("rest").alias("rest")).withColumn("to", F.sum("s").over(Window.partitionBy("source").orderBy("key")))
-    chosen = upto.where("to <= rest").select(F.col("source").alias("s2"), F.col("key").alias("k2"))
-    last = last.join(chosen, last.source.eqNullSafe(chosen.s2) & (last.key == chosen.k2), "left").withColumn("extra", F.col("k2").isNotNull()).drop("s2", "k2")
-    other = within.where(F.col("range") != F.col("end")).withColumn("extra", F.col("range") < F.col("end"))
-    out = other.unionByName(last).withColumn("repeats", F.col("whole") + F.col("extra").cast("int"))
-    return out.select("doc_id", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
+    last = sizes.alias("d").join(hint(plan).alias("p"), same("d", "p")).where("range = end").select("d.*", "rest")
+    last = last.groupBy("source", "key").agg(F.sum("size").alias("s"), F.first("rest").alias("rest")).withColumn("to", F.sum("s").over(Window.partitionBy("source").orderBy("key")))
+    chosen = scratch.write(last.where("to <= rest").select(F.col("source").alias("_mix_s"), F.col("key").alias("_mix_k")), "chosen")
+    small = F.broadcast if chosen.count() <= BROADCAST_SOURCES else (lambda t: t)
+    plan = plan.select(F.col("source").alias("_mix_source"), F.col("source_size").alias("_mix_total"), F.col("target").alias("_mix_target"), F.col("whole").alias("_mix_whole"), F.col("end").alias("_mix_end"))
+    source = docs["source"].cast("string")
+    out = docs.join(hint(plan), source.eqNullSafe(plan["_mix_source"]))
+    out = out.join(small(chosen), (F.col("_mix_range") == F.col("_mix_end")) & source.eqNullSafe(chosen["_mix_s"]) & (F.col("_mix_key") == chosen["_mix_k"]), "left")
+    extra = (F.col("_mix_range") < F.col("_mix_end")) | F.col("_mix_k").isNotNull()
+    return out.withColumn("_mix_repeats", F.col("_mix_whole") + extra.cast("int"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kerbside.llm.decontamination import contaminated
 from kerbside.llm.mixing import mix_sources
 from kerbside.llm.ngram_jaccard import ngram_components
 from kerbside.llm.quality_rules import quality_rules
@@ -28,6 +29,10 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -83,6 +88,7 @@ def queries() -> dict:
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_mixing": op2_mixing,
         "op7_token_output": op7_token_output,
+        "op9_decontamination": op9_decontamination,
         "op10_quality_rules": op10_quality_rules,
     }
 
