@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from kerbside.llm.decontamination import contaminated
 from kerbside.llm.mixing import mix_sources
 from kerbside.llm.ngram_jaccard import ngram_components
+from kerbside.llm.pii import personal_report
 from kerbside.llm.quality_rules import quality_rules
+from kerbside.llm.secret_scan import secret_report
 from kerbside.llm.token_output import token_index
 
 
@@ -23,12 +25,20 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_index(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_report(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -87,7 +97,9 @@ def queries() -> dict:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_mixing": op2_mixing,
+        "op5_secret_scan": op5_secret_scan,
         "op7_token_output": op7_token_output,
+        "op8_pii": op8_pii,
         "op9_decontamination": op9_decontamination,
         "op10_quality_rules": op10_quality_rules,
     }
