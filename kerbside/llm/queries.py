@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kerbside.llm.decontamination import contaminated
 from kerbside.llm.mixing import mix_sources
 from kerbside.llm.ngram_jaccard import ngram_components
 from kerbside.llm.pii import personal_report
+from kerbside.llm.quality_classifier import quality_scores
 from kerbside.llm.quality_rules import quality_rules
 from kerbside.llm.secret_scan import secret_report
 from kerbside.llm.token_output import token_index
+from kerbside.llm.toxicity import toxic_passages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +28,15 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = toxic_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return d.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
@@ -97,6 +109,8 @@ def queries() -> dict:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_mixing": op2_mixing,
+        "op3_quality_classifier": op3_quality_classifier,
+        "op4_toxicity": op4_toxicity,
         "op5_secret_scan": op5_secret_scan,
         "op7_token_output": op7_token_output,
         "op8_pii": op8_pii,
