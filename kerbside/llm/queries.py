@@ -14,6 +14,7 @@ from kerbside.llm.quality_rules import quality_rules
 from kerbside.llm.secret_scan import secret_report
 from kerbside.llm.token_output import token_index
 from kerbside.llm.toxicity import toxic_passages
+from kerbside.llm.warc import archive_pages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +42,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -105,6 +110,20 @@ SELECT doc_id, size, source_size, target, whole + CASE WHEN upto <= part THEN 1
 """
 
 
+OP6_SQL = r"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 8), lambda g:
+    array_to_string(list_transform(range(0, 4), lambda k:
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[CAST((CAST('0x' || hex[g * 5 + 1:g * 5 + 5] AS BIGINT) >> CAST(15 - 5 * k AS BIGINT)) & 31 AS BIGINT) + 1]), '')), '') AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = keeper THEN NULL ELSE keeper END AS refers_to FROM m
+"""
+
+
 def queries() -> dict:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
@@ -112,6 +131,7 @@ def queries() -> dict:
         "op3_quality_classifier": op3_quality_classifier,
         "op4_toxicity": op4_toxicity,
         "op5_secret_scan": op5_secret_scan,
+        "op6_warc": op6_warc,
         "op7_token_output": op7_token_output,
         "op8_pii": op8_pii,
         "op9_decontamination": op9_decontamination,
@@ -120,4 +140,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1_SQL, "op2_mixing": OP2_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op2_mixing": OP2_SQL, "op6_warc": OP6_SQL}
