@@ -75,7 +75,7 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5
     edges = _links(ordered, scratch, num, den)
     comp = scratch.write(connected_components(edges, scratch), "components")
     by_key = first.join(comp, first.rep == comp.node, "left").select("key", F.coalesce("component", "rep").alias("component_id"))
-    return copies.join(by_key, "key").select("doc_id", "component_id").join(sizes, "doc_id").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    return copies.join(by_key, "key").select("doc_id", "component_id").join(sizes, "doc_id").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _prefix(n: Column, num: int, den: int) -> Column:
