@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
         if after == before:
             break
         before = after
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
 
 
 def _digest(e: DataFrame) -> tuple:

@@ -25,5 +25,5 @@ def parsed(files: DataFrame) -> DataFrame:
 
 def label_files(spark: SparkSession, path: str) -> DataFrame:
     """Boxes of all .txt files below path, with stem, the name that joins them to frames."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     return parsed(files.select(stem(F.col("_metadata.file_path")).alias("stem"), "value"))
