@@ -193,7 +193,7 @@ SELECT event_id, line_no, CAST(event_id % 28 AS INTEGER) AS class_id, 0.5e0 AS c
         "area_norm": chain("SELECT entry_seq, round(norm_area, 4) AS norm_area, round(score, 4) AS score FROM sco", "sco"),
         "cluster_best": chain("SELECT cluster_id, c.entry_seq AS closest, b.entry_seq AS best FROM clo c JOIN bes b USING (cluster_id)", "bes"),
         "cluster_stats": chain("SELECT cluster_id, class, n, round(mean_conf, 3) AS mean_conf, min_mono_m, array_to_string(list_transform(times, lambda x: CAST(CAST(x AS INTEGER) AS VARCHAR)), '|') AS members_video_sec, array_to_string(frames, '|') AS source_frames, bearings, unique_cam_pos FROM stat", "stat"),
-        "tri_local_xy": chain("SELECT entry_seq, round(x, 3) + 0e0 AS x, round(y, 3) + 0e0 AS y, n_rays FROM rays", "rays"),
+        "tri_local_xy": chain("SELECT entry_seq, round(x, 2) + 0e0 AS x, round(y, 2) + 0e0 AS y, n_rays FROM rays", "rays"),
         "tri_baseline": chain("SELECT cluster_id, round(baseline_m, 3) AS baseline_m FROM geom", "geom"),
         "tri_spread": chain("SELECT cluster_id, round(spread_deg, 3) AS spread_deg, a, b FROM geom", "geom"),
         "tri_solve": chain("SELECT cluster_id, singular, round(raw_lat, 5) AS raw_lat, round(raw_lon, 5) AS raw_lon FROM sol", "sol"),

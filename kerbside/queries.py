@@ -290,7 +290,7 @@ def cluster_stats(s: SparkSession, d: str) -> DataFrame:
 
 
 def tri_local_xy(s: SparkSession, d: str) -> DataFrame:
-    return triangulate.local_rays(_run(s, d).members).select("entry_seq", (F.round("x", 3) + 0.0).alias("x"), (F.round("y", 3) + 0.0).alias("y"), "n_rays")
+    return triangulate.local_rays(_run(s, d).members).select("entry_seq", (F.round("x", 2) + 0.0).alias("x"), (F.round("y", 2) + 0.0).alias("y"), "n_rays")
 
 
 def tri_baseline(s: SparkSession, d: str) -> DataFrame:
