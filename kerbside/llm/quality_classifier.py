@@ -14,7 +14,9 @@ _U = np.uint64
 #: Weights of the model, and labelled rows that it is fitted to at most.
 WIDTH, LIMIT = 1 << 18, 12_000
 #: Step size, its smoothing, and the two penalties of the regularised leader.
-ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 0.02, 0.2, 3
+ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 0.02, 0.2, 5
+#: Value of the constant feature, which learns the share of label 1.
+CONSTANT = 2.0
 #: Bytes by kind: small letters and all beyond ASCII, capitals, digits; the rest stand for themselves.
 _KIND = np.arange(256, dtype=np.uint8)
 _KIND[97:123] = 97
@@ -46,10 +48,10 @@ def features(column: pa.Array):
         for i in range(len(off) - 1):
             a, b = cut[i], cut[i + 1]
             if a == b:
-                yield at + i, np.zeros(1, np.int64), np.ones(1)
+                yield at + i, np.zeros(1, np.int64), np.full(1, CONSTANT)
                 continue
             x, c = np.unique(np.concatenate([one[a:b], two[a:b], pair[a : b - 1], shapes[a : b - 1]]), return_counts=True)
-            yield at + i, np.concatenate([[0], x]), np.concatenate([[1.0], np.sqrt(c / (b - a))])
+            yield at + i, np.concatenate([[0], x]), np.concatenate([[CONSTANT], np.sqrt(c / (b - a))])
 
 
 def fit_ftrl(table: pa.Table) -> bytes:
