@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.spans import SPANS, count, digest, joined
+from kerbside.llm.spans import SPANS, Cover, count, digest, joined
 from kerbside.plans.scratch import Scratch
 
 #: The first four are found by their patterns alone; spans of the others are added where the classifier is sure.
@@ -188,7 +188,8 @@ def personal_spans(docs: DataFrame, sure: float = SURE) -> DataFrame:
                 text = text or ""
                 found = base_spans(text)
                 base.append([{"kind": k, "start": x, "end": y} for k, x, y in found])
-                other = [s for s in more_spans(text) if not any(x < s[2] and s[1] < y for _, x, y in found)]
+                cover = Cover(found)
+                other = [s for s in more_spans(text) if not cover.touches(s[1], s[2])]
                 all_codes.append([code(k, votes(text, k, x, y), y - x) for k, x, y in found])
                 more.append([{"code": code(k, votes(text, k, x, y), y - x), "kind": k, "start": x, "end": y} for k, x, y in other])
             s = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.spans import SPANS, count, digest, joined
+from kerbside.llm.spans import SPANS, Cover, count, digest, joined
 from kerbside.plans.scratch import Scratch
 
 KINDS = ("assign", "access", "hex", "random")
@@ -121,9 +121,9 @@ def secret_spans(docs: DataFrame, rate: float = 0.05) -> DataFrame:
             for text in b.column(1).to_pylist():
                 spans, long = base_spans(text or "")
                 base.append([{"kind": k, "start": x, "end": y} for k, x, y in spans])
-                found = []
+                found, cover = [], Cover(spans)
                 for x, y in long:
-                    if any(s < y and x < e for _, s, e in spans):
+                    if cover.touches(x, y):
                         continue
                     p = randomness(text[x:y])
                     if p > 0.001:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from itertools import accumulate
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,3 +29,16 @@ def count(spans: Column, kind: int) -> Column:
 
 def digest(spans: Column, kinds: tuple[str, ...], by_kind: bool) -> Column:
     return F.sha2(joined(spans, kinds, by_kind).cast("binary"), 256)
+
+
+class Cover:
+    """Which stretches of a text spans (kind, start, end) touch, each asked for in logarithmic time."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        ordered = sorted((a, b) for _, a, b in spans)
+        self.starts = [a for a, _ in ordered]
+        self.reach = list(accumulate((b for _, b in ordered), max))
+
+    def touches(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end)
+        return k > 0 and self.reach[k - 1] > start

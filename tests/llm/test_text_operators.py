@@ -188,6 +188,17 @@ def test_personal_data(spark):
     assert personal_report(frame(spark, []).limit(0)).count() == 0
 
 
+def test_cover_equals_brute_force():
+    from kerbside.llm.spans import Cover
+
+    rng = random.Random(13)
+    for _ in range(300):
+        spans = [(0, a := rng.randrange(30), a + rng.randrange(1, 6)) for _ in range(rng.randrange(6))]
+        x = rng.randrange(30)
+        y = x + rng.randrange(1, 5)
+        assert Cover(spans).touches(x, y) == any(a < y and x < b for _, a, b in spans)
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
     voc = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(4000)]
