@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kerbside.llm.decontamination import contaminated
 from kerbside.llm.mixing import mixed_documents
-from kerbside.llm.ngram_jaccard import ngram_components
+from kerbside.llm.ngram_jaccard import ngram_components, small_enough
 from kerbside.llm.quality_rules import quality_rules
 from kerbside.llm.token_output import token_index
 from kerbside.plans.scratch import Scratch
@@ -19,14 +18,16 @@ ORACLE_SQL = None
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality rules reject. A repeated doc_id stays if one of its rows is kept."""
     kept = Scratch(spark).write(quality_rules(docs).where("kept").select("doc_id").distinct(), "kept")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(small_enough(kept, kept.count()), "doc_id", "left_semi").select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each component the document with the smallest doc_id; rows that repeat it count as one."""
     first = ngram_components(docs).where("doc_id = component_id").select("doc_id")
     first = Scratch(spark).write(first, "first")
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]) if _repeats(docs) else docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    n = first.count()
+    out = docs.join(small_enough(first, n), "doc_id", "left_semi").select(*docs.columns)
+    return out if out.count() == n else out.dropDuplicates(["doc_id"])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +65,3 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = scratch.write(stage(spark, docs, sf_dir), f"stage{k}")
     return docs
-
-
-def _repeats(docs: DataFrame) -> bool:
-    return docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count() > 0
