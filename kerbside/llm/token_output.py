@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -17,14 +18,18 @@ from kerbside.plans.scratch import Scratch
 #: Parquet row groups and pages of the token files, in bytes: a reader of a few documents skips the rest by page index.
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
 #: Words that a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 900_000
 #: Words without a character above U+024F: their letters are lower-cased one by one and unchanged by composition.
 _PLAIN = re.compile(r"[\x21-ɏ]*")
-_END = re.compile(r"(?<=[a-zA-Zà-öø-ÿ])[.,;:!?]+$")
+_MARKS = ".,;:!?"
 
 
-class _Words(dict):
-    """Ids of space-free parts of texts. Those of a part without its closing marks and capitals are remembered too."""
+class _Words:
+    """Ids, as little-endian 32-bit integers, of space-free parts of texts.
+
+    Parts of letters alone are one piece to the tokenizer, and its last token ends a word; so many of them are encoded
+    as one text and told apart again. Those without their closing marks and capitals are remembered too.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -32,50 +37,77 @@ class _Words(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.core: dict[str, tuple] = {"": ()}
-
-    def encode(self, text: str) -> tuple:
-        found = self.core.get(text)
-        if found is None:
-            if len(self.core) > REMEMBERED:
-                self.core = {"": ()}
-            found = self.core[text] = tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return found
-
-    def __missing__(self, part: str) -> tuple:
-        if len(self) > REMEMBERED:
-            self.clear()
-        if _PLAIN.fullmatch(part):
-            end = _END.search(part)
-            if end:
-                found = self.encode(part[: end.start()].lower()) + self.encode(end.group())
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.parts: dict[str, bytes] = {"": b""}
+        self.core: dict[str, bytes] = {"": b""}
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<i4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, wanted: set[str]) -> None:
+        """Puts the ids of all wanted parts into parts."""
+        core, split = self.core, {}
+        letters, others = [], []
+        for part in wanted:
+            head = part.rstrip(_MARKS)
+            tail = part[len(head) :]
+            if head.isascii() or _PLAIN.fullmatch(head):
+                if tail and not (head and head[-1] <= "ÿ" and head[-1].isalpha()):
+                    head, tail = part, ""
+                head = head.lower()
+                simple = head.isalpha()
             else:
-                found = self.encode(part.lower())
-        else:
-            found = self.encode(part)
-        self[part] = found
-        return found
+                head, tail, simple = part, "", False
+            split[part] = head, tail
+            if head not in core:
+                core[head] = b""  # listed once
+                (letters if simple else others).append(head)
+            if tail not in core:
+                core[tail] = b""
+                others.append(tail)
+        for k in range(0, len(letters), 16384):
+            groups = [letters[i : i + 256] for i in range(k, min(k + 16384, len(letters)), 256)]
+            for some, x in zip(groups, self.ids([" ".join(g) for g in groups])):
+                cut = np.flatnonzero(self.ends[x]) + 1
+                if len(cut) != len(some) or cut[-1] != len(x):
+                    others += some
+                    continue
+                data, cut = x.tobytes(), (cut * 4).tolist()
+                core.update(zip(some, (data[i:j] for i, j in zip([0, *cut], cut))))
+        for k in range(0, len(others), 4096):
+            some = others[k : k + 4096]
+            core.update(zip(some, (x.tobytes() for x in self.ids(some))))
+        parts = self.parts
+        for part, (head, tail) in split.items():
+            parts[part] = core[head] + core[tail]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.parts) > REMEMBERED:
+            self.parts = {"": b""}
+        if len(self.core) > REMEMBERED:
+            self.core = {"": b""}
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        new = set(chain.from_iterable(split)).difference(self.parts)
+        if new:
+            self.learn(new)
+        get = self.parts.__getitem__
+        return [b"".join(map(get, s)) for s in split]
 
 
 _loaded: dict[str, _Words] = {}
 
 
 def encoder(path: str):
-    """Text -> list of ids, as the tokenizer at path gives for the whole text without special tokens.
+    """Texts -> their ids as bytes, as the tokenizer at path gives for whole texts without special tokens.
 
     The tokenizer must end words at white space, and lower-case: its normal form and pieces then depend on nothing
     across a space, so ids of the parts between spaces are those of the text, and each part is encoded once a worker.
     """
     if path not in _loaded:
         _loaded[path] = _Words(path)
-    words = _loaded[path]
-    get = words.__getitem__
-
-    def encode(text: str) -> list[int]:
-        parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return list(chain.from_iterable(map(get, filter(None, parts))))
-
-    return encode
+    return _loaded[path].encode
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
@@ -85,23 +117,24 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) ->
     delta-encoded (format v2). Page indexes and small pages let a reader fetch chosen documents, or n_tokens alone.
     """
 
+    stop = np.array([end_id], "<i4").tobytes()
+
     def run(batches):
+        gc.disable()  # the memory holds millions of small objects without cycles
         encode = encoder(tokenizer)
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
+            ids, texts = b.column(0), [t or "" for t in b.column(1).to_pylist()]
             at = 0
             while at < len(texts):
-                rows, n, size = [], [], 0
-                start = at
-                while at < len(texts) and size < 1_000_000:
-                    x = encode(texts[at] or "")
-                    x.append(end_id)
-                    rows.append(np.array(x, np.int32))
-                    size += len(x)
-                    n.append(len(x))
+                start, size = at, 0
+                while at < len(texts) and size < 2_000_000:
+                    size += len(texts[at])
                     at += 1
+                rows = encode(texts[start:at])
+                n = np.array([len(r) // 4 + 1 for r in rows], np.int64)
+                flat = np.frombuffer(stop.join([*rows, b""]), "<i4")
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-                yield pa.record_batch([ids.slice(start, at - start), pa.array(n, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows)))], names=["doc_id", "n_tokens", "ids"])
+                yield pa.record_batch([ids.slice(start, at - start), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["doc_id", "n_tokens", "ids"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
