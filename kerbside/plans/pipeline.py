@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,37 +12,57 @@ from kerbside.operators import cluster, detect, merge, suppress, triangulate
 from kerbside.plans.scratch import Scratch
 
 
-@dataclass
 class Result:
-    kept: DataFrame
-    entries: DataFrame
-    pairs: DataFrame
-    members: DataFrame
-    clusters: DataFrame
-    tri: DataFrame
-    placed: DataFrame
-    assets: DataFrame
+    """Tables of one run, each planned (and, where it is read more than once, written) when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, boxes: DataFrame, conf: float, suppress_conflicts: bool):
+        self._spark, self._boxes, self._conf, self._suppress = spark, boxes, conf, suppress_conflicts
+        self._scratch = Scratch(spark)
+        self._params = P.class_params(spark)
+
+    @cached_property
+    def kept(self) -> DataFrame:
+        kept = detect.confident(detect.named(self._boxes, self._params), self._params, self._conf)
+        return detect.projected(detect.crops(kept), self._params)
+
+    @cached_property
+    def entries(self) -> DataFrame:
+        return self._scratch.write(detect.entries(self.kept), "entries")
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return cluster.proximity_pairs(self.entries, self._params)
+
+    @cached_property
+    def members(self) -> DataFrame:
+        return self._scratch.write(cluster.large_enough(cluster.clustered(self.entries, self.pairs), self._params), "members")
+
+    @cached_property
+    def clusters(self) -> DataFrame:
+        return cluster.summarized(self.members)
+
+    @cached_property
+    def tri(self) -> DataFrame:
+        return triangulate.triangulated(self.members)
+
+    @cached_property
+    def placed(self) -> DataFrame:
+        return self._scratch.write(merge.placed(self.clusters, self.tri, self._params), "placed")
+
+    @cached_property
+    def assets(self) -> DataFrame:
+        if not self._suppress:
+            return self.placed
+        return suppress.kept_assets(self.placed, suppress.conflict_pairs(self.placed, P.confusion_pairs(self._spark)), self.entries)
 
 
 def from_boxes(spark: SparkSession, boxes: DataFrame, conf: float = P.DEFAULT_CONF, suppress_conflicts: bool = True) -> Result:
     """boxes (see scenes.SCENE for the columns) through filter, projection, clusters, triangulation, placement and suppression.
 
-    One lazy plan, cut where results are read more than once: entries and members of clusters.
+    The plan is cut where results are read more than once: entries, members of clusters, placed assets. What a caller
+    doesn't read isn't computed.
     """
-    scratch = Scratch(spark)
-    params = P.class_params(spark)
-    kept = detect.confident(detect.named(boxes, params), params, conf)
-    kept = detect.projected(detect.crops(kept), params)
-    entries = scratch.write(detect.entries(kept), "entries")
-    pairs = scratch.write(cluster.proximity_pairs(entries, params), "pairs")
-    members = scratch.write(cluster.large_enough(cluster.clustered(entries, pairs), params), "members")
-    clusters = cluster.summarized(members)
-    tri = triangulate.triangulated(members)
-    placed = scratch.write(merge.placed(clusters, tri, params), "placed")
-    assets = placed
-    if suppress_conflicts:
-        assets = suppress.kept_assets(placed, suppress.conflict_pairs(placed, P.confusion_pairs(spark)), entries)
-    return Result(kept, entries, pairs, members, clusters, tri, placed, assets)
+    return Result(spark, boxes, conf, suppress_conflicts)
 
 
 def job_summary(boxes: DataFrame, kept: DataFrame, assets: DataFrame) -> DataFrame:
