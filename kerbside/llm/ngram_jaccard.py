@@ -275,7 +275,8 @@ def linked_in_tree(ids, n, label, left, right, sets, num: int = 4, den: int = 5,
     sets: (document frequencies, n-grams) of each, in the global order, without n-grams that are in one set only; n
     counts these too. The right sets are sorted as sequences, which lays out their prefix tree depth first: a set
     continues from the branch that it shares with the one before, with the overlaps counted there for all left sets
-    at once. A branch goes on with the left sets whose overlap, were all that remains shared, would suffice.
+    at once. Beyond its last fork it goes on with the left sets whose size fits its own and whose overlap, were all
+    that remains shared, would suffice.
     Pairs with one label are connected already.
     """
     ids, n, label = np.asarray(ids), np.asarray(n, np.int64), np.asarray(label)
@@ -318,26 +319,29 @@ def linked_in_tree(ids, n, label, left, right, sets, num: int = 4, den: int = 5,
         for c, i in enumerate(side):
             member[paths[int(i)], c] = 1
         nx = n[side]
-        stack = [(0, np.arange(len(side)), np.zeros(len(side), np.int32))]  # depth, left sets that are left, overlaps
+        everyone = np.arange(len(side))
+        stack = [(0, np.zeros(len(side), np.int32))]  # depth, overlaps of all left sets
         for k, y in enumerate(order):
             path, ny = paths[y], n[y]
             while stack[-1][0] > fork[k]:
                 stack.pop()
-            depth, alive, overlap = stack[-1]
-            need = -(-(num * (nx + ny)) // (num + den))  # ceil of num / (num + den) * (nx + ny)
-            fits = (num * nx[alive] <= den * ny) & (num * ny <= den * nx[alive])
-            alive, overlap = alive[fits], overlap[fits]
-            whole = depth == 0 or len(alive) == len(stack[-1][1])
+            depth, overlap = stack[-1]
             ahead = fork[k + 1]
+            if depth < ahead:  # for all left sets, as the next set has bounds of its own
+                while depth < ahead:
+                    to = min(depth + 48, ahead)
+                    overlap = overlap + member[path[depth:to]].sum(0, dtype=np.int32)
+                    depth = to
+                stack.append((depth, overlap))
+            need = -(-(num * (nx + ny)) // (num + den))  # ceil of num / (num + den) * (nx + ny)
+            alive = everyone[(num * nx <= den * ny) & (num * ny <= den * nx) & (overlap + (len(path) - depth) >= need)]
+            overlap = overlap[alive]
             while depth < len(path) and len(alive):
-                to = min(depth + 48, len(path), ahead if depth < ahead else len(path))
+                to = min(depth + 48, len(path))
                 overlap = overlap + member[path[depth:to]][:, alive].sum(0, dtype=np.int32)
                 depth = to
-                if depth == ahead and whole and depth > stack[-1][0]:
-                    stack.append((depth, alive, overlap))  # before this set's own bounds are applied
-                if depth > ahead or depth == len(path):
-                    keep = overlap + (len(path) - depth) >= need[alive]
-                    alive, overlap = alive[keep], overlap[keep]
+                keep = overlap + (len(path) - depth) >= need[alive]
+                alive, overlap = alive[keep], overlap[keep]
             for x in side[alive[overlap >= need[alive]]] if len(alive) else ():
                 if x != y:
                     a, b = root(int(label[x])), root(int(label[y]))

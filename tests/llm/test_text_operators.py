@@ -116,6 +116,38 @@ def test_tree_links_connect_what_brute_force_connects():
     assert classes(got) == classes([(a, b) for a in range(60) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
 
 
+@pytest.mark.parametrize("apart", [False, True])
+def test_tree_links_of_sizes_that_differ_on_one_branch(apart):
+    import numpy as np
+
+    for seed in range(40):
+        rng = random.Random(seed)
+        sets, common = [], 0
+        for _ in range(4):
+            size = rng.choice([30, 60, 90])
+            core = set(range(common, common + size))
+            sets += [core | set(range(5000 + common, 5000 + common + extra)) for extra in (0, size // 9, size // 5, size // 2, size // 2 + 3, size)]
+            common += rng.choice([0, 10, 100])
+        rng.shuffle(sets)
+        m = len(sets)
+        df = Counter(g for s in sets for g in s)
+        arrays = [tuple(np.array(x) for x in zip(*sorted((df[g], g) for g in s if df[g] > 1))) for s in sets]
+        left = np.arange(m) < m // 2 if apart else np.ones(m, bool)
+        right = ~left if apart else left
+        got = linked_in_tree(np.arange(m), np.array([len(s) for s in sets]), np.arange(m), left, right, arrays)
+        want = [(a, b) for a in range(m) for b in range(m) if a != b and left[a] and right[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+        assert set(got) <= set(want)
+
+        def classes(pairs):
+            p = list(range(m))
+            for _ in range(m):
+                for a, b in pairs:
+                    p[a] = p[b] = min(p[a], p[b])
+            return p
+
+        assert classes(got) == classes(want)
+
+
 def test_mixing(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(words(rng, 20)), "en", s) for i, s in enumerate(["a"] * 400 + ["b"] * 60 + ["c"] * 5 + [None] * 35)]
