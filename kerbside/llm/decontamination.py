@@ -203,6 +203,8 @@ def _search(shared, least: float):
                         p, s = p[k], table.find(s[k])
                         place.append(p[s >= 0])
                         key.append(s[s >= 0])
+                if not place:  # fewer words than the shortest seed
+                    continue
                 place, key = np.concatenate(place), np.concatenate(key)
                 if not len(place):
                     continue

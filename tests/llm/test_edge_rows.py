@@ -97,6 +97,15 @@ def test_decontamination(tables):
     assert got == Counter({(3, 1): 2, (4, None): 1})
 
 
+@pytest.mark.parametrize("alone", ["lora", "漢" * 700_000])
+def test_decontamination_of_runs_shorter_than_a_seed(spark, alone):
+    bench = spark.createDataFrame([(1, PROSE[3])], "item_id long, text string")
+    one = spark.createDataFrame([(1, alone)], "doc_id long, text string")
+    assert contaminated(one, bench).collect() == []
+    two = spark.createDataFrame([(1, alone), (2, PROSE[3]), (3, "漢" * 700_000), (4, "lora")], "doc_id long, text string").coalesce(1)
+    assert [(r.doc_id, r.item_id, r.score) for r in contaminated(two, bench).collect()] == [(2, 1, 1.0)]
+
+
 def test_quality_rules(tables):
     got = of_rows(quality_rules(tables[0]), ("n_words", "base_failed", "kept"))
     assert got[100] == got[101] == got[102] == (0, True, False) and got[103] == (180_000, True, False)
