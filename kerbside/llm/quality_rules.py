@@ -9,7 +9,7 @@ from kerbside.plans.scratch import Scratch
 
 SPACE = r"[\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\x0c\r"
-#: Documents that an estimate needs; units with fewer are pooled by language, then altogether.
+#: Documents that an estimate needs; units with fewer take that of all documents of their language, or of all documents.
 LEAST = 200
 #: Units whose estimates are broadcast (about 250 bytes each); beyond it the join shuffles.
 BROADCAST_UNITS = 50_000
@@ -63,14 +63,14 @@ def quality_rules(docs: DataFrame, cut: float = CUT) -> DataFrame:
     kept.
 
     The vector: logarithms of word length and of the rates of symbols, capitals, repeated lines and repeated words.
-    Per unit (language and source; pooled by language, then altogether, where rows are few) the minimum covariance
-    determinant is sought from coordinate medians by C-steps: distances, the 75 % with the smallest, their mean and
-    covariance, and again; then a reweighted step. A ridge of FLOOR keeps covariances regular where a statistic is
-    constant. Every pass reads the small table of statistics and sends sums for each unit, so a unit of any size is
-    summed up in all tasks.
+    Per unit (language and source; where rows are few, all documents of the language, large units included, then all
+    documents) the minimum covariance determinant is sought from coordinate medians by C-steps: distances, the 75 %
+    with the smallest, their mean and covariance, and again; then a reweighted step. A ridge of FLOOR keeps
+    covariances regular where a statistic is constant. Every pass reads the small table of statistics and sends sums
+    for each unit, so a unit of any size is summed up in all tasks.
 
     Nulls and empty texts have no words and fail the base rules. Null lang or source: units of their own. Fewer than
-    LEAST rows altogether: the base rules alone decide. Repeated rows count each. Empty input: no rows.
+    LEAST rows altogether that pass the base rules: these alone decide. Repeated rows count each. Empty input: no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -78,13 +78,17 @@ def quality_rules(docs: DataFrame, cut: float = CUT) -> DataFrame:
     base = docs.select("doc_id", "text", named("lang").alias("_lang"), named("source").alias("_source"))
     d = scratch.write(statistics(base).drop("text"), "statistics")
     counts = d.where("NOT base_failed").groupBy("_lang", "_source").agg(F.count("*").alias("c"))
-    counts = counts.withColumn("_own", F.col("c") >= LEAST)
-    pooled = counts.where("NOT _own").groupBy("_lang").agg((F.sum("c") >= LEAST).alias("_by_lang"))
-    unit = F.when(F.col("_own"), F.concat_ws("\x1f", "_lang", "_source")).when(F.col("_by_lang"), F.col("_lang")).otherwise(F.lit(""))
-    units = scratch.write(counts.join(pooled, "_lang", "left").select("_lang", "_source", unit.alias("unit")), "units")
+    totals = counts.groupBy("_lang").agg(F.sum("c").alias("_total"), (F.min("c") < LEAST).alias("_small"))
+    own, by_lang = F.col("c") >= LEAST, F.col("_total") >= LEAST
+    key = F.concat_ws("\x1f", "_lang", "_source")
+    unit = F.when(own, key).when(by_lang, F.col("_lang")).otherwise(F.lit(""))
+    short = totals.where(~by_lang).limit(1).count() > 0
+    pools = F.array(F.when(own, key), F.when(by_lang & F.col("_small"), F.col("_lang")), F.lit("" if short else None).cast("string"))
+    units = counts.join(totals, "_lang").select("_lang", "_source", unit.alias("unit"), F.array_compact(pools).alias("_pools"))
+    units = scratch.write(units, "units")
     hint = F.broadcast if units.count() <= BROADCAST_UNITS else (lambda t: t)
     d = d.join(hint(units), ["_lang", "_source"], "left").drop("_lang", "_source")
-    fit = d.where("NOT base_failed").select("unit", *(f"f{k}" for k in range(DIMS)))
+    fit = d.where("NOT base_failed").select(F.explode("_pools").alias("unit"), *(f"f{k}" for k in range(DIMS)))
     names = [f"f{k}" for k in range(DIMS)]
 
     def near(estimate: DataFrame, share: float | None) -> DataFrame:

@@ -194,6 +194,20 @@ def test_quality_rules_counts_and_outliers(spark):
     assert quality_rules(df.limit(0)).count() == 0
 
 
+def test_quality_rules_test_documents_of_small_units(spark):
+    rng = random.Random(12)
+    rows, junk = [], set()
+    for lang, source, n in (("en", "s", 400), ("en", "tail", 60), ("en", None, 20), ("xx", "s", 30), (None, None, 20)):
+        for k in range(n):
+            bad = n < 400 and k < 3
+            junk |= {len(rows)} if bad else set()
+            text = " ".join(w + "###" for w in words(rng, 120)) if bad else ". ".join(" ".join(words(rng, 8)).capitalize() for _ in range(rng.randrange(9, 40)))
+            rows.append((len(rows), text, lang, source))
+    got = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert len(got) == len(rows) and not any(r.base_failed or r.distance is None for r in got)
+    assert {r.doc_id for r in got if not r.kept} == junk
+
+
 def test_secrets(spark):
     rng = random.Random(3)
     token = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
