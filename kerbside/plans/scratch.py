@@ -7,12 +7,16 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of this session where that is unset (tests, local mode)."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one of this session if all tasks run on this machine (local master), else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="kerbside-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -42,7 +46,10 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            self._delete(t._kerbside_path)
+            self.drop_path(t._kerbside_path)
+
+    def drop_path(self, path: str) -> None:
+        self._delete(path)
 
     def _delete(self, path: str) -> None:
         try:
@@ -53,3 +60,16 @@ class Scratch:
             p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # the session has ended: the folder's owner clears it
             return
+
+
+def with_row_key(table: DataFrame, name: str = "_row") -> DataFrame:
+    """table, read from files, with a number of its own for each row: place of the file by path, and of the row in it.
+
+    The same files give the same numbers. Only the list of files is ordered in one task.
+    """
+    from pyspark.sql import Window
+
+    files = table.select(F.col("_metadata.file_path").alias("_file")).distinct()
+    files = files.select("_file", (F.row_number().over(Window.orderBy("_file")) - 1).cast("long").alias("_place"))
+    rows = table.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+    return rows.join(F.broadcast(files), "_file").select(*(table[f"`{c}`"] for c in table.columns), (F.shiftleft("_place", 36) + F.col("_index")).alias(name))
