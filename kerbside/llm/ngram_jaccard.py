@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -10,14 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kerbside.llm.words import shingle_sets
+from kerbside.llm.words import mix, shingle_sets
 from kerbside.plans.components import connected_components
 from kerbside.plans.scratch import Scratch
+from kerbside.plans.skew import join_groups
 
 _U = np.uint64
-#: Shingles that one bucket of the uniqueness test holds, and documents that one tile of the tree join holds a side.
+#: Shingles that one bucket of the uniqueness test holds, and documents and shingles that one tile of the tree join
+#: holds a side.
 BUCKET = 3_000_000
-TILE = 512
+TILE, TILE_GRAMS = 512, 2_000_000
 #: A table of ids is broadcast up to this many rows (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
 
@@ -43,11 +46,17 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5
     2. A set that holds more unshared n-grams than prefix_size() allows to differ has no partner. That is tested on
        the half of the n-gram space whose hash is even, which can only keep too many sets. Each task sends one entry
        for an n-gram that it saw twice.
-    3. The rest are ordered by (document frequency, hash). By the prefix principle two partners share one of the
+    3. Sets too small to be linked with any but an equal one (fewer than num / (den - num) n-grams) are grouped by
+       their words.
+    4. The rest are ordered by (document frequency, hash). By the prefix principle two partners share one of the
        first prefix_size() n-grams. All sets with such an n-gram go to one block, named by the smallest of them.
-    4. In a block the sets form a prefix tree; linked_in_tree() walks it with all sets of the other side at once.
-       Blocks above TILE sets are first compared with the set that names them and then, without pairs that are
-       connected by then, tile against tile, so no task holds more than two tiles.
+    5. In a block the sets form a prefix tree; linked_in_tree() walks it with all sets of the other side at once.
+       Blocks above TILE sets or TILE_GRAMS n-grams are first compared with the set that names them and then, without
+       pairs that are connected by then, tile against tile, so no task holds more than two tiles. Tiles hold sets of
+       similar sizes, and only tiles whose sizes may be linked meet.
+
+    n-grams are compared by 64-bit hashes of their words (words.py): a wrong link would take a chance of 2**-64 for
+    one pair of n-grams beside the n-grams that a pair really shares.
 
     Nulls and texts without words: n_shingles 0, alone. Fewer words than width: one n-gram. Rows without doc_id are
     left out; repeated rows count once; a doc_id with several texts counts with the one of smallest MD5. Empty input:
@@ -56,49 +65,71 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
-    key = F.md5("text")
-    copies = scratch.write(docs.select("doc_id", key.alias("key"), F.length("text").cast("long").alias("chars")), "copies")
-    seen = copies.agg(F.count("*"), F.coalesce(F.sum("chars"), F.lit(0))).first()
+    key = F.unhex(F.sha2("text", 256))
+    keyed = lambda d: scratch.write(d.select("doc_id", key.alias("key"), F.length("text").cast("long").alias("chars")), "copies")
+    copies = keyed(docs)
+    rows, chars = copies.agg(F.count("*"), F.coalesce(F.sum("chars"), F.lit(0))).first()
     if copies.groupBy("doc_id").count().where("count > 1").limit(1).count():
         kept = copies.groupBy("doc_id").agg(F.min("key").alias("kept"))
         docs = docs.join(kept, "doc_id").where(key == F.col("kept")).drop("kept").dropDuplicates(["doc_id"])
-        copies = scratch.write(docs.select("doc_id", key.alias("key"), F.length("text").cast("long").alias("chars")), "copies")
-    first = copies.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    sizes = scratch.write(_uniqueness(docs, width, max(1, math.ceil(seen[1] * 0.07 / BUCKET))), "sizes")
+        copies = keyed(docs)
+    first = scratch.write(copies.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")), "first")
+    sizes = scratch.write(_uniqueness(docs, width, max(1, math.ceil(chars * 0.07 / BUCKET))), "sizes")
     may = sizes.where("n > 0").where(F.col("alone") < _prefix(F.col("n"), num, den)).select("doc_id").join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     may = scratch.write(may, "may")
-    sets = scratch.write(docs.join(small_enough(may, may.count()), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, n int, grams array<long>"), "sets")
-    shared = sets.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-    ordered = sets.select("doc_id", "n", F.explode("grams").alias("g")).join(shared, "g").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("o"))
+    least = -(-num // (den - num))
+    sets = docs.join(small_enough(may, may.count()), "doc_id", "left_semi").mapInArrow(_sets(width, least), "doc_id long, n int, grams array<long>, words string")
+    sets = scratch.write(sets, "sets")
+    equal = sets.where("words IS NOT NULL").select("doc_id", "words")
+    names = scratch.write(equal.groupBy("words").agg(F.min("doc_id").alias("a"), F.count("*").alias("c")).where("c > 1"), "equal")
+    equal = join_groups(equal, names, "words", "c", rows).select("a", F.col("doc_id").alias("b"))
+    more = sets.where("words IS NULL")
+    shared = more.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    ordered = more.select("doc_id", "n", F.explode("grams").alias("g")).join(shared, "g").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("o"))
     reach = _prefix(F.col("n"), num, den) - (F.col("n") - F.size("o"))
     ordered = scratch.write(ordered.withColumn("reach", reach).where("reach > 0").select("doc_id", "n", "reach", F.col("o.df").alias("df"), F.col("o.g").alias("g")), "ordered")
-    edges = _links(ordered, scratch, num, den)
+    edges = _links(ordered, scratch, num, den).unionByName(equal)
     comp = scratch.write(connected_components(edges, scratch), "components")
-    by_key = first.join(comp, first.rep == comp.node, "left").select("key", F.coalesce("component", "rep").alias("component_id"))
-    return copies.join(by_key, "key").select("doc_id", "component_id").join(sizes, "doc_id").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    classes = first.join(comp, first.rep == comp.node, "left").select("key", "c", F.coalesce("component", "rep").alias("component_id"))
+    classes = scratch.write(classes, "classes")
+    scratch.drop(first, may, sets, names, ordered, comp)
+    out = join_groups(copies, classes, "key", "c", rows).select("doc_id", "component_id").join(sizes, "doc_id")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _prefix(n: Column, num: int, den: int) -> Column:
     return n - F.ceil(n * F.lit(num) / F.lit(den) - F.lit(1e-9)).cast("int") + 1
 
 
-def _sets(width: int):
+def _sets(width: int, least: int):
+    """Sets of at least `least` n-grams as hashes; smaller ones also as sorted distinct n-grams in words."""
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    small = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+    def in_words(text: str) -> str:
+        w = word.findall(text.translate(small))
+        grams = {" ".join(w[k : k + width]) for k in range(max(1, len(w) - width + 1))}
+        return "\n".join(sorted(grams))
+
     def run(batches):
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            rows, n, grams = [], [], []
+            rows, n, grams, words, held = [], [], [], [], 0
 
             def out():
                 flat = np.concatenate(grams).view(np.int64) if grams else np.zeros(0, np.int64)
-                return pa.record_batch([pa.array(ids[rows], pa.int64()), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))], names=["doc_id", "n", "grams"])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))
+                return pa.record_batch([pa.array(ids[rows], pa.int64()), pa.array(n, pa.int32()), lists, pa.array(words, pa.string())], names=["doc_id", "n", "grams", "words"])
 
             for i, s in shingle_sets(b.column(1), width):
                 rows.append(i)
                 n.append(len(s))
                 grams.append(s)
-                if sum(n[-64:]) > 500_000 or len(n) >= 2000:
+                words.append(in_words(b.column(1)[i].as_py()) if len(s) < least else None)
+                held += len(s)
+                if held > 500_000 or len(n) >= 2000:
                     yield out()
-                    rows, n, grams = [], [], []
+                    rows, n, grams, words, held = [], [], [], [], 0
             if rows:
                 yield out()
 
@@ -111,12 +142,15 @@ _PACKED = "bucket int, ids binary, n binary, grams binary, owners binary, twice
 def _uniqueness(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     """doc_id, n, alone: distinct n-grams, and how many of those with an even hash no other row holds."""
 
+    def shard(ids):
+        return (mix(ids.view(np.uint64)) % _U(buckets)).astype(np.int64)
+
     def scatter(batches):
         def pack(ids, n, grams):
             """One row for each part of the documents (negative) and for each bucket of n-grams."""
             ids, n = np.array(ids, np.int64), np.array(n, np.int32)
             rows = []
-            part = ids % buckets
+            part = shard(ids)
             for p in np.unique(part):
                 k = part == p
                 rows.append((-1 - int(p), ids[k].tobytes(), n[k].tobytes(), b"", b"", b""))
@@ -168,7 +202,7 @@ def _uniqueness(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         alone[:-1] &= h[:-1] != h[1:]
         alone &= ~np.isin(h, twice)
         ids, c = np.unique(owner[alone], return_counts=True)
-        part, rows = ids % buckets, []
+        part, rows = shard(ids), []
         for p in np.unique(part):
             k = part == p
             rows.append({"part": int(p), "ids": ids[k].tobytes(), "n": b"", "alone": c[k].astype(np.int32).tobytes()})
@@ -200,44 +234,73 @@ def _uniqueness(docs: DataFrame, width: int, buckets: int) -> DataFrame:
 
 def _links(ordered: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
     """Edges a, b between linked documents: enough of them to connect what is connected."""
-    heads = ordered.select("doc_id", F.explode(F.slice("g", F.lit(1), F.least("reach", F.size("g")))).alias("h"))
+    heads = ordered.select("doc_id", "n", F.explode(F.slice("g", F.lit(1), F.least("reach", F.size("g")))).alias("h"))
     heads = scratch.write(heads, "heads")
-    names = heads.groupBy("h").agg(F.min("doc_id").alias("block"), F.count("*").alias("c")).where("c > 1")
-    members = scratch.write(heads.join(names, "h").select("block", "doc_id").distinct(), "members")
-    scratch.drop(heads)
-    held = scratch.write(members.groupBy("block").agg(F.count("*").alias("m")), "blocks")
+    names = scratch.write(heads.groupBy("h").agg(F.min("doc_id").alias("block"), F.count("*").alias("c")).where("c > 1"), "names")
+    members = scratch.write(join_groups(heads, names, "h", "c", heads.count()).select("block", "doc_id", "n").distinct(), "members")
+    scratch.drop(heads, names)
+    held = scratch.write(members.groupBy("block").agg(F.count("*").alias("m"), F.sum("n").alias("s")), "blocks")
+    total = members.count()
+    large = (F.col("m") > TILE) | (F.col("s") > TILE_GRAMS)
     tree = _tree_join(num, den)
     lists = ordered.select("doc_id", "n", "df", "g")
-    one = F.lit(True)
+    conf = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def joined(rows: DataFrame) -> DataFrame:
         """rows: block, i, j (the tile), doc_id, left, right, label."""
+        rows = scratch.write(rows, "tiles")
+        parts = max(conf, math.ceil(rows.count() / (32 * TILE)))
         rows = rows.join(lists, "doc_id").select("block", "i", "j", "doc_id", "n", "left", "right", "label", "df", "g")
-        parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
         return rows.repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(tree, "a long, b long")
 
-    small = members.join(held.where(F.col("m") <= TILE), "block").select("block", F.lit(0).alias("i"), F.lit(0).alias("j"), "doc_id", one.alias("left"), one.alias("right"), F.col("doc_id").alias("label"))
-    edges = scratch.write(joined(small), "edges")
-    if held.where(F.col("m") > TILE).limit(1).count() == 0:
+    one, nought = F.lit(True), F.lit(0).cast("long")
+    small = join_groups(members, held.where(~large).drop("s"), "block", "m", total)
+    edges = scratch.write(joined(small.select("block", nought.alias("i"), nought.alias("j"), "doc_id", one.alias("left"), one.alias("right"), F.col("doc_id").alias("label"))), "edges")
+    if held.where(large).limit(1).count() == 0:
         return edges
-    big = members.join(held.where(F.col("m") > TILE), "block").withColumn("k", F.ceil(F.col("m") / TILE).cast("int"))
-    own = F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int")
+    # Sets whose sizes allow a link are on one level or on neighbouring ones.
+    level = F.floor(F.log(F.col("n")) / math.log(den / num * 1.01)).cast("long")
+    widest = F.pow(F.lit(den / num * 1.01), F.col("level") + 1)
+    fits = F.greatest(F.lit(1.0), F.least(F.lit(float(TILE)), TILE_GRAMS / widest))
+    tiles_of = lambda c: F.ceil(c / fits).cast("long")
+    k = F.ceil(F.greatest(F.col("x") / TILE, F.col("s") / TILE_GRAMS)).cast("long")
+    big = scratch.write(join_groups(members, held.where(large).select("block", "m", F.col("m").alias("x"), "s"), "block", "m", total).select("block", "doc_id", "n", k.alias("k")), "big")
+    own = F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("long")
     head = F.col("doc_id") == F.col("block")
-    star = big.select("block", F.explode(F.when(head, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array(own))).alias("i"), F.lit(0).alias("j"), "doc_id", head.alias("left"), (~head).alias("right"), F.col("doc_id").alias("label"))
+    star = big.select("block", F.explode(F.when(head, F.sequence(nought, F.col("k") - 1)).otherwise(F.array(own))).alias("i"), nought.alias("j"), "doc_id", head.alias("left"), (~head).alias("right"), F.col("doc_id").alias("label"))
     edges = scratch.write(edges.union(joined(star)), "edges")
     comp = scratch.write(connected_components(edges, scratch), "sofar")
-    known = big.select("block", "doc_id").join(comp, F.col("doc_id") == F.col("node"), "left").select("block", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-    by_label = known.groupBy("block", "label").agg(F.count("*").alias("c"))
-    main = by_label.groupBy("block").agg(F.max(F.struct("c", "label")).alias("x"), F.sum("c").alias("m"))
-    main = main.where("x.c < m").select("block", F.col("x.label").alias("main"), F.ceil(F.col("x.c") / TILE).cast("int").alias("km"), F.ceil((F.col("m") - F.col("x.c")) / TILE).cast("int").alias("ko"))
-    rest = known.join(main, "block").withColumn("is_main", F.col("label") == F.col("main"))
-    rest = rest.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.when(F.col("is_main"), F.col("km")).otherwise(F.col("ko"))).cast("int"))
-    # Tiles (i, j): i of those outside the largest component; j of the same, or -1 - j of the largest component.
-    outside = F.transform(F.sequence(F.lit(0), F.col("ko") - 1), lambda t: F.struct(F.least(t, F.col("own")).alias("i"), F.greatest(t, F.col("own")).alias("j"), (F.col("own") <= t).alias("left"), (F.col("own") >= t).alias("right")))
-    across = F.transform(F.sequence(F.lit(0), F.col("km") - 1), lambda t: F.struct(F.col("own").alias("i"), (-1 - t).alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right")))
-    inside = F.transform(F.sequence(F.lit(0), F.col("ko") - 1), lambda t: F.struct(t.alias("i"), (-1 - F.col("own")).alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right")))
-    tiles = rest.select("block", "doc_id", "label", F.explode(F.when(F.col("is_main"), inside).otherwise(F.concat(outside, across))).alias("t")).select("block", "t.i", "t.j", "doc_id", "t.left", "t.right", "label")
-    return scratch.write(edges.union(joined(tiles)), "edges")
+    known = big.select("block", "doc_id", level.alias("level")).join(comp, F.col("doc_id") == F.col("node"), "left").select("block", "doc_id", "level", F.coalesce("component", "doc_id").alias("label"))
+    known = scratch.write(known, "known")
+    main = known.groupBy("block", "label").agg(F.count("*").alias("c")).groupBy("block").agg(F.max(F.struct("c", "label")).alias("x"), F.sum("c").alias("m"))
+    main = scratch.write(main.where("x.c < m").select("block", "m", F.col("x.label").alias("main")), "main")
+    rest = join_groups(known, main, "block", "m", total).withColumn("inner", (F.col("label") == F.col("main")).cast("long"))
+    rest = scratch.write(rest, "rest")
+    # Tiles of each block by 2 * level + inner; there are a few dozen levels.
+    counts = rest.groupBy("block", "level", "inner").agg(F.count("*").alias("c")).withColumn("t", F.struct((2 * F.col("level") + F.col("inner")).alias("key"), tiles_of(F.col("c")).alias("value")))
+    counts = scratch.write(counts.groupBy("block").agg(F.map_from_entries(F.collect_list("t")).alias("k"), F.sum("c").alias("m")), "counts")
+    rest = join_groups(rest, counts, "block", "m", total)
+    kind = lambda off, inner: 2 * (F.col("level") + off) + inner
+    own = F.pmod(F.xxhash64("doc_id"), F.col("k")[kind(0, 0) + F.col("inner")])
+    code = lambda off, inner, x: F.shiftleft(kind(off, inner), 32) + x
+
+    def tiles(off: int, inner: int, make) -> Column:
+        n = F.coalesce(F.col("k")[kind(off, inner)], nought)
+        return F.when(n > 0, F.transform(F.sequence(nought, n - 1), make)).otherwise(F.array())
+
+    def tile(i: Column, j: Column, left: Column, right: Column) -> Column:
+        return F.struct(i.alias("i"), j.alias("j"), left.alias("left"), right.alias("right"))
+
+    yes, no = F.lit(True), F.lit(False)
+    outer = [tiles(0, 0, lambda t: tile(code(0, 0, F.least(t, F.col("own"))), code(0, 0, F.greatest(t, F.col("own"))), F.col("own") <= t, F.col("own") >= t))]
+    outer.append(tiles(1, 0, lambda t: tile(code(0, 0, F.col("own")), code(1, 0, t), yes, no)))
+    outer.append(tiles(-1, 0, lambda t: tile(code(-1, 0, t), code(0, 0, F.col("own")), no, yes)))
+    outer += [tiles(o, 1, lambda t, o=o: tile(code(0, 0, F.col("own")), code(o, 1, t), yes, no)) for o in (-1, 0, 1)]
+    inner = [tiles(o, 0, lambda t, o=o: tile(code(o, 0, t), code(0, 1, F.col("own")), no, yes)) for o in (-1, 0, 1)]
+    rest = rest.withColumn("own", own).withColumn("t", F.explode(F.when(F.col("inner") == 1, F.concat(*inner)).otherwise(F.concat(*outer))))
+    edges = scratch.write(edges.union(joined(rest.select("block", "t.i", "t.j", "doc_id", "t.left", "t.right", "label"))), "edges")
+    scratch.drop(members, held, big, comp, known, main, counts)
+    return edges
 
 
 def _tree_join(num: int, den: int):
@@ -246,13 +309,13 @@ def _tree_join(num: int, den: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            k = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()))
-            at = [0, *(x for x in range(1, len(k)) if k[x] != k[x - 1]), len(k)]
+            k = np.stack([b.column(c).to_numpy() for c in range(3)], 1)
+            at = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), len(k)]
             for x, y in zip(at, at[1:]):
-                if k[x] != key and held:
+                if tuple(k[x]) != key and held:
                     yield from solve(held)
                     held = []
-                key = k[x]
+                key = tuple(k[x])
                 held.append(b.slice(x, y - x))
         if held:
             yield from solve(held)

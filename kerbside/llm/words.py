@@ -1,7 +1,8 @@
 """Words of whole texts as hashes: NumPy over the bytes of an Arrow batch, some megabytes at a time.
 
-A word is a run of bytes other than space and \\t \\n \\v \\f \\r; A-Z count as a-z. Its hash is a polynomial over
-2**64 of one random value for each byte, mixed at the end.
+A word is a run of bytes other than space and \\t \\n \\v \\f \\r; A-Z count as a-z. Its hash is the sum of one random
+value for each pair of place and byte, modulo 2**64, mixed at the end. No arrangement of bytes makes two words collide
+by design; any two have one hash with a chance of 2**-64.
 """
 
 from __future__ import annotations
@@ -10,28 +11,17 @@ import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.Generator(np.random.PCG64(20260101))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
+#: Places of a word with random values of their own; those of later ones are mixed from them and the round they are in.
+_REACH = 64
+_PLACE = _rng.integers(0, 2**64, (_REACH, 256), dtype=np.uint64)
+_PLACE[:, 65:91] = _PLACE[:, 97:123]  # A-Z as a-z
+_PLACE = _PLACE.ravel()
 _MIX = _rng.integers(1, 2**63, 8, dtype=np.uint64) * _U(2) + _U(1)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 BLOCK = 1 << 20
-_pow = {"n": 0}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and its inverse modulo 2**64, for i < n."""
-    if n > _pow["n"]:
-        m = max(n, BLOCK)
-        inverse = pow(_BASE, -1, 1 << 64)
-        for name, base in (("p", _BASE), ("q", inverse)):
-            x = np.full(m, base, dtype=np.uint64)
-            x[0] = 1
-            _pow[name] = np.multiply.accumulate(x)
-        _pow["n"] = m
-    return _pow["p"][:n], _pow["q"][:n]
+_BITS = 22
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -71,11 +61,43 @@ def word_hashes(off: np.ndarray, data: np.ndarray, space: np.ndarray = SPACE) ->
     edge = off[1:][off[1:] > 0] - 1
     last[edge] = inside[edge]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    p, q = _powers(len(data))
-    c = np.empty(len(data) + 1, np.uint64)
-    c[0] = 0
-    np.cumsum(_BYTE[data] * p, out=c[1:])
-    return mix((c[end] - c[start]) * q[start]), start, end, np.searchsorted(start, off)
+    return _hashes(data[inside], end - start), start, end, np.searchsorted(start, off)
+
+
+def _hashes(letters: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of the words that make up letters, one after another; BLOCK letters at a time."""
+    stop = np.cumsum(length)
+    begin = stop - length
+    out = np.zeros(len(length), np.uint64)
+    for a in range(0, len(letters), BLOCK):
+        b = min(a + BLOCK, len(letters))
+        w0, w1 = int(np.searchsorted(stop, a, "right")), int(np.searchsorted(begin, b, "left"))
+        edge = np.maximum(begin[w0:w1], a) - a
+        place = np.arange(a, b) - np.repeat(begin[w0:w1], np.minimum(stop[w0:w1], b) - a - edge)
+        far = np.flatnonzero(place >= _REACH)
+        turn = (place[far] // _REACH).astype(np.uint64)
+        place[far] %= _REACH
+        v = _PLACE[(place << 8) | letters[a:b]]
+        v[far] = mix(v[far] + mix(turn))
+        out[w0:w1] += np.add.reduceat(v, edge)
+    return mix(out)
+
+
+class Table:
+    """Sorted hashes with a bit table before them: find() gives the place of each hash, or -1."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.unique(keys)
+        self.bits = np.zeros(1 << _BITS, bool)
+        self.bits[(self.keys & _U((1 << _BITS) - 1)).astype(np.int64)] = True
+
+    def maybe(self, h: np.ndarray) -> np.ndarray:
+        return self.bits[(h & _U((1 << _BITS) - 1)).astype(np.int64)]
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(self.keys, h)
+        k[k == len(self.keys)] = 0
+        return np.where(self.keys[k] == h, k, -1) if len(self.keys) else np.full(len(h), -1)
 
 
 def shingle_sets(column: pa.Array, width: int = 5):

@@ -355,3 +355,45 @@ def test_pipeline_keeps_columns(spark, tmp_path):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert {r.doc_id for r in docs.select("doc_id").collect()} == set(range(300)) - {5}
     assert corpus_pipeline.run(spark, str(tmp_path)).agg(F.sum("n_tokens")).first()[0] > 0
+
+
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate({97: 98, 98: 97})
+    return s
+
+
+def test_structured_words_have_hashes_of_their_own(spark):
+    import pyarrow as pa
+
+    from kerbside.llm.words import shingle_sets
+
+    rows = []
+    for k, n in enumerate((1024, 2048, 4096)):
+        a = thue_morse(n)
+        rows += [(10 * k, a), (10 * k + 1, a.translate({97: 98, 98: 97})), (10 * k + 2, a.upper())]
+    hashes = [int(s[0]) for _, s in shingle_sets(pa.array([t for _, t in rows]))]
+    assert len(set(hashes)) == 6
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_components(frame(spark, rows)).collect()}
+    assert got == components(rows)
+
+
+def test_hashes_equal_those_of_words_alone(monkeypatch):
+    import pyarrow as pa
+
+    from kerbside.llm import words as module
+
+    rng = random.Random(21)
+    texts = [" ".join("".join(rng.choices("abÉ日", k=rng.randrange(1, 300))) for _ in range(20)) for _ in range(20)]
+    hashes = lambda some: [int(x) for _, off, data in module.blocks(pa.array(some)) for x in module.word_hashes(off, data)[0]]
+    want = [h for t in texts for w in t.split(" ") for h in hashes([w])]
+    assert hashes(texts) == want and len(set(want)) == len({w for t in texts for w in t.split(" ")})
+    monkeypatch.setattr(module, "BLOCK", 700)
+    assert hashes(texts) == want
+
+
+def test_components_of_small_sets_go_by_words(spark):
+    rows = [(1, "a b c d e f"), (2, "A b\tc d  e f"), (3, "a b c d e f g"), (4, "x"), (5, "X "), (6, "a b c d e f g h"), (7, "a b c d e f g h i"), (8, "a  b c d e f g h")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_components(frame(spark, rows)).collect()}
+    assert got == components(rows) and got[7] == (5, 6)
