@@ -7,19 +7,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.words import _MIX, blocks, mix, word_hashes
+from kerbside.llm.words import _MIX, PART, Table, blocks, mix, word_hashes
 from kerbside.plans.scratch import Scratch
 
 _U = np.uint64
-#: Words are runs of letters and digits; other ASCII bytes part them.
-PART = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 #: Characters of benchmark items that one pass over the documents holds; a larger benchmark takes more passes.
 BLOCK_CHARS = 8_000_000
-#: Longest seed, in words, and the occurrences by chance in the whole corpus that a seed may have.
-LONGEST, CHANCE = 8, 1.0
+#: Longest seed, in words, and the times that a seed may be met by chance for each word of the corpus: a rate, so that
+#: seeds are alike at every size of the corpus.
+LONGEST, CHANCE = 8, 3e-7
 #: Alignment scores: an equal word, another word, a word left out or put in.
 MATCH, MISS, GAP = 2, -1, -1
-_BITS = 22
+#: Cells of a row of the alignments that are made at once, and words of a piece of a long window, at least.
+CELLS, PIECE = 1 << 20, 4096
 
 
 def item_words(texts: list[str]) -> list[np.ndarray]:
@@ -37,38 +37,24 @@ def _ngram(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return mix(s)
 
 
-class _Table:
-    """Sorted hashes with a bit table before them: find() gives the place of each hash, or -1."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = np.unique(keys)
-        self.bits = np.zeros(1 << _BITS, bool)
-        self.bits[(self.keys & _U((1 << _BITS) - 1)).astype(np.int64)] = True
-
-    def maybe(self, h: np.ndarray) -> np.ndarray:
-        return self.bits[(h & _U((1 << _BITS) - 1)).astype(np.int64)]
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        k = np.searchsorted(self.keys, h)
-        k[k == len(self.keys)] = 0
-        return np.where(self.keys[k] == h, k, -1) if len(self.keys) else np.full(len(h), -1)
-
-
 def rare_seeds(items: list[np.ndarray], vocabulary: np.ndarray, counts: np.ndarray, total: int) -> dict:
-    """From each word of each item, the shortest run of 2 to LONGEST words that the corpus holds at most CHANCE times by chance.
+    """From each word of each item, the shortest run of 2 to LONGEST words that is met by chance at most CHANCE times a word.
 
     Chance is judged by single words: a passage that is copied often makes its runs frequent, not its words. Runs that
-    stay likely up to LONGEST words are seeds of LONGEST words; an item shorter than 2 words is a seed as a whole.
+    stay likely up to LONGEST words are seeds of LONGEST words. An item of one word is a seed if the corpus has it
+    at most CHANCE times a word, or once; else it is not searched, as it would name every text with a common word.
     """
     hashes, item, offset, lengths = [], [], [], set()
     log_p = np.log(np.maximum(counts, 0.5) / max(total, 1))
     for i, w in enumerate(items):
         p = log_p[np.searchsorted(vocabulary, w)]
+        if len(w) == 1 and p[0] > max(np.log(CHANCE), -np.log(max(total, 1))):
+            continue
         for at in range(len(w)):
             room = min(LONGEST, len(w) - at)
             if room < min(2, len(w)):
                 continue
-            e = np.log(max(total, 1)) + np.cumsum(p[at : at + room])
+            e = np.cumsum(p[at : at + room])
             fit = np.flatnonzero(e[1:] <= np.log(CHANCE))
             n = int(fit[0]) + 2 if len(fit) else room
             if not len(fit) and n < LONGEST and len(w) > n:
@@ -83,38 +69,54 @@ def rare_seeds(items: list[np.ndarray], vocabulary: np.ndarray, counts: np.ndarr
 
 
 def align(items: list[np.ndarray], windows: list[np.ndarray]) -> list[tuple[int, int, int]]:
-    """Smith-Waterman over words, many pairs at once: best local score, and the first and last place in the window (end exclusive)."""
+    """Smith-Waterman over words, many pairs at once: best local score, and the first and last place in the window (end exclusive); the first end, then the latest start, where several score alike.
+
+    An alignment of m words spans less than 3 * m words of the window, as each gap costs what half a match brings. So
+    long windows are cut into pieces that overlap by that, and memory is bounded by CELLS and the longest item.
+    """
+    pieces = []
+    for k, (a, b) in enumerate(zip(items, windows)):
+        step = max(PIECE, 8 * len(a))
+        pieces += [(k, at, min(len(b), at + step + 3 * len(a))) for at in range(0, max(1, len(b) - 3 * len(a)), step)]
+    pieces.sort(key=lambda p: (p[2] - p[1], len(items[p[0]])))
     out: list[tuple[int, int, int]] = [(0, 0, 0)] * len(items)
-    order = sorted(range(len(items)), key=lambda k: (len(items[k]), len(windows[k])))
-    for s in range(0, len(order), 256):
-        part = order[s : s + 256]
-        rows, cols = max(len(items[k]) for k in part), max(len(windows[k]) for k in part)
-        a, b = np.zeros((len(part), rows), np.uint64), np.ones((len(part), cols), np.uint64)
-        for r, k in enumerate(part):
-            a[r, : len(items[k])] = items[k] | _U(2)
-            b[r, : len(windows[k])] = windows[k] | _U(2)
-        ramp = np.arange(cols + 1, dtype=np.int64) * -GAP
-        # The start of an alignment travels in the low bits: among equal scores the latest start.
-        base = np.arange(cols + 1, dtype=np.int64)
-        scale = 1 << 24
-        h = np.broadcast_to(base, (len(part), cols + 1)).copy()
-        best, end = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
-        for i in range(rows):
-            new = np.broadcast_to(base, h.shape).copy()
-            step = np.where(a[:, i : i + 1] == b, MATCH, MISS) * scale
-            np.maximum(new[:, 1:], h[:, :-1] + step, out=new[:, 1:])
-            np.maximum(new, h + GAP * scale, out=new)
-            h = np.maximum.accumulate(new + ramp * scale, axis=1) - ramp * scale
-            h = np.maximum(h, base)
-            j = (h >> 24).argmax(1)
-            v = h[np.arange(len(part)), j]
-            better = (v >> 24) > (best >> 24)
-            best[better], end[better] = v[better], j[better]
-        for r, k in enumerate(part):
-            out[k] = (int(best[r] >> 24), int(best[r] & (scale - 1)), int(end[r]))
+    first = 0
+    while first < len(pieces):
+        last = first + 1
+        while last < len(pieces) and (last - first + 1) * (pieces[last][2] - pieces[last][1] + 1) <= CELLS:
+            last += 1
+        for (k, at, _), (score, x, y) in zip(pieces[first:last], _align([items[k] for k, _, _ in pieces[first:last]], [windows[k][x:y] for k, x, y in pieces[first:last]])):
+            if score > out[k][0] or (score == out[k][0] and at + y < out[k][2]):
+                out[k] = (score, at + x, at + y)
+        first = last
     return out
 
 
+def _align(items: list[np.ndarray], windows: list[np.ndarray]) -> list[tuple[int, int, int]]:
+    rows, cols = max(map(len, items)), max(map(len, windows))
+    a, b = np.zeros((len(items), rows), np.uint64), np.ones((len(items), cols), np.uint64)
+    for r, (x, y) in enumerate(zip(items, windows)):
+        a[r, : len(x)] = x | _U(2)
+        b[r, : len(y)] = y | _U(2)
+    # The start of an alignment travels in the low bits: among equal scores the latest start.
+    bits = 32
+    scale, base = 1 << bits, np.arange(cols + 1, dtype=np.int64)
+    ramp = base * -GAP * scale
+    h = np.broadcast_to(base, (len(items), cols + 1)).copy()
+    best, end = np.zeros(len(items), np.int64), np.zeros(len(items), np.int64)
+    for i in range(rows):
+        new = np.broadcast_to(base, h.shape).copy()
+        step = np.where(a[:, i : i + 1] == b, MATCH, MISS) * scale
+        np.maximum(new[:, 1:], h[:, :-1] + step, out=new[:, 1:])
+        np.maximum(new, h + GAP * scale, out=new)
+        h = np.maximum(np.maximum.accumulate(new + ramp, axis=1) - ramp, base)
+        j = (h >> bits).argmax(1)
+        v = h[np.arange(len(items)), j]
+        better = ((v >> bits) > (best >> bits)) | (((v >> bits) == (best >> bits)) & (v >> bits > 0) & (j < end))
+        best[better], end[better] = v[better], j[better]
+    return [(int(v >> bits), int(v & (scale - 1)), int(y)) for v, y in zip(best, end)]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.4) -> DataFrame:
     """Passages of documents that hold a benchmark item, whole, in part or edited.
 
@@ -127,7 +129,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.4) -> D
     are chosen (rare_seeds); the next finds the seeds, lays a window around those near one diagonal, and aligns the
     item to it. No document is moved, and hits of a document stay in its task.
 
-    Null or empty texts and items without words match nothing. Equal items each match; repeated rows each match. A
+    Null or empty texts and items without words match nothing, nor do items of one common word (rare_seeds). Equal items each match; repeated rows each match. A
     null doc_id or item_id is returned as such. Empty documents or benchmark: no rows.
     """
     spark = docs.sparkSession
@@ -159,7 +161,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.4) -> D
 
 def _count(shared):
     def run(batches):
-        table = _Table(shared.value)
+        table = Table(shared.value)
         counts, total = np.zeros(len(table.keys), np.int64), 0
         for b in batches:
             for _, off, data in blocks(b.column(0)):
@@ -176,7 +178,7 @@ def _count(shared):
 def _search(shared, least: float):
     def run(batches):
         names, items, words, seeds = shared.value
-        vocabulary, table = _Table(words), _Table(seeds["h"])
+        vocabulary, table = Table(words), Table(seeds["h"])
         first = np.searchsorted(seeds["h"], table.keys)
         last = np.searchsorted(seeds["h"], table.keys, "right")
         sizes = np.array([len(w) for w in items], np.int64)

@@ -1,35 +1,34 @@
-"""Bounded samples of labelled documents, and models fitted to them in one task."""
+"""Bounded samples of labelled documents."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerbside.plans.scratch import Scratch
+
+#: Characters of a sample altogether; a text of more than a hundredth of that isn't learnt from.
+LIMIT_CHARS = 64_000_000
+
 
 def remainder(mod: int) -> Column:
     """crc32 of doc_id as text, modulo mod; null doc_id as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(mod)).cast("int")
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, limit: int) -> DataFrame:
-    """doc_id, text, label of at most limit labelled rows for which train holds: those with the smallest hash of doc_id.
+def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, limit: int, scratch: Scratch, limit_chars: int = LIMIT_CHARS) -> DataFrame:
+    """doc_id, text, label of labelled rows for which train holds, as a written table: at most limit rows of at most limit_chars characters altogether, those with the smallest hash of doc_id.
 
-    Labels other than 0 and 1 are left out; a doc_id labelled twice counts with the smaller label.
+    Labels other than 0 and 1 are left out; a doc_id labelled twice counts with the smaller label. Null texts are
+    empty. Longer texts than a hundredth of limit_chars are left out, so one can't take the place of many.
     """
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)").where(train)
     ids = ids.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return text.join(F.broadcast(ids), "doc_id")  # limit bounds the table
-
-
-def fitted(rows: DataFrame, fit: Callable[[pa.Table], bytes]) -> bytes | None:
-    """fit() of all rows, which a limit bounds, in a task; None without rows. Rows come in doc_id order."""
-
-    def run(t: pa.Table) -> pa.Table:
-        return pa.table({"model": pa.array([fit(t.sort_by("doc_id"))], pa.binary())})
-
-    got = rows.select("doc_id", "text", "label", F.lit(0).alias("all")).groupBy("all").applyInArrow(run, "model binary").collect()
-    return bytes(got[0].model) if got else None
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = scratch.write(text.join(F.broadcast(ids), "doc_id").where(F.length("text") <= limit_chars // 100), "sample")  # limit bounds the table
+    lengths = rows.select("doc_id", F.length("text").cast("long").alias("chars")).groupBy("doc_id").agg(F.sum("chars").alias("chars"), F.count("*").alias("rows"))
+    upto = F.sum("chars").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    if lengths.agg(F.coalesce(F.sum("chars"), F.lit(0))).first()[0] <= limit_chars:
+        return rows
+    fit = lengths.withColumn("upto", upto).where(F.col("upto") <= limit_chars).select("doc_id")  # limit rows at most
+    return scratch.write(rows.join(F.broadcast(fit), "doc_id"), "sample")

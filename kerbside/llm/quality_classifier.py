@@ -7,8 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.labelled import fitted, remainder, sample
+from kerbside.llm.labelled import remainder, sample
 from kerbside.llm.words import _MIX, blocks, mix, word_hashes
+from kerbside.plans.scratch import Scratch
 
 _U = np.uint64
 #: Weights of the model, and labelled rows that it is fitted to at most.
@@ -54,27 +55,53 @@ def features(column: pa.Array):
             yield at + i, np.concatenate([[0], x]), np.concatenate([[CONSTANT], np.sqrt(c / (b - a))])
 
 
-def fit_ftrl(table: pa.Table) -> bytes:
-    """FTRL-proximal (McMahan et al. 2013), one update a document, EPOCHS times over; returns the weights."""
-    label = table.column("label").to_numpy()
-    text = table.column("text").combine_chunks()
-    rows = [(i, x, v) for i, x, v in features(text if isinstance(text, pa.Array) else text.chunk(0))]
-    z, n = np.zeros(WIDTH), np.zeros(WIDTH)
-
-    def weights(zz, nn):
-        return np.where(np.abs(zz) <= L1, 0.0, (np.sign(zz) * L1 - zz) / ((BETA + np.sqrt(nn)) / ALPHA + L2))
+def fit_ftrl(label: np.ndarray, cut: np.ndarray, places: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """FTRL-proximal (McMahan et al. 2013), one update a document, EPOCHS times over in a seeded order; returns the weights.
 
+    Document i has label[i] and the features places and values from cut[i] to cut[i + 1].
+    """
+    z, n = np.zeros(WIDTH), np.zeros(WIDTH)
     order = np.random.Generator(np.random.PCG64(1))
     for _ in range(EPOCHS):
-        for k in order.permutation(len(rows)):
-            i, x, v = rows[k]
-            w = weights(z[x], n[x])
+        for i in order.permutation(len(label)):
+            x, v = places[cut[i] : cut[i + 1]], values[cut[i] : cut[i + 1]]
+            w = _weights(z[x], n[x])
             p = 1 / (1 + np.exp(-np.clip(w @ v, -30, 30)))
             g = (p - label[i]) * v
             s = (np.sqrt(n[x] + g * g) - np.sqrt(n[x])) / ALPHA
             z[x] += g - s * w
             n[x] += g * g
-    return weights(z, n).astype(np.float32).tobytes()
+    return _weights(z, n)
+
+
+def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+
+
+def fitted_weights(rows: DataFrame) -> bytes | None:
+    """Weights fitted to rows (doc_id, text, label) in doc_id order; None without rows.
+
+    Features are made where the texts lie; what one task gathers is 12 bytes for each of them, at most four a word of
+    the sample, whose characters are bounded.
+    """
+
+    def sparse(batches):
+        for b in batches:
+            ids, label = b.column(0).to_pylist(), b.column(2).to_pylist()
+            for i, x, v in features(b.column(1)):
+                row = [[ids[i]], [label[i]], [x.astype(np.int32)], [v]]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float64())))], names=["doc_id", "label", "places", "values"])
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("doc_id", "ascending"), ("label", "ascending")])
+        flat = lambda c: np.concatenate([np.asarray(x.flatten()) for x in t.column(c).chunks])
+        n = np.concatenate([np.diff(x.offsets.to_numpy()) for x in t.column("places").chunks])
+        w = fit_ftrl(t.column("label").to_numpy(), np.concatenate([[0], np.cumsum(n)]), flat("places"), flat("values"))
+        return pa.table({"model": pa.array([w.astype(np.float32).tobytes()], pa.binary())})
+
+    made = rows.select("doc_id", "text", "label").mapInArrow(sparse, "doc_id long, label int, places array<int>, values array<double>")
+    got = made.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "model binary").collect()
+    return bytes(got[0].model) if got else None
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, mod: int = 4, held_out: int = 2, at: float = 0.7, limit: int = LIMIT) -> DataFrame:
@@ -83,13 +110,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, mod: int = 4, held_out: i
     docs: columns doc_id, text; labels: doc_id, quality; others are ignored. Returns, for each row of docs, doc_id,
     held_out (crc32 of doc_id as text is held_out modulo mod: never learnt from), score, predicted (1 from at on).
 
-    The model is fitted to at most limit labelled rows in one task and has WIDTH weights, whatever the corpus;
-    scoring is a sparse dot product where the document lies.
+    The model is fitted to at most limit labelled rows (and labelled.LIMIT_CHARS characters) in one task and has WIDTH
+    weights, whatever the corpus; scoring is a sparse dot product where the document lies.
 
     Null or empty text: scored by the constant alone. No labels to learn from: 0.5 for all. Empty documents: no rows.
     """
     spark = docs.sparkSession
-    model = fitted(sample(docs, labels, "quality", remainder(mod) != held_out, limit), fit_ftrl)
+    model = fitted_weights(sample(docs, labels, "quality", remainder(mod) != held_out, limit, Scratch(spark)))
     shared = spark.sparkContext.broadcast(model or np.zeros(WIDTH, np.float32).tobytes())
 
     def run(batches):

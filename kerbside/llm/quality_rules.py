@@ -158,19 +158,20 @@ def least_determinant(fit: DataFrame, scratch: Scratch) -> DataFrame:
 
     def factored(sums: DataFrame) -> DataFrame:
         """sums: unit, start, count, sums and sums of products of the rows of a subset -> mean, covariance, its factor and determinant."""
-        s = sums.join(kinds, "unit").select("unit", "start", "n", "live", *(f"live{k}" for k in range(DIMS)), *((F.col(f"t{k}") / F.col("c")).alias(f"m{k}") for k in range(DIMS)), *((F.col(f"q{i}{j}") / F.col("c") - F.col(f"t{i}") / F.col("c") * F.col(f"t{j}") / F.col("c") + (F.when(F.col(f"live{i}"), RIDGE).otherwise(1.0) if i == j else 0.0)).alias(f"c{i}{j}") for i, j in PAIRS))
-        return _factor(s).withColumn("det", sum((2 * F.log(F.col(f"l{k}{k}")) for k in range(DIMS)), F.lit(0.0)))
+        ridge = lambda i, j: f" + CASE WHEN live{i} THEN {RIDGE}D ELSE 1D END" if i == j else ""
+        s = sums.join(kinds, "unit").selectExpr("unit", "start", "n", "live", *(f"live{k}" for k in range(DIMS)), *(f"t{k} / c AS m{k}" for k in range(DIMS)), *(f"q{i}{j} / c - t{i} / c * t{j} / c{ridge(i, j)} AS c{i}{j}" for i, j in PAIRS))
+        return _factor(s).withColumn("det", F.expr(" + ".join(f"2 * ln(l{k}{k})" for k in range(DIMS))))
 
-    moments = [F.count("*").alias("c"), *(F.sum(f).alias(f"t{k}") for k, f in enumerate(NAMES)), *(F.sum(F.col(f"f{i}") * F.col(f"f{j}")).alias(f"q{i}{j}") for i, j in PAIRS)]
+    moments = [F.count("*").alias("c"), *(F.expr(f"sum(f{k}) AS t{k}") for k in range(DIMS)), *(F.expr(f"sum(f{i} * f{j}) AS q{i}{j}") for i, j in PAIRS)]
 
     def step(estimate: DataFrame) -> DataFrame:
-        x = _with_units(rows, estimate.select("unit", "start", "n", "live", *(f"live{k}" for k in range(DIMS)), *(f"m{k}" for k in range(DIMS)), *(f"l{i}{j}" for i, j in PAIRS)), total)
+        x = _with_units(rows, estimate.select("unit", "start", "n", "live", *(f"live{k}" for k in range(DIMS)), *(f"m{k}" for k in range(DIMS)), *(f"w{i}{j}" for i, j in PAIRS)), total)
         place = F.floor(STEPS * F.log2(F.greatest(_distance(), F.lit(2.0**-4)))).cast("int")
         by = x.withColumn("place", place).groupBy("unit", "start", "place").agg(*moments)
         own = Window.partitionBy("unit", "start")
         upto = F.sum("c").over(own.orderBy("place")) - F.col("c")
         by = by.withColumn("before", upto).withColumn("all", F.sum("c").over(own)).where(F.col("before") < F.ceil(F.col("all") * SHARE))
-        sums = by.groupBy("unit", "start").agg(*(F.sum(c).alias(c) for c in ("c", *(f"t{k}" for k in range(DIMS)), *(f"q{i}{j}" for i, j in PAIRS))))
+        sums = by.groupBy("unit", "start").agg(*(F.expr(f"sum({c}) AS {c}") for c in ("c", *(f"t{k}" for k in range(DIMS)), *(f"q{i}{j}" for i, j in PAIRS))))
         return factored(sums)
 
     estimate = scratch.write(factored(begun.groupBy("unit", "start").agg(*moments)), "start")
@@ -199,9 +200,9 @@ def least_determinant(fit: DataFrame, scratch: Scratch) -> DataFrame:
     inside = _distance() / _by_dims(HALF_FACTOR, F.col("live")) <= _by_dims(TRIM, F.col("live")) + 1e-9
     out = factored(x.where(inside).groupBy("unit", "start").agg(*moments)).join(scale.drop("n"), "unit")
     factor = _by_dims(TRIM_FACTOR, F.col("live"))
-    mean = [(F.col(f"a{k}") + F.when(F.col(f"live{k}"), F.col(f"s{k}") * F.col(f"m{k}")).otherwise(0.0)).alias(f"m{k}") for k in range(DIMS)]
-    cov = [F.when(F.col(f"live{i}") & F.col(f"live{j}"), F.col(f"c{i}{j}") * F.col(f"s{i}") * F.col(f"s{j}") * factor).otherwise(0.0).alias(f"c{i}{j}") for i, j in PAIRS]
-    out = scratch.write(out.select("unit", "n", *(f"live{k}" for k in range(DIMS)), *mean, *cov), "estimates")
+    mean = [f"a{k} + CASE WHEN live{k} THEN s{k} * m{k} ELSE 0D END AS m{k}" for k in range(DIMS)]
+    cov = [f"CASE WHEN live{i} AND live{j} THEN c{i}{j} * s{i} * s{j} * factor ELSE 0D END AS c{i}{j}" for i, j in PAIRS]
+    out = scratch.write(out.withColumn("factor", factor).selectExpr("unit", "n", *(f"live{k}" for k in range(DIMS)), *mean, *cov), "estimates")
     scratch.drop(middle, scale, rows, kinds, raw)
     return out
 
@@ -212,45 +213,31 @@ def _posterior(estimates: DataFrame, units: DataFrame) -> DataFrame:
     e = estimates.select("unit", F.struct(*columns).alias("e"))
     at = lambda name: e.select(F.col("unit").alias(f"{name}_unit"), F.col("e").alias(name))
     rows = units.select("unit", "_lang", "n").join(at("own"), F.col("unit") == F.col("own_unit")).join(at("by_lang"), F.col("_lang") == F.col("by_lang_unit")).join(F.broadcast(at("every").where("every_unit = ''")))
-    prior = {f"p{i}{j}": F.lit(PRIOR_SD[i] ** 2 if i == j else 0.0) for i, j in PAIRS}
-    prior |= {f"pm{k}": F.col(f"every.m{k}") for k in range(DIMS)} | {f"plive{k}": F.lit(True) for k in range(DIMS)}
-    rows = rows.withColumns(prior)
-    for name in ("every", "by_lang", "own"):
-        own = lambda c, name=name: F.col(f"{name}.{c}")
-        n = own("n").cast("double")
-        new = {}
-        for k in range(DIMS):
-            known = F.col(f"plive{k}")
-            new[f"plive{k}"] = F.when(n >= PRIOR_N, own(f"live{k}")).otherwise(known)
-            new[f"pm{k}"] = F.when(known, (n * own(f"m{k}") + PRIOR_MEAN_N * F.col(f"pm{k}")) / (n + PRIOR_MEAN_N)).otherwise(own(f"m{k}"))
-        for i, j in PAIRS:
-            between = (own(f"m{i}") - F.col(f"pm{i}")) * (own(f"m{j}") - F.col(f"pm{j}")) * PRIOR_MEAN_N * n / (n + PRIOR_MEAN_N)
-            both = (n * own(f"c{i}{j}") + PRIOR_N * F.col(f"p{i}{j}") + between) / (n + PRIOR_N)
-            new[f"p{i}{j}"] = F.when(F.col(f"plive{i}") & F.col(f"plive{j}"), both).otherwise(own(f"c{i}{j}"))
-        rows = rows.withColumns(new)
-    rows = rows.select("unit", "n", *(F.col(f"plive{k}").alias(f"live{k}") for k in range(DIMS)), sum((F.col(f"plive{k}").cast("int") for k in range(DIMS)), F.lit(0)).alias("live"), *(F.col(f"pm{k}").alias(f"m{k}") for k in range(DIMS)), *(F.when(F.col(f"plive{i}") & F.col(f"plive{j}"), F.col(f"p{i}{j}")).otherwise(1.0 if i == j else 0.0).alias(f"c{i}{j}") for i, j in PAIRS))
+    rows = rows.selectExpr("*", *(f"every.m{k} AS pm{k}" for k in range(DIMS)), *(f"true AS plive{k}" for k in range(DIMS)), *(f"{PRIOR_SD[i] ** 2 if i == j else 0}D AS p{i}{j}" for i, j in PAIRS))
+    names = ("unit", "n", "every", "by_lang", "own")
+    for o in ("every", "by_lang", "own"):
+        live = [f"CASE WHEN {o}.n >= {PRIOR_N} THEN {o}.live{k} ELSE plive{k} END AS plive{k}" for k in range(DIMS)]
+        mean = [f"CASE WHEN plive{k} THEN ({o}.n * {o}.m{k} + {PRIOR_MEAN_N}D * pm{k}) / ({o}.n + {PRIOR_MEAN_N}D) ELSE {o}.m{k} END AS pm{k}" for k in range(DIMS)]
+        between = [f"({o}.m{i} - pm{i}) * ({o}.m{j} - pm{j}) * {PRIOR_MEAN_N}D * {o}.n / ({o}.n + {PRIOR_MEAN_N}D)" for i, j in PAIRS]
+        cov = [f"CASE WHEN plive{i} AND plive{j} THEN ({o}.n * {o}.c{i}{j} + {PRIOR_N}D * p{i}{j} + {b}) / ({o}.n + {PRIOR_N}D) ELSE {o}.c{i}{j} END AS p{i}{j}" for (i, j), b in zip(PAIRS, between)]
+        rows = rows.select(*names, *(F.expr(x) for x in (*live, *mean, *cov)))
+    rows = rows.selectExpr("unit", "n", *(f"plive{k} AS live{k}" for k in range(DIMS)), " + ".join(f"int(plive{k})" for k in range(DIMS)) + " AS live", *(f"pm{k} AS m{k}" for k in range(DIMS)), *(f"CASE WHEN plive{i} AND plive{j} THEN p{i}{j} ELSE {int(i == j)}D END AS c{i}{j}" for i, j in PAIRS))
     return _factor(rows)
 
 
 def _factor(s: DataFrame) -> DataFrame:
-    """Adds l00.., the Cholesky factor of the covariance c00.. ."""
+    """Adds l00.., the Cholesky factor of the covariance c00.., and w00.., the inverse of that."""
+    new = []
     for i, j in PAIRS:
-        x = F.col(f"c{i}{j}")
-        for k in range(j):
-            x = x - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        s = s.withColumn(f"l{i}{j}", F.sqrt(F.greatest(x, F.lit(1e-12))) if i == j else x / F.col(f"l{j}{j}"))
-    return s
+        x = " - ".join([f"c{i}{j}", *(f"l{i}{k} * l{j}{k}" for k in range(j))])
+        new.append(f"sqrt(greatest({x}, 1e-12D)) AS l{i}{j}" if i == j else f"({x}) / l{j}{j} AS l{i}{j}")
+    for i, j in PAIRS:
+        x = " - ".join(["1D" if i == j else "0D", *(f"l{i}{k} * w{k}{j}" for k in range(j, i))])
+        new.append(f"({x}) / l{i}{i} AS w{i}{j}")
+    return s.selectExpr("*", *new)
 
 
 def _distance() -> Column:
-    """Squared Mahalanobis distance of f from m by forward substitution in l; statistics that don't count add nothing."""
-    z: list[Column] = []
-    for i in range(DIMS):
-        x = F.when(F.col(f"live{i}"), F.col(f"f{i}") - F.col(f"m{i}")).otherwise(F.lit(0.0))
-        for k in range(i):
-            x = x - F.col(f"l{i}{k}") * z[k]
-        z.append(x / F.col(f"l{i}{i}"))
-    total = z[0] * z[0]
-    for x in z[1:]:
-        total = total + x * x
-    return total
+    """Squared Mahalanobis distance of f from m by w, the inverse factor; statistics that don't count add nothing."""
+    z = [" + ".join(f"w{i}{k} * CASE WHEN live{k} THEN f{k} - m{k} ELSE 0D END" for k in range(i + 1)) for i in range(DIMS)]
+    return F.expr(" + ".join(f"power({x}, 2)" for x in z))

@@ -35,7 +35,8 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = toxic_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return d.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+    shown = F.array_join(F.transform("passages", lambda p: F.concat_ws(":", p["start"].cast("string"), p["end"].cast("string"), F.format_string("%.3f", p["score"]))), ",")
+    return d.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"), shown.alias("passages"))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import math
 import re
+import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +18,6 @@ ASSIGN = re.compile(r"""(?i:(?:password|passwd|secret|token|api_?key))["']?\x20*
 WORDS = ("password", "passwd", "secret", "token", "api")
 LONG = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{16,}"), re.compile(r"[0-9a-f]{24,}")
-#: A long run that letters of one case make up, with a capital before or none, is a word.
-WORD = re.compile(r"[A-Za-z]?(?:[a-z]*|[A-Z]*)")
 #: Alphabets by which strings are encoded, smallest first.
 ALPHABETS = (
     ("hex", "0123456789abcdef"),
@@ -30,58 +29,73 @@ ALPHABETS = (
 )
 #: Lengths from which a stratum of the false-discovery control begins, and p-values are counted in so many bins.
 STRATA, BINS = (20, 28, 36, 52, 84), 200
-LEAST_IN_STRATUM = 50
+#: Runs of all strata that weigh with those of a stratum in its estimate.
+POOLED = 50.0
+#: Random strings that calibrate the battery for each alphabet and length, and the length from which they serve all
+#: longer strings: the distribution of the combined statistic no longer changes then.
+SIMULATED, LONGEST = 4000, 256
+#: Characters that a run must have without padding.
+SHORTEST = 16
 
 
-def _class(c: str) -> int:
-    return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
+def _kinds(letters: str) -> np.ndarray:
+    return np.array([0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in letters])
 
 
-_TABLES = []
-for _name, _letters in ALPHABETS:
-    _counts = [0, 0, 0, 0]
-    for _c in _letters:
-        _counts[_class(_c)] += 1
-    _TABLES.append((set(_letters), {c: i for i, c in enumerate(_letters)}, len(_letters), sum((x / len(_letters)) ** 2 for x in _counts)))
+_TABLES = [(frozenset(letters), {c: i for i, c in enumerate(letters)}, _kinds(letters)) for _, letters in ALPHABETS]
 
 
-def _upper(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
+def battery(x: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Combined statistic of strings of one length, a row of places in the alphabet each; large is unlike even draws.
+
+    Chi-squared of the counts, the number of changes between digits, small letters, capitals and marks, and the
+    correlation of neighbours' places, each on a normal scale; the sum of the squares of the first's excess and of
+    the other two.
+    """
+    m, n = x.shape
+    k = len(kinds)
+    counts = np.zeros((m, k))
+    np.add.at(counts, (np.repeat(np.arange(m), n), x.ravel()), 1)
+    chi = (counts**2).sum(1) * k / n - n
+    a = np.maximum((chi - (k - 1)) / np.sqrt(2 * (k - 1) * (1 - 1 / n)), 0.0)
+    same = (np.bincount(kinds) / k) @ (np.bincount(kinds) / k)
+    kind = kinds[x]
+    change = (kind[:, 1:] != kind[:, :-1]).sum(1)
+    b = (change - (n - 1) * (1 - same)) / np.sqrt((n - 1) * same * (1 - same)) if 0 < same < 1 else np.zeros(m)
+    off = x - x.mean(1, keepdims=True)
+    var = (off**2).sum(1)
+    c = np.where(var > 0, (off[:, 1:] * off[:, :-1]).sum(1) / np.where(var > 0, var, 1), 1.0) * np.sqrt(n - 1)
+    return a**2 + b**2 + c**2
+
+
+_simulated: dict[tuple[int, int], np.ndarray] = {}
+
+
+def calibration(alphabet: int, n: int) -> np.ndarray:
+    """Sorted statistics of SIMULATED even draws of length n; the same in every task."""
+    if (alphabet, n) not in _simulated:
+        kinds = _TABLES[alphabet][2]
+        rng = np.random.Generator(np.random.PCG64(zlib.crc32(f"{alphabet}:{n}".encode())))
+        _simulated[alphabet, n] = np.sort(battery(rng.integers(0, len(kinds), (SIMULATED, n)), kinds))
+    return _simulated[alphabet, n]
 
 
 def randomness(run: str) -> float:
-    """p-value of the hypothesis that the characters are drawn evenly from the smallest alphabet that holds them all; 0 if none does.
+    """p-value of the hypothesis that the characters are drawn evenly from the smallest alphabet that holds them all; 0 if none does or fewer than SHORTEST are left without padding.
 
-    Chi-squared of the counts, the number of changes between digits, small letters, capitals and marks, and the
-    correlation of neighbours' places in the alphabet, combined by Fisher's method.
+    The share of simulated strings of that alphabet and length whose combined statistic is at least as large, so
+    that tests of one string needn't be independent and small expected counts don't matter.
     """
     body = run.rstrip("=")
-    n = len(body)
     held = set(body)
-    for letters, place, k, same in _TABLES:
-        if held <= letters:
-            break
-    else:
-        return 0.0
-    if n < 16:
+    if len(body) < SHORTEST:
         return 0.0
-    counts: dict[str, int] = {}
-    for c in body:
-        counts[c] = counts.get(c, 0) + 1
-    chi = sum(x * x for x in counts.values()) * k / n - n
-    p1 = _upper((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (1 - 1 / n)))
-    kinds = [_class(c) for c in body]
-    change = sum(a != b for a, b in zip(kinds, kinds[1:]))
-    p2 = 1.0
-    if 0 < same < 1:
-        p2 = 2 * _upper(abs(change - (n - 1) * (1 - same)) / math.sqrt((n - 1) * same * (1 - same)))
-    x = [place[c] for c in body]
-    mean = sum(x) / n
-    var = sum((a - mean) ** 2 for a in x)
-    r = sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / var if var else 1.0
-    p3 = 2 * _upper(abs(r) * math.sqrt(n - 1))
-    half = -sum(math.log(max(p, 1e-300)) for p in (p1, p2, p3))
-    return math.exp(-half) * (1 + half + half * half / 2)
+    for k, (letters, place, kinds) in enumerate(_TABLES):
+        if held <= letters:
+            x = np.array([[place[c] for c in body]])
+            null = calibration(k, min(len(body), LONGEST))
+            return float((1 + len(null) - np.searchsorted(null, battery(x, kinds)[0], "left")) / (1 + len(null)))
+    return 0.0
 
 
 def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
@@ -94,22 +108,22 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
         a, b = m.span()
         spans += [(1, x.start(), x.end()) for x in ACCESS.finditer(text, a, b)]
         spans += [(2, x.start(), x.end()) for x in HEX.finditer(text, a, b)]
-        if not WORD.fullmatch(text, a, b):
-            runs.append((a, b))
+        runs.append((a, b))
     return spans, runs
 
 
 def secret_spans(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     """Secrets of each document.
 
-    docs: columns doc_id, text; others are ignored. Returns, for each row, doc_id, base and spans: arrays of (kind,
-    start, end), kind a place in KINDS, in code points, end exclusive. base has the matches of the patterns, per kind
-    leftmost and without overlap; spans has these and the random runs that overlap none of them.
+    docs: columns doc_id, text; others are ignored. Returns, for each row, doc_id, base, spans and backed: the first
+    two arrays of (kind, start, end), kind a place in KINDS, in code points, end exclusive. base has the matches of the
+    patterns, per kind leftmost and without overlap; spans has these and the random runs that overlap none of them;
+    backed counts the random runs that do overlap one.
 
-    A long run of letters, digits and marks that isn't a plain word gets a p-value (randomness). Per stratum of
-    length, true random runs have even p-values: their number is read off the upper half (Storey), and runs count as
-    secrets from the lowest p-value on at which no more than rate of those above it are estimated to be something
-    else. p-values are counted in BINS bins over all documents; strata with few runs share one estimate.
+    Each run of 20 or more letters, digits and marks gets a p-value (randomness). Per stratum of length, truly random
+    runs have even p-values: their number is read off the upper half (Storey), and runs count as random from the
+    lowest p-value on at which no more than rate of those above it are estimated to be something else. p-values are
+    counted in BINS bins over all documents; the bins of all strata weigh in like POOLED runs.
 
     Null text: empty. Rows that repeat count each. Empty input: no rows.
     """
@@ -121,48 +135,41 @@ def secret_spans(docs: DataFrame, rate: float = 0.05) -> DataFrame:
             for text in b.column(1).to_pylist():
                 spans, long = base_spans(text or "")
                 base.append([{"kind": k, "start": x, "end": y} for k, x, y in spans])
-                found, cover = [], Cover(spans)
-                for x, y in long:
-                    if cover.touches(x, y):
-                        continue
-                    p = randomness(text[x:y])
-                    if p > 0.001:
-                        found.append({"stratum": sum(y - x >= s for s in STRATA), "bin": min(BINS - 1, int(p * BINS)), "start": x, "end": y})
-                runs.append(found)
+                cover = Cover(spans)
+                runs.append([{"stratum": sum(y - x >= s for s in STRATA), "bin": min(BINS - 1, int(randomness(text[x:y]) * BINS)), "start": x, "end": y, "backs": cover.touches(x, y)} for x, y in long])
             s = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
-            r = pa.struct([("stratum", pa.int32()), ("bin", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
+            r = pa.struct([("stratum", pa.int32()), ("bin", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("backs", pa.bool_())])
             yield pa.record_batch([b.column(0), pa.array(base, pa.list_(s)), pa.array(runs, pa.list_(r))], names=["doc_id", "base", "runs"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    d = scratch.write(d.mapInArrow(run, f"doc_id long, base {SPANS}, runs array<struct<stratum:int,bin:int,start:long,end:long>>"), "secrets")
-    bins = d.select(F.explode("runs").alias("r")).groupBy("r.stratum", "r.bin").agg(F.count("*").alias("n")).collect()  # at most 5 * BINS rows
+    d = scratch.write(d.mapInArrow(run, f"doc_id long, base {SPANS}, runs array<struct<stratum:int,bin:int,start:long,end:long,backs:boolean>>"), "secrets")
+    bins = d.select(F.explode("runs").alias("r")).groupBy("r.stratum", "r.bin").agg(F.count("*").alias("n")).collect()  # at most 6 * BINS rows
     from_bin = thresholds([(r.stratum, r.bin, r.n) for r in bins], rate)
     limit = F.array(*(F.lit(from_bin.get(s, BINS)) for s in range(len(STRATA) + 1)))
-    random = F.transform(F.filter("runs", lambda r: r["bin"] >= F.get(limit, r["stratum"])), lambda r: F.struct(F.lit(3).alias("kind"), r["start"].alias("start"), r["end"].alias("end")))
-    return d.select("doc_id", "base", F.concat("base", random).alias("spans"))
+    random = F.filter("runs", lambda r: r["bin"] >= F.get(limit, r["stratum"]))
+    added = F.transform(F.filter(random, lambda r: ~r["backs"]), lambda r: F.struct(F.lit(3).alias("kind"), r["start"].alias("start"), r["end"].alias("end")))
+    return d.select("doc_id", "base", F.concat("base", added).alias("spans"), F.size(F.filter(random, lambda r: r["backs"])).cast("long").alias("backed"))
 
 
 def thresholds(bins: list[tuple[int, int, int]], rate: float) -> dict[int, int]:
-    """Stratum -> first bin whose runs count as secrets."""
-    by: dict[int, list[int]] = {}
-    pooled = [0] * BINS
+    """Stratum -> first bin whose runs count as random. bins: stratum, bin, runs."""
+    by: dict[int, np.ndarray] = {}
     for s, b, n in bins:
-        by.setdefault(s, [0] * BINS)[b] += n
-        pooled[b] += n
+        by.setdefault(s, np.zeros(BINS))[b] += n
+    pooled = sum(by.values(), np.zeros(BINS))
     out = {}
     for s, own in by.items():
-        counts = own if sum(own) >= LEAST_IN_STRATUM else pooled
-        even = sum(counts[BINS // 2 :]) / (BINS // 2)  # random runs a bin
-        above, first = 0, BINS
-        for b in range(BINS - 1, -1, -1):
-            above += counts[b]
-            if above and 1 - min(1.0, even * (BINS - b) / above) <= rate:
-                first = b
-        out[s] = first if even else BINS
+        counts = own + POOLED * pooled / pooled.sum()
+        even = counts[BINS // 2 :].mean()  # random runs a bin
+        above = np.cumsum(counts[::-1])[::-1]
+        other = 1 - np.minimum(1.0, even * np.arange(BINS, 0, -1) / np.maximum(above, 1e-12))
+        good = np.flatnonzero((other <= rate) & (above > 0))
+        out[s] = int(good[0]) if even > 0 and len(good) else BINS
     return out
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
-    """secret_spans as counts, digest and list."""
+    """secret_spans as counts, digest and list; n_random: runs that the battery finds random, in base spans or not."""
     d = secret_spans(docs)
-    return d.select("doc_id", *(count(F.col("base"), k).alias(f"n_{KINDS[k]}") for k in range(3)), digest(F.col("base"), KINDS, False).alias("base_sha256"), joined(F.col("spans"), KINDS, False).alias("spans"))
+    more = F.size("spans") - F.size("base")
+    return d.select("doc_id", *(count(F.col("base"), k).alias(f"n_{KINDS[k]}") for k in range(3)), digest(F.col("base"), KINDS, False).alias("base_sha256"), joined(F.col("spans"), KINDS, False).alias("spans"), (F.col("backed") + more).alias("n_random"))

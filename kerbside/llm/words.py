@@ -20,6 +20,8 @@ _PLACE = _PLACE.ravel()
 _MIX = _rng.integers(1, 2**63, 8, dtype=np.uint64) * _U(2) + _U(1)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Words as runs of letters and digits, where other ASCII bytes part them.
+PART = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 BLOCK = 1 << 20
 _BITS = 22
 
