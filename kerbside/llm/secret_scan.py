@@ -123,7 +123,8 @@ def secret_spans(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     Each run of 20 or more letters, digits and marks gets a p-value (randomness). Per stratum of length, truly random
     runs have even p-values: their number is read off the upper half (Storey), and runs count as random from the
     lowest p-value on at which no more than rate of those above it are estimated to be something else. p-values are
-    counted in BINS bins over all documents; the bins of all strata weigh in like POOLED runs.
+    counted in BINS bins over all documents; the bins of all strata weigh in like POOLED runs. A run in the lowest bin,
+    with a p-value under 1 / BINS, fails the battery on its own account and counts as random in no case.
 
     Null text: empty. Rows that repeat count each. Empty input: no rows.
     """
@@ -164,7 +165,7 @@ def thresholds(bins: list[tuple[int, int, int]], rate: float) -> dict[int, int]:
         above = np.cumsum(counts[::-1])[::-1]
         other = 1 - np.minimum(1.0, even * np.arange(BINS, 0, -1) / np.maximum(above, 1e-12))
         good = np.flatnonzero((other <= rate) & (above > 0))
-        out[s] = int(good[0]) if even > 0 and len(good) else BINS
+        out[s] = max(1, int(good[0])) if even > 0 and len(good) else BINS
     return out
 
 

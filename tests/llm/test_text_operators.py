@@ -15,7 +15,7 @@ from kerbside.llm.quality_classifier import quality_scores
 from kerbside.llm.quality_rules import quality_rules
 from kerbside.llm.secret_scan import randomness, secret_report
 from kerbside.llm.token_output import token_index
-from kerbside.llm.toxicity import DRIFT, segments, toxic_passages
+from kerbside.llm.toxicity import best_scores, segments, toxic_passages
 from kerbside.llm.warc import archive_pages, arc_record, base32_sha1, parse_arc, version_block
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -219,7 +219,7 @@ def test_secrets(spark):
     assert got[3].spans == "" and got[3].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert got[4].n_assign == 0 and got[5].spans == ""
     assert sum("random" in got[100 + i].spans for i in range(80)) >= 70
-    assert randomness("a" * 40) < 1e-6 < 0.001 < randomness(token)
+    assert randomness("a" * 40) < 0.001 < 0.01 < randomness(token)
     assert secret_report(frame(spark, []).limit(0)).count() == 0
 
 
@@ -289,28 +289,87 @@ def test_segments_equal_brute_force():
     import numpy as np
 
     rng = random.Random(11)
-    for _ in range(200):
-        n = rng.randrange(1, 14)
-        s = [rng.choice([2.0, 1.0, 0.5]) if rng.random() < 0.5 else DRIFT for _ in range(n)]
-        place = np.array([i for i, x in enumerate(s) if x > 0], np.int64)
+    rows = []
+    for _ in range(300):
+        s = np.array([rng.gauss(-0.2, 1) for _ in range(rng.randrange(0, 16))])
+        rows.append(s)
 
         def maximal(a, b):
             """The definition, by recursion: the best segment, then the same left and right of it."""
-            best = max(((sum(s[i:j]), -(j - i), -i) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0, 0, 0))
+            best = max(((s[i:j].sum(), i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0, 0, 0))  # noqa: B023
             if best[0] <= 0:
                 return []
-            i, j = -best[2], -best[2] - best[1]
-            return maximal(a, i) + [(round(best[0], 6), i, j - 1)] + maximal(j, b)
+            return [*maximal(a, best[1]), (round(float(best[0]), 9), best[1], best[2]), *maximal(best[2], b)]
 
-        got = [(round(x, 6), i, j) for x, i, j in segments(place, np.array([s[i] for i in place]))]
-        assert sum(x for x, _, _ in got) == pytest.approx(sum(x for x, _, _ in maximal(0, n)))
+        assert [(round(x, 9), i, j) for x, i, j in segments(s)] == maximal(0, len(s))
+    cut = np.concatenate([[0], np.cumsum([len(s) for s in rows])])
+    want = [max((x for x, _, _ in segments(s)), default=0.0) for s in rows]
+    assert best_scores(np.concatenate(rows), cut) == pytest.approx(np.array(want), abs=1e-9)
 
 
 def test_arc_versions():
+    import gzip
+
     for version in (1, 2):
-        data = version_block("x.arc", version, "20260101000000") + b"\n" + arc_record("http://a/b c", "20250102030405", "text/html", b"one\n\ntwo", version, "x") + b"\n" + arc_record("http://d", "2025", "text/html", b"", version, "x")
-        got = list(parse_arc(data + b"\nhttp://e 0.0.0.0 2025 text/html 99\nshort"))
-        assert [(r[0], r[4]) for r in got] == [("http://a/b%20c", b"one\n\ntwo"), ("http://d", b"")]
+        parts = [version_block("x.arc", version, "20260101000000"), arc_record("http://a/b c", "20250102030405", "text/html", b"one\n\ntwo", version, "x"), arc_record("http://d", "2025", "text/html", b"", version, "x")]
+        data = b"\n".join(parts)
+        for packed in (data, gzip.compress(data), b"".join(gzip.compress(p + b"\n") for p in parts)):
+            assert [(r.url, r.block, r.error) for r in parse_arc(packed)][1:] == [("http://a/b%20c", b"one\n\ntwo", None), ("http://d", b"", None)]
+        assert [r.error for r in parse_arc(data + b"\n" + arc_record("http://e", "2025", "text/html", b"short" * 9, version, "x")[:-3])] == [None, None, None, "short record"]
+
+
+def test_broken_archives_are_read_on():
+    import gzip
+
+    from kerbside.llm.warc import Reader, parse_warc, warc_head
+
+    records = [arc_record(f"http://p/{k}", "20250102030405", "text/html", b"x" * (50 * k) + b"\nend", 1, "x") for k in range(6)]
+    head = version_block("x.arc", 1, "20260101000000")
+    good = lambda data: [r.url for r in parse_arc(data) if not r.error][1:]
+    errors = lambda data: [r.error for r in parse_arc(data) if r.error]
+    bad = records[2].replace(b" 104\n", b" 500\n")
+    long = b"\n".join([head, *records[:2], bad, *records[3:]])
+    assert good(long) == [f"http://p/{k}" for k in (0, 1, 3, 4, 5)] and len(errors(long)) >= 1
+    short = b"\n".join([head, *records[:2], records[2].replace(b" 104\n", b" 60\n"), b"junk line", *records[3:]])
+    assert good(short) == [f"http://p/{k}" for k in (0, 1, 3, 4, 5)] and errors(short)
+    members = [gzip.compress(r + b"\n") for r in (head, *records)]
+    members[3] = members[3][:15] + b"\xff\xff\xff" + members[3][18:]
+    assert set(good(b"".join(members))) >= {f"http://p/{k}" for k in (0, 1, 3, 4, 5)} and errors(b"".join(members))
+    assert good(b"".join(members)[:-9])[-1] != "http://p/5" or errors(b"".join(members)[:-9])
+    warc = [warc_head("response", f"u{k}", "http://a", "0.0.0.0", "2025", "D", b"b" * k) + b"\r\n" + b"b" * k + b"\r\n\r\n" for k in range(5)]
+    read = lambda data: [f.get("warc-record-id", f.get("error")) for f, _ in parse_warc(data)]
+    assert read(b"".join(warc)) == [f"<urn:uuid:u{k}>" for k in range(5)]
+    broken = b"".join([warc[0], warc[1].replace(b"Content-Length: 1", b"Content-Length: 9999"), b"junk\r\n", *warc[2:4], warc[4][:-7]])
+    assert [x for x in read(broken) if x.startswith("<")] == [f"<urn:uuid:u{k}>" for k in (0, 2, 3)] and "short record" in read(broken)
+    big = b"z" * 3_000_000
+    assert Reader(gzip.compress(big)).read(len(big)) == big
+
+
+def test_members_are_gzip_files():
+    import gzip
+
+    from kerbside.llm.warc import member
+
+    some = [b"", b"a", b"x" * 100_000, bytes(17 << 20)]
+    packed = b"".join(member(x) for x in some)
+    assert packed[-1] == 0 and gzip.decompress(packed) == b"".join(some)
+
+
+def test_content_types_are_kept(spark, tmp_path):
+    import glob
+    import gzip
+
+    from kerbside.llm.warc import convert_arc, parse_warc, read_warc
+
+    http = b"HTTP/1.1 200 OK\r\nX-Page-Id: 7\r\nContent-Length: 2\r\n\r\nhi"
+    parts = [version_block("old.arc", 1, "19990101000000"), arc_record("dns:a.org", "19990101000001", "text/dns", b"a.org 1.2.3.4", 1, "x"), arc_record("http://a.org/", "19990101000002", "text/html", http, 1, "x"), b"no header here"]
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "part-0.arc.gz").write_bytes(gzip.compress(b"\n".join(parts) + b"\n"))
+    assert convert_arc(spark, f"file://{tmp_path}/arc", f"file://{tmp_path}/warc") == {"no header": 1}
+    fields = [f for p in glob.glob(f"{tmp_path}/warc/part-*") for f, _ in parse_warc(open(p, "rb").read())]
+    assert [(f["warc-type"], f["content-type"], f["warc-date"]) for f in fields] == [("warcinfo", "application/warc-fields", "1999-01-01T00:00:00Z"), ("resource", "text/dns", "1999-01-01T00:00:01Z"), ("response", "application/http; msgtype=response", "1999-01-01T00:00:02Z")]
+    assert {f.get("warc-warcinfo-id") for f in fields[1:]} == {fields[0]["warc-record-id"]}
+    assert sorted((r.record_type, r.page_id, r.payload_bytes) for r in read_warc(spark, f"file://{tmp_path}/warc").collect()) == [("resource", None, 13), ("response", 7, 2)]
 
 
 def test_archive(spark):
