@@ -17,11 +17,17 @@ from kerbside.plans.scratch import Scratch
 
 #: Parquet row groups and pages of the token files, in bytes: a reader of a few documents skips the rest by page index.
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
-#: Words that a worker remembers.
-REMEMBERED = 900_000
+#: Bytes that a worker remembers words with, and characters above which a part of a text isn't remembered.
+REMEMBERED, LONG = 160 << 20, 64
+#: Bytes of an entry beside its characters and ids: two objects and a place in a table.
+ENTRY = 190
 #: Words without a character above U+024F: their letters are lower-cased one by one and unchanged by composition.
 _PLAIN = re.compile(r"[\x21-ɏ]*")
 _MARKS = ".,;:!?"
+#: Where a long part may be cut: after a mark that neither composes nor begins a contraction, before a letter or digit.
+_CUT = re.compile(r"(?<=[.,;:!?。、，；：！？])(?=[^\W_])")
+#: Texts by which a tokenizer is tested for the rule that ids of parts, joined, are those of the text.
+_SAMPLE = ("Don't   stop.I'll GO\tnow\n\n", "é e\u0301 \u0301x A\u030a", "12.5%,x;y  ##a 'S 's", "日本語。日本、x！", " Σ ΣΑΣ İ ß ", "a\x0bb\x0cc\x85d\u00a0e\u2003f\u3000g")
 
 
 class _Words:
@@ -40,15 +46,29 @@ class _Words:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self._forget()
+        for text in _SAMPLE:
+            if self.ids([text])[0].tobytes() != self.encode([text])[0]:
+                raise ValueError(f"{path}: ids of the parts of a text, joined, aren't those of the text")
+
+    def _forget(self) -> None:
         self.parts: dict[str, bytes] = {"": b""}
         self.core: dict[str, bytes] = {"": b""}
+        self.bytes = 0
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<i4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def long(self, part: str) -> bytes:
+        """Ids of a long part, cut where that is safe and encoded some pieces at a time."""
+        pieces, out = _CUT.split(part), []
+        for k in range(0, len(pieces), 1024):
+            out += [x.tobytes() for x in self.ids(pieces[k : k + 1024])]
+        return b"".join(out)
+
     def learn(self, wanted: set[str]) -> None:
         """Puts the ids of all wanted parts into parts."""
-        core, split = self.core, {}
+        core, split, before = self.core, {}, len(self.core)
         letters, others = [], []
         for part in wanted:
             head = part.rstrip(_MARKS)
@@ -81,19 +101,22 @@ class _Words:
             core.update(zip(some, (x.tobytes() for x in self.ids(some))))
         parts = self.parts
         for part, (head, tail) in split.items():
-            parts[part] = core[head] + core[tail]
+            ids = core[head] + core[tail]
+            parts[part] = ids
+            self.bytes += ENTRY + len(part) + len(ids)
+        self.bytes += (len(core) - before) * (ENTRY + 24)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.parts) > REMEMBERED:
-            self.parts = {"": b""}
-        if len(self.core) > REMEMBERED:
-            self.core = {"": b""}
+        if self.bytes > REMEMBERED:
+            self._forget()
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         new = set(chain.from_iterable(split)).difference(self.parts)
-        if new:
-            self.learn(new)
-        get = self.parts.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        long = {p for p in new if len(p) > LONG}
+        self.learn(new - long)
+        if not long:
+            get = self.parts.__getitem__
+            return [b"".join(map(get, s)) for s in split]
+        return [b"".join(self.parts[p] if len(p) <= LONG else self.long(p) for p in s) for s in split]
 
 
 _loaded: dict[str, _Words] = {}
@@ -103,7 +126,8 @@ def encoder(path: str):
     """Texts -> their ids as bytes, as the tokenizer at path gives for whole texts without special tokens.
 
     The tokenizer must end words at white space, and lower-case: its normal form and pieces then depend on nothing
-    across a space, so ids of the parts between spaces are those of the text, and each part is encoded once a worker.
+    across a space, so ids of the parts between spaces are those of the text; that is tested on _SAMPLE. Each part is
+    encoded once a worker, unless it is long; what is remembered is bounded by bytes.
     """
     if path not in _loaded:
         _loaded[path] = _Words(path)
@@ -120,8 +144,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) ->
     stop = np.array([end_id], "<i4").tobytes()
 
     def run(batches):
-        gc.disable()  # the memory holds millions of small objects without cycles
         encode = encoder(tokenizer)
+        gc.disable()  # the memory holds millions of small objects without cycles
+        try:
+            yield from encoded(encode, batches)
+        finally:
+            gc.enable()
+
+    def encoded(encode, batches):
         for b in batches:
             ids, texts = b.column(0), [t or "" for t in b.column(1).to_pylist()]
             at = 0
