@@ -49,9 +49,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
     target (its source's, see water_fill), repeats, taken (size * repeats).
 
     A source with target / source_size = q takes each document floor(q) times and, for the fraction, those that come
-    first in the order of a seeded hash of doc_id, as long as their sizes stay within fraction * source_size. The
-    order is cut exactly: sizes are summed for ranges of the hash, and only the rows of the range in which the
-    fraction ends, one in 4096, are ordered within their source. The same seed gives the same mix.
+    first in the order of a seeded hash of doc_id, as long as their sizes stay within fraction * source_size; the
+    document that crosses it is taken if that comes nearer. The order is cut exactly: sizes are summed for ranges of
+    the hash, and only the rows of the range in which the fraction ends, one in 4096, are ordered within their source.
+    The same seed gives the same mix.
 
     Null or empty text: size 0. Null source: a source, the last. Null doc_id: hashed as such. Repeated rows of a
     doc_id share a hash and are taken together or not; sources without words have target 0. Empty input: no rows.
@@ -91,7 +92,8 @@ def _with_repeats(docs: DataFrame, weights: tuple[int, ...], cap: int, seed: int
     plan = scratch.write(plan, "plan")
     last = sizes.alias("d").join(hint(plan).alias("p"), same("d", "p")).where("range = end").select("d.*", "rest")
     last = last.groupBy("source", "key").agg(F.sum("size").alias("s"), F.first("rest").alias("rest")).withColumn("to", F.sum("s").over(Window.partitionBy("source").orderBy("key")))
-    chosen = scratch.write(last.where("to <= rest").select(F.col("source").alias("_mix_s"), F.col("key").alias("_mix_k")), "chosen")
+    nearer = (F.col("to") - F.col("s") < F.col("rest")) & (F.col("to") - F.col("rest") < F.col("rest") - F.col("to") + F.col("s"))
+    chosen = scratch.write(last.where((F.col("to") <= F.col("rest")) | nearer).select(F.col("source").alias("_mix_s"), F.col("key").alias("_mix_k")), "chosen")
     small = F.broadcast if chosen.count() <= BROADCAST_SOURCES else (lambda t: t)
     plan = plan.select(F.col("source").alias("_mix_source"), F.col("source_size").alias("_mix_total"), F.col("target").alias("_mix_target"), F.col("whole").alias("_mix_whole"), F.col("end").alias("_mix_end"))
     source = docs["source"].cast("string")

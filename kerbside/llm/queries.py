@@ -105,9 +105,11 @@ p AS (
   SELECT *, CAST(floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS INTEGER) AS whole FROM t),
 c AS (
   SELECT d.*, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS part,
-    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key) AS upto FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size, source_size, target, whole + CASE WHEN upto <= part THEN 1 ELSE 0 END AS repeats,
-  CAST(size * (whole + CASE WHEN upto <= part THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM c
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key) AS upto, sum(d.size) OVER (PARTITION BY d.source, d.key) AS own
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+e AS (
+  SELECT *, whole + CASE WHEN upto <= part OR (upto - own < part AND upto - part < part - upto + own) THEN 1 ELSE 0 END AS repeats FROM c)
+SELECT doc_id, size, source_size, target, repeats, CAST(size * repeats AS BIGINT) AS taken FROM e
 """
 
 
