@@ -1,49 +1,68 @@
-"""A pipeline over documents: quality, near copies, benchmark passages, mix, token ids."""
+"""A pipeline over documents: quality, near copies, benchmark passages, mix, token ids.
+
+Decisions are of rows, not of doc_id: each of the first three stages numbers the rows of its input files
+(scratch.with_row_key), lets the operator decide with that number as the id, and keeps the rows that it keeps. So rows
+without doc_id, and rows that share one, are each judged by their own text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kerbside.llm.decontamination import contaminated
 from kerbside.llm.mixing import mixed_documents
 from kerbside.llm.ngram_jaccard import ngram_components, small_enough
 from kerbside.llm.quality_rules import quality_rules
 from kerbside.llm.token_output import token_index
-from kerbside.plans.scratch import Scratch
+from kerbside.plans.scratch import Scratch, with_row_key
 
 #: SQL can't express the outlier estimates and the tokenizer.
 ORACLE_SQL = None
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with its row numbers in _row, and the same with these in place of doc_id."""
+    rows = with_row_key(docs)
+    return rows, rows.select(F.col("_row").alias("doc_id"), *(rows[f"`{c}`"] for c in docs.columns if c != "doc_id"))
+
+
+def _kept(docs: DataFrame, rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose number is in ids (column _row), with the columns of docs."""
+    ids = Scratch(docs.sparkSession).write(ids, "kept")
+    return rows.join(small_enough(ids, ids.count()), "_row", "left_semi").select(*(rows[f"`{c}`"] for c in docs.columns))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality rules reject. A repeated doc_id stays if one of its rows is kept."""
-    kept = Scratch(spark).write(quality_rules(docs).where("kept").select("doc_id").distinct(), "kept")
-    return docs.join(small_enough(kept, kept.count()), "doc_id", "left_semi").select(*docs.columns)
+    """Drops rows that the quality rules reject, null texts among them. Empty documents: no rows."""
+    rows, named = _numbered(docs)
+    return _kept(docs, rows, quality_rules(named).where("kept").select(F.col("doc_id").alias("_row")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component the document with the smallest doc_id; rows that repeat it count as one."""
-    first = ngram_components(docs).where("doc_id = component_id").select("doc_id")
-    first = Scratch(spark).write(first, "first")
-    n = first.count()
-    out = docs.join(small_enough(first, n), "doc_id", "left_semi").select(*docs.columns)
-    return out if out.count() == n else out.dropDuplicates(["doc_id"])
+    """Keeps of each component the row of the smallest doc_id (null last), of several the first; rows without words stay, as they are like nothing. Empty documents: no rows."""
+    rows, named = _numbered(docs)
+    found = ngram_components(named).select(F.col("doc_id").alias("_row"), "component_id")
+    ids = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), "_row").alias("rank"))
+    first = found.join(ids, "_row").groupBy("component_id").agg(F.min("rank").alias("rank"))
+    return _kept(docs, rows, first.select("rank._row"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops rows that hold a benchmark item. Null texts hold none. Empty documents: no rows; empty benchmark: all."""
+    rows, named = _numbered(docs)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = Scratch(spark).write(contaminated(docs, benchmark).select("doc_id").distinct(), "leaks")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    found = Scratch(spark).write(contaminated(named, benchmark).select(F.col("doc_id").alias("_row")).distinct(), "leaks")
+    return rows.join(small_enough(found, found.count()), "_row", "left_anti").select(*(rows[f"`{c}`"] for c in docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and samples rows so that sources come near their targets."""
+    """Repeats and samples rows so that sources come near their targets; rows of one doc_id, or without any, are taken alike within a source."""
     return mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes token ids and returns where each row's lie."""
+    """Writes token ids and returns where each row's lie; null texts have the end id alone, rows without doc_id come first."""
     import public_tokenizers
 
     return token_index(docs, public_tokenizers.path("word_bpe_49k.json"))
