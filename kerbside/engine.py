@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import uuid
+import zipfile
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kerbside import hooks, sinks
 from kerbside import params as P
-from kerbside import sinks
-from kerbside.operators import detect
+from kerbside.functions import overlay
+from kerbside.operators import detect, track
 from kerbside.plans.pipeline import Result, from_boxes, job_summary
+from kerbside.plans.scratch import Scratch
 
-#: Kinds of files of a job and their folder.
+#: Kinds of files of a job and their folder; kmz is packed when it is asked for.
 ARTIFACTS = {"geojson": "detections.geojson", "deduped_geojson": "detections_deduped.geojson", "kml": "detections.kml", "assets_csv": "detections_deduped.csv", "tri_debug_csv": "detections_triangulation_debug.csv", "calibration_log": "calibration.log", "raw": "detections_raw.json"}
 
 
@@ -24,34 +28,81 @@ class Engine:
         self.spark, self.out_dir = spark, out_dir.rstrip("/")
 
     def run(self, boxes: DataFrame, frames: DataFrame | None = None, conf: float = P.DEFAULT_CONF) -> str:
-        """Assets of boxes (see scenes.SCENE) and, with their frames, tracks; writes all files and returns the run's id."""
+        """Assets of boxes (see scenes.SCENE) and, with their frames, tracks; writes all files and returns the run's id.
+
+        frames: job_id, frame_idx, offset_sec, timestamp_iso, cam_lat, cam_lng, cam_bearing, ele, gps_source, top_text;
+        by default those that have boxes.
+        """
         run_id = uuid.uuid4().hex[:8]
         started = datetime.now(UTC).isoformat()
         try:
             r = from_boxes(self.spark, boxes, conf)
-            frames = frames if frames is not None else boxes.select("job_id", "frame_idx", F.col("ts").alias("offset_sec"), "timestamp_iso", "cam_lat", "cam_lng", "cam_bearing", "ele", "gps_source").distinct()
+            if frames is None:
+                frames = boxes.select("job_id", "frame_idx", F.col("ts").alias("offset_sec"), "timestamp_iso", "cam_lat", "cam_lng", "cam_bearing", "ele", "gps_source", F.lit("").alias("top_text")).distinct()
             self._write(run_id, r, frames)
-            job_summary(boxes, r.kept, r.assets).write.parquet(f"{self.out_dir}/{run_id}/summary")
+            job_summary(frames, boxes, r.kept, r.assets).write.parquet(f"{self.out_dir}/{run_id}/summary")
             self._register(run_id, "complete", "", started)
         except Exception as e:
             self._register(run_id, "error", str(e)[:500], started)
             raise
         return run_id
 
+    def run_frames(self, frames: DataFrame, detector: Callable, reader: Callable, points: DataFrame | None = None, conf: float = P.DEFAULT_CONF) -> str:
+        """A run from images: texts, poses and boxes of frames, then run().
+
+        frames: job_id, frame_idx, ts (time), offset_sec, content, image_w_px, image_h_px. detector and reader: see
+        hooks.detect and hooks.recognize. points: a GPS track (sources.gpx) for frames whose text has no position.
+        """
+        scratch = Scratch(self.spark)
+        plain = frames.drop("content")
+        texts = hooks.recognize(frames, reader)
+        texts = scratch.write(texts.select("job_id", "frame_idx", F.col("top").alias("top_text"), overlay.region_cascade(F.col("bottom"), F.col("top"), F.col("full")).alias("o")), "texts")
+        seen = texts.where("o IS NOT NULL").select("job_id", "frame_idx", "o.lat", "o.lng", "o.bearing")
+        empty = self.spark.createDataFrame([], "job_id long, pt_seq long, ts timestamp, lat double, lng double, ele double")
+        pose = track.resolved(plain, seen, track.interpolated(points if points is not None else empty, plain))
+        pose = pose.withColumnsRenamed({"lat": "cam_lat", "lng": "cam_lng", "bearing": "cam_bearing"}).withColumn("timestamp_iso", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+00:00'"))
+        pose = scratch.write(pose.join(texts.select("job_id", "frame_idx", F.coalesce("top_text", F.lit("")).alias("top_text")), ["job_id", "frame_idx"], "left"), "poses")
+        threshold = detect.detector_threshold(P.class_params(self.spark), conf).first()[0]
+        boxes = scratch.write(hooks.detect(frames, detector, threshold), "boxes")
+        order = Window.partitionBy("job_id").orderBy("frame_idx", "line_no")
+        boxes = boxes.withColumn("entry_seq", F.shiftleft(F.col("job_id"), 36) + F.row_number().over(order))
+        boxes = boxes.drop("line_no").join(pose.withColumn("ts", F.col("offset_sec")).drop("top_text"), ["job_id", "frame_idx"])
+        return self.run(scratch.write(boxes, "boxes"), pose, conf)
+
     def _write(self, run_id: str, r: Result, frames: DataFrame) -> None:
         at = f"{self.out_dir}/{run_id}/"
         det = detect.detections(r.kept)
         features, assets = sinks.frame_features(frames, det), sinks.asset_features(r.assets)
-        sinks.geojson(features).drop("job_id").write.text(at + ARTIFACTS["geojson"])
-        sinks.geojson(assets).drop("job_id").write.text(at + ARTIFACTS["deduped_geojson"])
+        sinks.write_text(sinks.feature_collection(features), at + ARTIFACTS["geojson"])
+        sinks.write_text(sinks.feature_collection(assets), at + ARTIFACTS["deduped_geojson"])
         sinks.assets_report(r.assets).drop("job_id").write.option("header", True).csv(at + ARTIFACTS["assets_csv"])
         sinks.tri_debug_report(r.assets).drop("job_id").write.option("header", True).csv(at + ARTIFACTS["tri_debug_csv"])
         r.entries.write.json(at + ARTIFACTS["raw"])
-        log = sinks.path_log(r.assets).orderBy("job_id", "cluster_id", "ord").select(F.lit(1).alias("ord"), F.col("line").alias("value"))
-        head = "\n".join([f"# calibration log for job {run_id}", f"# TRI_STRETCH_DEFAULT={P.DEFAULT_STRETCH}", f"# CALIBRATION_BEARING_OFFSET_DEG={P.BEARING_OFFSET_DEG:+.2f}"])
-        sinks.write_text(self.spark.createDataFrame([(0, head)], "ord int, value string").union(log), at + ARTIFACTS["calibration_log"])
+        log = sinks.path_log(r.assets).select(F.lit(1).alias("part"), sinks.order_key("job_id", "cluster_id", "ord").alias("key"), F.col("line").alias("value"))
+        stretch = [f"#   {c[1]}: {c[7]}" for c in P.CLASSES if c[7] is not None]
+        head = "\n".join([f"# calibration log for job {run_id}", f"# TRI_STRETCH_DEFAULT={P.DEFAULT_STRETCH}", f"# CALIBRATION_BEARING_OFFSET_DEG={P.BEARING_OFFSET_DEG:+.2f}", "# TRI_STRETCH_BY_CLASS:", *stretch, ""])
+        sinks.write_text(self.spark.createDataFrame([(0, [""], head)], sinks.ROWS).union(log), at + ARTIFACTS["calibration_log"])
         marks = sinks.placemarks(assets.unionByName(features.where("type = 'gps_track'"), allowMissingColumns=True))
-        sinks.write_text(sinks.kml_document(f"Field Engineering — {run_id}", sinks.track_line(frames), marks), at + ARTIFACTS["kml"])
+        sinks.write_text(sinks.kml_document(f"Roadside assets — {run_id}", sinks.track_line(frames), marks), at + ARTIFACTS["kml"])
+
+    def kmz(self, run_id: str, to: str, images: DataFrame | None = None) -> str:
+        """Packs a finished run for download into a file of this machine: the document, crops (name, content) and log.
+
+        Rows come one partition at a time and are written as they come, so memory holds no whole document.
+        """
+
+        def lines(kind: str) -> Iterator[str]:
+            files = self.spark.read.text(self.artifact(run_id, kind)).select(F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("k"), "value")
+            return (r.value for r in files.orderBy("f", "b", "k").select("value").toLocalIterator())
+
+        with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, kind in (("doc.kml", "kml"), ("calibration.log", "calibration_log")):
+                with z.open(name, "w", force_zip64=True) as f:
+                    for line in lines(kind):
+                        f.write(line.encode() + b"\n")
+            for r in images.select("name", "content").toLocalIterator() if images is not None else ():
+                z.writestr(f"images/{r.name}", bytes(r.content))
+        return to
 
     def _register(self, run_id: str, status: str, message: str, started: str) -> None:
         row = [(run_id, status, message, started, datetime.now(UTC).isoformat())]

@@ -9,13 +9,16 @@ from kerbside import params as P
 from kerbside.functions import geo, media
 
 
-def with_params(rows: DataFrame, params: DataFrame, key: str = "class") -> DataFrame:
-    """rows with its class's parameters, null where the class or the parameter is unknown. The class table is broadcast: it has a row a class."""
-    drop = [c for c in params.columns if c in rows.columns and c != key]
-    p = params.drop(*drop)
-    if key == "class_id":
-        p = p.where("class_id IS NOT NULL")
-    return rows.join(F.broadcast(p), key, "left")
+def with_params(rows: DataFrame, params: DataFrame, key: str = "class", prefix: str = "") -> DataFrame:
+    """rows with its class's parameters, each named prefix and its name; null where the class or the parameter is unknown.
+
+    The class's values count: a column of rows of such a name is replaced, so callers that return rows as they came give
+    a prefix. The class table is broadcast: it has a row a class. Null keys find nothing; repeated rows stay; no rows
+    give no rows.
+    """
+    p = params.where("class_id IS NOT NULL") if key == "class_id" else params
+    p = p.select(key, *(F.col(c).alias(prefix + c) for c in p.columns if c != key))
+    return rows.drop(*(c for c in p.columns if c != key)).join(F.broadcast(p), key, "left")
 
 
 def named(det: DataFrame, params: DataFrame) -> DataFrame:
@@ -25,9 +28,9 @@ def named(det: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def confident(det: DataFrame, params: DataFrame, conf: float = P.DEFAULT_CONF) -> DataFrame:
-    """Rows of det (class, confidence) at or above their class's least confidence, conf where it has none."""
-    rows = with_params(det, params.select("class", "min_conf"))
-    return rows.where(F.col("confidence") >= F.coalesce("min_conf", F.lit(conf))).drop("min_conf")
+    """Rows of det (class, confidence) at or above their class's least confidence, conf where it has none; a null confidence goes. Columns of det stay, whatever their names."""
+    rows = with_params(det, params.select("class", "min_conf"), prefix="_of_class_")
+    return rows.where(F.col("confidence") >= F.coalesce("_of_class_min_conf", F.lit(conf))).drop("_of_class_min_conf")
 
 
 def detector_threshold(params: DataFrame, conf: float = P.DEFAULT_CONF) -> DataFrame:
@@ -39,14 +42,15 @@ def projected(det: DataFrame, params: DataFrame) -> DataFrame:
     """det (class, cam_lat, cam_lng, cam_bearing, cx, h, image_w_px, image_h_px) with obj_lat, obj_lng, distance_m, obj_bearing.
 
     Unrounded. Without a plausible distance the object is put at the camera; without a bearing nothing is known of it.
+    Null poses or boxes give nulls, and each row gives a row.
     """
-    rows = with_params(det, params.select("class", "height_m"))
+    rows = with_params(det, params.select("class", "height_m"), prefix="_of_class_")
     posed = F.col("cam_lat").isNotNull() & F.col("cam_lng").isNotNull() & F.col("cam_bearing").isNotNull() & (F.col("image_w_px") > 0) & (F.col("image_h_px") > 0)
-    d = geo.mono_distance_m(F.col("height_m"), F.col("h") * F.col("image_h_px"), F.col("image_h_px"))
+    d = geo.mono_distance_m(F.col("_of_class_height_m"), F.col("h") * F.col("image_h_px"), F.col("image_h_px"))
     rows = rows.withColumn("obj_bearing", F.when(posed, geo.object_bearing_deg(F.col("cam_bearing"), F.col("cx"))))
     rows = rows.withColumn("distance_m", F.when(posed & (d > 0) & (d <= P.PLAUSIBLE_M), d))
     lat, lng = geo.destination(F.col("cam_lat"), F.col("cam_lng"), F.radians("obj_bearing"), F.col("distance_m"), P.EARTH_PROJECT_M)
-    return rows.withColumn("obj_lat", F.coalesce(lat, "cam_lat")).withColumn("obj_lng", F.coalesce(lng, "cam_lng")).drop("height_m")
+    return rows.withColumn("obj_lat", F.coalesce(lat, "cam_lat")).withColumn("obj_lng", F.coalesce(lng, "cam_lng")).drop("_of_class_height_m")
 
 
 def detections(det: DataFrame) -> DataFrame:

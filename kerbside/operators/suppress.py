@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbside import params as P
@@ -11,21 +11,41 @@ from kerbside.functions.geo import haversine_ft
 from kerbside.plans.components import connected_components
 from kerbside.plans.scratch import Scratch
 
-#: Height of a band of latitude: a little over CONFLICT_FT.
-BAND_DEG = 1.4e-4
+#: Sides of the grid, in degrees of latitude: a little over CONFLICT_FT; and seconds of a slot.
+CELL_DEG, SLOT_S = 1.4e-4, 60.0
+
+
+def _columns(band: Column) -> Column:
+    """Cells around the globe in a band of latitude, none narrower than CELL_DEG anywhere in the band."""
+    edge = F.greatest(F.abs(band), F.abs(band + 1)) * CELL_DEG
+    return F.greatest(F.floor(F.cos(F.radians(F.least(edge, F.lit(90.0)))) * 360.0 / CELL_DEG), F.lit(1)).cast("long")
+
+
+def _cell(lon: Column, band: Column) -> Column:
+    n = _columns(band)
+    return F.pmod(F.floor((lon + 180.0) / 360.0 * n).cast("long"), n)
 
 
 def conflict_pairs(assets: DataFrame, confused: DataFrame) -> DataFrame:
     """job_id, a, b (cluster_id, a < b), dist_ft: assets of confused classes within CONFLICT_FT whose times come within CONFLICT_S.
 
-    Bands of latitude give the join an equality key: the left side goes to its own band and both neighbours.
+    A grid over latitude and longitude and slots of time give the join its keys: the left side goes to its own cell and
+    those around it, both sides to each slot of their time, and a pair counts in the later of their first slots.
+    Assets without position, time or class are in no pair.
     """
-    x = assets.select("job_id", "class", "cluster_id", "lat", "lon", F.array_min("members_video_sec").alias("t0"), F.array_max("members_video_sec").alias("t1"), F.floor(F.col("lat") / BAND_DEG).alias("band"))
-    left = x.join(F.broadcast(confused), F.col("class") == F.col("class_a")).withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("x")
-    right = x.alias("y")
+    t0, t1 = F.array_min("members_video_sec") - P.CONFLICT_S, F.array_max("members_video_sec")
+    x = assets.select("job_id", "class", "cluster_id", "lat", "lon", t0.alias("t0"), t1.alias("t1"), F.floor(F.col("lat") / CELL_DEG).alias("band")).where("lat IS NOT NULL AND lon IS NOT NULL AND t0 IS NOT NULL")
+    first = F.floor(F.col("t0") / SLOT_S)
+    x = x.withColumn("first", first).withColumn("slot", F.explode(F.sequence(first, F.floor(F.col("t1") / SLOT_S))))
+    left = x.join(F.broadcast(confused), F.col("class") == F.col("class_a")).withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    n = _columns(F.col("band"))
+    around = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda o: F.pmod(_cell(F.col("lon"), F.col("band")) + o, n))
+    left = left.withColumn("cell", F.explode(F.array_distinct(around))).alias("x")
+    right = x.withColumn("cell", _cell(F.col("lon"), F.col("band"))).alias("y")
     d = haversine_ft(F.col("x.lat"), F.col("x.lon"), F.col("y.lat"), F.col("y.lon"))
-    meet = (F.col("x.t0") - P.CONFLICT_S <= F.col("y.t1")) & (F.col("y.t0") - P.CONFLICT_S <= F.col("x.t1"))
-    j = left.join(right, (F.col("x.job_id") == F.col("y.job_id")) & (F.col("x.class_b") == F.col("y.class")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.cluster_id") < F.col("y.cluster_id")) & meet)
+    meet = (F.col("x.t0") <= F.col("y.t1")) & (F.col("y.t0") <= F.col("x.t1")) & (F.col("x.slot") == F.greatest("x.first", "y.first"))
+    keys = (F.col("x.job_id") == F.col("y.job_id")) & (F.col("x.class_b") == F.col("y.class")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.slot") == F.col("y.slot"))
+    j = left.join(right, keys & (F.col("x.cluster_id") < F.col("y.cluster_id")) & meet)
     return j.select("x.job_id", F.col("x.cluster_id").alias("a"), F.col("y.cluster_id").alias("b"), d.alias("dist_ft")).where(F.col("dist_ft") <= P.CONFLICT_FT)
 
 
@@ -55,7 +75,9 @@ def greedy(rows: pd.DataFrame) -> pd.DataFrame:
 def kept_assets(assets: DataFrame, conflicts: DataFrame, entries: DataFrame) -> DataFrame:
     """assets without those that the greedy pass drops, in the order of class first seen, then cluster.
 
-    Only assets of one connected component of conflicts touch each other, so components are the groups of the pass.
+    Only assets of one connected component of conflicts touch each other, so components are the groups of the pass. The
+    pass goes asset by asset, so a component, with an id and its conflicts for each asset, is in one task. Assets
+    without conflicts stay; no assets give no rows.
     """
     scratch = Scratch(assets.sparkSession)
     conflicts = scratch.write(conflicts.select("a", "b"), "conflicts")

@@ -8,24 +8,47 @@ from pyspark.sql import functions as F
 from kerbside import params as P
 
 
+#: Seconds of a slot: the points and times of a job's slot are one window.
+SLOT_S = 3600
+
+
 def interpolated(track: DataFrame, times: DataFrame) -> DataFrame:
     """times (job_id, frame_idx, ts) with lat, lng, ele of the track (job_id, pt_seq, ts, lat, lng, ele) at that time.
 
     Linear between neighbours; up to 60 s outside the track with the speed of its first or last two points, up to 300 s
-    its end point, beyond that null. A track of one point, asked for its very time, gives null.
+    its end point, beyond that null. A track of one point, asked for its very time, gives null; so do null times and
+    jobs without a track. Points without time are left out. Each row of times gives a row; points of one time count in
+    the order of pt_seq.
 
-    An as-of join without a range join: points and times of a job in one order of time, each time looks ahead to the
-    next point, which carries the one before it. A job's points are one window, so a job is the unit of parallel work.
+    An as-of join without a range join: in each slot of SLOT_S seconds of a job, points and times in one order of
+    time; each time takes the next point, which carries the one before it. A second small window, of a row a slot,
+    carries the last point into a slot and the first one of later slots back. Both run in one direction, so each row is
+    read once.
     """
-    order = Window.partitionBy("job_id").orderBy("t", "pt_seq")
     sec = F.unix_micros("ts") / 1e6
-    p = track.select("job_id", sec.alias("t"), "pt_seq", F.struct(sec.alias("t"), "lat", "lng", "ele").alias("p"))
-    p = p.withColumn("before", F.lag("p").over(order)).withColumn("after", F.lead("p").over(order))
-    ends = p.groupBy("job_id").agg(F.count("*").alias("n"), F.min_by(F.struct("p", "after"), F.struct("t", "pt_seq")).alias("first"), F.max_by(F.struct("p", "before"), F.struct("t", "pt_seq")).alias("last"))
-    knots = p.select("job_id", "t", F.lit(1).alias("kind"), "pt_seq", F.struct("p", "before", "after").alias("seg"), F.lit(None).cast("long").alias("frame_idx"))
-    asked = times.select("job_id", sec.alias("t"), F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("pt_seq"), F.lit(None).cast(knots.schema["seg"].dataType).alias("seg"), F.col("frame_idx").cast("long").alias("frame_idx"))
-    ahead = Window.partitionBy("job_id").orderBy("t", "kind", "pt_seq").rowsBetween(0, Window.unboundedFollowing)
-    found = knots.unionByName(asked).withColumn("s", F.first("seg", ignorenulls=True).over(ahead)).where("kind = 0").select("job_id", "frame_idx", "t", "s")
+    slot = F.floor(F.col("t") / SLOT_S)
+    point = F.struct("t", "pt_seq", "lat", "lng", "ele")
+    p = track.select("job_id", sec.alias("t"), "pt_seq", "lat", "lng", "ele").where("t IS NOT NULL").withColumn("slot", slot).withColumn("p", point)
+    by_slot = Window.partitionBy("job_id").orderBy("slot")
+    slots = p.groupBy("job_id", "slot").agg(F.min("p").alias("head"), F.max("p").alias("tail"))
+    slots = slots.select("job_id", "slot", F.lag("tail").over(by_slot).alias("left"), F.lead("head").over(by_slot).alias("right"))
+    inside = Window.partitionBy("job_id", "slot").orderBy("t", "pt_seq")
+    p = p.withColumn("before", F.lag("p").over(inside)).withColumn("after", F.lead("p").over(inside)).join(slots, ["job_id", "slot"])
+    p = p.select("job_id", "slot", "t", "pt_seq", "p", F.coalesce("before", "left").alias("before"), F.coalesce("after", "right").alias("after"))
+    order = F.struct("t", "pt_seq")
+    ends = p.groupBy("job_id").agg(F.count("*").alias("n"), F.min_by(F.struct("p", "after"), order).alias("first"), F.max_by(F.struct("p", "before"), order).alias("last"))
+    knots = p.select("job_id", "slot", "t", F.lit(1).alias("kind"), "pt_seq", F.struct("p", "before", "after").alias("seg"), F.lit(None).cast("long").alias("frame_idx"))
+    empty = F.lit(None).cast(knots.schema["seg"].dataType)
+    asked = times.select("job_id", sec.alias("t"), F.col("frame_idx").cast("long").alias("frame_idx"))
+    asked = asked.select("job_id", slot.alias("slot"), "t", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("pt_seq"), empty.alias("seg"), "frame_idx")
+    heads = knots.groupBy("job_id", "slot").agg(F.min_by("seg", order).alias("head"))
+    every = heads.unionByName(asked.select("job_id", "slot", empty.alias("head"))).groupBy("job_id", "slot").agg(F.max("head").alias("head"))
+    later = Window.partitionBy("job_id").orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)
+    every = every.select("job_id", "slot", F.last("head", ignorenulls=True).over(later).alias("next"))
+    back = Window.partitionBy("job_id", "slot").orderBy(F.desc("t"), F.desc("kind"), F.desc("pt_seq")).rowsBetween(Window.unboundedPreceding, 0)
+    found = knots.unionByName(asked).withColumn("s", F.last("seg", ignorenulls=True).over(back)).where("kind = 0")
+    same = found.job_id.eqNullSafe(every.job_id) & found.slot.eqNullSafe(every.slot)
+    found = found.join(every, same, "left").select(found.job_id, "frame_idx", "t", F.coalesce("s", "next").alias("s"))
     found = found.join(ends, "job_id", "left")
     a = F.when(F.col("s.before").isNotNull(), F.col("s.before")).otherwise(F.col("s.p"))
     b = F.when(F.col("s.before").isNotNull(), F.col("s.p")).otherwise(F.col("s.after"))

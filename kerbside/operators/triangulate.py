@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside import params as P
 from kerbside.functions.geo import circular_gap_deg
+from kerbside.plans.scratch import Scratch
 
 
 def local_rays(members: DataFrame) -> DataFrame:
@@ -18,32 +21,114 @@ def local_rays(members: DataFrame) -> DataFrame:
     return r.withColumn("x", x).withColumn("y", (F.col("cam_lat") - F.col("lat0")) * P.DEGREE_M)
 
 
+def hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of the corners of the convex hull (Andrew's chain), at least one and at most all."""
+    order = np.lexsort((y, x))
+    order = order[np.append(True, (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0))].tolist()
+    if len(order) < 3:
+        return np.array(order)
+
+    def chain(points):
+        out: list[int] = []
+        for k in points:
+            while len(out) > 1 and (x[out[-1]] - x[out[-2]]) * (y[k] - y[out[-2]]) - (y[out[-1]] - y[out[-2]]) * (x[k] - x[out[-2]]) <= 0:
+                out.pop()
+            out.append(k)
+        return out
+
+    return np.array(sorted({*chain(order), *chain(order[::-1])}))
+
+
+def _runs(ids: np.ndarray):
+    cut = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, int)
+    return zip(cut.tolist(), [*cut[1:].tolist(), len(ids)])
+
+
 def baseline(rays: DataFrame) -> DataFrame:
-    """cluster_id, baseline_m: largest distance of two cameras. Equal positions count once."""
-    p = rays.select("cluster_id", "x", "y").distinct()
-    a, b = p.alias("a"), p.alias("b")
-    later = (F.col("a.x") < F.col("b.x")) | ((F.col("a.x") == F.col("b.x")) & (F.col("a.y") < F.col("b.y")))
-    dx, dy = F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")
-    d = a.join(b, (F.col("a.cluster_id") == F.col("b.cluster_id")) & later).groupBy("a.cluster_id").agg(F.max(F.sqrt(dx * dx + dy * dy)).alias("d"))
-    many = rays.groupBy("cluster_id").agg(F.count("*").alias("n")).where("n > 1").select("cluster_id")
-    return many.join(d, "cluster_id", "left").select("cluster_id", F.coalesce("d", F.lit(0.0)).alias("baseline_m"))
+    """cluster_id, baseline_m: largest distance of two cameras of a cluster with two rays or more.
 
+    It is between corners of their convex hull. Tasks keep the hull's corners of what they hold, a batch at a time;
+    only these are moved, and read cluster by cluster with the corners so far in memory.
+    """
 
-def spread(rays: DataFrame) -> DataFrame:
-    """cluster_id, spread_deg, a, b: widest gap of two bearings and the first pair (of entry_seq) that has it.
+    def corners(batches):
+        for b in batches:
+            ids, x, y = (b.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            order = np.argsort(ids, kind="stable")
+            ids, x, y = ids[order], x[order], y[order]
+            keep, n = [], []
+            for a, e in _runs(ids):
+                k = np.arange(a, e) if e - a < 4 else a + hull(x[a:e], y[a:e])
+                keep.append(k)
+                n.append(np.append(e - a, np.zeros(len(k) - 1, np.int64)))
+            if keep:
+                k = np.concatenate(keep)
+                yield pa.record_batch([pa.array(v) for v in (ids[k], x[k], y[k], np.concatenate(n))], names=["cluster_id", "x", "y", "n"])
+
+    def widest(batches):
+        at, x, y, n = None, np.zeros(0), np.zeros(0), 0
+
+        def row():
+            dx, dy = x[:, None] - x, y[:, None] - y
+            return at, n, float(np.sqrt(dx * dx + dy * dy).max())
+
+        for b in batches:
+            ids, bx, by, bn = (b.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+            rows = []
+            for a, e in _runs(ids):
+                if ids[a] != at:
+                    if at is not None:
+                        rows.append(row())
+                    at, x, y, n = int(ids[a]), np.zeros(0), np.zeros(0), 0
+                x, y, n = np.append(x, bx[a:e]), np.append(y, by[a:e]), n + int(bn[a:e].sum())
+                if len(x) > 16:
+                    k = hull(x, y)
+                    x, y = x[k], y[k]
+            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["cluster_id", "n", "baseline_m"])
+        if at is not None:
+            yield pa.record_batch([pa.array([v], t) for v, t in zip(row(), (pa.int64(), pa.int64(), pa.float64()))], names=["cluster_id", "n", "baseline_m"])
+
+    some = rays.select(F.col("cluster_id").cast("long").alias("cluster_id"), "x", "y").mapInArrow(corners, "cluster_id long, x double, y double, n long")
+    some = some.repartition("cluster_id").sortWithinPartitions("cluster_id")
+    return some.mapInArrow(widest, "cluster_id long, n long, baseline_m double").where("n > 1").select("cluster_id", "baseline_m")
+
+
+SEEN = ("frame", "cam_lat", "cam_lng", "cam_bearing", "obj_bearing")
+
+
+def _seen(rows: DataFrame) -> Column:
+    """What a report shows of a ray, after its entry_seq."""
+    have = {"frame": "frame_id", **{c: c for c in SEEN[1:]}}
+    return F.struct("entry_seq", *(F.col(have[c]).alias(c) if have[c] in rows.columns else F.lit(None).cast("double").alias(c) for c in SEEN))
+
+
+def widest_rays(rays: DataFrame) -> DataFrame:
+    """cluster_id, spread_deg, a, b: widest gap of two bearings and the first pair (by entry_seq) that has it, as structs of SEEN.
 
     Bearings have one decimal, so a cluster has at most 3,600 different ones; the first ray of each stands for them.
+    Without a gap, the first two rays; clusters of one ray have no row.
     """
-    p = rays.groupBy("cluster_id", "obj_bearing").agg(F.min("entry_seq").alias("entry_seq"))
+    p = rays.groupBy("cluster_id", "obj_bearing").agg(F.min(_seen(rays)).alias("r"), F.count("*").alias("c"))
     a, b = p.alias("a"), p.alias("b")
     gap = circular_gap_deg(F.col("a.obj_bearing"), F.col("b.obj_bearing"))
-    pairs = a.join(b, (F.col("a.cluster_id") == F.col("b.cluster_id")) & (F.col("a.entry_seq") < F.col("b.entry_seq")))
-    widest = pairs.groupBy("a.cluster_id").agg(F.max(F.struct(gap.alias("gap"), (-F.col("a.entry_seq")).alias("a"), (-F.col("b.entry_seq")).alias("b"))).alias("w"))
+    pairs = a.join(b, (F.col("a.cluster_id") == F.col("b.cluster_id")) & (F.col("a.r.entry_seq") < F.col("b.r.entry_seq")))
+    rank = F.struct(gap.alias("gap"), (-F.col("a.r.entry_seq")).alias("a"), (-F.col("b.r.entry_seq")).alias("b"))
+    wide = pairs.groupBy("a.cluster_id").agg(F.max_by(F.struct(gap.alias("gap"), F.col("a.r").alias("a"), F.col("b.r").alias("b")), rank).alias("w")).where("w.gap > 0")
+    two = _first_two(rays).where("b IS NOT NULL")
+    j = two.join(wide, "cluster_id", "left")
+    return j.select("cluster_id", F.coalesce("w.gap", F.lit(0.0)).alias("spread_deg"), F.coalesce("w.a", "a").alias("a"), F.coalesce("w.b", "b").alias("b"))
+
+
+def _first_two(rows: DataFrame) -> DataFrame:
+    """cluster_id, a, b: the first two rows by entry_seq as structs of SEEN; b is null where there is one."""
     rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy("entry_seq"))
-    first_two = rays.withColumn("k", rank).where("k <= 2").groupBy("cluster_id").agg(F.min("entry_seq").alias("a0"), F.max("entry_seq").alias("b0"), F.count("*").alias("k")).where("k = 2")
-    none = F.coalesce(F.col("w.gap"), F.lit(0.0)) <= 0
-    j = first_two.join(widest, "cluster_id", "left")
-    return j.select("cluster_id", F.coalesce("w.gap", F.lit(0.0)).alias("spread_deg"), F.when(none, F.col("a0")).otherwise(-F.col("w.a")).alias("a"), F.when(none, F.col("b0")).otherwise(-F.col("w.b")).alias("b"))
+    r = rows.select("cluster_id", "entry_seq", _seen(rows).alias("r")).withColumn("k", rank).where("k <= 2")
+    return r.groupBy("cluster_id").agg(F.min(F.when(F.col("k") == 1, F.col("r"))).alias("a"), F.min(F.when(F.col("k") == 2, F.col("r"))).alias("b"))
+
+
+def spread(rays: DataFrame) -> DataFrame:
+    """widest_rays with the rays' entry_seq alone."""
+    return widest_rays(rays).select("cluster_id", "spread_deg", F.col("a.entry_seq").alias("a"), F.col("b.entry_seq").alias("b"))
 
 
 def solved(rays: DataFrame) -> DataFrame:
@@ -81,21 +166,26 @@ def gate():
 
 
 def triangulated(members: DataFrame) -> DataFrame:
-    """One row a cluster: status, reject_reason, n_rays, n_cluster, the rounded solution and its diagnostics, and the two widest rays."""
-    rays = local_rays(members)
+    """One row a cluster: status, reject_reason, n_rays, n_cluster, the rounded solution and its diagnostics, and the two widest rays.
+
+    Members without camera or bearing count for n_cluster alone; no members give no rows. Rays are written once, as four
+    passes read them; what the passes find is joined by cluster.
+    """
+    scratch = Scratch(members.sparkSession)
+    rays = scratch.write(local_rays(members), "rays")
     s = solved(rays)
-    rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy("entry_seq"))
-    two = members.withColumn("k", rank).where("k <= 2").groupBy("cluster_id").agg(F.min(F.when(F.col("k") == 1, F.col("entry_seq"))).alias("a1"), F.min(F.when(F.col("k") == 2, F.col("entry_seq"))).alias("b1"))
-    n = members.groupBy("job_id", "class", "cluster_id").agg(F.count("*").alias("n_cluster"), F.count(F.when(F.col("cam_lat").isNotNull() & F.col("cam_lng").isNotNull() & F.col("obj_bearing").isNotNull(), 1)).alias("n_rays"))
-    t = n.join(s.drop("n_rays"), "cluster_id", "left").join(baseline(rays), "cluster_id", "left").join(spread(rays), "cluster_id", "left").join(residuals(rays, s), "cluster_id", "left").join(two, "cluster_id")
+    r = residuals(rays, s)
+    posed = F.col("cam_lat").isNotNull() & F.col("cam_lng").isNotNull() & F.col("obj_bearing").isNotNull()
+    n = members.groupBy("job_id", "class", "cluster_id").agg(F.count("*").alias("n_cluster"), F.count_if(posed).alias("n_rays"))
+    wide = widest_rays(rays)
+    two = _first_two(members).select("cluster_id", F.col("a").alias("a1"), F.col("b").alias("b1"))
+    t = n.join(s.drop("n_rays"), "cluster_id", "left").join(r, "cluster_id", "left").join(baseline(rays), "cluster_id", "left").join(wide, "cluster_id", "left").join(two, "cluster_id")
     t = t.withColumn("reject_reason", gate()).withColumn("a", F.coalesce("a", "a1")).withColumn("b", F.coalesce("b", "b1"))
-    view = lambda k: members.select(F.col("entry_seq").alias(k), *(F.col(c).alias(f"{n}_{k}") for n, c in (("frame", "frame_id"), ("cam_lat", "cam_lat"), ("cam_lng", "cam_lng"), ("cam_bearing", "cam_bearing"), ("obj_bearing", "obj_bearing"))))
-    t = t.join(view("a"), "a", "left").join(view("b"), "b", "left")
     alone = F.col("n_rays") < 2
     keep = ~alone & ~F.coalesce(F.col("reject_reason") == "singular_matrix", F.lit(False))
     shown = lambda c, d, when=keep: F.when(when, F.round(c, d)).alias(c)
     return t.select(
         "job_id", "class", "cluster_id", F.when(F.col("reject_reason").isNull(), "ok").otherwise("rejected").alias("status"), "reject_reason", "n_rays", "n_cluster",
         shown("baseline_m", 2, ~alone), shown("spread_deg", 2, ~alone), shown("residual_m", 2), shown("closest_m", 2), shown("farthest_m", 2), shown("raw_lat", 7), shown("raw_lon", 7),
-        *(f"{c}_{k}" for k in "ab" for c in ("frame", "cam_lat", "cam_lng", "cam_bearing", "obj_bearing")), F.when(~alone, F.col("det")).alias("det"), F.when(~alone, F.col("trace")).alias("trace"),
+        *(F.col(f"{k}.{c}").alias(f"{c}_{k}") for k in "ab" for c in SEEN), F.when(~alone, F.col("det")).alias("det"), F.when(~alone, F.col("trace")).alias("trace"),
     )

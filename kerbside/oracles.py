@@ -98,13 +98,24 @@ FROM rays r JOIN sol s ON r.cluster_id = s.cluster_id AND NOT s.singular GROUP B
     "pl": f"""SELECT *, CASE WHEN use THEN 'triangulated' WHEN moved THEN 'cam+offset' ELSE 'cam_only' END AS coord_source, CASE WHEN use THEN {_T_LAT} WHEN moved THEN fb_lat ELSE base_lat END AS pin_lat, CASE WHEN use THEN {_T_LON} WHEN moved THEN fb_lon ELSE base_lon END AS pin_lon
 FROM (SELECT *, tri_cam_m IS NOT NULL AND clamp_reason IS NULL AS use, go AND (fb_lat <> base_lat OR fb_lon <> base_lon) AS moved, CASE WHEN tri_cam_m IS NOT NULL AND clamp_reason IS NULL THEN least(tri_cam_m * stretch, max_d) END AS stretched_m
 FROM (SELECT *, CASE WHEN tri_cam_m > max_d THEN printf('tri_dist_%.1fm>max_%.1fm', tri_cam_m, max_d) WHEN tri_cam_m < 0.5 THEN printf('tri_dist_%.2fm<min_%.1fm', tri_cam_m, 0.5e0) END AS clamp_reason
-FROM (SELECT f.*, t.raw_lat, t.raw_lon, t.reject_reason, t.nr, t.spread_deg, t.a, t.b, CASE WHEN t.reject_reason IS NULL THEN {_ft("f.base_lat", "f.base_lon", "t.raw_lat", "t.raw_lon")} / 3.28084e0 END AS tri_cam_m FROM fal f JOIN tri t USING (cluster_id)) p1) p2) p3""",
+FROM (SELECT f.*, t.raw_lat, t.raw_lon, t.reject_reason, t.nr, t.spread_deg, t.a, t.b, t.baseline_m, t.residual_m, t.closest_m, t.farthest_m, CASE WHEN t.reject_reason IS NULL THEN {_ft("f.base_lat", "f.base_lon", "t.raw_lat", "t.raw_lon")} / 3.28084e0 END AS tri_cam_m FROM fal f JOIN tri t USING (cluster_id)) p1) p2) p3""",
     "ass": f"""SELECT p.*, b.confidence, b.class_id, b.frame_id AS image_from_frame, b.cam_lat, b.cam_lng, b.cam_bearing, b.image_file, b.timestamp_iso, b.timestamp AS video_sec, b.gps_source, round(p.pin_lat, 7) AS lat, round(p.pin_lon, 7) AS lon,
   CASE WHEN b.cam_lat IS NOT NULL THEN round(2 * 6371008.8e0 * atan2(sqrt({_hav("b.cam_lat", "b.cam_lng", "p.pin_lat", "p.pin_lon")}), sqrt(1 - {_hav("b.cam_lat", "b.cam_lng", "p.pin_lat", "p.pin_lon")})), 2) ELSE b.distance_m END AS distance_m,
   CASE WHEN b.cam_lat IS NOT NULL THEN round({_mod("degrees(" + _azimuth("b.cam_lat", "b.cam_lng", "p.pin_lat", "p.pin_lon") + ") + 360e0")}, 1) ELSE b.obj_bearing END AS obj_bearing
 FROM pl p JOIN bes b USING (cluster_id)""",
+    "pairs": f"""SELECT * FROM (SELECT x.job_id, x.cluster_id AS a, y.cluster_id AS b, {_ft("x.lat", "x.lon", "y.lat", "y.lon")} AS d FROM ass x JOIN confused c ON c.class_a = x.class JOIN ass y ON y.class = c.class_b AND y.job_id = x.job_id AND x.cluster_id < y.cluster_id
+  WHERE list_min(x.times) - 8 <= list_max(y.times) AND list_min(y.times) - 8 <= list_max(x.times)) p WHERE d <= 50""",
+    "turns": """SELECT *, row_number() OVER (ORDER BY class_seq, cluster_id) AS k FROM (SELECT s.cluster_id, s.confidence, s.n, e.class_seq FROM ass s
+  JOIN (SELECT job_id, class, min(entry_seq) AS class_seq FROM ent GROUP BY job_id, class) e ON e.job_id = s.job_id AND e.class = s.class WHERE s.cluster_id IN (SELECT a FROM pairs UNION SELECT b FROM pairs)) t""",
+    "against": """SELECT x.k, list(y.k ORDER BY y.k) AS others, list((y.confidence, y.n) > (x.confidence, x.n) ORDER BY y.k) AS stronger FROM (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs) p JOIN turns x ON x.cluster_id = p.a JOIN turns y ON y.cluster_id = p.b GROUP BY x.k""",
+    "pass(k, gone)": """SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT k, CASE WHEN list_contains(gone, k) THEN gone WHEN p > 0 THEN list_concat(gone, list_concat(list_transform(left_[1:CAST(p - 1 AS BIGINT)], lambda z: z.o), [k])) ELSE list_concat(gone, list_transform(left_, lambda z: z.o)) END
+  FROM (SELECT k, gone, left_, list_position(list_transform(left_, lambda z: z.s), true) AS p FROM (SELECT a.k, r.gone, list_filter(list_transform(range(1, len(a.others) + 1), lambda i: {'o': a.others[i], 's': a.stronger[i]}), lambda z: NOT list_contains(r.gone, z.o)) AS left_ FROM pass r JOIN against a ON a.k = r.k + 1) f) g""",
+    "gone": "SELECT cluster_id FROM turns WHERE k IN (SELECT unnest(gone) FROM pass WHERE k = (SELECT max(k) FROM pass))",
+    "log": """SELECT job_id, cluster_id, unnest(range(0, len(lines))) AS ord, unnest(lines) AS line FROM (SELECT job_id, cluster_id, list_filter([CASE WHEN reject_reason IS NOT NULL THEN '[TRI_REJECT] cls=' || class || ' reason=' || reject_reason || ' cluster_n=' || n || ' rays=' || nr END,
+  CASE WHEN use THEN '[CAL] cls=' || class || ' raw_tri=' || printf('%.2f', round(tri_cam_m, 2)) || 'm stretch=' || printf('%.2f', stretch) || ' stretched=' || printf('%.2f', round(stretched_m, 2)) || 'm (max=' || printf('%.1f', round(max_d, 1)) || 'm) bearing_off=-2.50deg' END,
+  '[PATH] cls=' || class || ' src=' || coord_source || ' cluster_n=' || n || ' bearings=' || bearings || ' unique_cam_pos=' || unique_cam_pos || ' tri_ok=' || CASE WHEN use THEN 'True' ELSE 'False' END || ' tri_reject=' || coalesce(clamp_reason, '-') || ' proj_dist=' || printf('%.1f', round(offset_m, 1)) || 'm proj_brg=' || coalesce(printf('%.1f', round(proj_bearing, 1)), '-')], lambda z: z IS NOT NULL) AS lines FROM ass) l""",
     "feat": """SELECT f.job_id, CASE WHEN d.class_id IS NULL THEN 'gps_track' ELSE 'detection' END AS type, d.class_id, d.class AS class_name, round(d.confidence, 3) AS confidence, f.frame_idx AS frame_num, f.ts AS video_sec, f.timestamp_iso AS timestamp, round(coalesce(round(d.obj_lat, 7), f.cam_lat), 7) AS latitude, round(coalesce(round(d.obj_lng, 7), f.cam_lng), 7) AS longitude,
-  round(f.ele, 2) AS elevation_m, round(d.distance_m, 2) AS distance_m, round(d.obj_bearing, 1) AS obj_bearing, CASE WHEN d.class_id IS NOT NULL THEN round(f.cam_lat, 7) END AS cam_lat, round(d.cx, 4) AS bbox_cx, round(d.h, 4) AS bbox_h, f.gps_source, d.image_file
+  round(f.ele, 2) AS elevation_m, round(d.distance_m, 2) AS distance_m, round(d.obj_bearing, 1) AS obj_bearing, CASE WHEN d.class_id IS NOT NULL THEN round(f.cam_lat, 7) END AS cam_lat, CASE WHEN d.class_id IS NOT NULL THEN round(f.cam_lng, 7) END AS cam_lng, round(f.cam_bearing, 1) AS cam_bearing, round(d.cx, 4) AS bbox_cx, round(d.cy, 4) AS bbox_cy, round(d.w, 4) AS bbox_w, round(d.h, 4) AS bbox_h, f.gps_source, d.image_file
 FROM (SELECT DISTINCT job_id, frame_idx, ts, timestamp_iso, cam_lat, cam_lng, cam_bearing, ele, gps_source FROM det WHERE cam_lat IS NOT NULL) f LEFT JOIN proj d ON d.job_id = f.job_id AND d.frame_idx = f.frame_idx""",
 }
 
@@ -132,7 +143,7 @@ _POSE = f"""WITH tr AS ({scenes.TRACK}), tm AS ({scenes.TIMES}),
 pt AS (SELECT *, lag((sec, lat, lng, ele)) OVER w AS prev, lead((sec, lat, lng, ele)) OVER w AS next, row_number() OVER w AS k, count(*) OVER (PARTITION BY job_id) AS n FROM (SELECT job_id, pt_seq, CAST(sec AS DOUBLE) AS sec, lat, lng, ele FROM tr) x WINDOW w AS (PARTITION BY job_id ORDER BY sec, pt_seq)),
 fi AS (SELECT job_id, sec AS t0, lat AS la0, lng AS ln0, ele AS e0, next[1] AS t1, next[2] AS la1, next[3] AS ln1, next[4] AS e1, n FROM pt WHERE k = 1),
 la AS (SELECT job_id, sec AS u1, lat AS lb1, lng AS lm1, ele AS f1, prev[1] AS u0, prev[2] AS lb0, prev[3] AS lm0, prev[4] AS f0 FROM pt WHERE k = n),
-q AS (SELECT tm.job_id, tm.frame_idx, CAST(tm.sec AS DOUBLE) AS t, (SELECT min(pt.k) FROM pt WHERE pt.job_id = tm.job_id AND pt.sec >= tm.sec) AS j FROM tm),
+q AS (SELECT tm.job_id, tm.frame_idx, CAST(tm.sec AS DOUBLE) AS t, pt.k AS j FROM tm ASOF LEFT JOIN pt ON pt.job_id = tm.job_id AND tm.sec <= pt.sec),
 g AS (SELECT q.job_id, q.frame_idx, q.t, b.sec AS s1, b.lat AS blat, b.lng AS blng, b.ele AS bele, a.sec AS s0, a.lat AS alat, a.lng AS alng, a.ele AS aele, fi.*, la.* FROM q LEFT JOIN pt b ON b.job_id = q.job_id AND b.k = greatest(q.j, 2) LEFT JOIN pt a ON a.job_id = q.job_id AND a.k = greatest(q.j, 2) - 1 JOIN fi ON fi.job_id = q.job_id JOIN la ON la.job_id = q.job_id),
 r AS (SELECT job_id, frame_idx, {{0}} AS lat, {{1}} AS lng, {{2}} AS ele FROM g)"""
 
@@ -166,9 +177,11 @@ def oracle_sql() -> dict[str, str]:
         "start_time": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 1767225600 + event_id % 60 WHEN 1 THEN 1770084306 END AS start_s FROM events",
         "fps_parse": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN round(30000 / 1001, 4) WHEN 1 THEN CAST(event_id % 50 + 10 AS DOUBLE) ELSE 30e0 END AS fps, CASE event_id % 3 WHEN 0 THEN 90 ELSE 0 END AS rotation FROM events",
         "exif_time": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN 1767225600 + (event_id % 9) * 86400 + 36000 + event_id % 60 END AS taken_s FROM events",
-        "gpx_points": f"WITH tr AS ({scenes.TRACK}), b AS (SELECT * FROM tr UNION ALL SELECT job_id, pt_seq + 1000, sec, lat, lng, 0e0 FROM tr WHERE pt_seq % 10 = 0) SELECT job_id, pt_seq, row_number() OVER (PARTITION BY job_id ORDER BY sec, pt_seq) - 1 AS place, sec, lat, lng, ele FROM b",
+        "gpx_points": f"WITH tr AS ({scenes.TRACK}), b AS (SELECT *, 0 AS kind FROM tr UNION ALL SELECT job_id, pt_seq, sec, lat, lng, 0e0, 1 FROM tr WHERE pt_seq % 10 = 0) SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY sec, kind, pt_seq) - 1 AS place, sec, lat, lng, ele FROM b",
         "parse_labels": f"""WITH l AS (SELECT event_id, 0 AS line_no, CASE WHEN event_id % 3 = 0 THEN CAST('0.' || event_id AS DOUBLE) ELSE 0e0 END AS confidence FROM events UNION ALL SELECT event_id, 5, 0e0 FROM events)
 SELECT event_id, line_no, CAST(event_id % 28 AS INTEGER) AS class_id, 0.5e0 AS cx, 0.25e0 AS cy, 0.1e0 AS w, 0.2e0 AS h, confidence FROM l""",
+        "label_files": """WITH l AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST('0.' || event_id AS DOUBLE) ELSE 0e0 END AS confidence FROM events UNION ALL SELECT event_id, 0e0 FROM events)
+SELECT event_id % 100 AS stem, count(*) AS n, CAST(sum(event_id % 28) AS BIGINT) AS classes, round(sum(confidence), 4) AS confidence FROM l GROUP BY 1""",
         "frame_index": f"{_FILES}, f AS (SELECT job_id, path || '/' || lpad(event_id::VARCHAR, 9, '0') AS path, event_id % 5 <> 0 AS readable FROM files) SELECT job_id, path, frame_idx FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY path) - 1 AS frame_idx FROM f) x WHERE readable",
         "class_names": f"WITH params AS ({STEPS['params']}) SELECT event_id, CAST(event_id % 33 AS INTEGER) AS class_id, coalesce(p.class, 'class_' || event_id % 33) AS class FROM events LEFT JOIN params p ON p.class_id = event_id % 33",
         "class_params_join": chain("SELECT entry_seq, d.class, coalesce(p.min_conf, 0.25e0) AS min_conf, p.height_m, coalesce(p.eps_ft, 10e0) AS eps_ft, coalesce(p.offset_m, 3e0) AS offset_m, coalesce(p.max_m, 50e0) AS max_m, coalesce(p.stretch, 1.3e0) AS stretch, coalesce(p.min_frames, 1) AS min_frames FROM det d LEFT JOIN params p ON p.class = d.class", "det"),
@@ -198,19 +211,28 @@ SELECT event_id, line_no, CAST(event_id % 28 AS INTEGER) AS class_id, 0.5e0 AS c
         "tri_spread": chain("SELECT cluster_id, round(spread_deg, 3) AS spread_deg, a, b FROM geom", "geom"),
         "tri_solve": chain("SELECT cluster_id, singular, round(raw_lat, 5) AS raw_lat, round(raw_lon, 5) AS raw_lon FROM sol", "sol"),
         "tri_residuals": chain("SELECT cluster_id, round(residual_m, 2) AS residual_m, round(closest_m, 2) AS closest_m, round(farthest_m, 2) AS farthest_m FROM res", "res"),
-        "tri_gates": chain("SELECT cluster_id, class, CASE WHEN reject_reason IS NULL THEN 'ok' ELSE 'rejected' END AS status, reject_reason, nr AS n_rays, n_cluster FROM tri", "tri"),
+        "tri_gates": chain("SELECT cluster_id, class, CASE WHEN reject_reason IS NULL THEN 'ok' ELSE 'rejected' END AS status, reject_reason, nr AS n_rays, n_cluster, CASE WHEN nr > 1 THEN round(round(baseline_m, 2), 1) END AS baseline_m, CASE WHEN nr > 1 THEN round(round(spread_deg, 2), 1) END AS spread_deg, CASE WHEN nr > 1 AND coalesce(reject_reason, '') <> 'singular_matrix' THEN round(round(residual_m, 2), 1) END AS residual_m, CASE WHEN nr > 1 AND coalesce(reject_reason, '') <> 'singular_matrix' THEN round(round(closest_m, 2), 1) END AS closest_m, CASE WHEN nr > 1 AND coalesce(reject_reason, '') <> 'singular_matrix' THEN round(round(farthest_m, 2), 1) END AS farthest_m, CASE WHEN nr > 1 AND coalesce(reject_reason, '') <> 'singular_matrix' THEN round(round(raw_lat, 7), 6) END AS raw_lat, CASE WHEN nr > 1 AND coalesce(reject_reason, '') <> 'singular_matrix' THEN round(round(raw_lon, 7), 6) END AS raw_lon FROM tri", "tri"),
         "fallback_point": chain("SELECT cluster_id, round(base_lat, 6) AS base_lat, round(base_lon, 6) AS base_lon, round(max_d, 3) AS max_d, round(offset_m, 4) AS offset_m, round(proj_bearing, 1) AS proj_bearing, round(fb_lat, 6) AS fb_lat, round(fb_lon, 6) AS fb_lon FROM fal", "fal"),
         "placement": chain("SELECT cluster_id, class, round(lat, 6) AS lat, round(lon, 6) AS lon, coord_source, clamp_reason, n AS num_detections_merged, coords_from_frame, image_from_frame FROM ass", "ass"),
         "pin_recompute": chain("SELECT cluster_id, round(distance_m, 1) AS distance_m, round(obj_bearing, 0) AS obj_bearing FROM ass", "ass"),
-        "conflict_pairs": chain(f"SELECT job_id, a, b, round(d, 1) AS dist_ft FROM (SELECT x.job_id, x.cluster_id AS a, y.cluster_id AS b, {_ft('x.lat', 'x.lon', 'y.lat', 'y.lon')} AS d FROM ass x JOIN confused c ON c.class_a = x.class JOIN ass y ON y.class = c.class_b AND y.job_id = x.job_id AND x.cluster_id < y.cluster_id WHERE list_min(x.times) - 8 <= list_max(y.times) AND list_min(y.times) - 8 <= list_max(x.times)) p WHERE d <= 50", "ass"),
-        "geojson_features": chain("SELECT job_id, type, class_id, class_name, confidence, frame_num, video_sec, timestamp, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, elevation_m, distance_m, obj_bearing, cam_lat, bbox_cx, bbox_h, gps_source, image_file FROM feat"),
-        "deduped_features": chain("SELECT job_id, 'detection' AS type, class_id, class AS class_name, confidence, n AS num_detections_merged, round(lat, 6) AS latitude, round(lon, 6) AS longitude, cam_lat, gps_source, image_file, timestamp_iso AS timestamp, video_sec FROM ass", "ass"),
-        "assets_report": chain("SELECT coalesce(nullif(coords_from_frame, 0)::VARCHAR, nullif(image_from_frame, 0)::VARCHAR, timestamp_iso) AS asset_id, class, round(lat, 6) AS solved_lat, round(lon, 6) AS solved_lon, coord_source AS solve_method, n AS num_observations, coalesce(reject_reason, clamp_reason) AS rejection_reason, array_to_string(frames, '|') AS source_frames, class_id, confidence, timestamp_iso, coords_from_frame, image_from_frame FROM ass", "ass"),
-        "tri_debug_report": chain("""SELECT t.class, x.frame_id AS frame_a, y.frame_id AS frame_b, x.cam_lat AS cam_a_lat, y.cam_lat AS cam_b_lat, x.obj_bearing AS obj_bearing_a, y.obj_bearing AS obj_bearing_b, CASE WHEN t.nr > 1 THEN round(round(t.spread_deg, 2), 1) END AS intersection_angle_deg, t.nr AS n_rays, t.n AS n_cluster, CASE WHEN t.reject_reason IS NULL THEN 'True' ELSE 'False' END AS accept, t.reject_reason
+        "conflict_pairs": chain("SELECT job_id, a, b, round(d, 1) AS dist_ft FROM pairs", "pairs"),
+        "geojson_features": chain("SELECT * REPLACE (round(latitude, 6) AS latitude, round(longitude, 6) AS longitude) FROM feat"),
+        "deduped_features": chain("SELECT job_id, 'detection' AS type, class_id, class AS class_name, confidence, n AS num_detections_merged, round(lat, 6) AS latitude, round(lon, 6) AS longitude, 0e0 AS elevation_m, round(distance_m, 1) AS distance_m, round(obj_bearing, 0) AS obj_bearing, cam_lat, cam_lng, cam_bearing, gps_source, image_file, timestamp_iso AS timestamp, video_sec, array_to_string(list_transform(times, lambda z: CAST(z AS VARCHAR)), '|') AS members_video_sec FROM ass", "ass"),
+        "assets_report": chain("""SELECT job_id, coalesce(nullif(coords_from_frame, 0)::VARCHAR, nullif(image_from_frame, 0)::VARCHAR, timestamp_iso) AS asset_id, class, round(lat, 6) AS solved_lat, round(lon, 6) AS solved_lon, coord_source AS solve_method, n AS num_observations, round(mean_conf, 3) AS mean_conf, CASE WHEN nr > 1 THEN round(round(baseline_m, 2), 1) END AS baseline_m, CASE WHEN nr > 1 THEN round(round(spread_deg, 2), 1) END AS ray_angle_deg, CASE WHEN reject_reason IS NULL THEN round(round(residual_m, 2), 1) END AS residual_m, coalesce(reject_reason, clamp_reason) AS rejection_reason, array_to_string(frames, '|') AS source_frames, CASE WHEN nr > 1 AND coalesce(reject_reason, '') <> 'singular_matrix' THEN round(round(raw_lat, 7), 6) END AS raw_tri_lat, CASE WHEN nr > 1 AND coalesce(reject_reason, '') <> 'singular_matrix' THEN round(round(raw_lon, 7), 6) END AS raw_tri_lon, CASE WHEN nr > 1 AND coalesce(reject_reason, '') <> 'singular_matrix' THEN round(round(closest_m, 2), 1) END AS tri_closest_dist_m, CASE WHEN nr > 1 AND coalesce(reject_reason, '') <> 'singular_matrix' THEN round(round(farthest_m, 2), 1) END AS tri_farthest_dist_m, class_id, confidence, 0e0 AS elevation_m, round(distance_m, 1) AS distance_m, round(obj_bearing, 0) AS obj_bearing, cam_lat, cam_lng, cam_bearing, round(offset_m, 4) AS offset_m, round(proj_bearing, 1) AS offset_bearing, gps_source, timestamp_iso, video_sec, array_to_string(list_transform(times, lambda z: CAST(z AS VARCHAR)), '|') AS members_video_sec, image_file, coords_from_frame, image_from_frame FROM ass""", "ass"),
+        "tri_debug_report": chain("""SELECT t.job_id, t.class, x.frame_id AS frame_a, y.frame_id AS frame_b, x.cam_lat AS cam_a_lat, x.cam_lng AS cam_a_lng, x.cam_bearing AS cam_a_bearing, y.cam_lat AS cam_b_lat, y.cam_lng AS cam_b_lng, y.cam_bearing AS cam_b_bearing, CASE WHEN t.nr > 1 THEN round(round(t.baseline_m, 2), 1) END AS baseline_m, CASE WHEN t.nr > 1 AND coalesce(t.reject_reason, '') <> 'singular_matrix' THEN round(round(t.raw_lat, 7), 6) END AS solved_lat, CASE WHEN t.nr > 1 AND coalesce(t.reject_reason, '') <> 'singular_matrix' THEN round(round(t.raw_lon, 7), 6) END AS solved_lon, CASE WHEN t.nr > 1 AND coalesce(t.reject_reason, '') <> 'singular_matrix' THEN round(round(t.closest_m, 2), 1) END AS distance_from_track_m, CASE WHEN t.nr > 1 AND coalesce(t.reject_reason, '') <> 'singular_matrix' THEN round(round(t.farthest_m, 2), 1) END AS farthest_from_track_m, CASE WHEN t.nr > 1 AND coalesce(t.reject_reason, '') <> 'singular_matrix' THEN round(round(t.residual_m, 2), 1) END AS residual_m, x.obj_bearing AS obj_bearing_a, y.obj_bearing AS obj_bearing_b, CASE WHEN t.nr > 1 THEN round(round(t.spread_deg, 2), 1) END AS intersection_angle_deg, t.nr AS n_rays, t.n AS n_cluster, CASE WHEN t.reject_reason IS NULL THEN 'True' ELSE 'False' END AS accept, t.reject_reason
 FROM (SELECT p.*, coalesce(p.a, m.a1) AS a2, coalesce(p.b, m.b1) AS b2 FROM pl p JOIN (SELECT cluster_id, min(CASE WHEN k = 1 THEN entry_seq END) AS a1, min(CASE WHEN k = 2 THEN entry_seq END) AS b1 FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY entry_seq) AS k FROM mem) z GROUP BY cluster_id) m USING (cluster_id)) t LEFT JOIN mem x ON x.entry_seq = t.a2 LEFT JOIN mem y ON y.entry_seq = t.b2""", "pl"),
-        "kml_placemarks": chain("""SELECT job_id, class || ' (' || printf('%.1f', confidence * 100) || '%)' || CASE WHEN n > 1 THEN ' ×' || n ELSE '' END AS name, '#detection' AS style_url, timestamp_iso AS when_iso FROM ass
-UNION ALL SELECT job_id, 'Track @' || printf('%.1f', video_sec) || 's', '#gpstrack', timestamp FROM feat WHERE type = 'gps_track'"""),
-        "path_log": chain("SELECT cluster_id, '[PATH] cls=' || class || ' src=' || coord_source || ' cluster_n=' || n || ' bearings=' || bearings || ' unique_cam_pos=' || unique_cam_pos || ' tri_ok=' || CASE WHEN use THEN 'True' ELSE 'False' END || ' tri_reject=' || coalesce(clamp_reason, '-') AS line FROM ass", "ass"),
-        "job_summary": chain("""SELECT r.job_id, raw_detections, frames_processed, kept_detections, no_gps_drops, detections_per_frame, detections, CASE WHEN raw_detections = 0 THEN 'no boxes' WHEN kept_detections = 0 THEN 'class filter dropped all' WHEN no_gps_drops > 0 THEN 'some without position' ELSE 'complete' END AS hint
-FROM (SELECT job_id, count(*) AS raw_detections, count(DISTINCT frame_idx) AS frames_processed FROM scene GROUP BY 1) r JOIN (SELECT job_id, count(*) AS kept_detections, count(*) FILTER (WHERE cam_lat IS NULL) AS no_gps_drops, count(*) FILTER (WHERE cam_lat IS NOT NULL) AS detections_per_frame FROM kept GROUP BY 1) k USING (job_id) JOIN (SELECT job_id, count(*) AS detections FROM ass GROUP BY 1) a USING (job_id)""", "ass"),
+        "kml_placemarks": chain("""SELECT job_id, class || ' (' || pct || ')' || CASE WHEN n > 1 THEN ' ×' || n ELSE '' END AS name, '#detection' AS style_url, timestamp_iso AS when_iso, concat_ws('', '<b>' || class || '</b> — ' || pct, CASE WHEN n > 1 THEN ' &nbsp;(merged from ' || n || ' frames)' END, '<br/>Video: ' || CAST(video_sec AS VARCHAR) || 's &nbsp;|&nbsp; GPS: ' || coalesce(gps_source, 'None') || '<br/><b>Object:</b> ' || CAST(round(lat, 5) AS VARCHAR) || ', ' || CAST(round(lon, 5) AS VARCHAR) || '<br/>', 'Distance from camera: ' || CAST(round(distance_m, 0) AS VARCHAR) || ' m' || coalesce(' &nbsp;|&nbsp; Bearing to object: ' || CAST(round(obj_bearing, 0) AS VARCHAR) || '°', '') || '<br/>', '<i>Camera pos:</i> ' || CAST(cam_lat AS VARCHAR) || ', ' || CAST(cam_lng AS VARCHAR) || coalesce(' &nbsp;(heading ' || CAST(cam_bearing AS VARCHAR) || '°)', '') || '<br/>', timestamp_iso || '<br/>', '<br/><img src="images/' || image_file || '" width="480"/>') AS description, round(lon, 5) AS longitude, round(lat, 5) AS latitude, 0e0 AS elevation_m FROM (SELECT *, printf('%.1f', confidence * 100) || '%' AS pct FROM ass) a
+UNION ALL SELECT job_id, 'Track @' || CAST(video_sec AS VARCHAR) || 's', '#gpstrack', timestamp, 'GPS track point<br/>Source: ' || coalesce(gps_source, 'None') || '<br/>' || timestamp, longitude, latitude, elevation_m FROM feat WHERE type = 'gps_track'"""),
+        "kml_document": chain("""SELECT CAST(ord AS INTEGER) AS ord, n, CASE WHEN ord IN (0, 9) THEN 0 ELSE n END AS placemarks, CASE WHEN ord IN (0, 9) THEN 0 ELSE n END AS closed FROM (SELECT 0 AS ord, 1 AS n UNION ALL SELECT 9, 1 UNION ALL SELECT unnest([1, 2, 3]), (SELECT count(*) FROM (SELECT job_id FROM (SELECT DISTINCT job_id, frame_idx FROM det WHERE cam_lat IS NOT NULL) f GROUP BY job_id HAVING count(*) >= 2) j)
+UNION ALL SELECT 4, (SELECT count(*) FROM ass) UNION ALL SELECT 5, (SELECT count(*) FROM feat WHERE type = 'gps_track')) x WHERE n > 0"""),
+        "path_log": chain("SELECT job_id, cluster_id, CAST(ord AS INTEGER) AS ord, line FROM log", "log"),
+        "log_tail": chain("SELECT job_id, CAST(place AS INTEGER) AS place, cluster_id, CAST(ord AS INTEGER) AS ord FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY cluster_id DESC, ord DESC) AS place FROM log) t WHERE place <= 40", "log"),
+        "cross_class_dedup": chain("SELECT job_id, cluster_id, class FROM ass WHERE cluster_id NOT IN (SELECT cluster_id FROM gone)", "gone"),
+        "job_summary": chain(f"""SELECT f.job_id, frames_processed, ocr_hits, gpx_hits, ocr_misses_count, coalesce(ocr_misses, '') AS ocr_misses, coalesce(ocr_samples, '') AS ocr_samples, coalesce(raw_detections, 0) AS raw_detections, coalesce(kept_detections, 0) AS kept_detections, coalesce(no_gps_drops, 0) AS no_gps_drops, coalesce(detections_per_frame, 0) AS detections_per_frame, coalesce(detections, 0) AS detections,
+  CASE WHEN coalesce(raw_detections, 0) = 0 THEN 'no boxes' WHEN coalesce(kept_detections, 0) = 0 THEN 'class filter dropped all' WHEN no_gps_drops > 0 THEN 'some without position' ELSE 'complete' END AS hint
+FROM (SELECT job_id, count(*) AS frames_processed, count(*) FILTER (WHERE gps_source = 'ocr') AS ocr_hits, count(*) FILTER (WHERE gps_source = 'gpx') AS gpx_hits, count(*) FILTER (WHERE gps_source IS DISTINCT FROM 'ocr') AS ocr_misses_count FROM ({scenes.FRAMES}) x GROUP BY 1) f
+  LEFT JOIN (SELECT job_id, string_agg(frame_idx::VARCHAR, '|' ORDER BY frame_idx) FILTER (WHERE k <= 20) AS ocr_misses, string_agg(frame_idx || ':' || top_text, '|' ORDER BY frame_idx) FILTER (WHERE k <= 8) AS ocr_samples FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY frame_idx) AS k FROM ({scenes.FRAMES}) x WHERE gps_source IS DISTINCT FROM 'ocr') m GROUP BY 1) m USING (job_id)
+  LEFT JOIN (SELECT job_id, count(*) AS raw_detections FROM scene GROUP BY 1) r USING (job_id)
+  LEFT JOIN (SELECT job_id, count(*) AS kept_detections, count(*) FILTER (WHERE cam_lat IS NULL) AS no_gps_drops, count(*) FILTER (WHERE cam_lat IS NOT NULL) AS detections_per_frame FROM kept GROUP BY 1) k USING (job_id)
+  LEFT JOIN (SELECT job_id, count(*) AS detections FROM ass WHERE cluster_id NOT IN (SELECT cluster_id FROM gone) GROUP BY 1) a USING (job_id)""", "gone"),
     }

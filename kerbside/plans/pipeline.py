@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kerbside import params as P
@@ -65,12 +65,24 @@ def from_boxes(spark: SparkSession, boxes: DataFrame, conf: float = P.DEFAULT_CO
     return Result(spark, boxes, conf, suppress_conflicts)
 
 
-def job_summary(boxes: DataFrame, kept: DataFrame, assets: DataFrame) -> DataFrame:
-    """Per job: raw and kept boxes, kept ones without a pose, boxes and frames shown, assets, and a hint of what happened."""
-    raw = boxes.groupBy("job_id").agg(F.count("*").alias("raw_detections"), F.count_distinct("frame_idx").alias("frames_processed"))
+def job_summary(frames: DataFrame, boxes: DataFrame, kept: DataFrame, assets: DataFrame, misses: int = 20, samples: int = 8) -> DataFrame:
+    """One row for each job of frames: frames and where their poses are from, boxes and kept ones, those without a pose and those shown, assets, the first misses and samples of text recognition, and a hint of what happened.
+
+    frames: job_id, frame_idx, gps_source ('ocr', 'gpx' or null), top_text; a miss is a frame whose pose isn't from its
+    text. Lists are cut to their first entries before they are gathered: a report, limited as such. Jobs without boxes
+    have zeros.
+    """
+    missed = F.coalesce(F.col("gps_source") != "ocr", F.lit(True))
+    f = frames.groupBy("job_id").agg(F.count("*").alias("frames_processed"), F.count_if(~missed).alias("ocr_hits"), F.count_if(F.col("gps_source") == "gpx").alias("gpx_hits"), F.count_if(missed).alias("ocr_misses_count"))
+    first = frames.where(missed).withColumn("k", F.row_number().over(Window.partitionBy("job_id").orderBy("frame_idx"))).where(F.col("k") <= max(misses, samples))
+    entry = F.struct("k", F.col("frame_idx").cast("string").alias("frame"), F.substring(F.coalesce(F.btrim("top_text"), F.lit("")), 1, 200).alias("text"))
+    first = first.groupBy("job_id").agg(F.array_sort(F.collect_list(entry)).alias("m"))
+    listed = lambda n, make: F.array_join(F.transform(F.filter("m", lambda x: x["k"] <= n), make), "|")
+    first = first.select("job_id", listed(misses, lambda x: x["frame"]).alias("ocr_misses"), listed(samples, lambda x: F.concat(x["frame"], F.lit(":"), x["text"])).alias("ocr_samples"))
+    raw = boxes.groupBy("job_id").agg(F.count("*").alias("raw_detections"))
     k = kept.groupBy("job_id").agg(F.count("*").alias("kept_detections"), F.count_if(F.col("cam_lat").isNull()).alias("no_gps_drops"), F.count_if(F.col("cam_lat").isNotNull()).alias("detections_per_frame"))
     a = assets.groupBy("job_id").agg(F.count("*").alias("detections"))
-    j = raw.join(k, "job_id", "left").join(a, "job_id", "left").na.fill(0)
+    j = f.join(first, "job_id", "left").join(raw, "job_id", "left").join(k, "job_id", "left").join(a, "job_id", "left").na.fill(0).na.fill("")
     hint = (
         F.when(F.col("raw_detections") == 0, "no boxes")
         .when(F.col("kept_detections") == 0, "class filter dropped all")

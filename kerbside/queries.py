@@ -12,7 +12,8 @@ from kerbside import scenes, sinks
 from kerbside.functions import geo, media, overlay
 from kerbside.operators import cluster, detect, merge, suppress, track, triangulate
 from kerbside.plans.pipeline import Result, from_boxes, job_summary
-from kerbside.sources import labels, listing
+from kerbside.plans.scratch import Scratch
+from kerbside.sources import gpx, labels, listing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -145,13 +146,18 @@ def _track(s: SparkSession, d: str) -> DataFrame:
 
 
 def gpx_points(s: SparkSession, d: str) -> DataFrame:
+    """The track written as GPX, a folder of files a job, with each tenth point as a waypoint too, and read back."""
     t = scenes.track(s, d)
-    wpt = t.where("pt_seq % 10 = 0").withColumn("pt_seq", F.col("pt_seq") + 1000).withColumn("ele", F.lit(0.0))
-    from pyspark.sql import Window
-
-    both = t.unionByName(wpt)
-    n = F.row_number().over(Window.partitionBy("job_id").orderBy("ts", "pt_seq")) - 1
-    return both.select("job_id", "pt_seq", n.cast("long").alias("place"), "sec", "lat", "lng", "ele")
+    tag = lambda name: F.format_string(f'<{name} lat="%s" lon="%s"><ele>%s</ele><time>%s</time></{name}>', F.col("lat").cast("string"), F.col("lng").cast("string"), F.col("ele").cast("string"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    wpt = t.where("pt_seq % 10 = 0").withColumn("ele", F.lit(0.0))
+    path = Scratch(s).path("gpx")
+    jobs = t.select("job_id").distinct()
+    rows = t.select("job_id", F.lit(1).alias("ord"), tag("trkpt").alias("value")).union(wpt.select("job_id", F.lit(3), tag("wpt")))
+    for ord_, text in ((0, '<gpx version="1.1"><trk><trkseg>'), (2, "</trkseg></trk>"), (4, "</gpx>")):
+        rows = rows.union(jobs.select("job_id", F.lit(ord_), F.lit(text)))
+    rows.repartition("job_id").sortWithinPartitions("job_id", "ord").drop("ord").write.partitionBy("job_id").text(path)
+    p = gpx.gpx_points(s, path, lambda file: F.regexp_extract(file, "job_id=([0-9]+)", 1).cast("long"))
+    return p.select("job_id", F.col("pt_seq").alias("place"), F.unix_seconds("ts").alias("sec"), "lat", "lng", "ele")
 
 
 def gps_interpolate(s: SparkSession, d: str) -> DataFrame:
@@ -160,6 +166,7 @@ def gps_interpolate(s: SparkSession, d: str) -> DataFrame:
 
 
 def pose_resolve(s: SparkSession, d: str) -> DataFrame:
+    """Poses of all frames; of odd ones the text wasn't read, so theirs are from the track."""
     ocr = _ocr(s, d).where("o IS NOT NULL AND frame_idx % 2 = 0").select("job_id", "frame_idx", "o.lat", "o.lng", "o.bearing")
     frames = scenes.times(s, d).select("job_id", "frame_idx")
     p = track.resolved(frames, ocr, _track(s, d))
@@ -175,16 +182,27 @@ def track_line(s: SparkSession, d: str) -> DataFrame:
     return t.select("job_id", "n_points", F.size(F.split("coordinates", " ")).alias("n_coordinates"), "start_iso", "end_iso")
 
 
+def _label_text(i: Column) -> Column:
+    line = F.concat((i % 28).cast("string"), F.lit(" 0.5 0.25  0.1 0.2"))
+    more = F.when(i % 3 == 0, F.concat(F.lit(" 0."), i.cast("string"))).otherwise("")
+    return F.concat(line, more, F.lit("\n1 2 3\nx 0.1 0.1 0.1 0.1 0.9\n\n"), line, F.lit(" nope\n"), line)
+
+
 def parse_labels(s: SparkSession, d: str) -> DataFrame:
     e = s.read.parquet(f"{d}/events.parquet").select("event_id")
-    i = F.col("event_id").cast("string")
-    line = F.concat((F.col("event_id") % 28).cast("string"), F.lit(" 0.5 0.25  0.1 0.2"))
-    more = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" 0."), i)).otherwise("")
-    value = F.concat(line, more, F.lit("\n1 2 3\nx 0.1 0.1 0.1 0.1 0.9\n\n"), line, F.lit(" nope\n"), line)
-    p = labels.parsed(e.select("event_id", value.alias("value")))
+    p = labels.parsed(e.select("event_id", _label_text(F.col("event_id")).alias("value")))
     return p.select("event_id", "line_no", "class_id", "cx", "cy", "w", "h", "confidence")
 
 
+def label_files(s: SparkSession, d: str) -> DataFrame:
+    """Label files, one for each hundredth of the events by number, written and read back: lines and sums of what they hold."""
+    e = s.read.parquet(f"{d}/events.parquet").select((F.col("event_id") % 100).alias("f"), _label_text(F.col("event_id")).alias("value"))
+    path = Scratch(s).path("labels")
+    e.repartition("f").write.partitionBy("f").text(path)
+    p = labels.label_files(s, path, lambda file: F.regexp_extract(file, "f=([0-9]+)", 1).cast("long"))
+    return p.groupBy("stem").agg(F.count("*").alias("n"), F.sum("class_id").alias("classes"), F.round(F.sum("confidence"), 4).alias("confidence"))
+
+
 def frame_index(s: SparkSession, d: str) -> DataFrame:
     f = scenes.derive(s, d, scenes.LISTING).select("job_id", F.concat("path", F.lit("/"), F.lpad(F.col("event_id").cast("string"), 9, "0")).alias("path"), (F.col("event_id") % 5 != 0).alias("readable"))
     return track.indexed(f).select("job_id", "path", "frame_idx")
@@ -313,7 +331,9 @@ def tri_residuals(s: SparkSession, d: str) -> DataFrame:
 
 
 def tri_gates(s: SparkSession, d: str) -> DataFrame:
-    return _run(s, d).tri.select("cluster_id", "class", "status", "reject_reason", "n_rays", "n_cluster")
+    t = _run(s, d).tri
+    near = lambda c, n: F.round(c, n).alias(c)
+    return t.select("cluster_id", "class", "status", "reject_reason", "n_rays", "n_cluster", near("baseline_m", 1), near("spread_deg", 1), near("residual_m", 1), near("closest_m", 1), near("farthest_m", 1), near("raw_lat", 6), near("raw_lon", 6))
 
 
 def fallback_point(s: SparkSession, d: str) -> DataFrame:
@@ -342,48 +362,58 @@ def cross_class_dedup(s: SparkSession, d: str) -> DataFrame:
 
 
 def geojson_features(s: SparkSession, d: str) -> DataFrame:
-    p = detect.detections(_projected(s, d))
-    f = sinks.frame_features(_frames(s, d), p)
-    return f.select("job_id", "type", "class_id", "class_name", "confidence", "frame_num", "video_sec", "timestamp", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"), "elevation_m", "distance_m", "obj_bearing", "cam_lat", "bbox_cx", "bbox_h", "gps_source", "image_file")
+    f = sinks.frame_features(_frames(s, d), detect.detections(_projected(s, d)))
+    return f.withColumns({"latitude": F.round("latitude", 6), "longitude": F.round("longitude", 6)})
 
 
 def deduped_features(s: SparkSession, d: str) -> DataFrame:
     f = sinks.asset_features(_run(s, d).placed)
-    return f.select("job_id", "type", "class_id", "class_name", "confidence", "num_detections_merged", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"), "cam_lat", "gps_source", "image_file", "timestamp", "video_sec")
+    return f.withColumns({"latitude": F.round("latitude", 6), "longitude": F.round("longitude", 6), "distance_m": F.round("distance_m", 1), "obj_bearing": F.round("obj_bearing", 0), "members_video_sec": sinks.joined(F.col("members_video_sec"))})
 
 
 def assets_report(s: SparkSession, d: str) -> DataFrame:
-    a = sinks.assets_report(_run(s, d).placed)
-    return a.select("asset_id", "class", F.round("solved_lat", 6).alias("solved_lat"), F.round("solved_lon", 6).alias("solved_lon"), "solve_method", "num_observations", "rejection_reason", "source_frames", "class_id", "confidence", "timestamp_iso", "coords_from_frame", "image_from_frame")
+    places = {"solved_lat": 6, "solved_lon": 6, "mean_conf": 3, "baseline_m": 1, "ray_angle_deg": 1, "residual_m": 1, "raw_tri_lat": 6, "raw_tri_lon": 6, "tri_closest_dist_m": 1, "tri_farthest_dist_m": 1, "distance_m": 1, "obj_bearing": 0, "offset_m": 4}
+    return sinks.assets_report(_run(s, d).placed).withColumns({c: F.round(c, n) for c, n in places.items()})
 
 
 def tri_debug_report(s: SparkSession, d: str) -> DataFrame:
-    a = sinks.tri_debug_report(_run(s, d).placed)
-    return a.select("class", "frame_a", "frame_b", "cam_a_lat", "cam_b_lat", "obj_bearing_a", "obj_bearing_b", F.round("intersection_angle_deg", 1).alias("intersection_angle_deg"), "n_rays", "n_cluster", "accept", "reject_reason")
+    places = {"baseline_m": 1, "intersection_angle_deg": 1, "solved_lat": 6, "solved_lon": 6, "distance_from_track_m": 1, "farthest_from_track_m": 1, "residual_m": 1}
+    return sinks.tri_debug_report(_run(s, d).placed).withColumns({c: F.round(c, n) for c, n in places.items()})
 
 
 def kml_placemarks(s: SparkSession, d: str) -> DataFrame:
-    det = detect.detections(_projected(s, d))
-    tracks = sinks.frame_features(_frames(s, d), det).where("type = 'gps_track'")
-    m = sinks.placemarks(sinks.asset_features(_run(s, d).placed).unionByName(tracks, allowMissingColumns=True))
-    return m.select("job_id", "name", "style_url", "when_iso")
+    """Placemarks with their whole popups; positions and distances of assets, as they are texts here, to a metre and a degree."""
+    tracks = sinks.frame_features(_frames(s, d), detect.detections(_projected(s, d))).where("type = 'gps_track'")
+    assets = sinks.asset_features(_run(s, d).placed).withColumns({"latitude": F.round("latitude", 5), "longitude": F.round("longitude", 5), "distance_m": F.round("distance_m", 0), "obj_bearing": F.round("obj_bearing", 0)})
+    return sinks.placemarks(assets.unionByName(tracks, allowMissingColumns=True))
+
+
+def kml_document(s: SparkSession, d: str) -> DataFrame:
+    """The whole KML document of kml_placemarks and track_line: rows by part, and their lengths together."""
+    k = sinks.kml_document("all", sinks.track_line(_frames(s, d)), kml_placemarks(s, d))
+    return k.groupBy("ord").agg(F.count("*").alias("n"), F.count_if(F.col("value").startswith("<Placemark>")).alias("placemarks"), F.count_if(F.col("value").endswith("</Placemark>")).alias("closed"))
 
 
 def path_log(s: SparkSession, d: str) -> DataFrame:
-    return sinks.path_log(_run(s, d).placed).where(F.col("line").startswith("[PATH]")).select("cluster_id", F.regexp_replace("line", r" proj_dist=.*$", "").alias("line"))
+    return sinks.path_log(_run(s, d).placed)
+
+
+def log_tail(s: SparkSession, d: str) -> DataFrame:
+    """The last 40 log lines of each job: a report, limited as such."""
+    return sinks.last_lines(sinks.path_log(_run(s, d).placed)).select("job_id", "place", "cluster_id", "ord")
 
 
 def job_summary_query(s: SparkSession, d: str) -> DataFrame:
-    r = _run(s, d)
-    return job_summary(scenes.scene(s, d), r.kept, r.placed)
+    r = _run(s, d, True)
+    return job_summary(scenes.derive(s, d, scenes.FRAMES), scenes.scene(s, d), r.kept, r.assets)
 
 
 def queries() -> dict[str, Query]:
     plain = (
         flagship, haversine, destination, object_bearing, mono_distance, dms_decimal, project_detections, ocr_clean, ocr_coords, ocr_anchor, ocr_bearing, ocr_region_cascade, crop_rects, frame_time, start_time, fps_parse, exif_time,
-        gpx_points, parse_labels, frame_index, class_names, class_params_join, conf_filter, detector_threshold, image_count, incoming_images, latest_model, model_list, training_runs, run_counts, entries, frames_with_boxes, miss_sample,
+        gpx_points, parse_labels, label_files, frame_index, class_names, class_params_join, conf_filter, detector_threshold, image_count, incoming_images, latest_model, model_list, training_runs, run_counts, entries, frames_with_boxes, miss_sample,
         gps_interpolate, pose_resolve, track_line, class_groups, proximity_pairs, clusters, min_frames_filter, area_norm, cluster_best, cluster_stats,
         tri_local_xy, tri_baseline, tri_spread, tri_solve, tri_residuals, tri_gates, fallback_point, placement, pin_recompute, conflict_pairs, cross_class_dedup,
-        geojson_features, deduped_features, assets_report, tri_debug_report, kml_placemarks, path_log,
+        geojson_features, deduped_features, assets_report, tri_debug_report, kml_placemarks, kml_document, path_log, log_tail,
     )
     return {f.__name__: f for f in plain} | {"job_summary": job_summary_query}

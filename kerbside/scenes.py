@@ -42,13 +42,22 @@ FROM (SELECT event_id, CAST(25 + event_id % 20 AS VARCHAR(9)) AS la, CAST(70 + e
   CAST(10000 + (event_id * 7919) % 89999 AS VARCHAR(9)) AS d1, CAST(10000 + (event_id * 104729) % 89999 AS VARCHAR(9)) AS d2 FROM events) t
 """
 
-#: A track point each seventh second of a job, and a camera time for each event, some of them outside.
+#: A track point for each event, seven seconds apart in its job, and a camera time for each event, all along the track
+#: and up to 350 s outside of it.
 TRACK = """
 SELECT event_id % 8 AS job_id, event_id AS pt_seq, CAST(FLOOR(event_id / 8) AS BIGINT) * 7 AS sec,
   30e0 + (event_id % 1000) / 1e3 AS lat, -86e0 - (event_id % 700) / 1e3 AS lng, CAST(event_id % 90 AS DOUBLE) AS ele
-FROM events WHERE event_id < 800
+FROM events
+"""
+TIMES = "SELECT event_id % 8 AS job_id, event_id AS frame_idx, CAST(FLOOR(event_id / 8) AS BIGINT) * 7 + CAST((event_id * 13) % 701 - 350 AS BIGINT) AS sec FROM events"
+
+#: Frames of the scene with where their pose is from and what their top strip says, and those of a job without boxes.
+FRAMES = """
+SELECT job_id, frame_idx, CASE WHEN (frame_idx*8+job_id) % 41 = 0 THEN NULL WHEN frame_idx % 5 = 0 THEN 'gpx' ELSE 'ocr' END AS gps_source,
+  concat('strip ', CAST(frame_idx AS VARCHAR(12))) AS top_text
+FROM (SELECT DISTINCT event_id % 8 AS job_id, CAST(FLOOR(FLOOR(event_id/8)/4) AS BIGINT) AS frame_idx FROM events
+UNION ALL SELECT 8 AS job_id, CAST(FLOOR(event_id/50) AS BIGINT) AS frame_idx FROM events WHERE event_id % 50 = 0) f
 """
-TIMES = "SELECT event_id % 8 AS job_id, event_id AS frame_idx, CAST((event_id * 13) % 1400 - 350 AS BIGINT) AS sec FROM events"
 
 #: Paths of images, weights and result files.
 LISTING = """

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside import params as P
+from kerbside.plans.scratch import Scratch
+
+#: Rows of a text document: part, order in the part, and a value of one line or more.
+ROWS = "ord int, key array<string>, value string"
 
+# Columns of the two tables, in order.
 ASSETS_COLUMNS = ("asset_id", "class", "solved_lat", "solved_lon", "solve_method", "num_observations", "mean_conf", "baseline_m", "ray_angle_deg", "residual_m", "rejection_reason", "source_frames", "raw_tri_lat", "raw_tri_lon", "tri_closest_dist_m", "tri_farthest_dist_m", "class_id", "confidence", "elevation_m", "distance_m", "obj_bearing", "cam_lat", "cam_lng", "cam_bearing", "offset_m", "offset_bearing", "gps_source", "timestamp_iso", "video_sec", "members_video_sec", "image_file", "coords_from_frame", "image_from_frame")
 DEBUG_COLUMNS = ("class", "frame_a", "frame_b", "cam_a_lat", "cam_a_lng", "cam_a_bearing", "cam_b_lat", "cam_b_lng", "cam_b_bearing", "obj_bearing_a", "obj_bearing_b", "baseline_m", "intersection_angle_deg", "solved_lat", "solved_lon", "distance_from_track_m", "farthest_from_track_m", "residual_m", "n_rays", "n_cluster", "accept", "reject_reason")
 
@@ -45,6 +47,17 @@ def geojson(features: DataFrame) -> DataFrame:
     return features.select("job_id", F.to_json(F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct(*(c for c in features.columns if c != "job_id")).alias("properties")), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def feature_collection(features: DataFrame) -> DataFrame:
+    """One GeoJSON document in rows (ord, key, value), a line a feature; written by write_text. No features: an empty collection."""
+    spark = features.sparkSession
+    key = F.monotonically_increasing_id()
+    lines = Scratch(spark).write(geojson(features).select(key.alias("key"), "value"), "lines")
+    last = lines.agg(F.coalesce(F.max("key"), F.lit(0))).first()[0]
+    rows = lines.select(F.lit(1).alias("ord"), order_key("key").alias("key"), F.concat("value", F.when(F.col("key") < last, ",").otherwise("")).alias("value"))
+    ends = spark.createDataFrame([(0, [""], '{"type": "FeatureCollection", "features": ['), (9, [""], "]}")], ROWS)
+    return ends.union(rows)
+
+
 def joined(c: Column) -> Column:
     return F.array_join(F.transform(c, lambda x: x.cast("string")), "|")
 
@@ -66,6 +79,9 @@ def tri_debug_report(assets: DataFrame) -> DataFrame:
     return assets.select("job_id", *((accept if c == "accept" else F.col(named.get(c, c))).alias(c) for c in DEBUG_COLUMNS))
 
 
+# The texts, signs and styles of placemarks and log lines below are fixed values.
+
+
 def placemarks(features: DataFrame) -> DataFrame:
     """Name, style and popup of each asset or track feature (unionByName of asset_features and the gps_track rows)."""
     percent = F.concat(F.format_string("%.1f", F.col("confidence") * 100), F.lit("%"))
@@ -91,7 +107,10 @@ def placemarks(features: DataFrame) -> DataFrame:
 
 
 def track_line(frames: DataFrame) -> DataFrame:
-    """Per job with two or more posed frames: coordinates in frame order, first and last time."""
+    """Per job with two or more posed frames: coordinates in frame order, first and last time.
+
+    The line is one element of the document, so a job's points (about 40 bytes each) are gathered in one row.
+    """
     f = frames.where("cam_lat IS NOT NULL AND cam_lng IS NOT NULL")
     point = F.concat_ws(",", *(F.col(c).cast("string") for c in ("cam_lng", "cam_lat", "ele")))
     pts = F.array_sort(F.collect_list(F.struct("frame_idx", point.alias("p"))))
@@ -100,25 +119,32 @@ def track_line(frames: DataFrame) -> DataFrame:
 
 
 def kml_document(name: str, lines: DataFrame, marks: DataFrame) -> DataFrame:
-    """KML in rows (ord, value): the frame around placemarks, one row each, so a document of any size is written by all tasks."""
+    """KML in rows (ord, key, value), written by write_text: the frame around placemarks, one row each."""
     spark = marks.sparkSession
     styles = (("trackLine", "<LineStyle><color>ffff7800</color><width>3</width></LineStyle>"), ("detection", "<IconStyle><scale>1.3</scale></IconStyle>"), ("gpstrack", "<IconStyle><scale>0.5</scale></IconStyle>"), ("start", "<IconStyle><scale>1.2</scale></IconStyle>"), ("end", "<IconStyle><scale>1.2</scale></IconStyle>"))
     head = '<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2">\n<Document>\n<name>' + name + "</name>\n" + "\n".join(f'<Style id="{k}">{v}</Style>' for k, v in styles)
-    ends = spark.createDataFrame([(0, head), (9, "</Document>\n</kml>")], "ord int, value string")
+    ends = spark.createDataFrame([(0, [""], head), (9, [""], "</Document>\n</kml>")], ROWS)
     coords = F.concat_ws(",", *(F.col(c).cast("string") for c in ("longitude", "latitude", "elevation_m")))
     safe = F.replace(F.replace(F.replace("name", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     mark = F.concat(F.lit("<Placemark>\n  <name>"), safe, F.lit("</name>\n  <styleUrl>"), F.col("style_url"), F.lit("</styleUrl>\n  <TimeStamp><when>"), F.col("when_iso"), F.lit("</when></TimeStamp>\n  <description><![CDATA["), F.col("description"), F.lit("]]></description>\n  <Point><coordinates>"), coords, F.lit("</coordinates></Point>\n</Placemark>"))
     line = F.concat(F.lit("<Placemark><name>GPS Track</name><styleUrl>#trackLine</styleUrl><LineString><tessellate>1</tessellate><coordinates>"), F.col("coordinates"), F.lit("</coordinates></LineString></Placemark>"))
     tip = lambda which, style, c, at: F.concat(F.lit(f"<Placemark><name>{which}</name><styleUrl>#{style}</styleUrl><description><![CDATA["), F.col(c), F.lit("]]></description><Point><coordinates>"), F.get(F.split("coordinates", " "), at), F.lit("</coordinates></Point></Placemark>"))
-    rows = lines.select(F.lit(1).alias("ord"), line.alias("value"))
-    rows = rows.union(lines.select(F.lit(2), tip("Start", "start", "start_iso", F.lit(0)))).union(lines.select(F.lit(3), tip("End", "end", "end_iso", (F.col("n_points") - 1).cast("int"))))
-    rows = rows.union(marks.select(F.when(F.col("style_url") == "#detection", 4).otherwise(5), mark))
+    by_job = order_key("job_id")
+    rows = lines.select(F.lit(1).alias("ord"), by_job.alias("key"), line.alias("value"))
+    rows = rows.union(lines.select(F.lit(2), by_job, tip("Start", "start", "start_iso", F.lit(0)))).union(lines.select(F.lit(3), by_job, tip("End", "end", "end_iso", (F.col("n_points") - 1).cast("int"))))
+    rows = rows.union(marks.select(F.when(F.col("style_url") == "#detection", 4).otherwise(5), F.concat(by_job, F.array(F.coalesce("when_iso", F.lit("")), F.coalesce("name", F.lit("")))), mark))
     return ends.union(rows)
 
 
+def order_key(*numbers: str) -> Column:
+    """Numbers as strings that sort as they do."""
+    return F.array(*(F.format_string("%020d", F.coalesce(F.col(c).cast("long"), F.lit(0))) for c in numbers))
+
+
 def write_text(rows: DataFrame, path: str) -> None:
-    """Rows (ord, value) as text files whose names follow ord."""
-    rows.repartitionByRange("ord").sortWithinPartitions("ord").select("value").write.text(path)
+    """Rows (see ROWS) as text files whose names follow ord and key, each written by a task of its own."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartitionByRange(parts, "ord", "key").sortWithinPartitions("ord", "key").select("value").write.text(path)
 
 
 def path_log(assets: DataFrame) -> DataFrame:
@@ -134,13 +160,7 @@ def path_log(assets: DataFrame) -> DataFrame:
     return assets.select("job_id", "cluster_id", F.posexplode(lines).alias("ord", "line"))
 
 
-def kmz(kml: bytes, images: dict[str, bytes], log: str | None = None) -> bytes:
-    """A KMZ of one job: the document, its crops and the log. One job's package; call it for a job at a time."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("doc.kml", kml)
-        for name, data in sorted(images.items()):
-            z.writestr(f"images/{name}", data)
-        if log is not None:
-            z.writestr("calibration.log", log)
-    return out.getvalue()
+def last_lines(log: DataFrame, n: int = 40) -> DataFrame:
+    """The last n lines of each job's log (path_log): a report, limited as such. Adds place, counted from the end."""
+    back = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("cluster_id"), F.desc("ord")))
+    return log.withColumn("place", back).where(F.col("place") <= n)

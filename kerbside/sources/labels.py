@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbside.functions.media import stem
@@ -23,7 +25,7 @@ def parsed(files: DataFrame) -> DataFrame:
     return f.dropna(subset=["class_id", "cx", "cy", "w", "h", "confidence"]).drop("p", "line")
 
 
-def label_files(spark: SparkSession, path: str) -> DataFrame:
-    """Boxes of all .txt files below path, with stem, the name that joins them to frames."""
+def label_files(spark: SparkSession, path: str, name: Callable[[Column], Column] = stem) -> DataFrame:
+    """Boxes of all .txt files below path, with stem, the name that joins them to frames: name() of the file's path."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path, wholetext=True)
-    return parsed(files.select(stem(F.col("_metadata.file_path")).alias("stem"), "value"))
+    return parsed(files.select(name(F.col("_metadata.file_path")).alias("stem"), "value"))

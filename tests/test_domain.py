@@ -1,3 +1,5 @@
+import bisect
+import json
 import math
 import random
 import zipfile
@@ -10,9 +12,10 @@ from kerbside import hooks, scenes, sinks
 from kerbside import params as P
 from kerbside.engine import Engine
 from kerbside.functions import geo, media, overlay
-from kerbside.operators import cluster, suppress, track, triangulate
+from kerbside.operators import cluster, detect, suppress, track, triangulate
 from kerbside.plans.components import connected_components
-from kerbside.plans.scratch import Scratch
+from kerbside.plans.pipeline import from_boxes, job_summary
+from kerbside.plans.scratch import Scratch, with_row_key
 from kerbside.sources import gpx, labels, listing
 from kerbside.streaming import entries as live
 
@@ -204,10 +207,16 @@ def test_engine_writes_all_files(spark, tmp_path):
     assert spark.read.option("header", True).csv(engine.artifact(run, "tri_debug_csv")).columns == list(sinks.DEBUG_COLUMNS)
     kml = spark.read.text(engine.artifact(run, "kml")).agg(F.array_join(F.collect_list("value"), "\n")).first()[0]
     assert kml.count("<Placemark>") == kml.count("</Placemark>") > assets.count()
-    assert spark.read.text(engine.artifact(run, "deduped_geojson")).count() == assets.count()
+    found = json.loads("".join(p.read_text() for p in sorted((tmp_path / run / "detections_deduped.geojson").glob("part-*"))))
+    assert found["type"] == "FeatureCollection" and len(found["features"]) == assets.count()
     with pytest.raises(KeyError):
         engine.status("none")
-    assert sinks.kmz(b"<kml/>", {"a.jpg": b"x"}, "log")[:2] == b"PK"
+    crops = spark.createDataFrame([("a.jpg", bytearray(b"x"))], "name string, content binary")
+    with zipfile.ZipFile(engine.kmz(run, f"{tmp_path}/out.kmz", crops)) as z:
+        assert set(z.namelist()) == {"doc.kml", "calibration.log", "images/a.jpg"}
+        doc, log = z.read("doc.kml").decode(), z.read("calibration.log").decode()
+    assert doc.startswith("<?xml") and doc.rstrip().endswith("</kml>") and doc.count("<Placemark>") == kml.count("<Placemark>")
+    assert log.startswith("# calibration log for job") and "#   pole: 1.55" in log and "[PATH]" in log
 
 
 def test_stream(spark, tmp_path):
@@ -226,3 +235,152 @@ def test_scene_registers(spark):
 
     assert set(oracles.oracle_sql()) <= set(queries.queries())
     assert math.isclose(P.EARTH_FT, 20_902_231.0)
+
+
+def test_run_from_frames(spark, tmp_path):
+    """Detector, text and GPS track together: frames without a readable text take the track's position."""
+    rows = [(0, k, 1767225600 + k, float(k), bytearray([k % 7, 30]), 1080, 1920) for k in range(12)]
+    frames = spark.createDataFrame(rows, "job_id long, frame_idx long, sec long, offset_sec double, content binary, image_w_px int, image_h_px int").withColumn("ts", F.timestamp_seconds("sec")).drop("sec")
+    points = spark.createDataFrame([(0, k, 1767225600 + 4 * k, 30.5, -86.5, 1.0) for k in range(4)], "job_id long, pt_seq long, sec long, lat double, lng double, ele double").withColumn("ts", F.timestamp_seconds("sec"))
+    reader = lambda: lambda content, region: "Position: +030.40972 / -086.71261 Bearing: 12" if content[0] % 2 and region == "bottom" else ""
+    engine = Engine(spark, f"file://{tmp_path}")
+    run = engine.run_frames(frames, hooks.stub_detector, reader, points)
+    s = spark.read.parquet(f"{tmp_path}/{run}/summary").first()
+    assert (s.frames_processed, s.ocr_hits, s.gpx_hits, s.ocr_misses_count) == (12, 5, 7, 7) and s.ocr_misses.startswith("0|2|4")
+    assert s.raw_detections == 12
+
+
+def test_summary_of_jobs_without_boxes(spark):
+    frames = spark.createDataFrame([(1, 0, None, " x "), (2, 0, "ocr", "")], "job_id long, frame_idx long, gps_source string, top_text string")
+    none = spark.createDataFrame([], "job_id long, cam_lat double")
+    got = {r.job_id: r for r in job_summary(frames, none, none, none).collect()}
+    assert (got[1].raw_detections, got[1].hint, got[1].ocr_samples, got[2].ocr_hits, got[2].ocr_misses) == (0, "no boxes", "0:x", 1, "")
+
+
+def test_parameters_of_classes_win_over_columns_of_rows(spark):
+    p = P.class_params(spark)
+    rows = spark.createDataFrame([(2, 0.3, 0.1, "keep"), (2, 0.7, 0.9, "keep"), (None, None, 0.0, "x")], "class_id int, confidence double, min_conf double, height_m string")
+    got = detect.confident(detect.named(rows, p), p).collect()
+    assert [(r.confidence, r.min_conf, r.height_m) for r in got] == [(0.7, 0.9, "keep")]
+
+
+def test_interpolation_over_many_slots(spark):
+    """One job with 10,000 points and gaps of several slots against the loop."""
+    rng = random.Random(8)
+    p, t = [], 0
+    for _ in range(10_000):
+        t += rng.choice([1, 7, 7, 7, 60] if rng.random() < 0.999 else [20_000])
+        p.append((t, rng.random()))
+    tr = spark.createDataFrame([(0, k, t, x) for k, (t, x) in enumerate(p)], "job_id long, pt_seq long, sec long, lat double").withColumns({"ts": F.timestamp_seconds("sec"), "lng": F.lit(0.0), "ele": F.lit(0.0)})
+    asks = [rng.randrange(-400, p[-1][0] + 400) for _ in range(400)] + [a + 10_000 for (a, _), (b, _) in zip(p, p[1:]) if b - a == 20_000]
+    tm = spark.createDataFrame([(0, k, a) for k, a in enumerate(asks)] + [(None, 900, 5), (7, 901, 5)], "job_id long, frame_idx long, sec long").withColumn("ts", F.timestamp_seconds("sec"))
+    got = {r.frame_idx: r.lat for r in track.interpolated(tr, tm).collect()}
+    assert len(got) == len(asks) + 2 and got[900] is None and got[901] is None
+    times = [t for t, _ in p]
+    for k, a in enumerate(asks):
+        i = min(max(bisect.bisect_left(times, a), 1), len(p) - 1)
+        want = interpolate(p if not p[0][0] <= a <= p[-1][0] else p[i - 1 : i + 1], a)
+        assert got[k] == (pytest.approx(want, abs=1e-9) if want is not None else None)
+
+
+def test_conflicts_equal_all_pairs(spark):
+    rng = random.Random(9)
+    near = [(60.0, 179.99999), (60.0, -179.99999), (0.0, 0.0), (-45.0, 10.0)]
+    rows = []
+    for k in range(240):
+        la, lo = rng.choice(near)
+        t = sorted(rng.choices(range(0, 400), k=2))
+        rows.append((k % 2, ("pole", "tree", "street_light")[k % 3], k, la + rng.uniform(-3e-4, 3e-4), lo + rng.uniform(-3e-4, 3e-4), [float(x) for x in t]))
+    rows += [(0, "pole", 900, None, None, [0.0]), (0, "tree", 901, 0.0, 0.0, None)]
+    a = spark.createDataFrame(rows, "job_id long, class string, cluster_id long, lat double, lon double, members_video_sec array<double>")
+    got = sorted((r.a, r.b) for r in suppress.conflict_pairs(a, P.confusion_pairs(spark)).collect())
+    x, y = a.alias("x"), a.alias("y")
+    d = geo.haversine_ft(F.col("x.lat"), F.col("x.lon"), F.col("y.lat"), F.col("y.lon"))
+    every = x.join(y, (F.col("x.job_id") == F.col("y.job_id")) & (F.col("x.cluster_id") < F.col("y.cluster_id")) & (d <= P.CONFLICT_FT)).select("x.class", "y.class", "x.cluster_id", "y.cluster_id", "x.members_video_sec", "y.members_video_sec").collect()
+    confused = {frozenset(p) for p in P.CONFUSED}
+    want = sorted((r[2], r[3]) for r in every if frozenset((r[0], r[1])) in confused and r[4] and r[5] and r[4][0] - 8 <= r[5][-1] and r[5][0] - 8 <= r[4][-1])
+    assert got == want and len(got) > 30
+
+
+def test_baseline_equals_all_pairs(spark):
+    rng = random.Random(10)
+    rows = [(c, rng.gauss(0, 9), rng.gauss(0, 9)) for c in range(30) for _ in range(rng.choice([1, 2, 3, 5, 40, 300]))] + [(99, 1.0, 1.0)] * 4 + [(98, float(k), 2.0 * k) for k in range(50)]
+    got = {r.cluster_id: r.baseline_m for r in triangulate.baseline(spark.createDataFrame(rows, "cluster_id long, x double, y double").repartition(3)).collect()}
+    by = {}
+    for c, x, y in rows:
+        by.setdefault(c, []).append((x, y))
+    assert got == {c: pytest.approx(max(math.dist(p, q) for p in v for q in v), abs=1e-9) for c, v in by.items() if len(v) > 1}
+
+
+def test_greedy_over_chains(spark):
+    """Components of three and more: the pass takes assets in the order of class first seen, then cluster."""
+    def asset(k, cls, conf, n=1):
+        return (0, cls, k, conf, n)
+
+    rows = [asset(1, "pole", 0.5), asset(2, "tree", 0.6), asset(3, "pole", 0.7), asset(4, "tree", 0.8), asset(9, "pole", 0.1)]
+    a = spark.createDataFrame(rows, "job_id long, class string, cluster_id long, confidence double, num_detections_merged long")
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a long, b long")
+    seen = spark.createDataFrame([(0, "pole", 1), (0, "tree", 2)], "job_id long, class string, entry_seq long")
+    assert sorted(r.cluster_id for r in suppress.kept_assets(a, pairs, seen).collect()) == [4, 9]
+    assert suppress.kept_assets(a.limit(0), pairs.limit(0), seen).count() == 0
+
+
+def test_components_fail_when_unsettled(spark):
+    rows = [(k, k + 1) for k in range(300)]
+    with pytest.raises(RuntimeError):
+        connected_components(spark.createDataFrame(rows, "a long, b long").repartition(9), Scratch(spark), max_rounds=0)
+
+
+def test_skewed_groups_meet_once(spark, monkeypatch):
+    from kerbside.plans import skew
+
+    monkeypatch.setattr(skew, "HEAVY", 5)
+    rows = [(k, "hot" if k % 3 else f"k{k % 50}") for k in range(300)] + [(900, None), (901, "none")]
+    r = spark.createDataFrame(rows, "id long, key string")
+    groups = r.where("key IS NOT NULL AND key <> 'none'").groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("c"))
+    got = sorted((x.id, x.low) for x in skew.join_groups(r, groups, "key", "c", 302).collect())
+    low = {}
+    for i, k in rows[:300]:
+        low.setdefault(k, i)
+    assert got == [(i, low[k]) for i, k in rows[:300]]
+
+
+def test_documents_are_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(20_000).select(F.lit(4).alias("ord"), sinks.order_key("id").alias("key"), F.col("id").cast("string").alias("value")).orderBy(F.rand(1))
+    sinks.write_text(rows, f"{tmp_path}/doc")
+    parts = sorted((tmp_path / "doc").glob("part-*"))
+    assert len(parts) > 1
+    assert [int(x) for p in parts for x in p.read_text().split()] == list(range(20_000))
+
+
+def test_row_keys(spark, tmp_path):
+    spark.range(1000).repartition(5).write.parquet(f"{tmp_path}/t")
+    t = spark.read.parquet(f"{tmp_path}/t")
+    once = {r.id: r._row for r in with_row_key(t).collect()}
+    assert len(set(once.values())) == 1000 and once == {r.id: r._row for r in with_row_key(t).collect()}
+    assert with_row_key(t).columns == ["id", "_row"]
+
+
+def test_hooks_for_videos_and_images(spark):
+    v = spark.createDataFrame([(1, bytearray(b"abc")), (2, bytearray(b""))], "job_id long, content binary")
+    f = hooks.decode(v, lambda: lambda c: (bytes([x]) for x in c))
+    assert sorted((r.job_id, r.frame_idx, bytes(r.content)) for r in f.collect()) == [(1, 0, b"a"), (1, 1, b"b"), (1, 2, b"c")]
+
+    def tags(content):
+        if content == b"b":
+            raise ValueError("no tags")
+        return "2026:01:02 03:04:05", None
+
+    got = hooks.image_tags(f, lambda: tags).orderBy("frame_idx").select(F.unix_seconds(media.exif_time(F.col("original"), F.col("changed"))).alias("t")).collect()
+    assert [r.t for r in got] == [1767323045, None, 1767323045]
+    kept = spark.createDataFrame([(1, 0, "x.jpg", (1, 2, 3, 4)), (1, 1, None, None)], "job_id long, frame_idx long, image_file string, rect struct<x0:int,y0:int,x1:int,y1:int>")
+    got = hooks.cropped(f, kept, lambda: lambda c, *r: c + bytes(r)).collect()
+    assert [(r.name, bytes(r.content)) for r in got] == [("x.jpg", b"a\x01\x02\x03\x04")]
+
+
+def test_empty_jobs(spark):
+    boxes = scenes.scene(spark, "/root/testdata/sf0.001").limit(0)
+    r = from_boxes(spark, boxes)
+    assert r.assets.count() == 0 and sinks.assets_report(r.assets).count() == 0
+    doc = sinks.feature_collection(sinks.asset_features(r.assets)).orderBy("ord").collect()
+    assert json.loads("".join(x.value for x in doc)) == {"type": "FeatureCollection", "features": []}
