@@ -9,6 +9,8 @@ from kerbside.plans.scratch import Scratch
 from kerbside.plans.skew import join_groups
 
 SPACE = r"[\x20\x09-\x0D]"
+#: Marks: ASCII ones, general punctuation, and that of East Asian writing.
+MARKS = r"[!-/:-@\[-`{-~\u2010-\u2060\u3001-\u303F\uFF01-\uFF0F]"
 SPACES = " \t\n\x0b\x0c\r"
 #: Units whose estimates are broadcast (about 500 bytes each); beyond it the join shuffles.
 BROADCAST_UNITS = 50_000
@@ -45,7 +47,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     d = d.withColumn("word_chars", (F.length("_t") - F.regexp_count("_t", F.lit(SPACE))).cast("long"))
     d = d.withColumn("n_symbols", F.regexp_count("_t", F.lit(r"[#*$%&|<>]")).cast("long"))
     d = d.withColumn("_upper", F.regexp_count("_t", F.lit(r"\p{Lu}")))
-    d = d.withColumn("_marks", F.regexp_count("_t", F.lit(r"[^\p{L}\p{N}\p{M}\x20\x09-\x0D]")))
+    d = d.withColumn("_marks", F.regexp_count("_t", F.lit(MARKS)))
     d = d.withColumn("_l", F.filter(F.split("_t", "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != ""))
     d = d.withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long")).withColumn("_n_lines", F.size("_l"))
     three = F.transform(F.sequence(F.lit(0), (F.col("n_words") - 3).cast("int")), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)))
@@ -212,7 +214,9 @@ def _posterior(estimates: DataFrame, units: DataFrame) -> DataFrame:
     columns = ("n", *(f"live{k}" for k in range(DIMS)), *(f"m{k}" for k in range(DIMS)), *(f"c{i}{j}" for i, j in PAIRS))
     e = estimates.select("unit", F.struct(*columns).alias("e"))
     at = lambda name: e.select(F.col("unit").alias(f"{name}_unit"), F.col("e").alias(name))
-    rows = units.select("unit", "_lang", "n").join(at("own"), F.col("unit") == F.col("own_unit")).join(at("by_lang"), F.col("_lang") == F.col("by_lang_unit")).join(F.broadcast(at("every").where("every_unit = ''")))
+    rows = units.select("unit", "_lang", "n").join(at("own"), F.col("unit") == F.col("own_unit")).join(at("by_lang"), F.col("_lang") == F.col("by_lang_unit"))
+    top = e.where("unit = ''").first()  # one row; none if no document passes the base rules
+    rows = rows.withColumn("every", F.lit(None).cast(e.schema["e"].dataType) if top is None else F.struct(*(F.lit(top.e[c]).alias(c) for c in columns)))
     rows = rows.selectExpr("*", *(f"every.m{k} AS pm{k}" for k in range(DIMS)), *(f"true AS plive{k}" for k in range(DIMS)), *(f"{PRIOR_SD[i] ** 2 if i == j else 0}D AS p{i}{j}" for i, j in PAIRS))
     names = ("unit", "n", "every", "by_lang", "own")
     for o in ("every", "by_lang", "own"):
