@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.plans.scratch import Scratch
@@ -26,9 +26,12 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, limit:
     ids = ids.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = scratch.write(text.join(F.broadcast(ids), "doc_id").where(F.length("text") <= limit_chars // 100), "sample")  # limit bounds the table
-    lengths = rows.select("doc_id", F.length("text").cast("long").alias("chars")).groupBy("doc_id").agg(F.sum("chars").alias("chars"), F.count("*").alias("rows"))
-    upto = F.sum("chars").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
-    if lengths.agg(F.coalesce(F.sum("chars"), F.lit(0))).first()[0] <= limit_chars:
-        return rows
-    fit = lengths.withColumn("upto", upto).where(F.col("upto") <= limit_chars).select("doc_id")  # limit rows at most
-    return scratch.write(rows.join(F.broadcast(fit), "doc_id"), "sample")
+    order = F.xxhash64("doc_id")
+    lengths = rows.groupBy(order.alias("h")).agg(F.sum(F.length("text")).alias("chars")).collect()  # limit rows at most, two numbers each
+    total, last = 0, None
+    for r in sorted(lengths, key=lambda r: r.h):
+        total += r.chars
+        if total > limit_chars:
+            return rows.where(F.lit(False) if last is None else order <= last)
+        last = r.h
+    return rows
