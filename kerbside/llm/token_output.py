@@ -34,7 +34,8 @@ class _Words:
     """Ids, as little-endian 32-bit integers, of space-free parts of texts.
 
     Parts of letters alone are one piece to the tokenizer, and its last token ends a word; so many of them are encoded
-    as one text and told apart again. Those without their closing marks and capitals are remembered too.
+    as one text and told apart again. Those without their closing marks and capitals are remembered too, in the same
+    table, as they are parts themselves.
     """
 
     def __init__(self, path: str):
@@ -53,7 +54,6 @@ class _Words:
 
     def _forget(self) -> None:
         self.parts: dict[str, bytes] = {"": b""}
-        self.core: dict[str, bytes] = {"": b""}
         self.bytes = 0
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -68,7 +68,7 @@ class _Words:
 
     def learn(self, wanted: set[str]) -> None:
         """Puts the ids of all wanted parts into parts."""
-        core, split, before = self.core, {}, len(self.core)
+        parts, split, listed = self.parts, {}, []
         letters, others = [], []
         for part in wanted:
             head = part.rstrip(_MARKS)
@@ -80,12 +80,15 @@ class _Words:
                 simple = head.isalpha()
             else:
                 head, tail, simple = part, "", False
-            split[part] = head, tail
-            if head not in core:
-                core[head] = b""  # listed once
+            if head != part:
+                split[part] = head, tail
+            if head not in parts:
+                parts[head] = b""  # listed once
+                listed.append(head)
                 (letters if simple else others).append(head)
-            if tail not in core:
-                core[tail] = b""
+            if tail not in parts:
+                parts[tail] = b""
+                listed.append(tail)
                 others.append(tail)
         for k in range(0, len(letters), 16384):
             groups = [letters[i : i + 256] for i in range(k, min(k + 16384, len(letters)), 256)]
@@ -95,16 +98,13 @@ class _Words:
                     others += some
                     continue
                 data, cut = x.tobytes(), (cut * 4).tolist()
-                core.update(zip(some, (data[i:j] for i, j in zip([0, *cut], cut))))
+                parts.update(zip(some, (data[i:j] for i, j in zip([0, *cut], cut))))
         for k in range(0, len(others), 4096):
             some = others[k : k + 4096]
-            core.update(zip(some, (x.tobytes() for x in self.ids(some))))
-        parts = self.parts
+            parts.update(zip(some, (x.tobytes() for x in self.ids(some))))
         for part, (head, tail) in split.items():
-            ids = core[head] + core[tail]
-            parts[part] = ids
-            self.bytes += ENTRY + len(part) + len(ids)
-        self.bytes += (len(core) - before) * (ENTRY + 24)
+            parts[part] = parts[head] + parts[tail]
+        self.bytes += sum(ENTRY + len(p) + len(parts[p]) for p in chain(listed, split))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.bytes > REMEMBERED:
