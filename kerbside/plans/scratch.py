@@ -62,14 +62,25 @@ class Scratch:
             return
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with as many underscores before it as set it apart from the names that are taken, in either case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
 def with_row_key(table: DataFrame, name: str = "_row") -> DataFrame:
     """table, read from files, with a number of its own for each row: place of the file by path, and of the row in it.
 
-    The same files give the same numbers. Only the list of files is ordered in one task.
+    The same files give the same numbers. name must be none of the table's columns (see free_name), which may have any
+    names otherwise. Only the list of files is ordered in one task.
     """
     from pyspark.sql import Window
 
-    files = table.select(F.col("_metadata.file_path").alias("_file")).distinct()
-    files = files.select("_file", (F.row_number().over(Window.orderBy("_file")) - 1).cast("long").alias("_place"))
-    rows = table.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index"))
-    return rows.join(F.broadcast(files), "_file").select(*(table[f"`{c}`"] for c in table.columns), (F.shiftleft("_place", 36) + F.col("_index")).alias(name))
+    file, index, place = (free_name(c, [*table.columns, name]) for c in ("_file", "_index", "_place"))
+    meta = table.metadataColumn("_metadata")
+    files = table.select(meta["file_path"].alias(file)).distinct()
+    files = files.select(file, (F.row_number().over(Window.orderBy(file)) - 1).cast("long").alias(place))
+    rows = table.select("*", meta["file_path"].alias(file), meta["row_index"].alias(index))
+    return rows.join(F.broadcast(files), file).select(*(rows[f"`{c}`"] for c in table.columns), (F.shiftleft(place, 36) + F.col(index)).alias(name))
