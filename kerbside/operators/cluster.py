@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbside import params as P
+from kerbside.functions import grid
 from kerbside.functions.geo import haversine_ft
+from kerbside.operators import links
 from kerbside.operators.detect import positive, with_params
 from kerbside.plans.components import connected_components
 from kerbside.plans.scratch import Scratch
+from kerbside.plans.skew import join_groups
 
 MEMBER = ("entry_seq", "frame_id", "timestamp", "class_id", "confidence", "lat", "lon", "distance_m", "obj_bearing", "cam_lat", "cam_lng", "cam_bearing", "elevation_m", "gps_source", "image_file", "timestamp_iso")
 
@@ -17,18 +20,26 @@ MEMBER = ("entry_seq", "frame_id", "timestamp", "class_id", "confidence", "lat",
 def proximity_pairs(entries: DataFrame, params: DataFrame, gate_s: float = P.TIME_GATE_S) -> DataFrame:
     """job_id, a, b, dist_ft: entries of one class at most gate_s apart in time and the class's radius in space, a < b.
 
-    Time is cut into slots as long as the gate; the left side goes to its own slot and both neighbours, so the join has
-    an equality key and each pair meets once.
+    Time is cut into slots as long as the gate, the globe into cells as wide as the class's radius: slot and cell are
+    keys of the join. The left side goes to its own slot and the next, and to its own cell and those around it, so each
+    pair meets once, and what meets is a few times what is kept, however dense a class is. Entries without job, class,
+    time or position are in no pair; repeated entries are pairs with all others, not with each other.
     """
     e = with_params(entries.select("job_id", "class", "entry_seq", "timestamp", "lat", "lon"), params.select("class", "eps_ft"))
-    e = e.withColumn("slot", F.floor(F.col("timestamp") / gate_s))
-    x = e.withColumn("slot", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1))).alias("x")
-    y = e.alias("y")
+    e = e.withColumn("eps_ft", F.coalesce("eps_ft", F.lit(P.DEFAULT_EPS_FT)))
+    side = F.col("eps_ft") / grid.DEGREE_FT * 1.0001
+    e = e.withColumn("slot", F.floor(F.col("timestamp") / gate_s)).withColumn("band", grid.band(F.col("lat"), side))
+    left = e.withColumn("later", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("slot", F.col("slot") + F.col("later"))
+    left = left.withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
+    left = left.withColumn("n", grid.wide_columns(F.col("band"), side)).withColumn("reach", grid.reach(F.greatest(F.abs("lat"), grid.farthest(F.col("band"), side)), F.col("eps_ft")))
+    left = left.withColumn("cell", F.explode(F.sequence(*grid.first_last(F.col("lon") - F.col("reach"), F.col("lon") + F.col("reach"), F.col("n"))))).withColumn("cell", F.pmod("cell", "n"))
+    x, y = left.alias("x"), e.withColumn("cell", grid.column(F.col("lon"), grid.wide_columns(F.col("band"), side))).alias("y")
     d = haversine_ft(F.col("x.lat"), F.col("x.lon"), F.col("y.lat"), F.col("y.lon"))
-    near = (F.col("x.entry_seq") < F.col("y.entry_seq")) & (F.abs(F.col("x.timestamp") - F.col("y.timestamp")) <= gate_s)
-    j = x.join(y, (F.col("x.job_id") == F.col("y.job_id")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.slot") == F.col("y.slot")) & near)
-    j = j.select("x.job_id", F.col("x.entry_seq").alias("a"), F.col("y.entry_seq").alias("b"), d.alias("dist_ft"), F.col("x.eps_ft").alias("eps_ft"))
-    return j.where(F.col("dist_ft") <= F.coalesce("eps_ft", F.lit(P.DEFAULT_EPS_FT))).drop("eps_ft")
+    same = (F.col("x.job_id") == F.col("y.job_id")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.slot") == F.col("y.slot")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.cell") == F.col("y.cell"))
+    once = ((F.col("x.later") == 1) | (F.col("x.entry_seq") < F.col("y.entry_seq"))) & (F.abs(F.col("x.timestamp") - F.col("y.timestamp")) <= gate_s)
+    j = x.join(y, same & once & (d <= F.col("x.eps_ft")))
+    a, b = F.col("x.entry_seq"), F.col("y.entry_seq")
+    return j.where(a != b).select("x.job_id", F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), d.alias("dist_ft"))
 
 
 def clustered(entries: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -38,6 +49,27 @@ def clustered(entries: DataFrame, pairs: DataFrame) -> DataFrame:
     return entries.join(c, "entry_seq", "left").withColumn("cluster_id", F.coalesce("_c", "entry_seq")).drop("_c")
 
 
+def linked(entries: DataFrame, params: DataFrame, gate_s: float = P.TIME_GATE_S) -> DataFrame:
+    """entries with cluster_id, the smallest entry_seq that links connect; the same as clustered over proximity_pairs, without the pairs.
+
+    Links are between cells whose members all link (operators.links), so their number is linear in the entries; the
+    components of cells are those of their members. Entries without job, class, time or position are alone. entry_seq
+    is unique over all jobs; repeated ones are refused. No entries give no rows.
+    """
+    scratch = Scratch(entries.sparkSession)
+    if entries.groupBy("entry_seq").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        raise ValueError("entry_seq is repeated")
+    rows = scratch.write(links.keyed(entries, params, gate_s), "rows")
+    c = scratch.write(links.cells(rows), "cells")
+    comp = connected_components(links.links(rows, c, scratch, gate_s), scratch)
+    c = c.select("_cell", "node", "n").join(comp, "node", "left").select("_cell", "n", F.coalesce("component", "node").alias("cluster_id"))
+    c = scratch.write(c, "clusters")
+    total = c.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    names = [F.col(f"`{x}`") for x in entries.columns]
+    alone = rows.where("_cell IS NULL").select(*names, F.col("entry_seq").alias("cluster_id"))
+    return join_groups(rows, c, "_cell", "n", total).select(*names, "cluster_id").unionByName(alone)
+
+
 def large_enough(members: DataFrame, params: DataFrame) -> DataFrame:
     """Members of clusters with as many detections as their class asks for."""
     n = members.groupBy("job_id", "class", "cluster_id").agg(F.count("*").alias("n"))

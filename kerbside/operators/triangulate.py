@@ -105,15 +105,26 @@ def _seen(rows: DataFrame) -> Column:
 def widest_rays(rays: DataFrame) -> DataFrame:
     """cluster_id, spread_deg, a, b: widest gap of two bearings and the first pair (by entry_seq) that has it, as structs of SEEN.
 
-    Bearings have one decimal, so a cluster has at most 3,600 different ones; the first ray of each stands for them.
-    Without a gap, the first two rays; clusters of one ray have no row.
+    The first ray of each bearing stands for it. The bearing farthest from another is one of the two on either side of
+    its antipode, so bearings and antipodes are put in one circular order, and each antipode takes the last bearing
+    before it and the next one after it: two sorts, no pairs. Without a gap, the first two rays; clusters of one ray have
+    no row.
     """
-    p = rays.groupBy("cluster_id", "obj_bearing").agg(F.min(_seen(rays)).alias("r"), F.count("*").alias("c"))
-    a, b = p.alias("a"), p.alias("b")
-    gap = circular_gap_deg(F.col("a.obj_bearing"), F.col("b.obj_bearing"))
-    pairs = a.join(b, (F.col("a.cluster_id") == F.col("b.cluster_id")) & (F.col("a.r.entry_seq") < F.col("b.r.entry_seq")))
-    rank = F.struct(gap.alias("gap"), (-F.col("a.r.entry_seq")).alias("a"), (-F.col("b.r.entry_seq")).alias("b"))
-    wide = pairs.groupBy("a.cluster_id").agg(F.max_by(F.struct(gap.alias("gap"), F.col("a.r").alias("a"), F.col("b.r").alias("b")), rank).alias("w")).where("w.gap > 0")
+    p = rays.groupBy("cluster_id", F.pmod("obj_bearing", F.lit(360.0)).alias("angle")).agg(F.min(_seen(rays)).alias("r"))
+    p = p.withColumn("here", F.struct("angle", "r")).drop("r")
+    stops = p.select("cluster_id", "angle", "here", F.lit(None).cast(p.schema["here"].dataType).alias("of"))
+    stops = stops.union(p.select("cluster_id", F.pmod(F.col("angle") + 180.0, F.lit(360.0)), F.lit(None).cast(p.schema["here"].dataType), "here"))
+    turn = Window.partitionBy("cluster_id")
+    so_far = lambda *order: F.last("here", ignorenulls=True).over(turn.orderBy(*order, F.col("here").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    j = stops.withColumn("before", so_far(F.col("angle"))).withColumn("after", so_far(F.col("angle").desc()))
+    j = j.withColumn("before", F.coalesce("before", F.max("here").over(turn))).withColumn("after", F.coalesce("after", F.min("here").over(turn)))
+    j = j.where("of IS NOT NULL").select("cluster_id", F.col("of").alias("x"), F.explode(F.array("before", "after")).alias("y"))
+    gap = circular_gap_deg(F.col("x.angle"), F.col("y.angle"))
+    first = F.col("x.r.entry_seq") < F.col("y.r.entry_seq")
+    pair = F.struct(gap.alias("gap"), F.when(first, F.col("x.r")).otherwise(F.col("y.r")).alias("a"), F.when(first, F.col("y.r")).otherwise(F.col("x.r")).alias("b"))
+    j = j.select("cluster_id", pair.alias("w"))
+    rank = F.struct("w.gap", (-F.col("w.a.entry_seq")).alias("a"), (-F.col("w.b.entry_seq")).alias("b"))
+    wide = j.groupBy("cluster_id").agg(F.max_by("w", rank).alias("w")).where("w.gap > 0")
     two = _first_two(rays).where("b IS NOT NULL")
     j = two.join(wide, "cluster_id", "left")
     return j.select("cluster_id", F.coalesce("w.gap", F.lit(0.0)).alias("spread_deg"), F.coalesce("w.a", "a").alias("a"), F.coalesce("w.b", "b").alias("b"))

@@ -22,7 +22,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
     Each task first contracts the edges that it holds, a chunk at a time, to stars. Then the two star contractions of
     Kiveris et al. (2014) alternate: each node's larger neighbours, then its smaller ones, are hung below its smallest
     neighbour. Minima are aggregated before they are shuffled, and those of hubs broadcast. Each round is written to
-    the shared folder; it stops when a round changes nothing, and fails if max_rounds didn't get there.
+    the shared folder; it stops when a round changes nothing, and fails if max_rounds didn't get there. Once a chunk
+    holds all edges that are left, one task contracts them.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
     e = scratch.write(e.mapInArrow(_stars, e.schema), "cc")
@@ -30,6 +31,9 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
     if not before[0]:
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     for _ in range(max_rounds):
+        if before[0] <= CHUNK:
+            e = scratch.write(e.coalesce(1).mapInArrow(_stars, e.schema), "cc")
+            break
         both = e.union(e.select("b", "a"))
         low = scratch.write(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("c")), "low")
         large = scratch.write(join_groups(both, low, "a", "c", 2 * before[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")

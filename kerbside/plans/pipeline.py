@@ -29,13 +29,9 @@ class Result:
     def entries(self) -> DataFrame:
         return self._scratch.write(detect.entries(self.kept), "entries")
 
-    @cached_property
-    def pairs(self) -> DataFrame:
-        return cluster.proximity_pairs(self.entries, self._params)
-
     @cached_property
     def members(self) -> DataFrame:
-        return self._scratch.write(cluster.large_enough(cluster.clustered(self.entries, self.pairs), self._params), "members")
+        return self._scratch.write(cluster.large_enough(cluster.linked(self.entries, self._params), self._params), "members")
 
     @cached_property
     def clusters(self) -> DataFrame:

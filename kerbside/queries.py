@@ -285,8 +285,7 @@ def proximity_pairs(s: SparkSession, d: str) -> DataFrame:
 
 
 def clusters(s: SparkSession, d: str) -> DataFrame:
-    e = detect.entries(_projected(s, d))
-    return cluster.clustered(e, cluster.proximity_pairs(e, P.class_params(s))).select("entry_seq", "cluster_id")
+    return cluster.linked(_run(s, d).entries, P.class_params(s)).select("entry_seq", "cluster_id")
 
 
 def min_frames_filter(s: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,6 @@ import math
 import random
 import zipfile
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +11,7 @@ from kerbside import hooks, scenes, sinks
 from kerbside import params as P
 from kerbside.engine import Engine
 from kerbside.functions import geo, media, overlay
-from kerbside.operators import cluster, detect, suppress, track, triangulate
+from kerbside.operators import cluster, detect, links, suppress, track, triangulate
 from kerbside.plans.components import connected_components
 from kerbside.plans.pipeline import from_boxes, job_summary
 from kerbside.plans.scratch import Scratch, with_row_key
@@ -158,11 +157,214 @@ def test_components(spark):
     assert got == {n: root(n) for n in parent}
 
 
-def test_greedy_suppression():
-    rows = pd.DataFrame({"cluster_id": [10, 20, 30], "confidence": [3.0, 2.0, 1.0], "n": [1, 1, 1], "against": [[20], [10, 30], [20]]})
-    assert suppress.greedy(rows).cluster_id.tolist() == [20]
-    tie = pd.DataFrame({"cluster_id": [10, 20], "confidence": [1.0, 1.0], "n": [2, 2], "against": [[20], [10]]})
-    assert suppress.greedy(tie).cluster_id.tolist() == [20]
+def greedy(rows):
+    """Ids that the greedy pass drops, asset by asset. rows: id, score and the ids in conflict with it, in order."""
+    place = {r[0]: k for k, r in enumerate(rows)}
+    gone = set()
+    for i, (_, score, others) in enumerate(rows):
+        if i in gone:
+            continue
+        for j in sorted(place[c] for c in others):
+            if j in gone:
+                continue
+            if rows[j][1] > score:
+                gone.add(i)
+                break
+            gone.add(j)
+    return sorted(rows[k][0] for k in gone)
+
+
+def suppressed(spark, n, pairs, scores, **how):
+    """Ids that kept_assets drops and those that the loop drops: assets 0 to n - 1, of classes by turns of three."""
+    cls = [f"c{k % 3}" for k in range(n)]
+    a = spark.createDataFrame([(0, cls[k], k, scores[k][0], scores[k][1]) for k in range(n)], "job_id long, class string, cluster_id long, confidence double, num_detections_merged long")
+    seen = spark.createDataFrame([(0, f"c{k}", e) for k, e in ((0, 5), (1, 2), (2, 9))], "job_id long, class string, entry_seq long")
+    edges = spark.createDataFrame(pairs + pairs[:3], "a long, b long") if pairs else spark.createDataFrame([], "a long, b long")
+    kept = {r.cluster_id for r in suppress.kept_assets(a, edges, seen, **how).collect()}
+    against = {k: set() for k in range(n)}
+    for x, y in pairs:
+        against[x].add(y), against[y].add(x)
+    order = sorted(range(n), key=lambda k: ({"c0": 5, "c1": 2, "c2": 9}[cls[k]], k))
+    return sorted(set(range(n)) - kept), greedy([(k, scores[k], against[k]) for k in order])
+
+
+def test_greedy_suppression(spark):
+    assert greedy([(10, (3.0, 1), [20]), (20, (2.0, 1), [10, 30]), (30, (1.0, 1), [20])]) == [20]
+    assert greedy([(10, (1.0, 2), [20]), (20, (1.0, 2), [10])]) == [20]
+
+
+@pytest.mark.parametrize("together", [0, 40, 1_000_000])
+def test_rounds_of_suppression_equal_the_loop(spark, together):
+    """Chains with rising and falling scores, stars, cliques and random graphs with ties, all in one; with rounds to the end, some, and none."""
+    rng = random.Random(21)
+    pairs, scores, n = [], [], 0
+
+    def add(size, edges, score):
+        nonlocal n
+        pairs.extend((n + x, n + y) for x, y in edges)
+        scores.extend(score(k) for k in range(size))
+        n += size
+
+    tie = lambda k: (rng.choice([0.1, 0.5, 0.9]), rng.randint(1, 2))
+    add(12, [(k, k + 1) for k in range(11)], lambda k: (k / 20, 1))
+    add(12, [(k, k + 1) for k in range(11)], lambda k: (1 - k / 20, 1))
+    add(60, [(k, k + 1) for k in range(59)], tie)
+    add(50, [(0, k) for k in range(1, 50)], lambda k: (0.5 if k == 0 else 0.4 + k / 1000, 1))
+    add(50, [(49, k) for k in range(49)], tie)
+    add(9, [(x, y) for x in range(9) for y in range(x)], tie)
+    for _ in range(15):
+        size = rng.randint(2, 25)
+        add(size, sorted({tuple(sorted(rng.sample(range(size), 2))) for _ in range(rng.randint(1, 3 * size))}), tie)
+    add(5, [], tie)
+    got, want = suppressed(spark, n, pairs, scores, together=together)
+    assert got == want and 50 < len(want) < n
+
+
+def test_suppression_of_odd_rows(spark):
+    assert suppressed(spark, 3, [], [(0.5, 1)] * 3) == ([], [])
+    a = spark.createDataFrame([(0, "pole", 1, None, 1), (0, "tree", 2, 0.5, 1), (0, "sign", 3, 0.1, 1)], "job_id long, class string, cluster_id long, confidence double, num_detections_merged long")
+    seen = spark.createDataFrame([(0, "pole", 1), (0, "tree", 2)], "job_id long, class string, entry_seq long")
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (1, 99), (None, 1)], "a long, b long")
+    for together in (0, 100):
+        assert sorted(r.cluster_id for r in suppress.kept_assets(a, pairs, seen, together).collect()) == [1, 3]
+    with pytest.raises(RuntimeError):
+        suppress.kept_assets(a, pairs, seen, 0, 0)
+
+
+def everywhere(seed, n):
+    """Entries in dense heaps at the equator, mid-latitudes, the date line and near a pole, with repeated points; some lack a value."""
+    rng = random.Random(seed)
+    heaps = [(0.0, 0.0), (30.4, -86.7), (-55.0, 180.0), (64.0, -179.99999), (89.9999, 10.0), (-89.99999, -40.0)]
+    rows = []
+    for k in range(n):
+        la, lo = rng.choice(heaps)
+        far = 1e-4 / max(math.cos(math.radians(la)), 1e-6)
+        rows.append((k % 2, rng.choice(["pole", "valve", "sidewalk", "unknown"]), k, rng.choice([0.0, 6.0, rng.uniform(0, 30)]), round(max(-90.0, min(90.0, la + rng.uniform(-1e-4, 1e-4))), 6), (lo + rng.uniform(-far, far) + 180) % 360 - 180))
+    rows += [(*rows[k][:2], n + k, *rows[k][3:]) for k in range(20)]
+    return rows + [(None, "pole", 9001, 0.0, 0.0, 0.0), (0, None, 9002, 0.0, 0.0, 0.0), (0, "pole", 9003, None, 0.0, 0.0), (0, "pole", 9004, 0.0, None, 0.0), (0, "pole", 9005, 0.0, 0.0, None)]
+
+
+ENTRY = "job_id long, class string, entry_seq long, timestamp double, lat double, lon double"
+
+
+def all_links(rows):
+    eps = {c[1]: c[4] or P.DEFAULT_EPS_FT for c in P.CLASSES}
+    out = set()
+    whole = [r for r in rows if None not in r]
+    for i, x in enumerate(whole):
+        for y in whole[i + 1 :]:
+            if x[0] == y[0] and x[1] == y[1] and abs(x[3] - y[3]) <= P.TIME_GATE_S:
+                p, q, d = math.radians(x[4]), math.radians(y[4]), math.radians(y[5] - x[5])
+                h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(d / 2) ** 2
+                if 2 * P.EARTH_FT * math.asin(math.sqrt(h)) <= eps.get(x[1], P.DEFAULT_EPS_FT):
+                    out.add((min(x[2], y[2]), max(x[2], y[2])))
+    return out
+
+
+def roots(rows, edges):
+    parent = {r[2]: r[2] for r in rows}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        r, q = root(a), root(b)
+        parent[max(r, q)] = min(r, q)
+    return {x: root(x) for x in parent}
+
+
+def test_pairs_by_cells_equal_all_pairs(spark):
+    rows = everywhere(5, 900)
+    got = [(r.a, r.b) for r in cluster.proximity_pairs(spark.createDataFrame(rows, ENTRY), P.class_params(spark)).collect()]
+    assert len(got) == len(set(got)) and set(got) == all_links(rows) and len(got) > 1000
+
+
+@pytest.mark.parametrize("tries", [32, 0.02])
+def test_clusters_by_cells_equal_those_of_all_pairs(spark, monkeypatch, tries):
+    """With cells tried member by member, and with cells that are cut and cut again."""
+    monkeypatch.setattr(links, "TRIES", tries)
+    monkeypatch.setattr(links.links, "__defaults__", (P.TIME_GATE_S, tries, 60))
+    rows = everywhere(6, 900)
+    got = {r.entry_seq: r.cluster_id for r in cluster.linked(spark.createDataFrame(rows, ENTRY).repartition(4), P.class_params(spark)).collect()}
+    assert got == roots(rows, all_links(rows))
+    assert 20 < len(set(got.values())) < 700
+
+
+def test_links_are_linear_on_a_dense_scene(spark):
+    """Ten times the entries on one spot: pairs grow a hundredfold, candidates with them, links hardly."""
+    found = []
+    for n in (300, 3000):
+        rng = random.Random(7)
+        e = spark.createDataFrame([(0, "sidewalk", k, rng.uniform(0, 20), 30.4 + rng.uniform(0, 3e-4), -86.7 + rng.uniform(0, 3e-4)) for k in range(n)], ENTRY)
+        scratch = Scratch(spark)
+        rows = scratch.write(links.keyed(e, P.class_params(spark)), "rows")
+        c = scratch.write(links.cells(rows), "cells")
+        assert c.agg(F.sum("n")).first()[0] == n
+        edges = links.links(rows, c, scratch).count()
+        pairs = cluster.proximity_pairs(e, P.class_params(spark))
+        kept = pairs.count()
+        assert edges <= 50 * c.count()
+        found.append((edges, kept))
+    assert found[1][1] > 60 * found[0][1] and found[1][0] < 4 * found[0][0]
+
+
+def test_candidates_are_a_few_times_the_pairs(spark):
+    """Entries that share a cell of the join for each pair that is kept, however dense the scene."""
+    for n in (500, 4000):
+        rng = random.Random(8)
+        e = spark.createDataFrame([(0, "pole", k, rng.uniform(0, 60), 30.4 + rng.uniform(0, 4e-4), -86.7 + rng.uniform(0, 4e-4)) for k in range(n)], ENTRY)
+        pairs = cluster.proximity_pairs(e, P.class_params(spark))
+        kept = pairs.count()
+        wide = cluster.proximity_pairs(e.withColumn("class", F.lit("sidewalk")), P.class_params(spark), 12.0).count()
+        assert kept and wide > kept
+        met = pairs_met(e, P.class_params(spark))
+        assert met < 20 * kept
+
+
+def pairs_met(e, params):
+    """Pairs of entries whose keys meet in proximity_pairs, from its own plan without the tests of distance and time."""
+    old = cluster.haversine_ft
+    cluster.haversine_ft = lambda *a: F.lit(0.0)
+    try:
+        return cluster.proximity_pairs(e, params).count()
+    finally:
+        cluster.haversine_ft = old
+
+
+def test_repeated_entries_are_refused(spark):
+    e = spark.createDataFrame([(0, "pole", 1, 0.0, 30.0, -86.0), (1, "tree", 1, 0.0, 31.0, -86.0)], ENTRY)
+    with pytest.raises(ValueError):
+        cluster.linked(e, P.class_params(spark))
+    assert cluster.linked(e.limit(0), P.class_params(spark)).collect() == []
+
+
+def test_widest_gap_equals_all_pairs(spark):
+    """Ties go to the first pair by entry_seq; repeated bearings, opposite ones, halves of the circle, one or two rays."""
+    rng = random.Random(12)
+    rows = []
+    for c in range(120):
+        kind = c % 6
+        pool = [[rng.randrange(3600) / 10 for _ in range(40)], [0.0, 90.0, 180.0, 270.0, 360.0], [k / 10 for k in range(300, 900)], [359.9, 0.0, 0.1, 179.9, 180.1], [12.5], [k * 0.5 for k in range(720)]][kind]
+        seqs = rng.sample(range(c * 1000, c * 1000 + 1000), rng.choice([1, 2, 3, 9, 60]))
+        rows += [(c, s, rng.choice(pool)) for s in seqs]
+    rays = spark.createDataFrame(rows, "cluster_id long, entry_seq long, obj_bearing double")
+    got = {r.cluster_id: (r.spread_deg, r.a, r.b) for r in triangulate.spread(rays.repartition(3)).collect()}
+    want = {}
+    for c in range(120):
+        mine = sorted((s, b) for k, s, b in rows if k == c)
+        best = None
+        for i, (s, x) in enumerate(mine):
+            for t, y in mine[i + 1 :]:
+                d = abs(x % 360 - y % 360)
+                d = min(d, 360 - d)
+                if best is None or d > best[0]:
+                    best = (d, s, t)
+        if best:
+            want[c] = best
+    assert {c: (pytest.approx(v[0], abs=1e-9), *v[1:]) for c, v in want.items()} == got
 
 
 def test_chain_spans_more_than_the_gate(spark):
