@@ -63,10 +63,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: int = 17) -> DataFrame:
-    """The rows of docs, each as often as mix_sources repeats it; whole texts stay where they are read."""
-    d = docs.withColumn("_mix_size", n_words(F.col("text")))
+    """The rows of docs, each as often as mix_sources repeats it; whole texts stay where they are read. Columns may have any names."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_mix_row")
+    d = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("_mix_size"), row)
     out = _with_repeats(d, weights, cap, seed).where("_mix_repeats > 0")
-    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_repeats")))).select(*(out[f"`{c}`"] for c in docs.columns))
+    return out.select("_mix_row", F.explode(F.sequence(F.lit(1), F.col("_mix_repeats")))).select("_mix_row.*")
 
 
 def _with_repeats(docs: DataFrame, weights: tuple[int, ...], cap: int, seed: int) -> DataFrame:
@@ -96,7 +97,7 @@ def _with_repeats(docs: DataFrame, weights: tuple[int, ...], cap: int, seed: int
     chosen = scratch.write(last.where((F.col("to") <= F.col("rest")) | nearer).select(F.col("source").alias("_mix_s"), F.col("key").alias("_mix_k")), "chosen")
     small = F.broadcast if chosen.count() <= BROADCAST_SOURCES else (lambda t: t)
     plan = plan.select(F.col("source").alias("_mix_source"), F.col("source_size").alias("_mix_total"), F.col("target").alias("_mix_target"), F.col("whole").alias("_mix_whole"), F.col("end").alias("_mix_end"))
-    source = docs["source"].cast("string")
+    source = F.col("source")
     out = docs.join(hint(plan), source.eqNullSafe(plan["_mix_source"]))
     out = out.join(small(chosen), (F.col("_mix_range") == F.col("_mix_end")) & source.eqNullSafe(chosen["_mix_s"]) & (F.col("_mix_key") == chosen["_mix_k"]), "left")
     extra = (F.col("_mix_range") < F.col("_mix_end")) | F.col("_mix_k").isNotNull()

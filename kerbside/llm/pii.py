@@ -183,11 +183,13 @@ def expectation_maximization(kind: np.ndarray, v: np.ndarray, n: np.ndarray, rou
     """Probability that a pattern of votes is personal data, and by kind its share and the reliabilities of labelers.
 
     Per kind, a span is personal data or not, and each labeler then votes by a distribution of its own (Dawid and Skene
-    1979). Those are estimated from the counts n of patterns alone, from a start that trusts labelers a little and is
-    in doubt where none votes. A labeler that always votes alike, or abstains, changes nothing. Returns also
-    kind -> (share, for each labeler its votes' distribution over personal data, and over the rest).
+    1979), estimated from the counts n of patterns alone. The two classes can't change places: the start trusts what
+    form or gazetteer accept, an abstention says nothing, a vote for never lowers a probability and a vote against never
+    raises it, and what no labeler votes for isn't personal data. Returns also kind -> (share, for each labeler
+    its votes' distribution over personal data, and over the rest).
     """
-    q = 1 / (1 + np.exp(-(1.5 * (v - 1).sum(1) - 1)))
+    backed, anchored = (v == 2).any(1), (v[:, :2] == 2).any(1)
+    q = 1 / (1 + np.exp(-(1.5 * (v - 1).sum(1) - np.where(anchored, 0.0, 2.0))))
     for _ in range(rounds):
         new, found = q.copy(), {}
         for k in np.unique(kind):
@@ -199,8 +201,10 @@ def expectation_maximization(kind: np.ndarray, v: np.ndarray, n: np.ndarray, rou
             t0 = [np.array([1.0, 1.0, 0.5]) + np.bincount(v[at, j], w0, 3) for j in range(v.shape[1])]
             t1, t0 = [t / t.sum() for t in t1], [t / t.sum() for t in t0]
             for j in range(v.shape[1]):
-                log = log + np.log(t1[j])[v[at, j]] - np.log(t0[j])[v[at, j]]
+                says = np.log(t1[j]) - np.log(t0[j])
+                log = log + np.array([min(says[0], 0.0), 0.0, max(says[2], 0.0)])[v[at, j]]
             new[at] = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
+            new[at] = np.where(backed[at], new[at], 0.0)
             found[int(k)] = (float(share), t1, t0)
         change, q = np.abs(new - q).max(), new
         if change < 1e-9:
@@ -242,11 +246,12 @@ def personal_spans(docs: DataFrame, sure: float = SURE) -> DataFrame:
     docs: columns doc_id, text; others are ignored. Returns, for each row, doc_id, base, spans and doubted: the first
     two arrays of (kind, start, end), kind a place in KINDS, in code points, end exclusive. base has the matches of the
     first four kinds, per kind leftmost and without overlap; spans has these and, outside of them, those of the other
-    kinds that a labeler votes for and the span classifier finds at least this sure; doubted counts the base spans
-    that it finds less likely than not.
+    kinds that form or gazetteer vote for and the span classifier finds at least this sure; doubted counts the base
+    spans that it finds less likely than not.
 
-    Tasks write spans with their votes and features; these are counted over all documents, and labelers and classifier
-    fitted to the counts (fit_labelers). There are at most len(KINDS) * 3 ** len(LABELERS) * 48 of them.
+    Tasks write spans with their votes and features; these are counted over all documents, equal strings of a document
+    once, and labelers and classifier fitted to the counts (fit_labelers). There are at most len(KINDS) * 3 **
+    len(LABELERS) * 48 of them, which tasks get as arrays.
 
     Null text: empty. Rows that repeat count each. Empty input: no rows.
     """
@@ -255,7 +260,7 @@ def personal_spans(docs: DataFrame, sure: float = SURE) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            base, more = [], []
+            base, more, codes = [], [], []
             for text in b.column(1).to_pylist():
                 text = text or ""
                 found = base_spans(text)
@@ -265,21 +270,35 @@ def personal_spans(docs: DataFrame, sure: float = SURE) -> DataFrame:
                 coded = lambda s: {"code": code(s[0], votes(text, words, *s), features(text, s[1], s[2])), "kind": s[0], "start": s[1], "end": s[2]}  # noqa: E731, B023
                 base.append([coded(s) for s in found])
                 more.append([coded(s) for s in other])
+                codes.append(list({(m["kind"], text[m["start"] : m["end"]]): m["code"] for m in base[-1] + more[-1]}.values()))
             kinds = pa.list_(pa.struct([("code", pa.int32()), ("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.record_batch([b.column(0), pa.array(base, kinds), pa.array(more, kinds)], names=["doc_id", "base", "more"])
+            yield pa.record_batch([b.column(0), pa.array(base, kinds), pa.array(more, kinds), pa.array(codes, pa.list_(pa.int32()))], names=["doc_id", "base", "more", "codes"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     coded = "array<struct<code:int,kind:int,start:long,end:long>>"
-    d = scratch.write(d.mapInArrow(run, f"doc_id long, base {coded}, more {coded}"), "personal")
-    codes = d.select(F.explode(F.transform(F.concat("base", "more"), lambda m: m["code"])).alias("code")).groupBy("code").agg(F.count("*").alias("n")).orderBy("code").collect()
+    d = scratch.write(d.mapInArrow(run, f"doc_id long, base {coded}, more {coded}, codes array<int>"), "personal")
+    codes = d.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n")).orderBy("code").collect()
     p = fit_labelers([r.code for r in codes], [r.n for r in codes])
-    voted = {c: bool((decoded([c])[1] == 2).any()) for c in p}
-    these = lambda some: F.array(*(F.lit(k) for k in some)).cast("array<int>")
-    good, bad = these(k for k, x in p.items() if x >= sure and voted[k]), these(k for k, x in p.items() if x < 0.5)
+    accepted = (decoded(list(p))[1][:, :2] == 2).any(1) if p else []
+    good = np.array(sorted(k for (k, x), yes in zip(p.items(), accepted) if x >= sure and yes), np.int32)
+    bad = np.array(sorted(k for k, x in p.items() if x < 0.5), np.int32)
+    # A string that stands twice in a document under different votes may have a code that wasn't counted: it is no one's.
+
+    def decide(batches):
+        for b in batches:
+            more = b.column(2)
+            of = np.repeat(np.arange(b.num_rows), more.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            keep = np.isin(more.flatten().field("code").to_numpy(zero_copy_only=False), good)
+            base = b.column(1)
+            owner = np.repeat(np.arange(b.num_rows), base.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            doubt = np.bincount(owner[np.isin(base.flatten().field("code").to_numpy(zero_copy_only=False), bad)], minlength=b.num_rows)
+            chosen = more.flatten().filter(pa.array(keep))
+            offsets = np.append(0, np.cumsum(np.bincount(of[keep], minlength=b.num_rows))).astype(np.int32)
+            yield pa.record_batch([b.column(0), base, pa.ListArray.from_arrays(pa.array(offsets), chosen), pa.array(doubt.astype(np.int64))], names=["doc_id", "base", "added", "doubted"])
+
     plain = lambda c: F.transform(c, lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
-    added = plain(F.filter("more", lambda m: F.array_contains(good, m["code"])))
-    doubted = F.size(F.filter("base", lambda m: F.array_contains(bad, m["code"]))).cast("long")
-    return d.select("doc_id", plain(F.col("base")).alias("base"), F.concat(plain(F.col("base")), added).alias("spans"), doubted.alias("doubted"))
+    d = d.select("doc_id", "base", "more").mapInArrow(decide, f"doc_id long, base {coded}, added {coded}, doubted long")
+    return d.select("doc_id", plain("base").alias("base"), F.concat(plain("base"), plain("added")).alias("spans"), "doubted")
 
 
 def personal_report(docs: DataFrame) -> DataFrame:

@@ -31,6 +31,8 @@ ALPHABETS = (
 STRATA, BINS = (20, 28, 36, 52, 84), 200
 #: Runs of all strata that weigh with those of a stratum in its estimate.
 POOLED = 50.0
+#: Bins between the places at which the density of random runs is tried.
+STEP = 5
 #: Random strings that calibrate the battery for each alphabet and length, and the length from which they serve all
 #: longer strings: the distribution of the combined statistic no longer changes then.
 SIMULATED, LONGEST = 4000, 256
@@ -121,7 +123,7 @@ def secret_spans(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     backed counts the random runs that do overlap one.
 
     Each run of 20 or more letters, digits and marks gets a p-value (randomness). Per stratum of length, truly random
-    runs have even p-values: their number is read off the upper half (Storey), and runs count as random from the
+    runs have even p-values: their number is read off where p-values lie evenly (thresholds), and runs count as random from the
     lowest p-value on at which no more than rate of those above it are estimated to be something else. p-values are
     counted in BINS bins over all documents; the bins of all strata weigh in like POOLED runs. A run in the lowest bin,
     with a p-value under 1 / BINS, fails the battery on its own account and counts as random in no case.
@@ -153,7 +155,12 @@ def secret_spans(docs: DataFrame, rate: float = 0.05) -> DataFrame:
 
 
 def thresholds(bins: list[tuple[int, int, int]], rate: float) -> dict[int, int]:
-    """Stratum -> first bin whose runs count as random. bins: stratum, bin, runs."""
+    """Stratum -> first bin whose runs count as random. bins: stratum, bin, runs.
+
+    Runs that aren't random pile up in the low bins, so the mean of the bins from some place on falls as the place
+    moves up, until none but random runs are left. It is read off at the first place, STEP bins apart, where it falls no
+    more (the right-boundary rule of Liang and Nettleton 2012), at the middle at the latest.
+    """
     by: dict[int, np.ndarray] = {}
     for s, b, n in bins:
         by.setdefault(s, np.zeros(BINS))[b] += n
@@ -161,8 +168,10 @@ def thresholds(bins: list[tuple[int, int, int]], rate: float) -> dict[int, int]:
     out = {}
     for s, own in by.items():
         counts = own + POOLED * pooled / pooled.sum()
-        even = counts[BINS // 2 :].mean()  # random runs a bin
         above = np.cumsum(counts[::-1])[::-1]
+        means = above / np.arange(BINS, 0, -1)
+        places = range(STEP, BINS // 2 + 1, STEP)
+        even = next((means[x] for x in places[1:] if means[x] >= means[x - STEP]), means[places[-1]])  # random runs a bin
         other = 1 - np.minimum(1.0, even * np.arange(BINS, 0, -1) / np.maximum(above, 1e-12))
         good = np.flatnonzero((other <= rate) & (above > 0))
         out[s] = max(1, int(good[0])) if even > 0 and len(good) else BINS

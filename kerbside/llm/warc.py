@@ -17,8 +17,10 @@ from kerbside.plans.scratch import Scratch
 
 #: Packed bytes at which a file ends, so that a file can be read in one piece; one record may be larger.
 FILE_BYTES = 16 << 20
-#: Bytes that a line of a header has at most, and by which packed bytes are unpacked.
-LINE, CHUNK = 1 << 16, 1 << 16
+#: Bytes by which packed bytes are unpacked, and passed ones after which the buffer is cut.
+CHUNK, PASSED = 1 << 16, 1 << 20
+#: Times its size that deflate can unpack a byte to.
+INFLATE = 1032
 #: Repeated payloads whose digests are broadcast (about 60 bytes each); beyond it the join shuffles.
 BROADCAST_DIGESTS = 300_000
 # The field names of the two header versions.
@@ -57,11 +59,15 @@ class Record(NamedTuple):
 
 
 class Reader:
-    """Bytes that may be gzipped, in one member or many, unpacked as they are read. Broken members are passed over and counted."""
+    """Bytes that may be gzipped, in one member or many, unpacked as they are read. Broken members are passed over and counted.
+
+    Reading moves a place in a buffer, so looking ahead and going back copy nothing; the buffer holds what was looked
+    at, and lengths beyond what the bytes can unpack to aren't looked for.
+    """
 
     def __init__(self, data: bytes):
         self.broken = 0
-        self._held = b""
+        self._held, self._at, self._left = bytearray(), 0, (INFLATE if data[:2] == b"\x1f\x8b" else 1) * len(data)
         self._more = self._members(data) if data[:2] == b"\x1f\x8b" else (data[k : k + CHUNK] for k in range(0, len(data), CHUNK))
 
     def _members(self, data: bytes) -> Iterator[bytes]:
@@ -85,40 +91,49 @@ class Reader:
                 self.broken += 1
                 at += 3
 
-    def _fill(self, n: int) -> None:
-        parts, have = [self._held], len(self._held)
-        while have < n:
+    def has(self, n: int) -> bool:
+        """Whether n more bytes are there."""
+        if n > self._left + len(self._held) - self._at:
+            return False
+        while len(self._held) - self._at < n:
             part = next(self._more, None)
             if part is None:
-                break
-            parts.append(part)
-            have += len(part)
-        self._held = b"".join(parts)
+                return False
+            if self._at > PASSED:
+                del self._held[: self._at]
+                self._at = 0
+            self._held += part
+        return True
+
+    def peek(self, n: int, after: int = 0) -> bytes:
+        """Up to n bytes beyond the next ones; fewer at the end."""
+        self.has(after + n)
+        return bytes(self._held[self._at + after : self._at + after + n])
 
     def read(self, n: int) -> bytes:
         """Up to n bytes; fewer at the end."""
-        self._fill(n)
-        out, self._held = self._held[:n], self._held[n:]
+        out = self.peek(n)
+        self._at += len(out)
         return out
 
-    def peek(self, n: int) -> bytes:
-        self._fill(n)
-        return self._held[:n]
-
     def line(self) -> bytes:
-        """Up to a line end, which is included, or LINE bytes."""
-        cut = self._held.find(b"\n", 0, LINE)
-        while cut < 0 and len(self._held) < LINE:
-            before = len(self._held)
-            self._fill(before + 1)
-            if len(self._held) == before:
+        """Up to a line end, which is included, or the end."""
+        seen = 0
+        while (cut := self._held.find(b"\n", self._at + seen)) < 0:
+            seen = len(self._held) - self._at
+            if not self.has(seen + 1):
                 break
-            cut = self._held.find(b"\n", max(0, before - 1), LINE)
-        return self.read(cut + 1 if cut >= 0 else LINE)
+        return self.read(cut + 1 - self._at if cut >= 0 else seen)
 
     def back(self, data: bytes) -> None:
-        """Puts bytes before those to be read."""
-        self._held = data + self._held
+        """Back to before data, which were the last bytes read."""
+        self._at -= len(data)
+
+
+def number(text: str | None) -> int | None:
+    """An integer of 64 bits in ASCII digits, else None."""
+    n = int(text) if text and re.fullmatch(r"-?[0-9]{1,19}", text, re.A) else None
+    return n if n is not None and -(1 << 63) <= n < 1 << 63 else None
 
 
 _IP, _DATE = re.compile(r"[0-9.]+|[0-9A-Fa-f:]+"), re.compile(r"[0-9]{4,14}")
@@ -128,7 +143,7 @@ def _arc_head(line: bytes, fields: list[str]) -> dict[str, str] | None:
     """Values of a header line by field, or None if it is none. A URL with spaces takes the values that are too many."""
     values = line.decode("utf-8", "replace").rstrip("\r\n").split(" ")
     first = values[0].startswith("filedesc://")
-    if not line.endswith(b"\n") or not values[-1].isdigit() or (not first and len(values) < len(fields)):
+    if not line.endswith(b"\n") or (number(values[-1]) or 0) < 0 or number(values[-1]) is None or (not first and len(values) < len(fields)):
         return None
     if first:
         return {"URL": values[0], "Archive-date": values[2] if len(values) > 2 else "", "Archive-length": values[-1]}
@@ -156,13 +171,11 @@ def parse_arc(data: bytes) -> Iterator[Record]:
             lost = True
             continue
         length = int(head["Archive-length"])
-        block = r.read(length)
-        if len(block) < length or r.peek(1) not in (b"", b"\n", b"\r"):
-            yield Record(error="short record" if len(block) < length else "wrong length")
+        if not r.has(length) or r.peek(1, length) not in (b"", b"\n", b"\r"):
+            yield Record(error="wrong length" if r.has(length) else "short record")
             lost = True
-            r.back(block)
             continue
-        lost = False
+        block, lost = r.read(length), False
         if line.startswith(b"filedesc://"):
             lines = block.decode("utf-8", "replace").split("\n")
             if len(lines) > 1 and lines[1].startswith("URL "):
@@ -230,20 +243,18 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
                     break
                 k, _, v = x.decode("utf-8", "replace").partition(":")
                 fields[k.strip().lower()] = v.strip()
-        length = fields.get("content-length", "")
-        if not length.isdigit() or "warc-type" not in fields:
+        length = number(fields.get("content-length"))
+        if length is None or length < 0 or "warc-type" not in fields:
             if not lost:
                 yield {"error": "no header"}, b""
             lost = True
             continue
-        block = r.read(int(length))
-        if len(block) < int(length) or r.peek(4) not in (b"", b"\r\n\r\n"):
-            yield {"error": "short record" if len(block) < int(length) else "wrong length"}, b""
+        if not r.has(length) or r.peek(4, length) not in (b"", b"\r\n\r\n"):
+            yield {"error": "wrong length" if r.has(length) else "short record"}, b""
             lost = True
-            r.back(block)
             continue
         lost = False
-        yield fields, block
+        yield fields, r.read(length)
     for _ in range(r.broken):
         yield {"error": "broken member"}, b""
 
@@ -323,7 +334,7 @@ def convert_arc(spark: SparkSession, arc: str, warc: str, least_bytes: int = 0)
                 for r in parse_arc(data.as_py()):
                     fields, head, body = http_parts(r.block)
                     if r.error or (head and len(body) >= least_bytes):
-                        rows.append((int(fields["x-page-id"]) if "x-page-id" in fields else None, None if r.error else base32_sha1(body), r.error))
+                        rows.append((number(fields.get("x-page-id")), None if r.error else base32_sha1(body), r.error))
                 kinds = (("page", pa.int64()), ("digest", pa.string()), ("error", pa.string()))
                 yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
 
@@ -355,7 +366,7 @@ def convert_arc(spark: SparkSession, arc: str, warc: str, least_bytes: int = 0)
                         uuid = record_uuid(page or "", digest)
                         key = digest if len(body) >= least_bytes else None
                         common = (uuid, r.url, r.ip, r.date, digest)
-                        rows.append((None if page is None else int(page), key, warc_head("response", *common, r.block, info=info) + b"\r\n" + r.block, warc_head("revisit", *common, head, info=info), b"\r\n" + head))
+                        rows.append((number(page), key, warc_head("response", *common, r.block, info=info) + b"\r\n" + r.block, warc_head("revisit", *common, head, info=info), b"\r\n" + head))
                     else:
                         rows.append((None, None, warc_head("resource", record_uuid(r.url + r.date, digest), r.url, r.ip, r.date, digest, r.block, r.kind, info) + b"\r\n" + r.block, None, None))
                     held += len(r.block)
@@ -387,7 +398,8 @@ def convert_arc(spark: SparkSession, arc: str, warc: str, least_bytes: int = 0)
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of WARC files but warcinfo: record_id, record_type, refers (record id), page_id, payload_bytes, payload_digest, error.
 
-    A response's or resource's size and digest are taken from its bytes, a revisit's from its headers. A row with an
+    A response's or resource's size and digest are taken from its bytes, a revisit's from its headers; what a header lacks,
+    or has no number for, is null. A row with an
     error stands for bytes that couldn't be read as records.
     """
 
@@ -402,9 +414,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                         continue
                     http, _, body = http_parts(block)
                     whole = fields["warc-type"] != "revisit"
-                    size = len(body) if whole else int(http.get("content-length", 0))
-                    digest = base32_sha1(body) if whole else fields["warc-payload-digest"].removeprefix("sha1:")
-                    rows.append((fields["warc-record-id"], fields["warc-type"], fields.get("warc-refers-to"), int(http["x-page-id"]) if "x-page-id" in http else None, size, digest, None))
+                    size = len(body) if whole else number(http.get("content-length"))
+                    digest = base32_sha1(body) if whole else fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
+                    rows.append((fields.get("warc-record-id"), fields["warc-type"], fields.get("warc-refers-to"), number(http.get("x-page-id")), size, digest, None))
                 cols = zip(*rows) if rows else [[]] * len(kinds)
                 yield pa.record_batch([pa.array(list(c), t) for c, (_, t) in zip(cols, kinds)], names=[n for n, _ in kinds])
 

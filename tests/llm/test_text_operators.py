@@ -345,6 +345,48 @@ def test_broken_archives_are_read_on():
     assert Reader(gzip.compress(big)).read(len(big)) == big
 
 
+def test_reading_on_is_linear_and_bounded():
+    """A bad length before 16 MB of good records; lengths beyond what the file can hold; long URLs; odd foreign headers."""
+    import gzip
+    import time
+
+    from kerbside.llm.warc import Reader, parse_warc
+
+    head = version_block("x.arc", 1, "20260101000000")
+    record = arc_record("http://p/1", "20250102030405", "text/html", b"line of text\n" * 80, 1, "x")
+    bad = record.replace(b" 1040\n", b" 900\n")
+    assert bad != record
+    began = time.time()
+    many = list(parse_arc(gzip.compress(b"\n".join([head, bad, *[record] * 16_000]), 1)))
+    assert len([r for r in many if not r.error]) == 16_001 and time.time() - began < 6
+    huge = record.replace(b" 1040\n", b" 1000000000000\n")
+    r = Reader(gzip.compress(huge + b"\n" + record))
+    assert not r.has(10**12) and len(r._held) == 0
+    found = [x for x in parse_arc(b"\n".join([head, huge, record])) if not x.error]
+    assert [x.url for x in found][1:] == ["http://p/1"]
+    url = "http://p/" + "u" * 300_000
+    assert [x.url for x in parse_arc(b"\n".join([head, arc_record(url, "2025", "a/b", b"xy", 1, "x")]))][1:] == [url]
+    odd = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: \xc2\xb2\r\n\r\n"
+    ok = b"WARC/1.0\r\nWARC-Type: revisit\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
+    assert [f.get("error", f.get("warc-type")) for f, _ in parse_warc(odd + ok)] == ["no header", "revisit"]
+
+
+def test_foreign_archives(spark, tmp_path):
+    """Headers without digest, identifier or numbers are rows with nulls; long URLs come back."""
+    import gzip
+
+    from kerbside.llm.warc import read_warc
+
+    http = b"HTTP/1.1 200 OK\r\nX-Page-Id: ten\r\nContent-Length: many\r\n\r\n"
+    data = b"".join(b"WARC/1.0\r\nWARC-Type: %s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (t, len(http), http) for t in (b"revisit", b"response"))
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "part-0").write_bytes(gzip.compress(data))
+    got = sorted(((r.record_type, r.record_id, r.page_id, r.payload_bytes, r.payload_digest is None, r.error) for r in read_warc(spark, str(tmp_path / "w")).collect()), key=str)
+    assert got == [("response", None, None, 0, False, None), ("revisit", None, None, None, True, None)]
+    pages = spark.createDataFrame([(1, "http://a/" + "b" * 200_000, "x"), (2, "u v\nw", "x")], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in archive_pages(pages).collect()) == [(1, "revisit", 2), (2, "response", None)]
+
+
 def test_members_are_gzip_files():
     import gzip
 
@@ -422,6 +464,23 @@ def test_pipeline_keeps_columns(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).agg(F.sum("n_tokens")).first()[0] > 0
 
 
+def test_pipeline_with_clashing_columns(spark, tmp_path):
+    """Columns that the stages' own plans use come back as they were."""
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    names = ["_row", "_index", "_file", "_place", "id", "rank", "_mix_size", "_mix_row", "_mix_key", "n_words", "unit", "size", "target", "key", "range"]
+    rows = [(i, ". ".join(" ".join(words(rng, 9)) for _ in range(12)), "en", f"s{i % 2}", 1) for i in range(120)]
+    docs = pipeline_tables(spark, tmp_path, rows, [(1, " ".join(rows[5][1].split()[3:40]))])
+    docs.select("*", *(F.lit(777).alias(c) for c in names)).write.parquet(f"{tmp_path}/wide")
+    docs = spark.read.parquet(f"{tmp_path}/wide")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/stage{k}")
+        docs = spark.read.parquet(f"{tmp_path}/stage{k}")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names]
+    assert docs.count() > 100 and all(r[c] == 777 for r in docs.collect() for c in names)
+
+
 def test_pipeline_judges_rows(spark, tmp_path):
     """Null and repeated doc_id: rows are kept or dropped by their own texts, as a brute-force run over rows does."""
     import corpus_pipeline
@@ -568,6 +627,48 @@ def test_labelers_recover_planted_reliabilities():
     assert ((sure > 0.5) == truth).mean() > 0.93
 
 
+def test_labelers_cannot_change_places():
+    """Thousands of spans that only form votes against, some with a word before: none becomes likely, anchored ones do."""
+    import numpy as np
+
+    from kerbside.llm.pii import expectation_maximization
+
+    v = np.array([[0, 1, 1, 1, 1, 1], [0, 1, 2, 1, 1, 1], [1, 1, 1, 1, 1, 1], [1, 2, 2, 1, 1, 1], [1, 2, 1, 1, 1, 1]])
+    q, _ = expectation_maximization(np.zeros(5, int), v, np.array([7000.0, 90.0, 300.0, 60.0, 30.0]))
+    assert q[0] < 0.1 and q[1] < 0.5 and q[2] == 0 and q[3] > 0.9
+
+
+def test_added_names_among_noise(spark):
+    """Planted names, and noise that looks like names: repeated pairs over a line end, titles of licenses, words of other sentences."""
+    rng = random.Random(33)
+    given, family = ["James", "Maria", "Peter", "Laura"], ["Carter", "Lopez", "Schmidt", "Moreau", "Rossi"]
+    noise = ["sent out To.\nBy To the end by\nBy To of it", "under the Apache License and the General Public License by all", "Dear all. The River flows by The Hague name", "contact Green House by Red Door"]
+    rows = [(i, f"dear {rng.choice(given)} {rng.choice(family)}, regards and thanks for the call") for i in range(60)]
+    rows += [(100 + i, rng.choice(noise) + f" {i} words") for i in range(400)]
+    got = {r.doc_id: r.spans for r in personal_report(frame(spark, rows)).collect()}
+    true, false = sum("name" in got[i] for i in range(60)), sum("name" in got[100 + i] for i in range(400))
+    assert true >= 54 and false == 0
+
+
+@pytest.mark.parametrize("n", [100, 300, 1000])
+def test_recall_of_random_runs(n):
+    """Even p-values alone, and with as many others in the low bins: mean recall at a rate of 0.05, and the share of others taken."""
+    from kerbside.llm.secret_scan import BINS, thresholds
+
+    rng = random.Random(n)
+    recall, mixed, false = [], [], []
+    for _ in range(60):
+        bins = Counter(rng.randrange(BINS) for _ in range(n))
+        first = thresholds([(0, b, c) for b, c in bins.items()], 0.05)[0]
+        recall.append(sum(c for b, c in bins.items() if b >= first) / n)
+        other = Counter(min(BINS - 1, int(BINS * rng.random() ** 6 / 20)) for _ in range(n))
+        first = thresholds([(0, b, c) for b, c in (bins + other).items()], 0.05)[0]
+        hit, miss = (sum(c for b, c in x.items() if b >= first) for x in (bins, other))
+        mixed.append(hit / n)
+        false.append(miss / max(1, hit + miss))
+    assert sum(recall) / 60 >= 0.9 and sum(mixed) / 60 >= 0.9 and sum(false) / 60 <= 0.05
+
+
 def test_added_personal_data(spark):
     rows = [(1, "dear James Carter, write to jo (at) mail (dot) org or call (555) 123-4567 now"), (2, "bank account iban GB82 WEST 1234 5698 7654 32 for transfer"), (3, "version 000-12-3456 of the build"), (4, "social security 123-45-6789 ssn")]
     rows += [(10 + i, f"dear {a} {b}, phone (55{i % 9}) 2{i:02d}-4{i:02d}7, social security ssn 3{i:02d}-45-67{i:02d} thanks") for i, (a, b) in enumerate([("James", "Carter"), ("Maria", "Lopez"), ("Peter", "Schmidt")] * 10)]
