@@ -15,45 +15,46 @@ from kerbside.llm.mixing import mixed_documents
 from kerbside.llm.ngram_jaccard import ngram_components, small_enough
 from kerbside.llm.quality_rules import quality_rules
 from kerbside.llm.token_output import token_index
-from kerbside.plans.scratch import Scratch, with_row_key
+from kerbside.plans.scratch import Scratch, free_name, with_row_key
 
 #: SQL can't express the outlier estimates and the tokenizer.
 ORACLE_SQL = None
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs with its row numbers in _row, and the same with these in place of doc_id."""
-    rows = with_row_key(docs)
-    return rows, rows.select(F.col("_row").alias("doc_id"), *(rows[f"`{c}`"] for c in docs.columns if c != "doc_id"))
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """docs with its row numbers in a column that docs lacks, doc_id and text with these in place of doc_id, and the column's name."""
+    row = free_name("_row", docs.columns)
+    rows = with_row_key(docs, row)
+    return rows, rows.select(F.col(row).alias("doc_id"), *(c for c in ("text", "lang", "source") if c in docs.columns)), row
 
 
-def _kept(docs: DataFrame, rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose number is in ids (column _row), with the columns of docs."""
+def _kept(docs: DataFrame, rows: DataFrame, row: str, ids: DataFrame) -> DataFrame:
+    """Rows whose number is in ids (column id), with the columns of docs."""
     ids = Scratch(docs.sparkSession).write(ids, "kept")
-    return rows.join(small_enough(ids, ids.count()), "_row", "left_semi").select(*(rows[f"`{c}`"] for c in docs.columns))
+    return rows.join(small_enough(ids.withColumnRenamed("id", row), ids.count()), row, "left_semi").select(*(rows[f"`{c}`"] for c in docs.columns))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows that the quality rules reject, null texts among them. Empty documents: no rows."""
-    rows, named = _numbered(docs)
-    return _kept(docs, rows, quality_rules(named).where("kept").select(F.col("doc_id").alias("_row")))
+    rows, named, row = _numbered(docs)
+    return _kept(docs, rows, row, quality_rules(named).where("kept").select(F.col("doc_id").alias("id")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each component the row of the smallest doc_id (null last), of several the first; rows without words stay, as they are like nothing. Empty documents: no rows."""
-    rows, named = _numbered(docs)
-    found = ngram_components(named).select(F.col("doc_id").alias("_row"), "component_id")
-    ids = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), "_row").alias("rank"))
-    first = found.join(ids, "_row").groupBy("component_id").agg(F.min("rank").alias("rank"))
-    return _kept(docs, rows, first.select("rank._row"))
+    rows, named, row = _numbered(docs)
+    found = ngram_components(named).select(F.col("doc_id").alias("id"), "component_id")
+    ids = rows.select(F.col(row).alias("id"), F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("id")).alias("rank"))
+    first = found.join(ids, "id").groupBy("component_id").agg(F.min("rank").alias("rank"))
+    return _kept(docs, rows, row, first.select("rank.id"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows that hold a benchmark item. Null texts hold none. Empty documents: no rows; empty benchmark: all."""
-    rows, named = _numbered(docs)
+    rows, named, row = _numbered(docs)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = Scratch(spark).write(contaminated(named, benchmark).select(F.col("doc_id").alias("_row")).distinct(), "leaks")
-    return rows.join(small_enough(found, found.count()), "_row", "left_anti").select(*(rows[f"`{c}`"] for c in docs.columns))
+    found = Scratch(spark).write(contaminated(named, benchmark).select(F.col("doc_id").alias(row)).distinct(), "leaks")
+    return rows.join(small_enough(found, found.count()), row, "left_anti").select(*(rows[f"`{c}`"] for c in docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
