@@ -7,20 +7,38 @@ import zipfile
 from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kerbside import hooks, sinks
 from kerbside import params as P
-from kerbside.functions import overlay
+from kerbside.functions import media, overlay
 from kerbside.operators import detect, track
 from kerbside.plans.pipeline import Result, from_boxes, job_summary
 from kerbside.plans.scratch import Scratch
+from kerbside.sources import archive, listing
 
 #: Kinds of files of a job and their folder; kmz is packed when it is asked for.
 ARTIFACTS = {"geojson": "detections.geojson", "deduped_geojson": "detections_deduped.geojson", "kml": "detections.kml", "assets_csv": "detections_deduped.csv", "tri_debug_csv": "detections_triangulation_debug.csv", "calibration_log": "calibration.log", "raw": "detections_raw.json"}
 
 
+def start_time(override: str | None = None, probe: datetime | None = None, points: DataFrame | None = None) -> datetime:
+    """When a video began, in UTC: as the caller says (ISO, its offset ignored), by its own tags, with the track, or now."""
+    if override:
+        return datetime.fromisoformat(override).replace(tzinfo=UTC)
+    if probe is not None:
+        return probe if probe.tzinfo else probe.replace(tzinfo=UTC)
+    first = points.agg(F.unix_micros(F.min("ts"))).first()[0] if points is not None else None
+    return datetime.now(UTC) if first is None else datetime.fromtimestamp(first / 1e6, UTC)
+
+
+def _sizes(batches):
+    for b in batches:
+        sizes = [media.image_size(c.as_py()) or (None, None) for c in b.column("content")]
+        yield pa.record_batch([b.column("job_id"), b.column("path"), *(pa.array([s[k] for s in sizes], pa.int32()) for k in range(2))], names=["job_id", "path", "image_w_px", "image_h_px"])
+
+
 class Engine:
     """Runs jobs under out_dir and keeps a table of them there, so a job outlives the process that ran it."""
 
@@ -43,7 +61,7 @@ class Engine:
             job_summary(frames, boxes, r.kept, r.assets).write.parquet(f"{self.out_dir}/{run_id}/summary")
             self._register(run_id, "complete", "", started)
         except Exception as e:
-            self._register(run_id, "error", str(e)[:500], started)
+            self._register(run_id, "error", str(e)[-500:], started)
             raise
         return run_id
 
@@ -69,6 +87,29 @@ class Engine:
         boxes = boxes.drop("line_no").join(pose.withColumn("ts", F.col("offset_sec")).drop("top_text"), ["job_id", "frame_idx"])
         return self.run(scratch.write(boxes, "boxes"), pose, conf)
 
+    def run_dir(self, path: str, detector: Callable, reader: Callable, points: DataFrame | None = None, interval: float = 1.0, start: str | None = None, tags: Callable | None = None, conf: float = P.DEFAULT_CONF) -> str:
+        """A run from a folder or a zip of frames, in order of their paths, interval seconds apart.
+
+        Images whose header can't be read take their place in the order and are left out. A frame's time is what its
+        tags say (tags: see hooks.image_tags), else start_time plus its place. points: a GPS track of job 0. detector,
+        reader: see run_frames.
+        """
+        files = archive.zip_frames(self.spark, path) if path.lower().endswith(".zip") else listing.frames(self.spark, path)
+        files = files.select(F.lit(0).cast("long").alias("job_id"), "path", "content")
+        scratch = Scratch(self.spark)
+        sizes = scratch.write(files.mapInArrow(_sizes, "job_id long, path string, image_w_px int, image_h_px int"), "sizes")
+        order = track.indexed(sizes.withColumn("readable", F.col("image_w_px").isNotNull())).drop("readable")
+        f = scratch.write(order.join(files, ["job_id", "path"]), "frames")
+        f = f.withColumn("offset_sec", F.round(F.col("frame_idx") * F.lit(float(interval)), 2))
+        began = start_time(start, points=points)
+        ts = F.timestamp_micros((F.lit(round(began.timestamp() * 1e6)) + F.round(F.col("offset_sec") * 1e6)).cast("long"))
+        if tags is not None:
+            t = hooks.image_tags(f.select("job_id", "frame_idx", "content"), tags).select("job_id", "frame_idx", media.exif_time(F.col("original"), F.col("changed")).alias("taken"))
+            f = f.join(scratch.write(t, "tags"), ["job_id", "frame_idx"], "left").withColumn("ts", F.coalesce("taken", ts)).drop("taken")
+        else:
+            f = f.withColumn("ts", ts)
+        return self.run_frames(f.drop("path"), detector, reader, points, conf)
+
     def _write(self, run_id: str, r: Result, frames: DataFrame) -> None:
         at = f"{self.out_dir}/{run_id}/"
         det = detect.detections(r.kept)

@@ -63,3 +63,25 @@ def extension(path: Column) -> Column:
 
 def stem(path: Column) -> Column:
     return F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
+
+
+def image_size(content: bytes | None) -> tuple[int, int] | None:
+    """Width and height by the header of a PNG or JPEG; None for other bytes and broken headers."""
+    if not content:
+        return None
+    if content[:8] == b"\x89PNG\r\n\x1a\n" and content[12:16] == b"IHDR" and len(content) >= 24:
+        return int.from_bytes(content[16:20]), int.from_bytes(content[20:24])
+    if content[:2] != b"\xff\xd8":
+        return None
+    at = 2
+    while at + 9 <= len(content) and content[at] == 0xFF:
+        mark = content[at + 1]
+        if mark == 0xFF:
+            at += 1
+        elif 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
+            return int.from_bytes(content[at + 7 : at + 9]), int.from_bytes(content[at + 5 : at + 7])
+        elif mark == 1 or 0xD0 <= mark <= 0xD7:
+            at += 2
+        else:
+            at += 2 + int.from_bytes(content[at + 2 : at + 4])
+    return None

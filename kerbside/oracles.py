@@ -186,7 +186,7 @@ SELECT event_id % 100 AS stem, count(*) AS n, CAST(sum(event_id % 28) AS BIGINT)
         "class_names": f"WITH params AS ({STEPS['params']}) SELECT event_id, CAST(event_id % 33 AS INTEGER) AS class_id, coalesce(p.class, 'class_' || event_id % 33) AS class FROM events LEFT JOIN params p ON p.class_id = event_id % 33",
         "class_params_join": chain("SELECT entry_seq, d.class, coalesce(p.min_conf, 0.25e0) AS min_conf, p.height_m, coalesce(p.eps_ft, 10e0) AS eps_ft, coalesce(p.offset_m, 3e0) AS offset_m, coalesce(p.max_m, 50e0) AS max_m, coalesce(p.stretch, 1.3e0) AS stretch, coalesce(p.min_frames, 1) AS min_frames FROM det d LEFT JOIN params p ON p.class = d.class", "det"),
         "conf_filter": chain("SELECT entry_seq, class, confidence FROM kept", "kept"),
-        "detector_threshold": f"WITH params AS ({STEPS['params']}) SELECT least(0.5e0, min(min_conf)) AS threshold FROM params",
+        "detector_threshold": f"WITH params AS ({STEPS['params']}) SELECT least(0.5e0, min(min_conf)) AS threshold FROM params WHERE class_id IN (SELECT class_id FROM ({scenes.SCENE}) s)",
         "image_count": f"{_FILES} SELECT split, count(*) AS n_images FROM files WHERE regexp_matches(lower(path), '\\.(jpg|jpeg|png)$') GROUP BY split",
         "incoming_images": f"{_FILES} SELECT event_id, path FROM files WHERE regexp_matches(path, '\\.(jpg|jpeg|png|JPG|JPEG|PNG)$')",
         "latest_model": f"{_FILES} SELECT max(path) AS path FROM files WHERE path LIKE '%/weights/best.pt'",

@@ -225,7 +225,9 @@ def conf_filter(s: SparkSession, d: str) -> DataFrame:
 
 
 def detector_threshold(s: SparkSession, d: str) -> DataFrame:
-    return detect.detector_threshold(P.class_params(s), 0.5)
+    """What a detector is asked for, by the classes that the scene has."""
+    seen = scenes.scene(s, d).select("class_id").distinct()
+    return detect.detector_threshold(P.class_params(s).join(seen, "class_id", "left_semi"), 0.5)
 
 
 def image_count(s: SparkSession, d: str) -> DataFrame:

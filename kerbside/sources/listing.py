@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import zipfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,17 +24,6 @@ def frames(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", FRAME_GLOB).load(path).select("path", "content")
 
 
-def unzip_frames(archive: str, to: str) -> list[str]:
-    """Extracts an archive of frames; members that would leave the folder are refused."""
-    base = os.path.realpath(to)
-    with zipfile.ZipFile(archive) as z:
-        for name in z.namelist():
-            if not os.path.realpath(os.path.join(base, name)).startswith(base + os.sep):
-                raise ValueError(f"unsafe path in archive: {name}")
-        z.extractall(base)
-        return z.namelist()
-
-
 def _under(path: Column, ending: str) -> Column:
     return path.rlike(ending)
 

@@ -15,7 +15,7 @@ from kerbside.operators import cluster, detect, links, suppress, track, triangul
 from kerbside.plans.components import connected_components
 from kerbside.plans.pipeline import from_boxes, job_summary
 from kerbside.plans.scratch import Scratch, with_row_key
-from kerbside.sources import gpx, labels, listing
+from kerbside.sources import archive, gpx, labels, listing
 from kerbside.streaming import entries as live
 
 
@@ -387,7 +387,7 @@ def test_sources(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
         z.writestr("../evil.jpg", b"")
     with pytest.raises(ValueError):
-        listing.unzip_frames(str(tmp_path / "x.zip"), str(tmp_path / "out"))
+        archive.zip_frames(spark, str(tmp_path / "x.zip"))
     (tmp_path / "frames").mkdir()
     for n in ("b.jpg", "a.PNG", "c.JPEG"):
         (tmp_path / "frames" / n).write_bytes(n.encode())
@@ -452,6 +452,72 @@ def test_run_from_frames(spark, tmp_path):
     assert s.raw_detections == 12
 
 
+def png(w, h):
+    return b"\x89PNG\r\n\x1a\n" + (13).to_bytes(4) + b"IHDR" + w.to_bytes(4) + h.to_bytes(4) + b"\x08\x02\0\0\0"
+
+
+def jpeg(w, h):
+    return b"\xff\xd8\xff\xe0\x00\x04ab\xff\xff\xc2\x00\x0b\x08" + h.to_bytes(2) + w.to_bytes(2) + b"\x03" + bytes(9)
+
+
+def test_image_sizes():
+    assert media.image_size(png(640, 480)) == (640, 480) and media.image_size(jpeg(1080, 1920)) == (1080, 1920)
+    for bad in (None, b"", b"GIF89a", b"\xff\xd8\xff", png(1, 1)[:20], b"\xff\xd8\x00\x00" * 9):
+        assert media.image_size(bad) is None
+
+
+def test_zip_is_read_by_tasks(spark, tmp_path):
+    made = {f"day/{k:03d}.{('jpg', 'PNG', 'jpeg')[k % 3]}": bytes([k % 251]) * (500 + k) for k in range(40)}
+    with zipfile.ZipFile(tmp_path / "f.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for name, content in made.items():
+            z.writestr(name, content)
+        z.writestr("day/notes.txt", b"no image")
+        z.writestr("day/sub/", b"")
+    for where in (str(tmp_path / "f.zip"), f"file://{tmp_path}/f.zip"):
+        f = archive.zip_frames(spark, where, part_bytes=100)
+        assert f.rdd.getNumPartitions() > 3
+        assert {r.path: bytes(r.content) for r in f.collect()} == made
+    with zipfile.ZipFile(tmp_path / "none.zip", "w"):
+        pass
+    assert archive.zip_frames(spark, str(tmp_path / "none.zip")).collect() == []
+    for name in ("/etc/a.jpg", "a/../../b.jpg", "c:\\d.jpg", "..\\e.jpg"):
+        with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
+            z.writestr(name, b"")
+        with pytest.raises(ValueError):
+            archive.zip_frames(spark, str(tmp_path / "bad.zip"))
+
+
+def test_run_from_a_zip_and_a_folder(spark, tmp_path):
+    """An unreadable image takes its place in the order; times are those of tags, else of the start and the place."""
+    images = {"b/1.png": png(1080, 1920), "b/2.jpg": b"broken", "b/3.JPG": jpeg(1080, 1920), "a/9.png": png(1080, 1920) + b"tagged"}
+    (tmp_path / "in").mkdir()
+    with zipfile.ZipFile(tmp_path / "f.zip", "w") as z:
+        for name, content in images.items():
+            z.writestr(name, content)
+            (tmp_path / "in" / name).parent.mkdir(exist_ok=True)
+            (tmp_path / "in" / name).write_bytes(content)
+    reader = lambda: lambda content, region: ""
+    tags = lambda: lambda content: ("2026:05:06 07:08:09" if content.endswith(b"tagged") else None, None)
+    engine = Engine(spark, f"file://{tmp_path}/out")
+    points = spark.createDataFrame([(0, k, 1767225600 + 4 * k, 30.5, -86.5, 1.0) for k in range(4)], "job_id long, pt_seq long, sec long, lat double, lng double, ele double").withColumn("ts", F.timestamp_seconds("sec"))
+    for path in (f"{tmp_path}/f.zip", f"{tmp_path}/in"):
+        run = engine.run_dir(path, hooks.stub_detector, reader, points, 2.0, "2026-01-01T00:00:00+05:00", tags)
+        s = spark.read.parquet(f"{tmp_path}/out/{run}/summary").first()
+        assert (s.frames_processed, s.gpx_hits, s.ocr_misses) == (3, 2, "0|1|3")
+
+
+def test_clock(spark):
+    from datetime import UTC, datetime
+
+    from kerbside.engine import start_time
+
+    points = spark.createDataFrame([(1767225600,), (1767225590,)], "sec long").select(F.timestamp_seconds("sec").alias("ts"))
+    probe = datetime(2026, 2, 3, tzinfo=UTC)
+    assert start_time("2026-01-02T03:04:05+09:00", probe, points) == datetime(2026, 1, 2, 3, 4, 5, tzinfo=UTC)
+    assert start_time(None, probe, points) == probe and start_time(None, None, points).timestamp() == 1767225590
+    assert abs(start_time(None, None, points.limit(0)).timestamp() - datetime.now(UTC).timestamp()) < 60
+
+
 def test_summary_of_jobs_without_boxes(spark):
     frames = spark.createDataFrame([(1, 0, None, " x "), (2, 0, "ocr", "")], "job_id long, frame_idx long, gps_source string, top_text string")
     none = spark.createDataFrame([], "job_id long, cam_lat double")
