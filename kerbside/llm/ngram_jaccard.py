@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -332,15 +333,16 @@ def _tree_join(num: int, den: int):
     return run
 
 
-def linked_in_tree(ids, n, label, left, right, sets, num: int = 4, den: int = 5, memory: int = 48_000_000) -> list[tuple[int, int]]:
+def linked_in_tree(ids, n, label, left, right, sets, num: int = 4, den: int = 5, memory: int = 48_000_000, work: Counter | None = None) -> list[tuple[int, int]]:
     """Links between the sets marked left and those marked right; as few as connect what is connected.
 
     sets: (document frequencies, n-grams) of each, in the global order, without n-grams that are in one set only; n
-    counts these too. The right sets are sorted as sequences, which lays out their prefix tree depth first: a set
-    continues from the branch that it shares with the one before, with the overlaps counted there for all left sets
-    at once. Beyond its last fork it goes on with the left sets whose size fits its own and whose overlap, were all
-    that remains shared, would suffice.
-    Pairs with one label are connected already.
+    counts these too. The right sets are the prefix tree: sorted as sequences, they lie depth first, and each place where
+    they fork is a node. A branch is walked once for all sets below it, with the overlaps of the left sets that are still
+    on it. A left set leaves the branch when the sizes below can't fit its own, or when its overlap and all that remains
+    would suffice for none below; a branch without left sets is cut with its whole subtree.
+    Pairs with one label are connected already. work counts cells (an n-gram for a left set) that were read, and subtrees
+    of two or more sets that were cut.
     """
     ids, n, label = np.asarray(ids), np.asarray(n, np.int64), np.asarray(label)
     L, R = np.flatnonzero(left), np.flatnonzero(right)
@@ -374,6 +376,18 @@ def linked_in_tree(ids, n, label, left, right, sets, num: int = 4, den: int = 5,
         d = np.flatnonzero(p[:m] != q[:m])
         fork.append(int(d[0]) if len(d) else m)
     fork.append(0)
+    below = [len(order)] * len(fork)  # the next place whose fork is nearer to the root
+    later: list[int] = []
+    for k in range(len(order), -1, -1):
+        while later and fork[later[-1]] >= fork[k]:
+            later.pop()
+        if later:
+            below[k] = later[-1]
+        later.append(k)
+    size = n[order]
+    # A right set y links with x if (num + den) * overlap >= num * (nx + ny); at depth d, at best all len(y) - d that
+    # remain are shared, so the largest of these over a subtree decides for all of it.
+    best = (num + den) * np.array([len(paths[i]) for i in order], np.int64) - num * size
     found = []
     step = max(1, memory // max(1, len(grams)))
     for s in range(0, len(L), step):
@@ -382,33 +396,45 @@ def linked_in_tree(ids, n, label, left, right, sets, num: int = 4, den: int = 5,
         for c, i in enumerate(side):
             member[paths[int(i)], c] = 1
         nx = n[side]
-        everyone = np.arange(len(side))
-        stack = [(0, np.zeros(len(side), np.int32))]  # depth, overlaps of all left sets
-        for k, y in enumerate(order):
-            path, ny = paths[y], n[y]
+        stack = [(0, np.arange(len(side)), np.zeros(len(side), np.int64))]  # depth, left sets on the branch, their overlaps
+        k = 0
+        while k < len(order):
+            y, path = order[k], paths[order[k]]
             while stack[-1][0] > fork[k]:
                 stack.pop()
-            depth, overlap = stack[-1]
-            ahead = fork[k + 1]
-            if depth < ahead:  # for all left sets, as the next set has bounds of its own
-                while depth < ahead:
-                    to = min(depth + 48, ahead)
-                    overlap = overlap + member[path[depth:to]].sum(0, dtype=np.int32)
-                    depth = to
-                stack.append((depth, overlap))
-            need = -(-(num * (nx + ny)) // (num + den))  # ceil of num / (num + den) * (nx + ny)
-            alive = everyone[(num * nx <= den * ny) & (num * ny <= den * nx) & (overlap + (len(path) - depth) >= need)]
-            overlap = overlap[alive]
-            while depth < len(path) and len(alive):
-                to = min(depth + 48, len(path))
-                overlap = overlap + member[path[depth:to]][:, alive].sum(0, dtype=np.int32)
-                depth = to
-                keep = overlap + (len(path) - depth) >= need[alive]
-                alive, overlap = alive[keep], overlap[keep]
-            for x in side[alive[overlap >= need[alive]]] if len(alive) else ():
+            depth, alive, overlap = stack[-1]
+            nodes, j = [(len(path), k + 1)], k + 1  # depth of each node down to the leaf, end of its subtree
+            while fork[j] > depth:
+                nodes.insert(1, (fork[j], below[j]))
+                j = below[j]
+            end = k + 1
+            for to, end in [*nodes[1:], nodes[0]]:
+                low, high, most = size[k:end].min(), size[k:end].max(), best[k:end].max()
+                keep = (num * nx[alive] <= den * high) & (num * low <= den * nx[alive])
+                while True:
+                    keep &= (num + den) * (overlap - depth) + most >= num * nx[alive]
+                    if not keep.all():
+                        alive, overlap = alive[keep], overlap[keep]
+                    if depth == to or not len(alive):
+                        break
+                    part = member[path[depth : min(depth + 48, to)]]
+                    if work is not None:
+                        work["cells"] += len(part) * len(alive)
+                    part = part if len(alive) == len(side) else part[:, alive]
+                    overlap = overlap + part.sum(0, dtype=np.int64)
+                    depth += len(part)
+                    keep = np.ones(len(alive), bool)
+                if not len(alive):
+                    break
+                if to < len(path) or end > k + 1:
+                    stack.append((to, alive, overlap))
+            if not len(alive) and work is not None and end > k + 1:
+                work["cut"] += 1
+            for x in side[alive]:
                 if x != y:
                     a, b = root(int(label[x])), root(int(label[y]))
                     if a != b:
                         parent[max(a, b)] = min(a, b)
                         found.append((int(ids[x]), int(ids[y])))
+            k = k + 1 if len(alive) else end
     return found

@@ -148,6 +148,60 @@ def test_tree_links_of_sizes_that_differ_on_one_branch(apart):
         assert classes(got) == classes(want)
 
 
+def test_subtrees_of_the_tree_are_cut():
+    """Families of sets that share a long beginning: those that a left set can't reach are left after a few n-grams."""
+    import numpy as np
+
+    sets = []
+    for family in range(20):
+        start = 1000 * family
+        # two n-grams that all families share, a trunk of the family's own, and an n-gram that two leaves share
+        sets += [{0, 1} | set(range(start + 2, start + 202)) | {start + 300 + leaf, start + 400 + leaf // 2} for leaf in range(10)]
+    m = len(sets)
+    df = Counter(g for s in sets for g in s)
+    arrays = [tuple(np.array(x) for x in zip(*sorted((df[g], g) for g in s if df[g] > 1))) for s in sets]
+    every, work = np.ones(m, bool), Counter()
+    got = linked_in_tree(np.arange(m), np.array([len(s) for s in sets]), np.arange(m), every, every, arrays, work=work)
+    assert {a // 10 == b // 10 for a, b in got} == {True} and len(got) == m - 20
+    whole = m * sum(len(a[1]) for a in arrays)  # cells of all pairs
+    assert work["cells"] < whole // 6  # with every branch read once for all left sets: whole // 2
+
+    # left sets of one family: the subtrees of the other nineteen go, each as a whole
+    work = Counter()
+    left = np.arange(m) < 10
+    got = linked_in_tree(np.arange(m), np.array([len(s) for s in sets]), np.arange(m), left, every, arrays, work=work)
+    assert len(got) == 9 and work["cut"] >= 19
+
+
+def test_tree_links_equal_all_pairs_on_random_trees():
+    import numpy as np
+
+    for seed in range(60):
+        rng = random.Random(seed)
+        sets = [set(rng.sample(range(40), rng.randint(4, 30)))]
+        for _ in range(30):
+            s = set(rng.choice(sets))
+            for _ in range(rng.randint(0, 6)):
+                s ^= {rng.randrange(60)}
+            sets.append(s or {1})
+        m = len(sets)
+        df = Counter(g for s in sets for g in s)
+        arrays = [tuple(np.array(x, np.int64) for x in zip(*sorted((df[g], g) for g in s if df[g] > 1))) or (np.zeros(0, np.int64),) * 2 for s in sets]
+        one = np.ones(m, bool)
+        # labels that tell nothing and a memory that splits the left sets
+        got = linked_in_tree(np.arange(m), np.array([len(s) for s in sets]), np.arange(m), one, one, arrays, memory=rng.choice([300, 48_000_000]))
+        want = [(a, b) for a in range(m) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+
+        def classes(pairs, m=m):
+            p = list(range(m))
+            for _ in range(m):
+                for a, b in pairs:
+                    p[a] = p[b] = min(p[a], p[b])
+            return p
+
+        assert classes(got) == classes(want)
+
+
 def test_mixing(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(words(rng, 20)), "en", s) for i, s in enumerate(["a"] * 400 + ["b"] * 60 + ["c"] * 5 + [None] * 35)]
