@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import uuid
-import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kerbside import hooks, sinks
+from kerbside import documents, hooks, sinks
 from kerbside import params as P
 from kerbside.functions import media, overlay
 from kerbside.operators import detect, track
@@ -19,7 +18,7 @@ from kerbside.plans.pipeline import Result, from_boxes, job_summary
 from kerbside.plans.scratch import Scratch
 from kerbside.sources import archive, listing
 
-#: Kinds of files of a job and their folder; kmz is packed when it is asked for.
+#: Kinds of files of a job and their names; kmz is packed when it is asked for.
 ARTIFACTS = {"geojson": "detections.geojson", "deduped_geojson": "detections_deduped.geojson", "kml": "detections.kml", "assets_csv": "detections_deduped.csv", "tri_debug_csv": "detections_triangulation_debug.csv", "calibration_log": "calibration.log", "raw": "detections_raw.json"}
 
 
@@ -49,16 +48,22 @@ class Engine:
         """Assets of boxes (see scenes.SCENE) and, with their frames, tracks; writes all files and returns the run's id.
 
         frames: job_id, frame_idx, offset_sec, timestamp_iso, cam_lat, cam_lng, cam_bearing, ele, gps_source, top_text;
-        by default those that have boxes.
+        by default those that have boxes. A plan of boxes is computed once.
         """
+        return self._run(lambda: Scratch(self.spark).write(boxes, "boxes"), frames, conf)
+
+    def _run(self, made: Callable[[], DataFrame], frames: DataFrame | None, conf: float) -> str:
         run_id = uuid.uuid4().hex[:8]
         started = datetime.now(UTC).isoformat()
         try:
-            r = from_boxes(self.spark, boxes, conf)
+            boxes = made()
+            r = from_boxes(self.spark, boxes, conf, write_kept=True)
             if frames is None:
                 frames = boxes.select("job_id", "frame_idx", F.col("ts").alias("offset_sec"), "timestamp_iso", "cam_lat", "cam_lng", "cam_bearing", "ele", "gps_source", F.lit("").alias("top_text")).distinct()
             self._write(run_id, r, frames)
-            job_summary(frames, boxes, r.kept, r.assets).write.parquet(f"{self.out_dir}/{run_id}/summary")
+            log = sinks.log_summary(sinks.path_log(r.assets))
+            summary = job_summary(frames, boxes, r.kept, r.assets).join(log, "job_id", "left").na.fill(0, ["lines_count"])
+            summary.write.parquet(f"{self.out_dir}/{run_id}/summary")
             self._register(run_id, "complete", "", started)
         except Exception as e:
             self._register(run_id, "error", str(e)[-500:], started)
@@ -85,7 +90,7 @@ class Engine:
         order = Window.partitionBy("job_id").orderBy("frame_idx", "line_no")
         boxes = boxes.withColumn("entry_seq", F.shiftleft(F.col("job_id"), 36) + F.row_number().over(order))
         boxes = boxes.drop("line_no").join(pose.withColumn("ts", F.col("offset_sec")).drop("top_text"), ["job_id", "frame_idx"])
-        return self.run(scratch.write(boxes, "boxes"), pose, conf)
+        return self._run(lambda: scratch.write(boxes, "boxes"), pose, conf)
 
     def run_dir(self, path: str, detector: Callable, reader: Callable, points: DataFrame | None = None, interval: float = 1.0, start: str | None = None, tags: Callable | None = None, conf: float = P.DEFAULT_CONF) -> str:
         """A run from a folder or a zip of frames, in order of their paths, interval seconds apart.
@@ -116,33 +121,23 @@ class Engine:
         features, assets = sinks.frame_features(frames, det), sinks.asset_features(r.assets)
         sinks.write_text(sinks.feature_collection(features), at + ARTIFACTS["geojson"])
         sinks.write_text(sinks.feature_collection(assets), at + ARTIFACTS["deduped_geojson"])
-        sinks.assets_report(r.assets).drop("job_id").write.option("header", True).csv(at + ARTIFACTS["assets_csv"])
-        sinks.tri_debug_report(r.assets).drop("job_id").write.option("header", True).csv(at + ARTIFACTS["tri_debug_csv"])
-        r.entries.write.json(at + ARTIFACTS["raw"])
+        sinks.write_text(sinks.csv_document(sinks.assets_report(r.assets, "cluster_id"), sinks.ASSETS_COLUMNS, "job_id", "cluster_id"), at + ARTIFACTS["assets_csv"])
+        sinks.write_text(sinks.csv_document(sinks.tri_debug_report(r.assets, "cluster_id"), sinks.DEBUG_COLUMNS, "job_id", "cluster_id"), at + ARTIFACTS["tri_debug_csv"])
+        entry = F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")
+        sinks.write_text(sinks.json_list(r.entries.select(sinks.order_key("job_id", "entry_seq").alias("key"), entry)), at + ARTIFACTS["raw"])
         log = sinks.path_log(r.assets).select(F.lit(1).alias("part"), sinks.order_key("job_id", "cluster_id", "ord").alias("key"), F.col("line").alias("value"))
         stretch = [f"#   {c[1]}: {c[7]}" for c in P.CLASSES if c[7] is not None]
         head = "\n".join([f"# calibration log for job {run_id}", f"# TRI_STRETCH_DEFAULT={P.DEFAULT_STRETCH}", f"# CALIBRATION_BEARING_OFFSET_DEG={P.BEARING_OFFSET_DEG:+.2f}", "# TRI_STRETCH_BY_CLASS:", *stretch, ""])
         sinks.write_text(self.spark.createDataFrame([(0, [""], head)], sinks.ROWS).union(log), at + ARTIFACTS["calibration_log"])
         marks = sinks.placemarks(assets.unionByName(features.where("type = 'gps_track'"), allowMissingColumns=True))
-        sinks.write_text(sinks.kml_document(f"Roadside assets — {run_id}", sinks.track_line(frames), marks), at + ARTIFACTS["kml"])
+        sinks.write_text(sinks.kml_document(f"Roadside assets — {run_id}", frames, marks), at + ARTIFACTS["kml"])
 
     def kmz(self, run_id: str, to: str, images: DataFrame | None = None) -> str:
-        """Packs a finished run for download into a file of this machine: the document, crops (name, content) and log.
-
-        Rows come one partition at a time and are written as they come, so memory holds no whole document.
-        """
-
-        def lines(kind: str) -> Iterator[str]:
-            files = self.spark.read.text(self.artifact(run_id, kind)).select(F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("k"), "value")
-            return (r.value for r in files.orderBy("f", "b", "k").select("value").toLocalIterator())
-
-        with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
-            for name, kind in (("doc.kml", "kml"), ("calibration.log", "calibration_log")):
-                with z.open(name, "w", force_zip64=True) as f:
-                    for line in lines(kind):
-                        f.write(line.encode() + b"\n")
-            for r in images.select("name", "content").toLocalIterator() if images is not None else ():
-                z.writestr(f"images/{r.name}", bytes(r.content))
+        """Packs a finished run for download into one file: the document, crops (name, content) and log (see documents.write_archive)."""
+        files = [(name, self.artifact(run_id, kind)) for name, kind in (("doc.kml", "kml"), ("calibration.log", "calibration_log"))]
+        if images is not None:
+            images = images.select(F.concat(F.lit("images/"), "name").alias("name"), "content")
+        documents.write_archive(self.spark, files, images, to)
         return to
 
     def _register(self, run_id: str, status: str, message: str, started: str) -> None:
@@ -159,7 +154,7 @@ class Engine:
         return found.asDict()
 
     def artifact(self, run_id: str, kind: str) -> str:
-        """Folder of a finished job's files of one kind."""
+        """Path of a finished job's file of one kind."""
         if self.status(run_id)["status"] != "complete":
             raise FileNotFoundError(f"{run_id} is not ready")
         return f"{self.out_dir}/{run_id}/{ARTIFACTS[kind]}"

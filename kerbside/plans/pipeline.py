@@ -15,15 +15,16 @@ from kerbside.plans.scratch import Scratch
 class Result:
     """Tables of one run, each planned (and, where it is read more than once, written) when it is first asked for."""
 
-    def __init__(self, spark: SparkSession, boxes: DataFrame, conf: float, suppress_conflicts: bool):
-        self._spark, self._boxes, self._conf, self._suppress = spark, boxes, conf, suppress_conflicts
+    def __init__(self, spark: SparkSession, boxes: DataFrame, conf: float, suppress_conflicts: bool, write_kept: bool):
+        self._spark, self._boxes, self._conf, self._suppress, self._write_kept = spark, boxes, conf, suppress_conflicts, write_kept
         self._scratch = Scratch(spark)
         self._params = P.class_params(spark)
 
     @cached_property
     def kept(self) -> DataFrame:
         kept = detect.confident(detect.named(self._boxes, self._params), self._params, self._conf)
-        return detect.projected(detect.crops(kept), self._params)
+        kept = detect.projected(detect.crops(kept), self._params)
+        return self._scratch.write(kept, "kept") if self._write_kept else kept
 
     @cached_property
     def entries(self) -> DataFrame:
@@ -52,13 +53,13 @@ class Result:
         return suppress.kept_assets(self.placed, suppress.conflict_pairs(self.placed, P.confusion_pairs(self._spark)), self.entries)
 
 
-def from_boxes(spark: SparkSession, boxes: DataFrame, conf: float = P.DEFAULT_CONF, suppress_conflicts: bool = True) -> Result:
+def from_boxes(spark: SparkSession, boxes: DataFrame, conf: float = P.DEFAULT_CONF, suppress_conflicts: bool = True, write_kept: bool = False) -> Result:
     """boxes (see scenes.SCENE for the columns) through filter, projection, clusters, triangulation, placement and suppression.
 
     The plan is cut where results are read more than once: entries, members of clusters, placed assets. What a caller
-    doesn't read isn't computed.
+    doesn't read isn't computed. write_kept: kept boxes are written too, for callers that read them beside the assets.
     """
-    return Result(spark, boxes, conf, suppress_conflicts)
+    return Result(spark, boxes, conf, suppress_conflicts, write_kept)
 
 
 def job_summary(frames: DataFrame, boxes: DataFrame, kept: DataFrame, assets: DataFrame, misses: int = 20, samples: int = 8) -> DataFrame:

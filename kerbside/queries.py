@@ -178,8 +178,10 @@ def _frames(s: SparkSession, d: str) -> DataFrame:
 
 
 def track_line(s: SparkSession, d: str) -> DataFrame:
-    t = sinks.track_line(_frames(s, d))
-    return t.select("job_id", "n_points", F.size(F.split("coordinates", " ")).alias("n_coordinates"), "start_iso", "end_iso")
+    """Tracks by their ends and by the points in all pieces of their lines."""
+    f = _frames(s, d)
+    points = sinks.track_pieces(f).groupBy("job_id").agg(F.sum(F.size(F.split("coordinates", " "))).cast("int").alias("n_coordinates"))
+    return sinks.track_ends(f).join(points, "job_id").select("job_id", "n_points", "n_coordinates", "start_iso", "end_iso")
 
 
 def _label_text(i: Column) -> Column:
@@ -390,9 +392,10 @@ def kml_placemarks(s: SparkSession, d: str) -> DataFrame:
 
 
 def kml_document(s: SparkSession, d: str) -> DataFrame:
-    """The whole KML document of kml_placemarks and track_line: rows by part, and their lengths together."""
-    k = sinks.kml_document("all", sinks.track_line(_frames(s, d)), kml_placemarks(s, d))
-    return k.groupBy("ord").agg(F.count("*").alias("n"), F.count_if(F.col("value").startswith("<Placemark>")).alias("placemarks"), F.count_if(F.col("value").endswith("</Placemark>")).alias("closed"))
+    """The whole KML document of kml_placemarks and track lines, by part: elements, placemarks opened and closed."""
+    k = sinks.kml_document("all", _frames(s, d), kml_placemarks(s, d))
+    element = F.col("ord").isin(0, 9) | F.col("value").startswith("<Placemark>")
+    return k.groupBy("ord").agg(F.count_if(element).alias("n"), F.count_if(F.col("value").startswith("<Placemark>")).alias("placemarks"), F.count_if(F.col("value").endswith("</Placemark>")).alias("closed"))
 
 
 def path_log(s: SparkSession, d: str) -> DataFrame:
@@ -405,7 +408,7 @@ def log_tail(s: SparkSession, d: str) -> DataFrame:
 
 
 def job_summary_query(s: SparkSession, d: str) -> DataFrame:
-    r = _run(s, d, True)
+    r = from_boxes(s, scenes.scene(s, d), write_kept=True)
     return job_summary(scenes.derive(s, d, scenes.FRAMES), scenes.scene(s, d), r.kept, r.assets)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerbside import documents
 from kerbside import params as P
 from kerbside.plans.scratch import Scratch
 
@@ -41,42 +42,59 @@ def asset_features(assets: DataFrame) -> DataFrame:
     )
 
 
+def _feature(features: DataFrame) -> Column:
+    point = F.struct(F.lit("Point").alias("type"), F.array("longitude", "latitude", "elevation_m").alias("coordinates"))
+    return F.to_json(F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct(*(c for c in features.columns if c != "job_id")).alias("properties")), {"ignoreNullFields": "false"}).alias("value")
+
+
 def geojson(features: DataFrame) -> DataFrame:
     """One GeoJSON Feature a row, in column value."""
-    point = F.struct(F.lit("Point").alias("type"), F.array("longitude", "latitude", "elevation_m").alias("coordinates"))
-    return features.select("job_id", F.to_json(F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct(*(c for c in features.columns if c != "job_id")).alias("properties")), {"ignoreNullFields": "false"}).alias("value"))
+    return features.select("job_id", _feature(features))
 
 
 def feature_collection(features: DataFrame) -> DataFrame:
-    """One GeoJSON document in rows (ord, key, value), a line a feature; written by write_text. No features: an empty collection."""
-    spark = features.sparkSession
-    key = F.monotonically_increasing_id()
-    lines = Scratch(spark).write(geojson(features).select(key.alias("key"), "value"), "lines")
-    last = lines.agg(F.coalesce(F.max("key"), F.lit(0))).first()[0]
-    rows = lines.select(F.lit(1).alias("ord"), order_key("key").alias("key"), F.concat("value", F.when(F.col("key") < last, ",").otherwise("")).alias("value"))
-    ends = spark.createDataFrame([(0, [""], '{"type": "FeatureCollection", "features": ['), (9, [""], "]}")], ROWS)
-    return ends.union(rows)
+    """One GeoJSON document in rows (ord, key, value), a line a feature, by job and frame or time; written by write_text."""
+    when = F.col("frame_num") if "frame_num" in features.columns else F.round(F.col("video_sec") * 1000)
+    rows = features.withColumn("_when", when).select(order_key("job_id", "_when").alias("key"), _feature(features))
+    return json_list(rows, '{"type": "FeatureCollection", "features": [', "]}")
+
+
+def json_list(lines: DataFrame, head: str = "[", tail: str = "]") -> DataFrame:
+    """Rows (ord, key, value) of a JSON document from its items (key, value), in their order: head, items with commas between them, tail. Without items, an empty list."""
+    spark = lines.sparkSession
+    lines = Scratch(spark).write(lines.select("key", "value", F.monotonically_increasing_id().alias("i")), "lines")
+    last = lines.orderBy(F.desc("key"), F.desc("value"), F.desc("i")).select("i").first()
+    final = F.col("i") == (last.i if last else -1)
+    rows = lines.select(F.when(final, 2).otherwise(1).alias("ord"), "key", F.concat("value", F.when(final, "").otherwise(",")).alias("value"))
+    return spark.createDataFrame([(0, [""], head), (9, [""], tail)], ROWS).union(rows)
+
+
+def csv_document(table: DataFrame, columns: tuple[str, ...], *key: str) -> DataFrame:
+    """Rows (ord, key, value) of a CSV document with a head, by the numbers in the key columns. Nulls and empty texts are empty fields."""
+    line = F.to_csv(F.struct(*columns), {"escape": '"', "nullValue": "", "emptyValue": ""})
+    head = table.sparkSession.createDataFrame([(0, [""], ",".join(columns))], ROWS)
+    return head.union(table.select(F.lit(1), order_key(*key), line))
 
 
 def joined(c: Column) -> Column:
     return F.array_join(F.transform(c, lambda x: x.cast("string")), "|")
 
 
-def assets_report(assets: DataFrame) -> DataFrame:
-    """The table of assets, columns in the order of ASSETS_COLUMNS. Frame 0 names no asset: the next frame or the time does."""
+def assets_report(assets: DataFrame, *more: str) -> DataFrame:
+    """The table of assets: job_id, more of their columns, and those in the order of ASSETS_COLUMNS. Frame 0 names no asset: the next frame or the time does."""
     s = lambda c: F.nullif(F.col(c), F.lit(0)).cast("string")
     a = assets.withColumn("asset_id", F.coalesce(s("coords_from_frame"), s("image_from_frame"), "timestamp_iso"))
     a = a.withColumn("rejection_reason", F.coalesce("reject_reason", "clamp_reason"))
     named = {"solved_lat": "lat", "solved_lon": "lon", "solve_method": "coord_source", "num_observations": "num_detections_merged", "ray_angle_deg": "spread_deg", "raw_tri_lat": "raw_lat", "raw_tri_lon": "raw_lon", "tri_closest_dist_m": "closest_m", "tri_farthest_dist_m": "farthest_m"}
     lists = ("source_frames", "members_video_sec")
-    return a.select("job_id", *((joined(F.col(c)) if c in lists else F.col(named.get(c, c))).alias(c) for c in ASSETS_COLUMNS))
+    return a.select("job_id", *more, *((joined(F.col(c)) if c in lists else F.col(named.get(c, c))).alias(c) for c in ASSETS_COLUMNS))
 
 
-def tri_debug_report(assets: DataFrame) -> DataFrame:
+def tri_debug_report(assets: DataFrame, *more: str) -> DataFrame:
     named = {"intersection_angle_deg": "spread_deg", "solved_lat": "raw_lat", "solved_lon": "raw_lon", "distance_from_track_m": "closest_m", "farthest_from_track_m": "farthest_m", "residual_m": "tri_residual_m", "n_cluster": "num_detections_merged"}
     named |= {f"cam_{k}_{c}": f"cam_{c}_{k}" for k in "ab" for c in ("lat", "lng", "bearing")}
     accept = F.initcap((F.col("status") == "ok").cast("string"))
-    return assets.select("job_id", *((accept if c == "accept" else F.col(named.get(c, c))).alias(c) for c in DEBUG_COLUMNS))
+    return assets.select("job_id", *more, *((accept if c == "accept" else F.col(named.get(c, c))).alias(c) for c in DEBUG_COLUMNS))
 
 
 # The texts, signs and styles of placemarks and log lines below are fixed values.
@@ -106,20 +124,31 @@ def placemarks(features: DataFrame) -> DataFrame:
     )
 
 
-def track_line(frames: DataFrame) -> DataFrame:
-    """Per job with two or more posed frames: coordinates in frame order, first and last time.
+#: Frames of a piece of a track line, by number.
+LINE_FRAMES = 1000
 
-    The line is one element of the document, so a job's points (about 40 bytes each) are gathered in one row.
-    """
-    f = frames.where("cam_lat IS NOT NULL AND cam_lng IS NOT NULL")
+
+def _posed(frames: DataFrame) -> DataFrame:
     point = F.concat_ws(",", *(F.col(c).cast("string") for c in ("cam_lng", "cam_lat", "ele")))
-    pts = F.array_sort(F.collect_list(F.struct("frame_idx", point.alias("p"))))
-    g = f.groupBy("job_id").agg(F.count("*").alias("n_points"), F.array_join(F.transform(pts, lambda x: x["p"]), " ").alias("coordinates"), F.min_by("timestamp_iso", "frame_idx").alias("start_iso"), F.max_by("timestamp_iso", "frame_idx").alias("end_iso"))
-    return g.where("n_points >= 2")
+    return frames.where("cam_lat IS NOT NULL AND cam_lng IS NOT NULL").withColumn("p", point)
+
+
+def track_ends(frames: DataFrame) -> DataFrame:
+    """Per job with two or more posed frames: their number, first and last point and time. Rows without frame_idx have no place in the order: they count, but are no ends."""
+    at = lambda pick, c, name: pick(c, "frame_idx").alias(name)
+    ends = (at(F.min_by, "p", "start"), at(F.max_by, "p", "end"), at(F.min_by, "timestamp_iso", "start_iso"), at(F.max_by, "timestamp_iso", "end_iso"))
+    return _posed(frames).groupBy("job_id").agg(F.count("*").alias("n_points"), *ends).where("n_points >= 2")
 
 
-def kml_document(name: str, lines: DataFrame, marks: DataFrame) -> DataFrame:
-    """KML in rows (ord, key, value), written by write_text: the frame around placemarks, one row each."""
+def track_pieces(frames: DataFrame) -> DataFrame:
+    """Tracks in pieces of at most LINE_FRAMES frame numbers: job_id, piece, n, and coordinates in frame order. Their concatenation by piece is a job's line; no row holds a whole one, however long the job."""
+    pts = F.array_sort(F.collect_list(F.struct("frame_idx", "p")))
+    piece = F.floor(F.col("frame_idx") / LINE_FRAMES).alias("piece")
+    return _posed(frames).groupBy("job_id", piece).agg(F.count("*").alias("n"), F.array_join(F.transform(pts, lambda x: x["p"]), " ").alias("coordinates"))
+
+
+def kml_document(name: str, frames: DataFrame, marks: DataFrame) -> DataFrame:
+    """KML in rows (ord, key, value), written by write_text: the frame around placemarks, one row each, and track lines of frames (see track_pieces), each in rows of its own: opening, pieces, end."""
     spark = marks.sparkSession
     styles = (("trackLine", "<LineStyle><color>ffff7800</color><width>3</width></LineStyle>"), ("detection", "<IconStyle><scale>1.3</scale></IconStyle>"), ("gpstrack", "<IconStyle><scale>0.5</scale></IconStyle>"), ("start", "<IconStyle><scale>1.2</scale></IconStyle>"), ("end", "<IconStyle><scale>1.2</scale></IconStyle>"))
     head = '<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2">\n<Document>\n<name>' + name + "</name>\n" + "\n".join(f'<Style id="{k}">{v}</Style>' for k, v in styles)
@@ -127,11 +156,16 @@ def kml_document(name: str, lines: DataFrame, marks: DataFrame) -> DataFrame:
     coords = F.concat_ws(",", *(F.col(c).cast("string") for c in ("longitude", "latitude", "elevation_m")))
     safe = F.replace(F.replace(F.replace("name", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     mark = F.concat(F.lit("<Placemark>\n  <name>"), safe, F.lit("</name>\n  <styleUrl>"), F.col("style_url"), F.lit("</styleUrl>\n  <TimeStamp><when>"), F.col("when_iso"), F.lit("</when></TimeStamp>\n  <description><![CDATA["), F.col("description"), F.lit("]]></description>\n  <Point><coordinates>"), coords, F.lit("</coordinates></Point>\n</Placemark>"))
-    line = F.concat(F.lit("<Placemark><name>GPS Track</name><styleUrl>#trackLine</styleUrl><LineString><tessellate>1</tessellate><coordinates>"), F.col("coordinates"), F.lit("</coordinates></LineString></Placemark>"))
-    tip = lambda which, style, c, at: F.concat(F.lit(f"<Placemark><name>{which}</name><styleUrl>#{style}</styleUrl><description><![CDATA["), F.col(c), F.lit("]]></description><Point><coordinates>"), F.get(F.split("coordinates", " "), at), F.lit("</coordinates></Point></Placemark>"))
+    opening = "<Placemark><name>GPS Track</name><styleUrl>#trackLine</styleUrl><LineString><tessellate>1</tessellate><coordinates>"
+    closing = "</coordinates></LineString></Placemark>"
+    tip = lambda which, style, c, point: F.concat(F.lit(f"<Placemark><name>{which}</name><styleUrl>#{style}</styleUrl><description><![CDATA["), F.coalesce(c, F.lit("")), F.lit("]]></description><Point><coordinates>"), F.coalesce(point, F.lit("")), F.lit("</coordinates></Point></Placemark>"))
     by_job = order_key("job_id")
-    rows = lines.select(F.lit(1).alias("ord"), by_job.alias("key"), line.alias("value"))
-    rows = rows.union(lines.select(F.lit(2), by_job, tip("Start", "start", "start_iso", F.lit(0)))).union(lines.select(F.lit(3), by_job, tip("End", "end", "end_iso", (F.col("n_points") - 1).cast("int"))))
+    tracks = Scratch(spark).write(track_ends(frames), "tracks")
+    place = lambda n, *c: F.concat(by_job, F.array(F.lit(str(n))), *c)
+    rows = tracks.select(F.lit(1).alias("ord"), place(0).alias("key"), F.lit(opening).alias("value"))
+    rows = rows.union(track_pieces(frames).join(tracks, "job_id", "left_semi").select(F.lit(1), place(1, order_key("piece")), "coordinates"))
+    rows = rows.union(tracks.select(F.lit(1), place(2), F.lit(closing)))
+    rows = rows.union(tracks.select(F.lit(2), by_job, tip("Start", "start", "start_iso", "start"))).union(tracks.select(F.lit(3), by_job, tip("End", "end", "end_iso", "end")))
     rows = rows.union(marks.select(F.when(F.col("style_url") == "#detection", 4).otherwise(5), F.concat(by_job, F.array(F.coalesce("when_iso", F.lit("")), F.coalesce("name", F.lit("")))), mark))
     return ends.union(rows)
 
@@ -141,10 +175,10 @@ def order_key(*numbers: str) -> Column:
     return F.array(*(F.format_string("%020d", F.coalesce(F.col(c).cast("long"), F.lit(0))) for c in numbers))
 
 
-def write_text(rows: DataFrame, path: str) -> None:
-    """Rows (see ROWS) as text files whose names follow ord and key, each written by a task of its own."""
+def write_text(rows: DataFrame, path: str, staged: bool = False) -> None:
+    """Rows (see ROWS) as one text file in the order of ord, key and value, each range of them written by a task of its own (see documents.write_lines)."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartitionByRange(parts, "ord", "key").sortWithinPartitions("ord", "key").select("value").write.text(path)
+    documents.write_lines(rows.repartitionByRange(parts, "ord", "key").sortWithinPartitions("ord", "key", "value"), path, staged)
 
 
 def path_log(assets: DataFrame) -> DataFrame:
@@ -164,3 +198,10 @@ def last_lines(log: DataFrame, n: int = 40) -> DataFrame:
     """The last n lines of each job's log (path_log): a report, limited as such. Adds place, counted from the end."""
     back = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("cluster_id"), F.desc("ord")))
     return log.withColumn("place", back).where(F.col("place") <= n)
+
+
+def log_summary(log: DataFrame, n: int = 40) -> DataFrame:
+    """Per job: lines_count, and last_lines, the last n lines in order. Jobs without lines have no row."""
+    entry = F.struct((-F.col("place")).alias("place"), "line")
+    tails = last_lines(log, n).groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["line"]).alias("last_lines"))
+    return log.groupBy("job_id").agg(F.count("*").alias("lines_count")).join(tails, "job_id")

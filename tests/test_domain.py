@@ -3,11 +3,13 @@ import json
 import math
 import random
 import zipfile
+import zlib
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
 
-from kerbside import hooks, scenes, sinks
+from kerbside import documents, hooks, scenes, sinks
 from kerbside import params as P
 from kerbside.engine import Engine
 from kerbside.functions import geo, media, overlay
@@ -407,9 +409,17 @@ def test_engine_writes_all_files(spark, tmp_path):
     assets = spark.read.option("header", True).csv(engine.artifact(run, "assets_csv"))
     assert assets.columns == list(sinks.ASSETS_COLUMNS) and assets.count() > 0
     assert spark.read.option("header", True).csv(engine.artifact(run, "tri_debug_csv")).columns == list(sinks.DEBUG_COLUMNS)
-    kml = spark.read.text(engine.artifact(run, "kml")).agg(F.array_join(F.collect_list("value"), "\n")).first()[0]
+    kml = (tmp_path / run / "detections.kml").read_text()
+    line = ElementTree.fromstring(kml.encode())[0].findall("{*}Placemark/{*}LineString/{*}coordinates")
+    assert len(line) == 2 and all(len(x.text.split()) > 2 for x in line)
+    raw = json.loads((tmp_path / run / "detections_raw.json").read_text())
+    order = [(r["job_id"], r["entry_seq"]) for r in raw]
+    assert order == sorted(order) and len(raw) > assets.count()
+    done = spark.read.parquet(f"{tmp_path}/{run}/summary").collect()
+    log = (tmp_path / run / "calibration.log").read_text()
+    assert sum(r.lines_count for r in done) == log.count("\n[") and all(r.last_lines[-1].startswith("[PATH]") and r.last_lines[-1] in log for r in done)
     assert kml.count("<Placemark>") == kml.count("</Placemark>") > assets.count()
-    found = json.loads("".join(p.read_text() for p in sorted((tmp_path / run / "detections_deduped.geojson").glob("part-*"))))
+    found = json.loads((tmp_path / run / "detections_deduped.geojson").read_text())
     assert found["type"] == "FeatureCollection" and len(found["features"]) == assets.count()
     with pytest.raises(KeyError):
         engine.status("none")
@@ -613,12 +623,94 @@ def test_skewed_groups_meet_once(spark, monkeypatch):
     assert got == [(i, low[k]) for i, k in rows[:300]]
 
 
-def test_documents_are_written_by_many_tasks(spark, tmp_path):
+@pytest.mark.parametrize("staged", [False, True])
+def test_documents_are_one_file_by_many_tasks(spark, tmp_path, monkeypatch, staged):
     rows = spark.range(20_000).select(F.lit(4).alias("ord"), sinks.order_key("id").alias("key"), F.col("id").cast("string").alias("value")).orderBy(F.rand(1))
-    sinks.write_text(rows, f"{tmp_path}/doc")
-    parts = sorted((tmp_path / "doc").glob("part-*"))
-    assert len(parts) > 1
-    assert [int(x) for p in parts for x in p.read_text().split()] == list(range(20_000))
+    at = f"file://{tmp_path}/folder/doc.txt"
+    for _ in range(2):  # the second replaces the first
+        sinks.write_text(rows, at, staged)
+    assert (tmp_path / "folder" / "doc.txt").read_text() == "".join(f"{i}\n" for i in range(20_000))
+    assert [p.name for p in (tmp_path / "folder").iterdir()] == ["doc.txt"]
+    odd = spark.createDataFrame([(1, ["a"], None), (1, ["b"], "é\nz"), (0, [], ""), (1, ["b"], "é\nz")], sinks.ROWS)
+    sinks.write_text(odd, f"file://{tmp_path}/odd", staged)
+    assert (tmp_path / "odd").read_text() == "\né\nz\né\nz\n"
+    sinks.write_text(odd.limit(0), f"file://{tmp_path}/none", staged)
+    assert (tmp_path / "none").read_bytes() == b""
+
+
+@pytest.mark.parametrize("staged", [False, True])
+def test_failed_documents_leave_no_file(spark, tmp_path, staged):
+    pieces = spark.range(0, 40, 1, 4).select((F.col("id") * 3).alias("offset"), F.encode(F.format_string("%03d", "id"), "utf-8").alias("content"))
+    fails = pieces.withColumn("content", F.when(F.col("offset") == 90, F.raise_error(F.lit("lost")).cast("binary")).otherwise(F.col("content")))
+    for rows, size in ((fails, 120), (pieces, 121), (pieces, 119)):
+        with pytest.raises(Exception):
+            documents.write_at(rows, f"file://{tmp_path}/doc", size, staged)
+        assert list(tmp_path.iterdir()) == []
+    documents.write_at(pieces, f"file://{tmp_path}/doc", 120, staged)
+    assert (tmp_path / "doc").read_text() == "".join(f"{i:03d}" for i in range(40))
+
+
+def test_joined_checksums():
+    rng = random.Random(5)
+    for a, b in ((0, 0), (1, 0), (0, 1), (5, 1), (1, 70_000), (333, 4096)):
+        x, y = rng.randbytes(a), rng.randbytes(b)
+        assert documents.joined_crc(zlib.crc32(x), zlib.crc32(y), b) == zlib.crc32(x + y)
+
+
+def test_archive_by_tasks(spark, tmp_path):
+    text = "".join(f"line {i} of many\n" for i in range(30_000)).encode()
+    (tmp_path / "a.kml").write_bytes(text)
+    (tmp_path / "b.log").write_bytes(b"")
+    images = spark.range(0, 70_000, 1, 8).select(F.concat(F.lit("images/é"), F.col("id").cast("string")).alias("name"), F.encode(F.col("id").cast("string"), "utf-8").alias("content"))
+    odd = spark.createDataFrame([(None, b"x"), ("none", None), ("empty", b"")], "name string, content binary")
+    files = [("doc.kml", f"file://{tmp_path}/a.kml"), ("calibration.log", f"{tmp_path}/b.log")]
+    documents.write_archive(spark, files, images.union(odd), f"file://{tmp_path}/out.kmz", piece=10_000)
+    with zipfile.ZipFile(tmp_path / "out.kmz") as z:
+        assert z.testzip() is None and len(z.namelist()) == 70_003 == len(set(z.namelist()))
+        assert z.read("doc.kml") == text and z.read("calibration.log") == b"" == z.read("empty") and z.read("images/é69999") == b"69999"
+        assert z.getinfo("doc.kml").compress_size < len(text) // 3
+    documents.write_archive(spark, files[:1], None, f"{tmp_path}/small.kmz")
+    with zipfile.ZipFile(tmp_path / "small.kmz") as z:
+        assert z.testzip() is None and z.namelist() == ["doc.kml"] and z.read("doc.kml") == text
+    documents.write_archive(spark, files[:1], odd.where("name = 'empty'"), f"file://{tmp_path}/staged.kmz", 10_000, True)
+    with zipfile.ZipFile(tmp_path / "staged.kmz") as z:
+        assert z.testzip() is None and z.namelist() == ["doc.kml", "empty"] and z.read("doc.kml") == text
+
+
+def test_wide_records_of_archives(tmp_path):
+    """Entries and places beyond 4 GB, read back from a file with a hole."""
+    far, data = 5 << 30, b"abc"
+    record = documents.local_record("x", 0, zlib.crc32(data), 3, 3) + data
+    directory = documents.central_record("x", 0, zlib.crc32(data), 3, 3, far) + documents.central_record("huge", 0, 0, far - 200, far - 200, 0)
+    with open(tmp_path / "z.zip", "wb") as f:
+        f.write(documents.local_record("huge", 0, 0, far - 200, far - 200))
+        f.seek(far)
+        f.write(record + directory + documents.end_records(2, len(directory), far + len(record)))
+    with zipfile.ZipFile(tmp_path / "z.zip") as z:
+        assert z.read("x") == data and z.getinfo("huge").file_size == far - 200 and z.getinfo("x").header_offset == far
+
+
+def test_track_lines_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(sinks, "LINE_FRAMES", 7)
+    frames = spark.range(100).select((F.col("id") % 3).alias("job_id"), (F.col("id") * 2).alias("frame_idx"), F.when(F.col("id") != 3, F.col("id").cast("double")).alias("cam_lat"), F.lit(2.5).alias("cam_lng"), F.when(F.col("id") % 2 == 0, 1.0).alias("ele"), F.col("id").cast("string").alias("timestamp_iso"))
+    frames = frames.union(frames.where("frame_idx = 8").withColumn("job_id", F.lit(9)))  # one point makes no line
+    marks = sinks.placemarks(sinks.asset_features(from_boxes(spark, scenes.scene(spark, "/root/testdata/sf0.001").limit(0)).assets))
+    doc = "\n".join(r.value for r in sinks.kml_document("x", frames.orderBy(F.rand(2)), marks).orderBy("ord", "key", "value").collect())
+    found = [x.text.split() for x in ElementTree.fromstring(doc.encode())[0].findall("{*}Placemark/{*}LineString/{*}coordinates")]
+    point = lambda i: f"2.5,{i}.0,1.0" if i % 2 == 0 else f"2.5,{i}.0"
+    assert found == [[point(i) for i in range(j, 100, 3) if i != 3] for j in range(3)]
+    ends = {r.job_id: (r.start_iso, r.end_iso, r.n_points) for r in sinks.track_ends(frames).collect()}
+    assert ends == {0: ("0", "99", 33), 1: ("1", "97", 33), 2: ("2", "98", 33)}
+
+
+def test_csv_and_json_documents(spark, tmp_path):
+    t = spark.createDataFrame([(2, 'a,"b"', None), (1, "", 1.5), (1, "", 1.5)], "id long, s string, x double")
+    sinks.write_text(sinks.csv_document(t, ("s", "x"), "id"), f"{tmp_path}/t.csv")
+    assert (tmp_path / "t.csv").read_text() == 's,x\n,1.5\n,1.5\n"a,""b""",\n'
+    lines = t.select(sinks.order_key("id").alias("key"), F.to_json(F.struct("id", "s")).alias("value"))
+    for rows in (lines, lines.limit(0), lines.where("value LIKE '%2%'")):
+        sinks.write_text(sinks.json_list(rows), f"{tmp_path}/t.json")
+        assert json.loads((tmp_path / "t.json").read_text()) == [json.loads(r.value) for r in rows.orderBy("key").collect()]
 
 
 def test_row_keys(spark, tmp_path):
