@@ -850,3 +850,46 @@ def test_tokens_of_texts_without_spaces():
     texts = ["".join(rng.choices("abcXYZ.,;:!?'\"-0123é\u0301ßΣ日本。、#_²½", k=rng.randrange(1, 600))) for _ in range(800)] + ["日本語です。" * 40_000, "x" * 200_000, ",a" * 100_000]
     assert w.encode(texts) == [x.tobytes() for x in w.ids(texts)]
     assert max(map(len, w.parts)) <= LONG
+
+
+def edited_copy(rng, words, voc, rate):
+    """words, of which a share of rate is replaced, left out, or has another before it."""
+    out = []
+    for w in words:
+        how = rng.randrange(3) if rng.random() < rate else None
+        out += {None: [w], 0: [rng.choice(voc)], 1: [], 2: [rng.choice(voc), w]}[how]
+    return out
+
+
+def test_recall_of_edited_benchmark_passages(spark):
+    """The seeds' result against the alignment of every document to every item, for copies with 10, 20 and 30 % of their words edited."""
+    from kerbside.llm.decontamination import MATCH, align, item_words
+
+    rng = random.Random(11)
+    voc = [f"w{i}" for i in range(3000)]
+    # frequent words are many times as frequent as rare ones, as in language
+    fill = lambda n: rng.choices(voc, [1 / (i + 5) for i in range(len(voc))], k=n)
+    items = [fill(rng.randrange(15, 60)) for _ in range(30)]
+    rows, rates = [], {}
+    for rate in (0.1, 0.2, 0.3):
+        for i, item in enumerate(items):
+            for _ in range(3):
+                rates[len(rows)] = rate, i
+                rows.append((len(rows), " ".join(fill(rng.randrange(5, 120)) + edited_copy(rng, item, voc, rate) + fill(rng.randrange(0, 120)))))
+    rows += [(len(rows) + k, " ".join(fill(200))) for k in range(100)]
+    texts = [" ".join(x) for x in items]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in contaminated(frame(spark, rows), bench).collect()}
+    a, b = item_words(texts), item_words([t for _, t in rows])
+    pairs = [(d, i) for d in range(len(rows)) for i in range(len(items))]
+    scores = align([a[i] for _, i in pairs], [b[d] for d, _ in pairs])
+    want = {p: s[0] / (MATCH * len(a[p[1]])) for p, s in zip(pairs, scores)}
+    assert all(want[p] >= s - 1e-9 for p, s in got.items())  # a window never scores more than the whole text
+    recall = {}
+    for rate in (0.1, 0.2, 0.3):
+        due = [p for p in pairs if want[p] >= 0.4 and rates.get(p[0]) == (rate, p[1])]
+        recall[rate] = sum(p in got for p in due) / len(due)
+        assert len(due) >= 60
+    print("recall by rate of edits", recall, "pairs beside the planted ones", sum(rates.get(d, (0, -1))[1] != i for d, i in got))
+    assert recall[0.1] >= 0.99 and recall[0.2] >= 0.98 and recall[0.3] >= 0.9
+    assert all(d in rates for d, _ in got)
