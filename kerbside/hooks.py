@@ -8,8 +8,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.udtf import UserDefinedTableFunction
 
 BOXES = "job_id long, frame_idx long, line_no int, class_id int, cx double, cy double, w double, h double, confidence double"
+IMAGE_BOXES = "line_no int, class_id int, cx double, cy double, w double, h double, confidence double"
 TEXTS = "job_id long, frame_idx long, bottom string, top string, full string"
 
 
@@ -25,6 +27,35 @@ def detect(frames: DataFrame, make: Callable[[float], Callable[[bytes], list[tup
     return frames.select("job_id", "frame_idx", "content").mapInPandas(run, BOXES)
 
 
+def box_function(make: Callable[[float], Callable[[bytes], list[tuple]]], threshold: float) -> UserDefinedTableFunction:
+    """A table function of an image's bytes: its boxes as rows of IMAGE_BOXES, in the detector's order; none for null.
+
+    For lateral joins and, registered by spark.udtf.register, for SQL. make(threshold) builds a detector once a task.
+    """
+
+    class Boxes:
+        def __init__(self):
+            self._model = make(threshold)
+
+        def eval(self, content: bytes) -> Iterator[tuple]:
+            if content is not None:
+                for k, box in enumerate(self._model(bytes(content))):
+                    yield k, *box
+
+    return F.udtf(Boxes, returnType=IMAGE_BOXES, useArrow=True)
+
+
+def detect_beside(frames: DataFrame, make: Callable[[float], Callable[[bytes], list[tuple]]], threshold: float) -> DataFrame:
+    """The boxes of detect beside all columns of frames but content, by a lateral join with box_function; frames without boxes have no row.
+
+    Columns of frames that are named as a box's are kept from the boxes alone.
+    """
+    boxes = box_function(make, threshold)(F.col("content").outer())
+    taken = {c.lower() for c in (*(b.split()[0] for b in IMAGE_BOXES.split(", ")), "content")}
+    names = [F.col(f"f.`{c}`") for c in frames.columns if c.lower() not in taken]
+    return frames.alias("f").lateralJoin(boxes.alias("b")).select(*names, "b.*")
+
+
 def _position(text: str) -> bool:
     """Whether a text may hold a position: two numbers with decimals. Errors hold none."""
     return not text.startswith(("API_ERROR", "EXCEPTION")) and len(re.findall(r"[0-9]{2,3}[.,/ ][0-9]{3,}", text)) > 1

@@ -157,6 +157,23 @@ _POSE = _POSE.format(_interp("la0", "la1", "lb0", "lb1", "alat", "blat"), _inter
 _FILES = f"WITH files AS ({scenes.LISTING})"
 _LABEL = "(event_id % 28)::VARCHAR || ' 0.5 0.25  0.1 0.2'"
 
+_MARKS = """SELECT job_id, class || ' (' || pct || ')' || CASE WHEN n > 1 THEN ' ×' || n ELSE '' END AS name, '#detection' AS style_url, timestamp_iso AS when_iso, concat_ws('', '<b>' || class || '</b> — ' || pct, CASE WHEN n > 1 THEN ' &nbsp;(merged from ' || n || ' frames)' END, '<br/>Video: ' || CAST(video_sec AS VARCHAR) || 's &nbsp;|&nbsp; GPS: ' || coalesce(gps_source, 'None') || '<br/><b>Object:</b> ' || CAST(round(lat, 5) AS VARCHAR) || ', ' || CAST(round(lon, 5) AS VARCHAR) || '<br/>', 'Distance from camera: ' || CAST(round(distance_m, 0) AS VARCHAR) || ' m' || coalesce(' &nbsp;|&nbsp; Bearing to object: ' || CAST(round(obj_bearing, 0) AS VARCHAR) || '°', '') || '<br/>', '<i>Camera pos:</i> ' || CAST(cam_lat AS VARCHAR) || ', ' || CAST(cam_lng AS VARCHAR) || coalesce(' &nbsp;(heading ' || CAST(cam_bearing AS VARCHAR) || '°)', '') || '<br/>', timestamp_iso || '<br/>', '<br/><img src="images/' || image_file || '" width="480"/>') AS description, round(lon, 5) AS longitude, round(lat, 5) AS latitude, 0e0 AS elevation_m FROM (SELECT *, printf('%.1f', confidence * 100) || '%' AS pct FROM ass) a
+UNION ALL SELECT job_id, 'Track @' || CAST(video_sec AS VARCHAR) || 's', '#gpstrack', timestamp, 'GPS track point<br/>Source: ' || coalesce(gps_source, 'None') || '<br/>' || timestamp, longitude, latitude, elevation_m FROM feat WHERE type = 'gps_track'"""
+
+_KML = f"""SELECT CAST(ord AS INTEGER) AS ord, count(*) FILTER (WHERE ord IN (0, 9) OR value LIKE '<Placemark>%') AS n, count(*) FILTER (WHERE value LIKE '<Placemark>%') AS placemarks, count(*) FILTER (WHERE value LIKE '%</Placemark>') AS closed,
+  CAST(sum(CASE WHEN ord NOT IN (0, 9) THEN CAST('0x' || md5(value)[1:8] AS BIGINT) END) AS BIGINT) AS digest FROM (
+WITH pt AS (SELECT DISTINCT job_id, frame_idx, timestamp_iso, CAST(cam_lng AS VARCHAR) || ',' || CAST(cam_lat AS VARCHAR) || ',0.0' AS p FROM det WHERE cam_lat IS NOT NULL),
+jobs AS (SELECT job_id, arg_min(p, frame_idx) AS p0, arg_max(p, frame_idx) AS p1, arg_min(timestamp_iso, frame_idx) AS t0, arg_max(timestamp_iso, frame_idx) AS t1 FROM pt GROUP BY job_id HAVING count(*) >= 2),
+marks AS ({_MARKS})
+SELECT 0 AS ord, 'head' AS value UNION ALL SELECT 9, 'tail'
+UNION ALL SELECT 1, '<Placemark><name>GPS Track</name><styleUrl>#trackLine</styleUrl><LineString><tessellate>1</tessellate><coordinates>' FROM jobs
+UNION ALL SELECT 1, string_agg(p, ' ' ORDER BY frame_idx) FROM pt WHERE job_id IN (SELECT job_id FROM jobs) GROUP BY job_id, frame_idx // 1000
+UNION ALL SELECT 1, '</coordinates></LineString></Placemark>' FROM jobs
+UNION ALL SELECT 2, '<Placemark><name>Start</name><styleUrl>#start</styleUrl><description><![CDATA[' || t0 || ']]></description><Point><coordinates>' || p0 || '</coordinates></Point></Placemark>' FROM jobs
+UNION ALL SELECT 3, '<Placemark><name>End</name><styleUrl>#end</styleUrl><description><![CDATA[' || t1 || ']]></description><Point><coordinates>' || p1 || '</coordinates></Point></Placemark>' FROM jobs
+UNION ALL SELECT CASE style_url WHEN '#detection' THEN 4 ELSE 5 END, concat('<Placemark>', chr(10), '  <name>', name, '</name>', chr(10), '  <styleUrl>', style_url, '</styleUrl>', chr(10), '  <TimeStamp><when>', when_iso, '</when></TimeStamp>', chr(10), '  <description><![CDATA[', description, ']]></description>', chr(10),
+  '  <Point><coordinates>', CAST(longitude AS VARCHAR), ',', CAST(latitude AS VARCHAR), ',', CAST(elevation_m AS VARCHAR), '</coordinates></Point>', chr(10), '</Placemark>') FROM marks) x GROUP BY ord"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -194,10 +211,10 @@ SELECT event_id % 100 AS stem, count(*) AS n, CAST(sum(event_id % 28) AS BIGINT)
         "training_runs": f"{_FILES} SELECT split_part(path, '/', 2) AS run, bool_or(path LIKE '%/weights/best.pt') AS has_best FROM files GROUP BY 1 HAVING bool_or(path LIKE '%/results.csv')",
         "run_counts": f"{_FILES} SELECT split_part(path, '/', 2) AS run, count(*) FILTER (WHERE regexp_matches(path, '\\.(jpg|png)$')) AS n_images FROM files GROUP BY 1",
         "entries": chain("SELECT entry_seq, job_id, frame_id, timestamp, class, confidence, round(lat, 6) AS lat, round(lon, 6) AS lon, bbox_area, distance_m, obj_bearing, cam_lat, cam_lng, cam_bearing, timestamp_iso FROM ent", "ent"),
-        "frames_with_boxes": chain("SELECT f.job_id, f.stem, b.entry_seq FROM (SELECT DISTINCT job_id, frame_idx::VARCHAR AS stem FROM scene) f LEFT JOIN (SELECT job_id, frame_idx::VARCHAR AS stem, entry_seq FROM scene WHERE frame_idx % 3 <> 0) b USING (job_id, stem)", "scene"),
+        "frames_with_boxes": chain(f"SELECT f.job_id, f.frame_idx::VARCHAR AS stem, b.entry_seq FROM ({scenes.FRAMES}) f LEFT JOIN scene b ON b.job_id = f.job_id AND b.frame_idx = f.frame_idx", "scene"),
         "miss_sample": f"{_TEXT} SELECT job_id, frame_idx, CAST(k AS INTEGER) AS k FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY frame_idx) AS k FROM c WHERE lat IS NULL) m WHERE k <= 20",
         "gps_interpolate": f"{_POSE} SELECT frame_idx, round(lat, 6) AS lat, round(lng, 6) AS lng, round(ele, 4) AS ele FROM r",
-        "pose_resolve": _POSE + _TEXT.replace("WITH t AS", ", t AS") + " SELECT r.frame_idx, round(coalesce(c.lat, r.lat), 6) AS lat, round(coalesce(c.lng, r.lng), 6) AS lng, round(CASE WHEN c.lat IS NOT NULL THEN 0 ELSE r.ele END, 4) AS ele, round(CASE WHEN c.lat IS NOT NULL THEN c.bearing END, 2) AS bearing, CASE WHEN c.lat IS NOT NULL THEN 'ocr' WHEN r.lat IS NOT NULL THEN 'gpx' END AS gps_source FROM r LEFT JOIN c ON c.frame_idx = r.frame_idx AND c.frame_idx % 2 = 0",
+        "pose_resolve": _POSE + _TEXT.replace("WITH t AS", ", t AS") + " SELECT r.frame_idx, round(coalesce(c.lat, r.lat), 6) AS lat, round(coalesce(c.lng, r.lng), 6) AS lng, round(CASE WHEN c.lat IS NOT NULL THEN 0 ELSE r.ele END, 4) AS ele, round(CASE WHEN c.lat IS NOT NULL THEN c.bearing END, 2) AS bearing, CASE WHEN c.lat IS NOT NULL THEN 'ocr' WHEN r.lat IS NOT NULL THEN 'gpx' END AS gps_source FROM r LEFT JOIN c ON c.frame_idx = r.frame_idx",
         "track_line": chain("SELECT job_id, count(*) AS n_points, CAST(count(*) AS INTEGER) AS n_coordinates, arg_min(timestamp_iso, frame_idx) AS start_iso, arg_max(timestamp_iso, frame_idx) AS end_iso FROM (SELECT DISTINCT job_id, frame_idx, timestamp_iso FROM det WHERE cam_lat IS NOT NULL) f GROUP BY job_id HAVING count(*) >= 2", "det"),
         "class_groups": chain("SELECT job_id, class, count(*) AS n, min(entry_seq) AS first_seq FROM ent GROUP BY job_id, class", "ent"),
         "proximity_pairs": chain("SELECT job_id, a, b, round(dist_ft, 3) AS dist_ft FROM near", "near"),
@@ -221,10 +238,8 @@ SELECT event_id % 100 AS stem, count(*) AS n, CAST(sum(event_id % 28) AS BIGINT)
         "assets_report": chain("""SELECT job_id, coalesce(nullif(coords_from_frame, 0)::VARCHAR, nullif(image_from_frame, 0)::VARCHAR, timestamp_iso) AS asset_id, class, round(lat, 6) AS solved_lat, round(lon, 6) AS solved_lon, coord_source AS solve_method, n AS num_observations, round(mean_conf, 3) AS mean_conf, CASE WHEN nr > 1 THEN round(round(baseline_m, 2), 1) END AS baseline_m, CASE WHEN nr > 1 THEN round(round(spread_deg, 2), 1) END AS ray_angle_deg, CASE WHEN reject_reason IS NULL THEN round(round(residual_m, 2), 1) END AS residual_m, coalesce(reject_reason, clamp_reason) AS rejection_reason, array_to_string(frames, '|') AS source_frames, CASE WHEN nr > 1 AND coalesce(reject_reason, '') <> 'singular_matrix' THEN round(round(raw_lat, 7), 6) END AS raw_tri_lat, CASE WHEN nr > 1 AND coalesce(reject_reason, '') <> 'singular_matrix' THEN round(round(raw_lon, 7), 6) END AS raw_tri_lon, CASE WHEN nr > 1 AND coalesce(reject_reason, '') <> 'singular_matrix' THEN round(round(closest_m, 2), 1) END AS tri_closest_dist_m, CASE WHEN nr > 1 AND coalesce(reject_reason, '') <> 'singular_matrix' THEN round(round(farthest_m, 2), 1) END AS tri_farthest_dist_m, class_id, confidence, 0e0 AS elevation_m, round(distance_m, 1) AS distance_m, round(obj_bearing, 0) AS obj_bearing, cam_lat, cam_lng, cam_bearing, round(offset_m, 4) AS offset_m, round(proj_bearing, 1) AS offset_bearing, gps_source, timestamp_iso, video_sec, array_to_string(list_transform(times, lambda z: CAST(z AS VARCHAR)), '|') AS members_video_sec, image_file, coords_from_frame, image_from_frame FROM ass""", "ass"),
         "tri_debug_report": chain("""SELECT t.job_id, t.class, x.frame_id AS frame_a, y.frame_id AS frame_b, x.cam_lat AS cam_a_lat, x.cam_lng AS cam_a_lng, x.cam_bearing AS cam_a_bearing, y.cam_lat AS cam_b_lat, y.cam_lng AS cam_b_lng, y.cam_bearing AS cam_b_bearing, CASE WHEN t.nr > 1 THEN round(round(t.baseline_m, 2), 1) END AS baseline_m, CASE WHEN t.nr > 1 AND coalesce(t.reject_reason, '') <> 'singular_matrix' THEN round(round(t.raw_lat, 7), 6) END AS solved_lat, CASE WHEN t.nr > 1 AND coalesce(t.reject_reason, '') <> 'singular_matrix' THEN round(round(t.raw_lon, 7), 6) END AS solved_lon, CASE WHEN t.nr > 1 AND coalesce(t.reject_reason, '') <> 'singular_matrix' THEN round(round(t.closest_m, 2), 1) END AS distance_from_track_m, CASE WHEN t.nr > 1 AND coalesce(t.reject_reason, '') <> 'singular_matrix' THEN round(round(t.farthest_m, 2), 1) END AS farthest_from_track_m, CASE WHEN t.nr > 1 AND coalesce(t.reject_reason, '') <> 'singular_matrix' THEN round(round(t.residual_m, 2), 1) END AS residual_m, x.obj_bearing AS obj_bearing_a, y.obj_bearing AS obj_bearing_b, CASE WHEN t.nr > 1 THEN round(round(t.spread_deg, 2), 1) END AS intersection_angle_deg, t.nr AS n_rays, t.n AS n_cluster, CASE WHEN t.reject_reason IS NULL THEN 'True' ELSE 'False' END AS accept, t.reject_reason
 FROM (SELECT p.*, coalesce(p.a, m.a1) AS a2, coalesce(p.b, m.b1) AS b2 FROM pl p JOIN (SELECT cluster_id, min(CASE WHEN k = 1 THEN entry_seq END) AS a1, min(CASE WHEN k = 2 THEN entry_seq END) AS b1 FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY entry_seq) AS k FROM mem) z GROUP BY cluster_id) m USING (cluster_id)) t LEFT JOIN mem x ON x.entry_seq = t.a2 LEFT JOIN mem y ON y.entry_seq = t.b2""", "pl"),
-        "kml_placemarks": chain("""SELECT job_id, class || ' (' || pct || ')' || CASE WHEN n > 1 THEN ' ×' || n ELSE '' END AS name, '#detection' AS style_url, timestamp_iso AS when_iso, concat_ws('', '<b>' || class || '</b> — ' || pct, CASE WHEN n > 1 THEN ' &nbsp;(merged from ' || n || ' frames)' END, '<br/>Video: ' || CAST(video_sec AS VARCHAR) || 's &nbsp;|&nbsp; GPS: ' || coalesce(gps_source, 'None') || '<br/><b>Object:</b> ' || CAST(round(lat, 5) AS VARCHAR) || ', ' || CAST(round(lon, 5) AS VARCHAR) || '<br/>', 'Distance from camera: ' || CAST(round(distance_m, 0) AS VARCHAR) || ' m' || coalesce(' &nbsp;|&nbsp; Bearing to object: ' || CAST(round(obj_bearing, 0) AS VARCHAR) || '°', '') || '<br/>', '<i>Camera pos:</i> ' || CAST(cam_lat AS VARCHAR) || ', ' || CAST(cam_lng AS VARCHAR) || coalesce(' &nbsp;(heading ' || CAST(cam_bearing AS VARCHAR) || '°)', '') || '<br/>', timestamp_iso || '<br/>', '<br/><img src="images/' || image_file || '" width="480"/>') AS description, round(lon, 5) AS longitude, round(lat, 5) AS latitude, 0e0 AS elevation_m FROM (SELECT *, printf('%.1f', confidence * 100) || '%' AS pct FROM ass) a
-UNION ALL SELECT job_id, 'Track @' || CAST(video_sec AS VARCHAR) || 's', '#gpstrack', timestamp, 'GPS track point<br/>Source: ' || coalesce(gps_source, 'None') || '<br/>' || timestamp, longitude, latitude, elevation_m FROM feat WHERE type = 'gps_track'"""),
-        "kml_document": chain("""SELECT CAST(ord AS INTEGER) AS ord, n, CASE WHEN ord IN (0, 9) THEN 0 ELSE n END AS placemarks, CASE WHEN ord IN (0, 9) THEN 0 ELSE n END AS closed FROM (SELECT 0 AS ord, 1 AS n UNION ALL SELECT 9, 1 UNION ALL SELECT unnest([1, 2, 3]), (SELECT count(*) FROM (SELECT job_id FROM (SELECT DISTINCT job_id, frame_idx FROM det WHERE cam_lat IS NOT NULL) f GROUP BY job_id HAVING count(*) >= 2) j)
-UNION ALL SELECT 4, (SELECT count(*) FROM ass) UNION ALL SELECT 5, (SELECT count(*) FROM feat WHERE type = 'gps_track')) x WHERE n > 0"""),
+        "kml_placemarks": chain(_MARKS),
+        "kml_document": chain(_KML),
         "path_log": chain("SELECT job_id, cluster_id, CAST(ord AS INTEGER) AS ord, line FROM log", "log"),
         "log_tail": chain("SELECT job_id, CAST(place AS INTEGER) AS place, cluster_id, CAST(ord AS INTEGER) AS ord FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY cluster_id DESC, ord DESC) AS place FROM log) t WHERE place <= 40", "log"),
         "cross_class_dedup": chain("SELECT job_id, cluster_id, class FROM ass WHERE cluster_id NOT IN (SELECT cluster_id FROM gone)", "gone"),

@@ -166,8 +166,8 @@ def gps_interpolate(s: SparkSession, d: str) -> DataFrame:
 
 
 def pose_resolve(s: SparkSession, d: str) -> DataFrame:
-    """Poses of all frames; of odd ones the text wasn't read, so theirs are from the track."""
-    ocr = _ocr(s, d).where("o IS NOT NULL AND frame_idx % 2 = 0").select("job_id", "frame_idx", "o.lat", "o.lng", "o.bearing")
+    """Poses of all frames: from their texts, where these hold a position, else from the track."""
+    ocr = _ocr(s, d).where("o IS NOT NULL").select("job_id", "frame_idx", "o.lat", "o.lng", "o.bearing")
     frames = scenes.times(s, d).select("job_id", "frame_idx")
     p = track.resolved(frames, ocr, _track(s, d))
     return p.select("frame_idx", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), F.round("ele", 4).alias("ele"), F.round("bearing", 2).alias("bearing"), "gps_source")
@@ -264,9 +264,10 @@ def entries(s: SparkSession, d: str) -> DataFrame:
 
 
 def frames_with_boxes(s: SparkSession, d: str) -> DataFrame:
-    b = scenes.scene(s, d)
-    frames = b.select("job_id", F.col("frame_idx").cast("string").alias("stem")).distinct()
-    boxes = b.where("frame_idx % 3 <> 0").select("job_id", F.col("frame_idx").cast("string").alias("stem"), "entry_seq")
+    """All frames with their boxes; those of the job without boxes stay."""
+    stem = F.col("frame_idx").cast("string").alias("stem")
+    frames = scenes.derive(s, d, scenes.FRAMES).select("job_id", stem)
+    boxes = scenes.scene(s, d).select("job_id", stem, "entry_seq")
     return detect.frames_with_boxes(frames, boxes).select("job_id", "stem", "entry_seq")
 
 
@@ -392,10 +393,12 @@ def kml_placemarks(s: SparkSession, d: str) -> DataFrame:
 
 
 def kml_document(s: SparkSession, d: str) -> DataFrame:
-    """The whole KML document of kml_placemarks and track lines, by part: elements, placemarks opened and closed."""
+    """The whole KML document of kml_placemarks and track lines, by part: elements, placemarks opened and closed, and a sum over the hashes of its texts (none for head and tail, which are fixed)."""
     k = sinks.kml_document("all", _frames(s, d), kml_placemarks(s, d))
-    element = F.col("ord").isin(0, 9) | F.col("value").startswith("<Placemark>")
-    return k.groupBy("ord").agg(F.count_if(element).alias("n"), F.count_if(F.col("value").startswith("<Placemark>")).alias("placemarks"), F.count_if(F.col("value").endswith("</Placemark>")).alias("closed"))
+    ends = F.col("ord").isin(0, 9)
+    opened = F.col("value").startswith("<Placemark>")
+    digest = F.conv(F.substring(F.md5("value"), 1, 8), 16, 10).cast("long")
+    return k.groupBy("ord").agg(F.count_if(ends | opened).alias("n"), F.count_if(opened).alias("placemarks"), F.count_if(F.col("value").endswith("</Placemark>")).alias("closed"), F.sum(F.when(~ends, digest)).alias("digest"))
 
 
 def path_log(s: SparkSession, d: str) -> DataFrame:

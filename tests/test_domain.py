@@ -738,6 +738,25 @@ def test_hooks_for_videos_and_images(spark):
     assert [(r.name, bytes(r.content)) for r in got] == [("x.jpg", b"a\x01\x02\x03\x04")]
 
 
+def test_boxes_by_a_table_function(spark):
+    rows = [(1, k, bytearray([k % 7, 30 + k]), f"u{k}", -1.0) for k in range(40)] + [(2, 0, None, "n", -1.0)]
+    frames = spark.createDataFrame(rows, "job_id long, frame_idx long, content binary, camera string, cx double")
+
+    def make(threshold):
+        one = hooks.stub_detector(threshold)
+        return lambda c: one(c) * (sum(c) % 3)
+
+    names = ["job_id", "frame_idx", "line_no", "class_id", "cx", "cy", "w", "h", "confidence"]
+    want = hooks.detect(frames.where("content IS NOT NULL"), make, 0.4).select(*names).collect()
+    got = hooks.detect_beside(frames, make, 0.4)
+    assert got.columns == ["job_id", "frame_idx", "camera", *names[2:]]
+    assert sorted(got.select(*names).collect()) == sorted(want) and len(want) > 10
+    spark.udtf.register("boxes_of", hooks.box_function(make, 0.4))
+    frames.createOrReplaceTempView("frames_in")
+    assert spark.sql("SELECT f.frame_idx, b.line_no FROM frames_in f, LATERAL boxes_of(f.content) b").count() == len(want)
+    assert hooks.detect_beside(frames.limit(0), make, 0.4).count() == 0
+
+
 def test_empty_jobs(spark):
     boxes = scenes.scene(spark, "/root/testdata/sf0.001").limit(0)
     r = from_boxes(spark, boxes)
