@@ -71,19 +71,19 @@ def linked(entries: DataFrame, params: DataFrame, gate_s: float = P.TIME_GATE_S)
 
 
 def large_enough(members: DataFrame, params: DataFrame) -> DataFrame:
-    """Members of clusters with as many detections as their class asks for."""
+    """Members of clusters with as many detections as their class asks for; the default for unknown and null classes. Repeated rows count each; no rows give none."""
     n = members.groupBy("job_id", "class", "cluster_id").agg(F.count("*").alias("n"))
     n = with_params(n, params.select("class", "min_frames")).where(F.col("n") >= F.coalesce("min_frames", F.lit(P.DEFAULT_MIN_FRAMES)))
     return members.join(n.select("cluster_id"), "cluster_id", "left_semi")
 
 
 def class_order(entries: DataFrame) -> DataFrame:
-    """job_id, class, n, first_seq: classes in the order in which they were first seen."""
+    """job_id, class, n, first_seq: classes in the order in which they were first seen. Null jobs and classes are groups of their own; a null entry_seq counts, but isn't first."""
     return entries.groupBy("job_id", "class").agg(F.count("*").alias("n"), F.min("entry_seq").alias("first_seq"))
 
 
 def scored(members: DataFrame) -> DataFrame:
-    """members with norm_area (0 to 1 within the cluster, 1 where all are equal) and score."""
+    """members with norm_area (0 to 1 within the cluster, 1 where all are equal) and score. Without an area of its own, in a cluster of several areas, both are null; a null confidence gives a null score."""
     span = members.groupBy("cluster_id").agg(F.min("bbox_area").alias("lo"), F.max("bbox_area").alias("hi"))
     m = members.join(span, "cluster_id")
     norm = F.when(F.col("hi") > F.col("lo"), (F.col("bbox_area") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.lit(1.0))
@@ -91,7 +91,11 @@ def scored(members: DataFrame) -> DataFrame:
 
 
 def summarized(members: DataFrame) -> DataFrame:
-    """One row a cluster: members' counts and lists, and the rows with the largest box (closest) and score (best); ties go to the first."""
+    """One row a cluster: members' counts and lists, and the rows with the largest box (closest) and score (best); ties go to the first.
+
+    Null areas and scores come last, a null confidence counts as 0 in the mean, null times and frames are in no list, and
+    a cluster without any distance has a null min_mono_m. Repeated rows count each. No members give no rows.
+    """
     m = scored(members)
     row = F.struct(*(F.col(c) for c in MEMBER))
     first = -F.col("entry_seq")

@@ -33,7 +33,8 @@ def placed(clusters: DataFrame, tri: DataFrame, params: DataFrame) -> DataFrame:
     """One row an asset: the best member's columns, the pin and where it is from, lists of members, solver's diagnostics.
 
     An accepted solution is checked against the class's range from the closest camera, stretched along its bearing
-    plus the calibration offset, and taken; else the fallback point; else the camera.
+    plus the calibration offset, and taken; else the fallback point; else the camera. Without a camera the pin is at the
+    member's own position. Clusters without a row in tri are placed by the fallback; no clusters give no rows.
     """
     t = tri.drop("job_id", "class", "n_cluster", "det", "trace")
     c = fallback(clusters, params).join(t, "cluster_id", "left")

@@ -74,7 +74,11 @@ def interpolated(track: DataFrame, times: DataFrame) -> DataFrame:
 
 
 def resolved(frames: DataFrame, ocr: DataFrame, gps: DataFrame) -> DataFrame:
-    """frames (job_id, frame_idx) with lat, lng, ele, bearing, gps_source: overlay text first (height 0), then the track."""
+    """frames (job_id, frame_idx) with lat, lng, ele, bearing, gps_source: overlay text first (height 0), then the track.
+
+    Frames in neither have nulls, as do those of a null job or number. A text without a latitude counts as none but for its
+    bearing. ocr and gps have one row a frame at most; more give as many rows. No frames give no rows.
+    """
     o = ocr.select("job_id", "frame_idx", F.col("lat").alias("o_lat"), F.col("lng").alias("o_lng"), F.col("bearing").alias("o_bearing"))
     g = gps.select("job_id", "frame_idx", F.col("lat").alias("g_lat"), F.col("lng").alias("g_lng"), F.col("ele").alias("g_ele"))
     f = frames.join(o, ["job_id", "frame_idx"], "left").join(g, ["job_id", "frame_idx"], "left")
@@ -84,6 +88,9 @@ def resolved(frames: DataFrame, ocr: DataFrame, gps: DataFrame) -> DataFrame:
 
 
 def indexed(listing: DataFrame) -> DataFrame:
-    """listing (job_id, path, readable) with frame_idx in path order; unreadable images take an index and are then left out."""
+    """listing (job_id, path, readable) with frame_idx in path order; unreadable images take an index and are then left out.
+
+    Null paths come first, a null readable counts as unreadable, and repeated paths have an index each.
+    """
     n = F.row_number().over(Window.partitionBy("job_id").orderBy("path")) - 1
     return listing.withColumn("frame_idx", n.cast("long")).where("readable")

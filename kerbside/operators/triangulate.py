@@ -13,7 +13,7 @@ from kerbside.plans.scratch import Scratch
 
 
 def local_rays(members: DataFrame) -> DataFrame:
-    """Members with camera and bearing, in metres east (x) and north (y) of the cluster's mean camera position."""
+    """Members with camera and bearing, in metres east (x) and north (y) of the cluster's mean camera position. Others are left out; repeated rows are rays each; no members give no rows."""
     r = members.where("cam_lat IS NOT NULL AND cam_lng IS NOT NULL AND obj_bearing IS NOT NULL")
     mean = r.groupBy("cluster_id").agg(F.avg("cam_lat").alias("lat0"), F.avg("cam_lng").alias("lng0"), F.count("*").alias("n_rays"))
     r = r.join(mean, "cluster_id")
@@ -143,7 +143,10 @@ def spread(rays: DataFrame) -> DataFrame:
 
 
 def solved(rays: DataFrame) -> DataFrame:
-    """cluster_id, singular, qx, qy, raw_lat, raw_lon: the point nearest to all lines through the rays, by the normal equations."""
+    """cluster_id, singular, qx, qy, raw_lat, raw_lon: the point nearest to all lines through the rays, by the normal equations.
+
+    Clusters of one ray have no row; parallel rays, repeated ones among them, are singular and have no point.
+    """
     nx, ny = F.cos(F.radians("obj_bearing")), -F.sin(F.radians("obj_bearing"))
     pn = F.col("x") * nx + F.col("y") * ny
     s = rays.groupBy("cluster_id").agg(F.count("*").alias("n_rays"), F.first("lat0").alias("lat0"), F.first("lng0").alias("lng0"), F.sum(nx * nx).alias("a11"), F.sum(nx * ny).alias("a12"), F.sum(ny * ny).alias("a22"), F.sum(pn * nx).alias("b1"), F.sum(pn * ny).alias("b2"))
@@ -155,7 +158,7 @@ def solved(rays: DataFrame) -> DataFrame:
 
 
 def residuals(rays: DataFrame, solution: DataFrame) -> DataFrame:
-    """cluster_id, residual_m (mean distance from the lines), closest_m, farthest_m (from the cameras)."""
+    """cluster_id, residual_m (mean distance from the lines), closest_m, farthest_m (from the cameras). Clusters without a solution, or with a singular one, have no row."""
     r = rays.select("cluster_id", "x", "y", "obj_bearing").join(solution.where("NOT singular").select("cluster_id", "qx", "qy"), "cluster_id")
     dx, dy, t = F.col("qx") - F.col("x"), F.col("qy") - F.col("y"), F.radians("obj_bearing")
     far = F.sqrt(dx * dx + dy * dy)
@@ -163,7 +166,7 @@ def residuals(rays: DataFrame, solution: DataFrame) -> DataFrame:
 
 
 def gate():
-    """Reason of rejection, null if accepted; the first gate that fails, on unrounded values."""
+    """Reason of rejection, null if accepted; the first gate that fails, on unrounded values. No number of rays counts as none; a gate whose value is null doesn't fail."""
     c = F.col
     return (
         F.when(F.coalesce(c("n_rays"), F.lit(0)) < 2, "too_few_bearings")

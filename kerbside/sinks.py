@@ -36,6 +36,7 @@ def frame_features(frames: DataFrame, det: DataFrame) -> DataFrame:
 
 
 def asset_features(assets: DataFrame) -> DataFrame:
+    """Assets as rows of features, one each in no order: no elevation is 0, no time an empty text, other nulls stay."""
     return assets.select(
         "job_id", F.lit("detection").alias("type"), "class_id", F.col("class").alias("class_name"), "confidence", "num_detections_merged", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), F.coalesce("elevation_m", F.lit(0.0)).alias("elevation_m"),
         "distance_m", "obj_bearing", "cam_lat", "cam_lng", "cam_bearing", "gps_source", "image_file", F.coalesce("timestamp_iso", F.lit("")).alias("timestamp"), "video_sec", "members_video_sec",

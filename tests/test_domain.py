@@ -13,7 +13,7 @@ from kerbside import documents, hooks, scenes, sinks
 from kerbside import params as P
 from kerbside.engine import Engine
 from kerbside.functions import geo, media, overlay
-from kerbside.operators import cluster, detect, links, suppress, track, triangulate
+from kerbside.operators import cluster, detect, links, merge, suppress, track, triangulate
 from kerbside.plans.components import connected_components
 from kerbside.plans.pipeline import from_boxes, job_summary
 from kerbside.plans.scratch import Scratch, with_row_key
@@ -738,6 +738,57 @@ def test_hooks_for_videos_and_images(spark):
     assert [(r.name, bytes(r.content)) for r in got] == [("x.jpg", b"a\x01\x02\x03\x04")]
 
 
+MEMBERS = "job_id long, class string, cluster_id long, entry_seq long, frame_id long, timestamp double, class_id int, confidence double, lat double, lon double, bbox_area double, distance_m double, obj_bearing double, cam_lat double, cam_lng double, cam_bearing double, elevation_m double, gps_source string, image_file string, timestamp_iso string"
+
+
+def member(cluster_id, entry_seq, **given):
+    """A row of MEMBERS: a pole seen from 30 N, 86 W, with nulls where given says so."""
+    row = {"job_id": 0, "class": "pole", "cluster_id": cluster_id, "entry_seq": entry_seq, "frame_id": entry_seq, "timestamp": float(entry_seq), "class_id": 0, "confidence": 0.5, "lat": 30.0001, "lon": -86.0, "bbox_area": 10.0, "distance_m": 12.0, "obj_bearing": 10.0 * entry_seq, "cam_lat": 30.0 + entry_seq * 1e-4, "cam_lng": -86.0, "cam_bearing": 0.0, "elevation_m": None, "gps_source": "ocr", "image_file": None, "timestamp_iso": None}
+    return tuple((row | given).values())
+
+
+def test_clusters_of_odd_rows(spark):
+    """Nulls in what members are ranked, averaged and projected by, repeated rows, unknown classes, no rows."""
+    p = P.class_params(spark)
+    empty = dict.fromkeys(("frame_id", "timestamp", "confidence", "bbox_area", "distance_m", "obj_bearing", "cam_lat", "cam_lng", "cam_bearing"))
+    rows = [member(1, 1, bbox_area=None, confidence=None), member(1, 2), member(1, 3, distance_m=None), member(1, 3, distance_m=None), member(2, 7, **empty), member(3, 8, **{"class": None}), member(4, 9, **{"class": "odd"})]
+    m = spark.createDataFrame(rows, MEMBERS)
+    assert {r.cluster_id for r in cluster.large_enough(m, p).collect()} == {1, 3, 4}
+    order = {(r["class"], r.n, r.first_seq) for r in cluster.class_order(m).collect()}
+    assert order == {("pole", 5, 1), (None, 1, 8), ("odd", 1, 9)}
+    c = {r.cluster_id: r for r in cluster.summarized(m).collect()}
+    assert (c[1].n, c[1].mean_conf, c[1].min_mono_m, c[1].closest.entry_seq, c[1].best.entry_seq) == (4, 0.375, 12.0, 2, 2)
+    assert c[1].source_frames == [1, 2, 3, 3] and c[1].members_video_sec == [1.0, 2.0, 3.0] and c[1].unique_cam_pos == 3
+    assert (c[2].n, c[2].mean_conf, c[2].min_mono_m, c[2].bearings, c[2].members_video_sec) == (1, 0.0, None, 0, [])
+    t = {r.cluster_id: r for r in triangulate.triangulated(m).collect()}
+    assert t[1].n_rays == 4 and [t[k].reject_reason for k in (2, 3, 4)] == ["too_few_bearings"] * 3
+    a = {r.cluster_id: r for r in merge.placed(cluster.summarized(m), triangulate.triangulated(m), p).collect()}
+    assert set(a) == {1, 2, 3, 4} and (a[2].lat, a[2].lon, a[2].coord_source) == (30.0001, -86.0, "cam_only")
+    f = sinks.asset_features(merge.placed(cluster.summarized(m), triangulate.triangulated(m), p)).collect()
+    assert len(f) == 4 and {(r.elevation_m, r.timestamp) for r in f} == {(0.0, "")}
+    none = m.limit(0)
+    assert [x.count() for x in (cluster.large_enough(none, p), cluster.class_order(none), cluster.summarized(none), triangulate.local_rays(none), triangulate.triangulated(none))] == [0] * 5
+
+
+def test_rays_that_are_repeated_or_alone(spark):
+    """One ray has no solution, the same ray twice is singular, and neither has residuals."""
+    rays = triangulate.local_rays(spark.createDataFrame([member(1, 1), member(2, 2), member(2, 2), member(3, 3), member(3, 4, obj_bearing=120.0)], MEMBERS))
+    s = {r.cluster_id: r.singular for r in triangulate.solved(rays).collect()}
+    assert s == {2: True, 3: False}
+    assert [r.cluster_id for r in triangulate.residuals(rays, triangulate.solved(rays)).collect()] == [3]
+
+
+def test_poses_and_indices_of_odd_rows(spark):
+    frames = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (None, 1), (0, None)], "job_id long, frame_idx long")
+    ocr = spark.createDataFrame([(0, 1, 30.0, -86.0, 5.0), (0, 2, None, None, 7.0)], "job_id long, frame_idx long, lat double, lng double, bearing double")
+    gps = spark.createDataFrame([(0, 1, 1.0, 1.0, 9.0), (0, 2, 2.0, 2.0, 9.0)], "job_id long, frame_idx long, lat double, lng double, ele double")
+    got = {(r.job_id, r.frame_idx): tuple(r)[2:] for r in track.resolved(frames, ocr, gps).collect()}
+    assert got == {(0, 1): (30.0, -86.0, 0.0, 5.0, "ocr"), (0, 2): (2.0, 2.0, 9.0, 7.0, "gpx"), (0, 3): (None,) * 5, (None, 1): (None,) * 5, (0, None): (None,) * 5}
+    files = spark.createDataFrame([(0, "b", True), (0, None, True), (0, "a", None), (0, "b", True), (1, "z", False)], "job_id long, path string, readable boolean")
+    assert sorted((r.path or "", r.frame_idx) for r in track.indexed(files).collect()) == [("", 0), ("b", 2), ("b", 3)]
+    assert track.resolved(frames.limit(0), ocr, gps).count() == track.indexed(files.limit(0)).count() == 0
+
+
 def test_boxes_by_a_table_function(spark):
     rows = [(1, k, bytearray([k % 7, 30 + k]), f"u{k}", -1.0) for k in range(40)] + [(2, 0, None, "n", -1.0)]
     frames = spark.createDataFrame(rows, "job_id long, frame_idx long, content binary, camera string, cx double")
