@@ -112,8 +112,10 @@ def widest_rays(rays: DataFrame) -> DataFrame:
     """
     p = rays.groupBy("cluster_id", F.pmod("obj_bearing", F.lit(360.0)).alias("angle")).agg(F.min(_seen(rays)).alias("r"))
     p = p.withColumn("here", F.struct("angle", "r")).drop("r")
-    stops = p.select("cluster_id", "angle", "here", F.lit(None).cast(p.schema["here"].dataType).alias("of"))
-    stops = stops.union(p.select("cluster_id", F.pmod(F.col("angle") + 180.0, F.lit(360.0)), F.lit(None).cast(p.schema["here"].dataType), "here"))
+    none = F.lit(None).cast(p.schema["here"].dataType)
+    bearing = F.struct("angle", "here", none.alias("of"))
+    antipode = F.struct(F.pmod(F.col("angle") + 180.0, F.lit(360.0)).alias("angle"), none.alias("here"), F.col("here").alias("of"))
+    stops = p.select("cluster_id", F.inline(F.array(bearing, antipode)))
     turn = Window.partitionBy("cluster_id")
     so_far = lambda *order: F.last("here", ignorenulls=True).over(turn.orderBy(*order, F.col("here").isNull()).rowsBetween(Window.unboundedPreceding, 0))
     j = stops.withColumn("before", so_far(F.col("angle"))).withColumn("after", so_far(F.col("angle").desc()))

@@ -369,6 +369,19 @@ def test_widest_gap_equals_all_pairs(spark):
     assert {c: (pytest.approx(v[0], abs=1e-9), *v[1:]) for c, v in want.items()} == got
 
 
+def test_widest_gap_by_joins_that_shuffle(spark):
+    """Tables too large to broadcast: rays that a join left dealt by cluster."""
+    rows = [(c, c * 10 + k, 30.0 + k / 1e4, -86.0, 20.0 * k) for c in range(50) for k in range(4)]
+    m = spark.createDataFrame(rows, "cluster_id long, entry_seq long, cam_lat double, cam_lng double, obj_bearing double")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = triangulate.spread(triangulate.local_rays(m)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted((r.cluster_id, r.spread_deg, r.a, r.b) for r in got) == [(c, 60.0, c * 10, c * 10 + 3) for c in range(50)]
+
+
 def test_chain_spans_more_than_the_gate(spark):
     rows = [(0, "pole", k, float(k * 5), 30.4 + k * 4e-5, -86.7) for k in range(6)] + [(0, "pole", 50, 3.0, 31.0, -86.7)]
     e = spark.createDataFrame(rows, "job_id long, class string, entry_seq long, timestamp double, lat double, lon double")
