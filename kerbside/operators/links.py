@@ -13,6 +13,8 @@ from kerbside.plans.scratch import Scratch
 
 #: Pairs of members, for each entry, up to which open pairs of cells are tried member by member; beyond, cells are cut.
 TRIES = 32
+#: Cells along a side of the blocks by which cells meet, and slots of one.
+BLOCK, SLOTS = 8, 2
 BOX = ("lat_lo", "lat_hi", "lon_lo", "lon_hi", "t_lo", "t_hi")
 
 
@@ -60,19 +62,48 @@ def _bounds(u: str, v: str, gate_s: float) -> tuple[Column, Column]:
     return (least <= eps * (1 + 1e-9)) & (apart("t") <= gate_s), (most <= eps * (1 - 1e-9)) & (across("t") <= gate_s)
 
 
+def _side() -> Column:
+    return F.col("_eps_ft") / (grid.DEGREE_FT * 2**0.5) * 0.9999
+
+
+def _block_columns() -> Column:
+    return grid.narrow_columns(F.col("blocks"), _side() * BLOCK)
+
+
+def _large(x: Column, n: int) -> Column:
+    return F.floor(x / n).cast("long")
+
+
+def in_blocks(c: DataFrame) -> DataFrame:
+    """Cells, their keys as columns, with slots, blocks and block: the one block that a cell is in, by its slot, band and the western edge of its members."""
+    c = c.select("*", "_cell.*").drop("_cell").withColumn("slots", _large(F.col("slot"), SLOTS)).withColumn("blocks", _large(F.col("band"), BLOCK))
+    return c.withColumn("block", grid.column(F.col("lon_lo"), _block_columns()))
+
+
+def around(c: DataFrame) -> DataFrame:
+    """Cells, their keys as columns, once for each block (see in_blocks) that a neighbour of the same slot or the next can be in."""
+    ends = [F.col("band") - 2, F.col("band") + 2]
+    # members of a cell are all in its column, so the edge that its block goes by is at most a column from the one that links
+    width = 360.0 / F.least(*(grid.narrow_columns(b, _side()) for b in ends)) * 1.0001
+    c = c.select("*", "_cell.*").drop("_cell").withColumn("reach", grid.reach(F.greatest(*(grid.farthest(b, _side()) for b in ends)), F.col("_eps_ft")) + width)
+    c = c.withColumn("slots", F.explode(F.sequence(_large(F.col("slot"), SLOTS), _large(F.col("slot") + 1, SLOTS))))
+    c = c.withColumn("blocks", F.explode(F.sequence(*(_large(b, BLOCK) for b in ends)))).withColumn("n_blocks", _block_columns())
+    block = F.explode(F.sequence(*grid.first_last(F.col("lon_lo") - F.col("reach"), F.col("lon_hi") + F.col("reach"), F.col("n_blocks"))))
+    return c.withColumn("block", block).withColumn("block", F.pmod("block", "n_blocks")).drop("reach", "n_blocks")
+
+
 def neighbours(c: DataFrame, gate_s: float = P.TIME_GATE_S) -> DataFrame:
-    """a, b, tries, sure, _eps_ft: pairs of cells that may hold a link, once each; sure: all their members link. tries: pairs of members."""
-    c = c.select("*", "_cell.*").drop("_cell")
-    side = F.col("_eps_ft") / (grid.DEGREE_FT * 2**0.5) * 0.9999
-    left = c.withColumn("later", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("slot", F.col("slot") + F.col("later"))
-    left = left.withColumn("at", F.col("band")).withColumn("band", F.explode(F.sequence(F.col("at") - 2, F.col("at") + 2)))
-    lat = F.greatest(grid.farthest(F.col("at"), side), grid.farthest(F.col("band"), side))
-    left = left.withColumn("columns", grid.narrow_columns(F.col("band"), side)).withColumn("reach", grid.reach(lat, F.col("_eps_ft")))
-    left = left.withColumn("col", F.explode(F.sequence(*grid.first_last(F.col("lon_lo") - F.col("reach"), F.col("lon_hi") + F.col("reach"), F.col("columns"))))).withColumn("col", F.pmod("col", "columns"))
-    x, y = left.alias("u"), c.drop("_eps_ft").alias("v")
-    same = [F.col(f"u.{k}") == F.col(f"v.{k}") for k in ("job_id", "class", "slot", "band", "col")]
+    """a, b, tries, sure, _eps_ft: pairs of cells that may hold a link, once each; sure: all their members link. tries: pairs of members.
+
+    Cells meet by blocks of BLOCK by BLOCK cells and SLOTS slots, so that few copies of a cell are moved; a block has a
+    fixed number of cells, however dense it is.
+    """
+    x, y = around(c).drop("col").alias("u"), in_blocks(c).drop("_eps_ft", "col").alias("v")
+    u, v = (lambda k: F.col(f"u.{k}")), (lambda k: F.col(f"v.{k}"))
+    same = (u("job_id") == v("job_id")) & (u("class") == v("class")) & (u("slots") == v("slots")) & (u("blocks") == v("blocks")) & (u("block") == v("block"))
+    once = ((v("slot") == u("slot") + 1) | ((v("slot") == u("slot")) & (u("node") < v("node")))) & (F.abs(v("band") - u("band")) <= 2)
     may, must = _bounds("u", "v", gate_s)
-    j = x.join(y, same[0] & same[1] & same[2] & same[3] & same[4]).where(((F.col("u.later") == 1) | (F.col("u.node") < F.col("v.node"))) & may)
+    j = x.join(y, same & once & may)
     return j.select(F.col("u.node").alias("a"), F.col("v.node").alias("b"), (_points("u") * _points("v")).alias("tries"), must.alias("sure"), "_eps_ft")
 
 

@@ -313,6 +313,19 @@ def test_links_are_linear_on_a_dense_scene(spark):
     assert found[1][1] > 60 * found[0][1] and found[1][0] < 4 * found[0][0]
 
 
+def test_few_copies_of_cells_are_moved(spark):
+    """A cell looks for its neighbours in a few blocks, and meets a bounded number of cells there however dense a scene is."""
+    rng = random.Random(11)
+    for n, wide in ((2000, 1.0), (2000, 2e-4), (8000, 2e-4)):
+        e = spark.createDataFrame([(0, "pole", k, rng.uniform(0, 60), 30.4 + rng.uniform(0, wide), -86.7 + rng.uniform(0, wide)) for k in range(n)], ENTRY)
+        c = links.cells(links.keyed(e, P.class_params(spark)))
+        left, right = links.around(c), links.in_blocks(c)
+        cells = right.count()
+        assert left.count() < 6 * cells
+        met = left.alias("x").join(right.alias("y"), ["job_id", "class", "slots", "blocks", "block"]).count()
+        assert met < 6 * links.SLOTS * (links.BLOCK + 1) ** 2 * cells
+
+
 def test_candidates_are_a_few_times_the_pairs(spark):
     """Entries that share a cell of the join for each pair that is kept, however dense the scene."""
     for n in (500, 4000):
