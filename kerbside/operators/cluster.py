@@ -108,7 +108,7 @@ def summarized(members: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("timestamp")).alias("members_video_sec"),
         F.transform(in_order, lambda x: x["frame_id"]).alias("source_frames"),
         F.count("obj_bearing").alias("bearings"),
-        F.count_distinct(F.when(posed, F.struct(F.round("cam_lat", 5), F.round("cam_lng", 5)))).alias("unique_cam_pos"),
+        F.size(F.collect_set(F.when(posed, F.struct(F.round("cam_lat", 5) + 0.0, F.round("cam_lng", 5) + 0.0)))).cast("long").alias("unique_cam_pos"),
         F.max_by(row, F.struct("bbox_area", first)).alias("closest"),
         F.max_by(row, F.struct("score", first)).alias("best"),
     )

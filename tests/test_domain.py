@@ -796,6 +796,33 @@ def test_clusters_of_odd_rows(spark):
     assert [x.count() for x in (cluster.large_enough(none, p), cluster.class_order(none), cluster.summarized(none), triangulate.local_rays(none), triangulate.triangulated(none))] == [0] * 5
 
 
+def test_summary_of_clusters_in_two_steps(spark):
+    """Camera positions are counted beside the lists, with no aggregates of their own by position; equal ones once, 0.0 and -0.0 too."""
+    rows = [(1, 1, 30.0, 0.0), (1, 2, 30.0, -0.0), (1, 3, 30.000001, 0.0), (1, 4, 30.1, 0.0), (1, 5, None, 0.0), (2, 6, None, None)]
+    m = spark.createDataFrame([member(c, k, cam_lat=lat, cam_lng=lng) for c, k, lat, lng in rows], MEMBERS)
+    got = cluster.summarized(m)
+    assert {r.cluster_id: r.unique_cam_pos for r in got.collect()} == {1: 2, 2: 0} and got.schema["unique_cam_pos"].dataType.simpleString() == "bigint"
+    assert got._jdf.queryExecution().sparkPlan().toString().count("ObjectHashAggregate") == 2
+
+
+def test_tables_are_written_by_compiled_methods(spark):
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before, seen = spark.conf.get(name), []
+    table = spark.range(3)
+    schema = table.schema
+
+    class Writer:
+        write = property(lambda self: self)
+
+        def parquet(self, path):
+            seen.append(spark.conf.get(name))
+            table.write.parquet(path)
+
+    Writer.schema = schema
+    assert Scratch(spark).write(Writer(), "x").count() == 3
+    assert seen == ["8000"] and spark.conf.get(name) == before
+
+
 def test_rays_that_are_repeated_or_alone(spark):
     """One ray has no solution, the same ray twice is singular, and neither has residuals."""
     rays = triangulate.local_rays(spark.createDataFrame([member(1, 1), member(2, 2), member(2, 2), member(3, 3), member(3, 4, obj_bearing=120.0)], MEMBERS))
