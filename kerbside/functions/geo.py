@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from kerbside import params as P
 
 
+def rounded(c: Column, places: int) -> Column:
+    """F.round of doubles, to the same values: by arithmetic where that is sure of the digit, as F.round makes a decimal text of each number."""
+    scaled = c * F.lit(10.0**places)
+    whole = F.rint(scaled)
+    return F.when((F.abs(scaled) < 1e11) & (F.abs(scaled - whole) < 0.499), whole / F.lit(10.0**places) + 0.0).otherwise(F.round(c, places))
+
+
 def _half_chord(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     s = F.sin(F.radians(lat2 - lat1) / 2)
     t = F.sin(F.radians(lon2 - lon1) / 2)

@@ -54,7 +54,9 @@ def crop_rect(cx: Column, cy: Column, w: Column, h: Column, image_w: Column, ima
 
 
 def crop_name(frame_num: Column, index: Column) -> Column:
-    return F.format_string("frame_%06d_det_%02d.jpg", frame_num, index)
+    text = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    short = frame_num.between(0, 999_999) & index.between(0, 99)
+    return F.when(short, F.concat(F.lit("frame_"), text(frame_num, 6), F.lit("_det_"), text(index, 2), F.lit(".jpg"))).otherwise(F.format_string("frame_%06d_det_%02d.jpg", frame_num, index))
 
 
 def extension(path: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside import params as P
@@ -49,25 +49,40 @@ def clustered(entries: DataFrame, pairs: DataFrame) -> DataFrame:
     return entries.join(c, "entry_seq", "left").withColumn("cluster_id", F.coalesce("_c", "entry_seq")).drop("_c")
 
 
-def linked(entries: DataFrame, params: DataFrame, gate_s: float = P.TIME_GATE_S) -> DataFrame:
+def linked(entries: DataFrame, params: DataFrame, gate_s: float = P.TIME_GATE_S, enough: bool = False) -> DataFrame:
     """entries with cluster_id, the smallest entry_seq that links connect; the same as clustered over proximity_pairs, without the pairs.
 
     Links are between cells whose members all link (operators.links), so their number is linear in the entries; the
     components of cells are those of their members. Entries without job, class, time or position are alone. entry_seq
     is unique over all jobs; repeated ones are refused. No entries give no rows.
+
+    enough: only what large_enough leaves, with cluster_n, the number of a cluster's members. Cells tell these numbers, so
+    entries of smaller clusters aren't moved. Entries are read several times: pass a written table.
     """
     scratch = Scratch(entries.sparkSession)
     if entries.groupBy("entry_seq").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         raise ValueError("entry_seq is repeated")
-    rows = scratch.write(links.keyed(entries, params, gate_s), "rows")
+    rows = scratch.write(links.keyed(entries.select("job_id", "class", "entry_seq", "timestamp", "lat", "lon"), params, gate_s), "rows")
     c = scratch.write(links.cells(rows), "cells")
     comp = connected_components(links.links(rows, c, scratch, gate_s), scratch)
-    c = c.select("_cell", "node", "n").join(comp, "node", "left").select("_cell", "n", F.coalesce("component", "node").alias("cluster_id"))
+    sizes = c.select("node", "n").join(comp, "node").groupBy("component").agg(F.sum("n").alias("cluster_n"))
+    c = c.select("_cell", "node", "n").join(comp.join(sizes, "component"), "node", "left")
+    c = c.select("_cell", "n", F.coalesce("component", "node").alias("cluster_id"), F.coalesce("cluster_n", "n").alias("cluster_n"))
+    if enough:
+        c = _enough(c.withColumn("class", F.col("_cell.class")), params).drop("class")
     c = scratch.write(c, "clusters")
     total = c.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = links.keyed(entries, params, gate_s)
     names = [F.col(f"`{x}`") for x in entries.columns]
-    alone = rows.where("_cell IS NULL").select(*names, F.col("entry_seq").alias("cluster_id"))
-    return join_groups(rows, c, "_cell", "n", total).select(*names, "cluster_id").unionByName(alone)
+    alone = rows.where("_cell IS NULL").select(*names, F.col("entry_seq").alias("cluster_id"), F.lit(1).cast("long").alias("cluster_n"))
+    out = join_groups(rows, c, "_cell", "n", total).select(*names, "cluster_id", "cluster_n")
+    return out.unionByName(_enough(alone, params)) if enough else out.unionByName(alone).drop("cluster_n")
+
+
+def _enough(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """Rows (class, cluster_n) of clusters with as many members as their class asks for."""
+    r = with_params(rows, params.select("class", "min_frames"), prefix="_of_class_")
+    return r.where(F.col("cluster_n") >= F.coalesce("_of_class_min_frames", F.lit(P.DEFAULT_MIN_FRAMES))).drop("_of_class_min_frames")
 
 
 def large_enough(members: DataFrame, params: DataFrame) -> DataFrame:
@@ -84,8 +99,8 @@ def class_order(entries: DataFrame) -> DataFrame:
 
 def scored(members: DataFrame) -> DataFrame:
     """members with norm_area (0 to 1 within the cluster, 1 where all are equal) and score. Without an area of its own, in a cluster of several areas, both are null; a null confidence gives a null score."""
-    span = members.groupBy("cluster_id").agg(F.min("bbox_area").alias("lo"), F.max("bbox_area").alias("hi"))
-    m = members.join(span, "cluster_id")
+    whole = Window.partitionBy("cluster_id")
+    m = members.where("cluster_id IS NOT NULL").withColumns({"lo": F.min("bbox_area").over(whole), "hi": F.max("bbox_area").over(whole)})
     norm = F.when(F.col("hi") > F.col("lo"), (F.col("bbox_area") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.lit(1.0))
     return m.withColumn("norm_area", norm).withColumn("score", F.col("confidence") + P.AREA_WEIGHT * F.col("norm_area")).drop("lo", "hi")
 
@@ -96,11 +111,12 @@ def summarized(members: DataFrame) -> DataFrame:
     Null areas and scores come last, a null confidence counts as 0 in the mean, null times and frames are in no list, and
     a cluster without any distance has a null min_mono_m. Repeated rows count each. No members give no rows.
     """
-    m = scored(members)
+    # what is gathered is made below the window of scored: within the aggregate, Spark would interpret it
+    at = F.when(_posed(), F.struct(F.round("cam_lat", 5) + 0.0, F.round("cam_lng", 5) + 0.0))
+    m = scored(members.withColumns({"_at": at, "_frame": F.struct("entry_seq", "frame_id")}))
     row = F.struct(*(F.col(c) for c in MEMBER))
     first = -F.col("entry_seq")
-    in_order = F.array_sort(F.collect_list(F.struct("entry_seq", "frame_id")))
-    posed = F.col("cam_lat").isNotNull() & F.col("cam_lng").isNotNull()
+    in_order = F.array_sort(F.collect_list("_frame"))
     return m.groupBy("job_id", "class", "cluster_id").agg(
         F.count("*").alias("n"),
         F.round(F.avg(F.coalesce("confidence", F.lit(0.0))), 4).alias("mean_conf"),
@@ -108,7 +124,28 @@ def summarized(members: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("timestamp")).alias("members_video_sec"),
         F.transform(in_order, lambda x: x["frame_id"]).alias("source_frames"),
         F.count("obj_bearing").alias("bearings"),
-        F.size(F.collect_set(F.when(posed, F.struct(F.round("cam_lat", 5) + 0.0, F.round("cam_lng", 5) + 0.0)))).cast("long").alias("unique_cam_pos"),
+        F.size(F.collect_set("_at")).cast("long").alias("unique_cam_pos"),
         F.max_by(row, F.struct("bbox_area", first)).alias("closest"),
         F.max_by(row, F.struct("score", first)).alias("best"),
     )
+
+
+def _posed() -> Column:
+    return F.col("cam_lat").isNotNull() & F.col("cam_lng").isNotNull()
+
+
+def of_one(members: DataFrame) -> DataFrame:
+    """summarized for members that are clusters of their own: row by row, without grouping them."""
+    row = F.struct(*(F.col(c) for c in MEMBER))
+    return members.select(
+        "job_id", "class", "cluster_id",
+        F.lit(1).cast("long").alias("n"),
+        F.round(F.coalesce("confidence", F.lit(0.0)), 4).alias("mean_conf"),
+        positive(F.col("distance_m")).alias("min_mono_m"),
+        F.array_compact(F.array("timestamp")).alias("members_video_sec"),
+        F.array("frame_id").alias("source_frames"),
+        F.col("obj_bearing").isNotNull().cast("long").alias("bearings"),
+        _posed().cast("long").alias("unique_cam_pos"),
+        row.alias("closest"),
+        row.alias("best"),
+    )

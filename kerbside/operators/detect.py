@@ -62,7 +62,7 @@ def detections(det: DataFrame) -> DataFrame:
 def entries(det: DataFrame) -> DataFrame:
     """Projected rows with a position, as the clusterer takes them."""
     d = det.where("obj_lat IS NOT NULL AND obj_lng IS NOT NULL")
-    r = F.round
+    r = lambda c, n: geo.rounded(F.col(c) if isinstance(c, str) else c, n)
     return d.select(
         "job_id", "entry_seq", F.col("frame_idx").alias("frame_id"), F.col("ts").alias("timestamp"), "class", "class_id",
         r("confidence", 3).alias("confidence"), r("obj_lat", 7).alias("lat"), r("obj_lng", 7).alias("lon"),

@@ -59,7 +59,8 @@ def _bounds(u: str, v: str, gate_s: float) -> tuple[Column, Column]:
     least = feet(apart("lat"), F.greatest(turn - half, F.lit(0.0)), far(a) * far(b))
     most = feet(across("lat"), F.least(turn + half, F.lit(180.0)), near(a) * near(b))
     eps = F.col("_eps_ft")
-    return (least <= eps * (1 + 1e-9)) & (apart("t") <= gate_s), (most <= eps * (1 - 1e-9)) & (across("t") <= gate_s)
+    soon = (apart("t") <= gate_s) & (apart("lat") * grid.DEGREE_FT <= eps * (1 + 1e-6))  # before the sines, as it is cheap
+    return soon & (least <= eps * (1 + 1e-9)), (most <= eps * (1 - 1e-9)) & (across("t") <= gate_s)
 
 
 def _side() -> Column:

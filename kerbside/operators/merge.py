@@ -36,8 +36,12 @@ def placed(clusters: DataFrame, tri: DataFrame, params: DataFrame) -> DataFrame:
     plus the calibration offset, and taken; else the fallback point; else the camera. Without a camera the pin is at the
     member's own position. Clusters without a row in tri are placed by the fallback; no clusters give no rows.
     """
-    t = tri.drop("job_id", "class", "n_cluster", "det", "trace")
-    c = fallback(clusters, params).join(t, "cluster_id", "left")
+    return pinned(clusters.join(tri.drop("job_id", "class", "n_cluster", "det", "trace"), "cluster_id", "left"), params)
+
+
+def pinned(clusters: DataFrame, params: DataFrame) -> DataFrame:
+    """placed for clusters that have tri's columns."""
+    c = fallback(clusters, params)
     ok = (F.col("status") == "ok") & F.col("base_lat").isNotNull() & F.col("base_lon").isNotNull()
     c = c.withColumn("tri_cam_m", F.when(ok, geo.haversine_ft(F.col("base_lat"), F.col("base_lon"), F.col("raw_lat"), F.col("raw_lon")) / P.FT_PER_M))
     d = F.col("tri_cam_m")

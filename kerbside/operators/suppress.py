@@ -42,7 +42,8 @@ def conflict_pairs(assets: DataFrame, confused: DataFrame) -> DataFrame:
     n = _columns(F.col("band"))
     around = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda o: F.pmod(_cell(F.col("lon"), F.col("band")) + o, n))
     left = left.withColumn("cell", F.explode(F.array_distinct(around))).alias("x")
-    right = x.withColumn("cell", _cell(F.col("lon"), F.col("band"))).alias("y")
+    right = x.join(F.broadcast(confused.select(F.col("class_b").alias("class")).distinct()), "class", "left_semi")
+    right = right.withColumn("cell", _cell(F.col("lon"), F.col("band"))).alias("y")
     d = haversine_ft(F.col("x.lat"), F.col("x.lon"), F.col("y.lat"), F.col("y.lon"))
     meet = (F.col("x.t0") <= F.col("y.t1")) & (F.col("y.t0") <= F.col("x.t1")) & (F.col("x.slot") == F.greatest("x.first", "y.first"))
     keys = (F.col("x.job_id") == F.col("y.job_id")) & (F.col("x.class_b") == F.col("y.class")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.slot") == F.col("y.slot"))

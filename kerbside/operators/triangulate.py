@@ -14,9 +14,9 @@ from kerbside.plans.scratch import Scratch
 
 def local_rays(members: DataFrame) -> DataFrame:
     """Members with camera and bearing, in metres east (x) and north (y) of the cluster's mean camera position. Others are left out; repeated rows are rays each; no members give no rows."""
-    r = members.where("cam_lat IS NOT NULL AND cam_lng IS NOT NULL AND obj_bearing IS NOT NULL")
-    mean = r.groupBy("cluster_id").agg(F.avg("cam_lat").alias("lat0"), F.avg("cam_lng").alias("lng0"), F.count("*").alias("n_rays"))
-    r = r.join(mean, "cluster_id")
+    r = members.where("cam_lat IS NOT NULL AND cam_lng IS NOT NULL AND obj_bearing IS NOT NULL AND cluster_id IS NOT NULL")
+    whole = Window.partitionBy("cluster_id")
+    r = r.withColumns({"lat0": F.avg("cam_lat").over(whole), "lng0": F.avg("cam_lng").over(whole), "n_rays": F.count("*").over(whole)})
     x = (F.col("cam_lng") - F.col("lng0")) * (P.DEGREE_M * F.cos(F.radians("lat0")))
     return r.withColumn("x", x).withColumn("y", (F.col("cam_lat") - F.col("lat0")) * P.DEGREE_M)
 
@@ -39,6 +39,10 @@ def hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array(sorted({*chain(order), *chain(order[::-1])}))
 
 
+#: Points of a cluster up to which all pairs are taken, many clusters at once.
+FEW = 16
+
+
 def _runs(ids: np.ndarray):
     cut = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, int)
     return zip(cut.tolist(), [*cut[1:].tolist(), len(ids)])
@@ -57,8 +61,11 @@ def baseline(rays: DataFrame) -> DataFrame:
             order = np.argsort(ids, kind="stable")
             ids, x, y = ids[order], x[order], y[order]
             keep, n = [], []
+            if len(ids) and max(e - a for a, e in _runs(ids)) <= FEW:
+                yield pa.record_batch([pa.array(v) for v in (ids, x, y, np.ones(len(ids), np.int64))], names=["cluster_id", "x", "y", "n"])
+                continue
             for a, e in _runs(ids):
-                k = np.arange(a, e) if e - a < 4 else a + hull(x[a:e], y[a:e])
+                k = np.arange(a, e) if e - a <= FEW else a + hull(x[a:e], y[a:e])
                 keep.append(k)
                 n.append(np.append(e - a, np.zeros(len(k) - 1, np.int64)))
             if keep:
@@ -74,8 +81,19 @@ def baseline(rays: DataFrame) -> DataFrame:
 
         for b in batches:
             ids, bx, by, bn = (b.column(c).to_numpy(zero_copy_only=False) for c in range(4))
-            rows = []
-            for a, e in _runs(ids):
+            if not len(ids):
+                continue
+            rows, cut = [], np.array([a for a, _ in _runs(ids)])
+            end = np.append(cut[1:], len(ids))
+            few = end - cut <= FEW
+            few[0] = few[-1] = False  # these may have more rows in the batch before or after
+            far = np.zeros(len(ids))
+            for k in range(1, min(FEW, len(ids))):
+                dx, dy = bx[k:] - bx[:-k], by[k:] - by[:-k]
+                far[:-k] = np.maximum(far[:-k], np.where(ids[k:] == ids[:-k], dx * dx + dy * dy, 0.0))
+            whole = (ids[cut], np.add.reduceat(bn, cut), np.sqrt(np.maximum.reduceat(far, cut)))
+            yield pa.record_batch([pa.array(v[few], t) for v, t in zip(whole, (pa.int64(), pa.int64(), pa.float64()))], names=["cluster_id", "n", "baseline_m"])
+            for a, e in zip(cut[~few].tolist(), end[~few].tolist()):
                 if ids[a] != at:
                     if at is not None:
                         rows.append(row())
@@ -205,3 +223,16 @@ def triangulated(members: DataFrame) -> DataFrame:
         shown("baseline_m", 2, ~alone), shown("spread_deg", 2, ~alone), shown("residual_m", 2), shown("closest_m", 2), shown("farthest_m", 2), shown("raw_lat", 7), shown("raw_lon", 7),
         *(F.col(f"{k}.{c}").alias(f"{c}_{k}") for k in "ab" for c in SEEN), F.when(~alone, F.col("det")).alias("det"), F.when(~alone, F.col("trace")).alias("trace"),
     )
+
+
+def alone() -> dict[str, Column]:
+    """What triangulated finds of a cluster of one member, from its row of cluster.of_one: columns by name, without grouping."""
+    one = lambda c: F.col(f"closest.{c}")
+    none = F.lit(None).cast("double")
+    posed = one("cam_lat").isNotNull() & one("cam_lng").isNotNull() & one("obj_bearing").isNotNull()
+    seen = {"frame": one("frame_id"), **{c: one(c) for c in SEEN[1:]}}
+    return {
+        "status": F.lit("rejected"), "reject_reason": F.lit("too_few_bearings"), "n_rays": posed.cast("long"), "n_cluster": F.lit(1).cast("long"),
+        **{c: none for c in ("baseline_m", "spread_deg", "residual_m", "closest_m", "farthest_m", "raw_lat", "raw_lon")},
+        **{f"{c}_a": v for c, v in seen.items()}, **{f"{c}_b": F.when(F.lit(False), v) for c, v in seen.items()}, "det": none, "trace": none,
+    }

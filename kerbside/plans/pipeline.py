@@ -32,19 +32,35 @@ class Result:
 
     @cached_property
     def members(self) -> DataFrame:
-        return self._scratch.write(cluster.large_enough(cluster.linked(self.entries, self._params), self._params), "members")
+        return self._scratch.write(cluster.linked(self.entries, self._params, enough=True), "members")
+
+    @cached_property
+    def _many(self) -> DataFrame:
+        return self.members.where("cluster_n > 1").drop("cluster_n")
+
+    @cached_property
+    def _alone(self) -> DataFrame:
+        """Clusters of one member, with what triangulation says of them: by rows, as no other row is needed."""
+        return cluster.of_one(self.members.where("cluster_n = 1")).withColumns(triangulate.alone())
+
+    @cached_property
+    def _of_many(self) -> DataFrame:
+        return triangulate.triangulated(self._many)
 
     @cached_property
     def clusters(self) -> DataFrame:
-        return cluster.summarized(self.members)
+        c = cluster.summarized(self._many)
+        return c.unionByName(self._alone.select(*c.columns))
 
     @cached_property
     def tri(self) -> DataFrame:
-        return triangulate.triangulated(self.members)
+        return self._of_many.unionByName(self._alone.select(*self._of_many.columns))
 
     @cached_property
     def placed(self) -> DataFrame:
-        return self._scratch.write(merge.placed(self.clusters, self.tri, self._params), "placed")
+        t = self._of_many.drop("job_id", "class", "n_cluster", "det", "trace")
+        c = cluster.summarized(self._many).join(t, "cluster_id", "left")
+        return self._scratch.write(merge.pinned(c.unionByName(self._alone.select(*c.columns)), self._params), "placed")
 
     @cached_property
     def assets(self) -> DataFrame:

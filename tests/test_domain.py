@@ -867,3 +867,45 @@ def test_empty_jobs(spark):
     assert r.assets.count() == 0 and sinks.assets_report(r.assets).count() == 0
     doc = sinks.feature_collection(sinks.asset_features(r.assets)).orderBy("ord").collect()
     assert json.loads("".join(x.value for x in doc)) == {"type": "FeatureCollection", "features": []}
+
+
+def test_members_and_clusters_of_one(spark):
+    """Members of large enough clusters by the cells' numbers, and clusters of one member by rows, equal those by groups of rows."""
+    p = P.class_params(spark)
+    rng = random.Random(5)
+    rows = [(rng.randrange(2), rng.choice(["pole", "valve", "odd", None]), k, rng.uniform(0, 40), 30.4 + rng.uniform(0, 3e-4), -86.7 + rng.uniform(0, 3e-4)) for k in range(300)]
+    rows += [(0, c, 300 + k, None, 30.4, -86.7) for k, c in enumerate(("pole", "valve", None))]
+    e = Scratch(spark).write(spark.createDataFrame(rows, ENTRY), "entries")
+    linked = cluster.linked(e, p)
+    assert "cluster_n" not in linked.columns
+    sizes = {r.cluster_id: r["count"] for r in linked.groupBy("cluster_id").count().collect()}
+    expected = {(r.entry_seq, r.cluster_id, sizes[r.cluster_id]) for r in cluster.large_enough(linked, p).collect()}
+    assert {(r.entry_seq, r.cluster_id, r.cluster_n) for r in cluster.linked(e, p, enough=True).collect()} == expected
+    assert 0 < len(expected) < 303 and {n for _, _, n in expected} >= {1, 2, 3}
+    empty = dict.fromkeys(("frame_id", "timestamp", "confidence", "bbox_area", "distance_m", "obj_bearing", "cam_lat", "cam_lng", "cam_bearing"))
+    m = spark.createDataFrame([member(1, 1), member(2, 2, **empty), member(3, 3, obj_bearing=None, distance_m=-1.0), member(4, 4, cam_lat=-1e-9, confidence=0.12345)], MEMBERS)
+    one, many, tri = cluster.of_one(m).withColumns(triangulate.alone()), cluster.summarized(m), triangulate.triangulated(m)
+    same = lambda x, y: x.exceptAll(y).count() == 0 == y.exceptAll(x).count()
+    assert same(one.select(*many.columns), many) and same(one.select(*tri.columns), tri)
+    both = one.drop("n_cluster", "det", "trace")
+    assert same(merge.pinned(both, p), merge.placed(many, tri, p))
+
+
+def test_clusters_of_one_member_are_not_grouped(spark):
+    """Assets of one member come by rows: what is grouped is only larger clusters."""
+    r = from_boxes(spark, scenes.scene(spark, "/root/testdata/sf0.001"), suppress_conflicts=False)
+    sizes = {x.n: x["count"] for x in r.clusters.groupBy("n").count().collect()}
+    assert sizes[1] > 0 and r._many.groupBy("cluster_id").count().where("count = 1").count() == 0
+    assert r.placed.count() == r.tri.count() == sum(sizes.values())
+
+
+def test_rounding_by_arithmetic(spark):
+    values = [0.5, -0.5, 1.005, 2.675, -2.675, 1e300, float("nan"), float("inf"), -0.0, -1e-12, None, 30.40000005, 86.70000015, 1234567.45, 0.25, 0.35]
+    rng = random.Random(9)
+    values += [rng.uniform(-180, 180) for _ in range(2000)] + [rng.randrange(-10**6, 10**6) / 2000 for _ in range(2000)]
+    t = spark.createDataFrame([(v,) for v in values], "v double")
+    for n in (1, 2, 3, 7):
+        bad = t.select("v", F.round("v", n).alias("a"), geo.rounded(F.col("v"), n).alias("b")).where("NOT (a <=> b)")
+        assert bad.count() == 0, bad.collect()[:5]
+    names = spark.createDataFrame([(0, 0), (12, 3), (999_999, 99), (1_000_000, 100), (-5, 1), (None, 1)], "f long, k int")
+    assert names.where(~media.crop_name(F.col("f"), F.col("k")).eqNullSafe(F.format_string("frame_%06d_det_%02d.jpg", "f", "k"))).count() == 0
