@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kerbside import params as P
 from kerbside.functions import grid
-from kerbside.functions.geo import haversine_ft
+from kerbside.functions.geo import haversine_ft, rounded
 from kerbside.operators import links
 from kerbside.operators.detect import positive, with_params
 from kerbside.plans.components import connected_components
@@ -70,12 +70,14 @@ def linked(entries: DataFrame, params: DataFrame, gate_s: float = P.TIME_GATE_S,
     c = c.select("_cell", "n", F.coalesce("component", "node").alias("cluster_id"), F.coalesce("cluster_n", "n").alias("cluster_n"))
     if enough:
         c = _enough(c.withColumn("class", F.col("_cell.class")), params).drop("class")
-    c = scratch.write(c, "clusters")
+    # joined by a hash first, as sorting by whole structs compares them field by field
+    hashed = lambda x: x.withColumn("_hash", F.xxhash64("_cell"))
+    c = scratch.write(hashed(c), "clusters")
     total = c.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     rows = links.keyed(entries, params, gate_s)
     names = [F.col(f"`{x}`") for x in entries.columns]
     alone = rows.where("_cell IS NULL").select(*names, F.col("entry_seq").alias("cluster_id"), F.lit(1).cast("long").alias("cluster_n"))
-    out = join_groups(rows, c, "_cell", "n", total).select(*names, "cluster_id", "cluster_n")
+    out = join_groups(hashed(rows), c, ["_hash", "_cell"], "n", total).select(*names, "cluster_id", "cluster_n")
     return out.unionByName(_enough(alone, params)) if enough else out.unionByName(alone).drop("cluster_n")
 
 
@@ -99,7 +101,8 @@ def class_order(entries: DataFrame) -> DataFrame:
 
 def scored(members: DataFrame) -> DataFrame:
     """members with norm_area (0 to 1 within the cluster, 1 where all are equal) and score. Without an area of its own, in a cluster of several areas, both are null; a null confidence gives a null score."""
-    whole = Window.partitionBy("cluster_id")
+    # in the order of the groups of summarized, which then needs no sort of its own
+    whole = Window.partitionBy("cluster_id").orderBy("job_id", "class").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     m = members.where("cluster_id IS NOT NULL").withColumns({"lo": F.min("bbox_area").over(whole), "hi": F.max("bbox_area").over(whole)})
     norm = F.when(F.col("hi") > F.col("lo"), (F.col("bbox_area") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.lit(1.0))
     return m.withColumn("norm_area", norm).withColumn("score", F.col("confidence") + P.AREA_WEIGHT * F.col("norm_area")).drop("lo", "hi")
@@ -112,12 +115,12 @@ def summarized(members: DataFrame) -> DataFrame:
     a cluster without any distance has a null min_mono_m. Repeated rows count each. No members give no rows.
     """
     # what is gathered is made below the window of scored: within the aggregate, Spark would interpret it
-    at = F.when(_posed(), F.struct(F.round("cam_lat", 5) + 0.0, F.round("cam_lng", 5) + 0.0))
+    at = F.when(_posed(), F.struct(rounded(F.col("cam_lat"), 5) + 0.0, rounded(F.col("cam_lng"), 5) + 0.0))
     m = scored(members.withColumns({"_at": at, "_frame": F.struct("entry_seq", "frame_id")}))
     row = F.struct(*(F.col(c) for c in MEMBER))
     first = -F.col("entry_seq")
     in_order = F.array_sort(F.collect_list("_frame"))
-    return m.groupBy("job_id", "class", "cluster_id").agg(
+    c = m.groupBy("cluster_id", "job_id", "class").agg(
         F.count("*").alias("n"),
         F.round(F.avg(F.coalesce("confidence", F.lit(0.0))), 4).alias("mean_conf"),
         F.min(positive(F.col("distance_m"))).alias("min_mono_m"),
@@ -128,6 +131,7 @@ def summarized(members: DataFrame) -> DataFrame:
         F.max_by(row, F.struct("bbox_area", first)).alias("closest"),
         F.max_by(row, F.struct("score", first)).alias("best"),
     )
+    return c.select("job_id", "class", *(x for x in c.columns if x not in ("job_id", "class")))
 
 
 def _posed() -> Column:
@@ -140,7 +144,7 @@ def of_one(members: DataFrame) -> DataFrame:
     return members.select(
         "job_id", "class", "cluster_id",
         F.lit(1).cast("long").alias("n"),
-        F.round(F.coalesce("confidence", F.lit(0.0)), 4).alias("mean_conf"),
+        rounded(F.coalesce("confidence", F.lit(0.0)), 4).alias("mean_conf"),
         positive(F.col("distance_m")).alias("min_mono_m"),
         F.array_compact(F.array("timestamp")).alias("members_video_sec"),
         F.array("frame_id").alias("source_frames"),

@@ -75,7 +75,7 @@ def entries(det: DataFrame) -> DataFrame:
 
 def crops(kept: DataFrame, order: str = "entry_seq") -> DataFrame:
     """Kept boxes (job_id, frame_idx, cx, cy, w, h, image_w_px, image_h_px) with crop rectangle and file name, numbered within the frame."""
-    n = F.row_number().over(Window.partitionBy("job_id", "frame_idx").orderBy(order)) - 1
+    n = F.row_number().over(Window.partitionBy("frame_idx", "job_id").orderBy(order)) - 1
     rect = media.crop_rect(*(F.col(c) for c in ("cx", "cy", "w", "h", "image_w_px", "image_h_px")))
     return kept.withColumn("det", n).withColumn("rect", rect).withColumn("image_file", F.when(F.col("rect").isNotNull(), media.crop_name(F.col("frame_idx"), F.col("det"))))
 

@@ -60,15 +60,15 @@ def pinned(clusters: DataFrame, params: DataFrame) -> DataFrame:
     cam = F.col("best.cam_lat").isNotNull() & F.col("best.cam_lng").isNotNull()
     args = (F.col("best.cam_lat"), F.col("best.cam_lng"), F.col("pin_lat"), F.col("pin_lon"))
     return c.select(
-        "job_id", "class", "cluster_id", F.col("best.class_id").alias("class_id"), F.round("pin_lat", 7).alias("lat"), F.round("pin_lon", 7).alias("lon"), "coord_source",
+        "job_id", "class", "cluster_id", F.col("best.class_id").alias("class_id"), geo.rounded(F.col("pin_lat"), 7).alias("lat"), geo.rounded(F.col("pin_lon"), 7).alias("lon"), "coord_source",
         F.col("best.confidence").alias("confidence"), F.col("n").alias("num_detections_merged"), "mean_conf", "members_video_sec", "source_frames",
         F.col("closest.frame_id").alias("coords_from_frame"), F.col("best.frame_id").alias("image_from_frame"),
         F.col("closest.lat").alias("projected_lat"), F.col("closest.lon").alias("projected_lon"),
-        F.when(cam, F.round(geo.haversine_m(*args), 2)).otherwise(F.col("best.distance_m")).alias("distance_m"),
-        F.when(cam, F.round(geo.azimuth_deg(*args), 1)).otherwise(F.col("best.obj_bearing")).alias("obj_bearing"),
+        F.when(cam, geo.rounded(geo.haversine_m(*args), 2)).otherwise(F.col("best.distance_m")).alias("distance_m"),
+        F.when(cam, geo.rounded(geo.azimuth_deg(*args), 1)).otherwise(F.col("best.obj_bearing")).alias("obj_bearing"),
         F.col("best.cam_lat").alias("cam_lat"), F.col("best.cam_lng").alias("cam_lng"), F.col("best.cam_bearing").alias("cam_bearing"),
         F.col("best.elevation_m").alias("elevation_m"), F.col("best.gps_source").alias("gps_source"), F.col("best.image_file").alias("image_file"), F.col("best.timestamp_iso").alias("timestamp_iso"), F.col("best.timestamp").alias("video_sec"),
-        "offset_m", F.round("proj_bearing", 1).alias("offset_bearing"), "clamp_reason", "bearings", "unique_cam_pos", "tri_cam_m", "stretch", "stretched_m", "max_d",
+        "offset_m", geo.rounded(F.col("proj_bearing"), 1).alias("offset_bearing"), "clamp_reason", "bearings", "unique_cam_pos", "tri_cam_m", "stretch", "stretched_m", "max_d",
         "status", "reject_reason", "n_rays", "baseline_m", "spread_deg", F.when(F.col("status") == "ok", F.col("residual_m")).alias("residual_m"), F.col("residual_m").alias("tri_residual_m"), "closest_m", "farthest_m", "raw_lat", "raw_lon",
         *(f"{x}_{k}" for k in "ab" for x in ("frame", "cam_lat", "cam_lng", "cam_bearing", "obj_bearing")),
     )

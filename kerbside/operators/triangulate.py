@@ -6,10 +6,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from kerbside import params as P
-from kerbside.functions.geo import circular_gap_deg
+from kerbside.functions.geo import circular_gap_deg, rounded
 from kerbside.plans.scratch import Scratch
+from kerbside.plans.skew import HEAVY_GROUPS
 
 
 def local_rays(members: DataFrame) -> DataFrame:
@@ -157,6 +159,47 @@ def _first_two(rows: DataFrame) -> DataFrame:
     return r.groupBy("cluster_id").agg(F.min(F.when(F.col("k") == 1, F.col("r"))).alias("a"), F.min(F.when(F.col("k") == 2, F.col("r"))).alias("b"))
 
 
+def pairs_of_few(rays: DataFrame) -> DataFrame:
+    """cluster_id, baseline_m, spread_deg, a, b, as baseline and widest_rays have them, of clusters of 2 to FEW rays (n_rays, of local_rays): all pairs of rays, many clusters at once."""
+    some = rays.where(F.col("n_rays").between(2, FEW)).select(F.col("cluster_id").cast("long").alias("cluster_id"), "entry_seq", "x", "y", F.pmod("obj_bearing", F.lit(360.0)).alias("angle"), _seen(rays).alias("r"))
+    seen = some.schema["r"].dataType
+    out = StructType([StructField("cluster_id", LongType()), StructField("baseline_m", DoubleType()), StructField("spread_deg", DoubleType()), StructField("a", seen), StructField("b", seen)])
+
+    def widest(t: pa.Table) -> pa.RecordBatch:
+        ids, x, y, angle = (t.column(c).to_numpy() for c in ("cluster_id", "x", "y", "angle"))
+        n = len(ids)
+        far, gap, other = np.zeros(n), np.full(n, -1.0), np.minimum(np.arange(1, n + 1), n - 1)
+        for k in range(1, min(FEW, n)):
+            same = ids[k:] == ids[:-k]
+            dx, dy, turn = x[k:] - x[:-k], y[k:] - y[:-k], np.abs(angle[k:] - angle[:-k])
+            far[:-k] = np.maximum(far[:-k], np.where(same, dx * dx + dy * dy, 0.0))
+            turn = np.where(same, np.minimum(turn, 360.0 - turn), -1.0)
+            wider = turn > gap[:-k]  # the first of equals stays
+            gap[:-k], other[:-k] = np.where(wider, turn, gap[:-k]), np.where(wider, np.arange(k, n), other[:-k])
+        cut = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        most = np.maximum.reduceat(gap, cut)
+        at = np.where(gap == np.repeat(most, np.diff(np.append(cut, n))), np.arange(n), n)
+        first = np.minimum.reduceat(at, cut)
+        r = t.column("r").combine_chunks()
+        columns = [pa.array(ids[cut]), pa.array(np.sqrt(np.maximum.reduceat(far, cut))), pa.array(most), r.take(pa.array(first)), r.take(pa.array(other[first]))]
+        return pa.record_batch(columns, names=out.names)
+
+    def clusters(batches):
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            ids = t.column("cluster_id").to_numpy()
+            last = int(np.searchsorted(ids, ids[-1])) if len(ids) else 0  # the last cluster may have more rays in the next batch
+            if last:
+                yield widest(t.slice(0, last))
+            held = t.slice(last)
+        if held is not None and held.num_rows:
+            yield widest(held)
+
+    return some.repartition("cluster_id").sortWithinPartitions("cluster_id", "entry_seq").mapInArrow(clusters, out)
+
+
 def spread(rays: DataFrame) -> DataFrame:
     """widest_rays with the rays' entry_seq alone."""
     return widest_rays(rays).select("cluster_id", "spread_deg", F.col("a.entry_seq").alias("a"), F.col("b.entry_seq").alias("b"))
@@ -202,22 +245,26 @@ def gate():
 def triangulated(members: DataFrame) -> DataFrame:
     """One row a cluster: status, reject_reason, n_rays, n_cluster, the rounded solution and its diagnostics, and the two widest rays.
 
-    Members without camera or bearing count for n_cluster alone; no members give no rows. Rays are written once, as four
-    passes read them; what the passes find is joined by cluster.
+    Members without camera or bearing count for n_cluster alone; no members give no rows. Rays are written once, as
+    several passes read them; what the passes find is joined by cluster. Clusters of few rays, most of them, have their
+    baseline and widest gap by all pairs; first members are sought only where there aren't two rays to show.
     """
     scratch = Scratch(members.sparkSession)
     rays = scratch.write(local_rays(members), "rays")
     s = solved(rays)
     r = residuals(rays, s)
     posed = F.col("cam_lat").isNotNull() & F.col("cam_lng").isNotNull() & F.col("obj_bearing").isNotNull()
-    n = members.groupBy("job_id", "class", "cluster_id").agg(F.count("*").alias("n_cluster"), F.count_if(posed).alias("n_rays"))
-    wide = widest_rays(rays)
-    two = _first_two(members).select("cluster_id", F.col("a").alias("a1"), F.col("b").alias("b1"))
-    t = n.join(s.drop("n_rays"), "cluster_id", "left").join(r, "cluster_id", "left").join(baseline(rays), "cluster_id", "left").join(wide, "cluster_id", "left").join(two, "cluster_id")
+    n = scratch.write(members.groupBy("job_id", "class", "cluster_id").agg(F.count("*").alias("n_cluster"), F.count_if(posed).alias("n_rays")), "sizes")
+    many = rays.where(F.col("n_rays") > FEW)
+    wide = pairs_of_few(rays).unionByName(baseline(many).join(widest_rays(many), "cluster_id"))
+    bare = n.where("n_rays < 2").select("cluster_id")
+    bare = F.broadcast(bare) if bare.count() <= HEAVY_GROUPS else bare
+    two = _first_two(members.join(bare, "cluster_id", "left_semi")).select("cluster_id", F.col("a").alias("a1"), F.col("b").alias("b1"))
+    t = n.join(s.drop("n_rays"), "cluster_id", "left").join(r, "cluster_id", "left").join(wide, "cluster_id", "left").join(two, "cluster_id", "left")
     t = t.withColumn("reject_reason", gate()).withColumn("a", F.coalesce("a", "a1")).withColumn("b", F.coalesce("b", "b1"))
     alone = F.col("n_rays") < 2
     keep = ~alone & ~F.coalesce(F.col("reject_reason") == "singular_matrix", F.lit(False))
-    shown = lambda c, d, when=keep: F.when(when, F.round(c, d)).alias(c)
+    shown = lambda c, d, when=keep: F.when(when, rounded(F.col(c), d)).alias(c)
     return t.select(
         "job_id", "class", "cluster_id", F.when(F.col("reject_reason").isNull(), "ok").otherwise("rejected").alias("status"), "reject_reason", "n_rays", "n_cluster",
         shown("baseline_m", 2, ~alone), shown("spread_deg", 2, ~alone), shown("residual_m", 2), shown("closest_m", 2), shown("farthest_m", 2), shown("raw_lat", 7), shown("raw_lon", 7),

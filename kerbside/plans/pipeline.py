@@ -49,12 +49,13 @@ class Result:
 
     @cached_property
     def clusters(self) -> DataFrame:
-        c = cluster.summarized(self._many)
+        c = self._scratch.write(cluster.summarized(self._many), "clusters")
         return c.unionByName(self._alone.select(*c.columns))
 
     @cached_property
     def tri(self) -> DataFrame:
-        return self._of_many.unionByName(self._alone.select(*self._of_many.columns))
+        t = self._scratch.write(self._of_many, "tri")
+        return t.unionByName(self._alone.select(*t.columns))
 
     @cached_property
     def placed(self) -> DataFrame:

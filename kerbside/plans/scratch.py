@@ -25,14 +25,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 @contextmanager
 def compiled_methods(spark: SparkSession):
-    """A context in which Spark doesn't fuse steps to methods of more than 8,000 bytes of code, as the JVM interprets those instead of compiling them."""
-    name = "spark.sql.codegen.hugeMethodLimit"
-    before = spark.conf.get(name)
-    spark.conf.set(name, min(int(before), 8000))
+    """A context in which Spark doesn't fuse steps to methods of more than 8,000 bytes of code, as the JVM interprets those instead of compiling them, and in which rows that are sorted by their group are grouped as they come, not hashed and sorted again."""
+    limit, as_sorted = "spark.sql.codegen.hugeMethodLimit", "spark.sql.execution.replaceHashWithSortAgg"
+    before = {name: spark.conf.get(name) for name in (limit, as_sorted)}
+    spark.conf.set(limit, min(int(before[limit]), 8000))
+    spark.conf.set(as_sorted, True)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 class Scratch:

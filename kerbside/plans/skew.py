@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 HEAVY, HEAVY_GROUPS = 1000, 100_000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], count: str, total: int) -> DataFrame:
     """rows joined to groups by key, each group's rows known by the column count; total: rows altogether.
 
     Groups above the limit are at most HEAVY_GROUPS, since each holds total / HEAVY_GROUPS rows or more: these are

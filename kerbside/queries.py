@@ -331,12 +331,12 @@ def tri_solve(s: SparkSession, d: str) -> DataFrame:
 def tri_residuals(s: SparkSession, d: str) -> DataFrame:
     rays = triangulate.local_rays(_run(s, d).members)
     t = triangulate.residuals(rays, triangulate.solved(rays))
-    return t.select("cluster_id", *(F.round(c, 2).alias(c) for c in ("residual_m", "closest_m", "farthest_m")))
+    return t.select("cluster_id", *(geo.rounded(F.col(c), 2).alias(c) for c in ("residual_m", "closest_m", "farthest_m")))
 
 
 def tri_gates(s: SparkSession, d: str) -> DataFrame:
     t = _run(s, d).tri
-    near = lambda c, n: F.round(c, n).alias(c)
+    near = lambda c, n: geo.rounded(F.col(c), n).alias(c)
     return t.select("cluster_id", "class", "status", "reject_reason", "n_rays", "n_cluster", near("baseline_m", 1), near("spread_deg", 1), near("residual_m", 1), near("closest_m", 1), near("farthest_m", 1), near("raw_lat", 6), near("raw_lon", 6))
 
 
@@ -348,12 +348,12 @@ def fallback_point(s: SparkSession, d: str) -> DataFrame:
 
 def placement(s: SparkSession, d: str) -> DataFrame:
     a = _run(s, d).placed
-    return a.select("cluster_id", "class", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "coord_source", "clamp_reason", "num_detections_merged", "coords_from_frame", "image_from_frame")
+    return a.select("cluster_id", "class", geo.rounded(F.col("lat"), 6).alias("lat"), geo.rounded(F.col("lon"), 6).alias("lon"), "coord_source", "clamp_reason", "num_detections_merged", "coords_from_frame", "image_from_frame")
 
 
 def pin_recompute(s: SparkSession, d: str) -> DataFrame:
     a = _run(s, d).placed
-    return a.select("cluster_id", F.round("distance_m", 1).alias("distance_m"), F.round("obj_bearing", 0).alias("obj_bearing"))
+    return a.select("cluster_id", geo.rounded(F.col("distance_m"), 1).alias("distance_m"), geo.rounded(F.col("obj_bearing"), 0).alias("obj_bearing"))
 
 
 def conflict_pairs(s: SparkSession, d: str) -> DataFrame:
@@ -372,17 +372,17 @@ def geojson_features(s: SparkSession, d: str) -> DataFrame:
 
 def deduped_features(s: SparkSession, d: str) -> DataFrame:
     f = sinks.asset_features(_run(s, d).placed)
-    return f.withColumns({"latitude": F.round("latitude", 6), "longitude": F.round("longitude", 6), "distance_m": F.round("distance_m", 1), "obj_bearing": F.round("obj_bearing", 0), "members_video_sec": sinks.joined(F.col("members_video_sec"))})
+    return f.withColumns({"latitude": geo.rounded(F.col("latitude"), 6), "longitude": geo.rounded(F.col("longitude"), 6), "distance_m": geo.rounded(F.col("distance_m"), 1), "obj_bearing": geo.rounded(F.col("obj_bearing"), 0), "members_video_sec": sinks.joined(F.col("members_video_sec"))})
 
 
 def assets_report(s: SparkSession, d: str) -> DataFrame:
     places = {"solved_lat": 6, "solved_lon": 6, "mean_conf": 3, "baseline_m": 1, "ray_angle_deg": 1, "residual_m": 1, "raw_tri_lat": 6, "raw_tri_lon": 6, "tri_closest_dist_m": 1, "tri_farthest_dist_m": 1, "distance_m": 1, "obj_bearing": 0, "offset_m": 4}
-    return sinks.assets_report(_run(s, d).placed).withColumns({c: F.round(c, n) for c, n in places.items()})
+    return sinks.assets_report(_run(s, d).placed).withColumns({c: geo.rounded(F.col(c), n) for c, n in places.items()})
 
 
 def tri_debug_report(s: SparkSession, d: str) -> DataFrame:
     places = {"baseline_m": 1, "intersection_angle_deg": 1, "solved_lat": 6, "solved_lon": 6, "distance_from_track_m": 1, "farthest_from_track_m": 1, "residual_m": 1}
-    return sinks.tri_debug_report(_run(s, d).placed).withColumns({c: F.round(c, n) for c, n in places.items()})
+    return sinks.tri_debug_report(_run(s, d).placed).withColumns({c: geo.rounded(F.col(c), n) for c, n in places.items()})
 
 
 def kml_placemarks(s: SparkSession, d: str) -> DataFrame:

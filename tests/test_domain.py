@@ -16,7 +16,8 @@ from kerbside.functions import geo, media, overlay
 from kerbside.operators import cluster, detect, links, merge, suppress, track, triangulate
 from kerbside.plans.components import connected_components
 from kerbside.plans.pipeline import from_boxes, job_summary
-from kerbside.plans.scratch import Scratch, with_row_key
+from kerbside.plans.scratch import Scratch, compiled_methods, with_row_key
+from kerbside.plans.skew import join_groups
 from kerbside.sources import archive, gpx, labels, listing
 from kerbside.streaming import entries as live
 
@@ -909,3 +910,51 @@ def test_rounding_by_arithmetic(spark):
         assert bad.count() == 0, bad.collect()[:5]
     names = spark.createDataFrame([(0, 0), (12, 3), (999_999, 99), (1_000_000, 100), (-5, 1), (None, 1)], "f long, k int")
     assert names.where(~media.crop_name(F.col("f"), F.col("k")).eqNullSafe(F.format_string("frame_%06d_det_%02d.jpg", "f", "k"))).count() == 0
+
+
+def test_rays_of_small_clusters_by_all_pairs(spark):
+    rng = random.Random(5)
+    sizes = [1, 2, 3, 5, 16, 17, 40] * 12
+    rows, seq = [], 0
+    for c, n in enumerate(sizes):
+        for k in range(n):
+            seq += rng.choice((1, 3))
+            # repeated bearings and opposite ones, so that gaps tie; cluster 2 has one bearing only
+            bearing = 30.0 if c == 2 else float(rng.choice((0, 10, 90, 180, 190, 270, 359)))
+            rows.append((1, "car", c * 1000, seq, k, 30.0 + rng.random() / 1e3, -86.0 + rng.random() / 1e3, 5.0, bearing, 0.5))
+    m = spark.createDataFrame(rows, "job_id long, class string, cluster_id long, entry_seq long, frame_id long, cam_lat double, cam_lng double, cam_bearing double, obj_bearing double, confidence double").repartition(3)
+    rays = triangulate.local_rays(m).localCheckpoint()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # clusters lie across batches
+    try:
+        got = {r.cluster_id: r for r in triangulate.pairs_of_few(rays).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got) == [c * 1000 for c, n in enumerate(sizes) if 2 <= n <= triangulate.FEW]
+    base = {r.cluster_id: r.baseline_m for r in triangulate.baseline(rays).collect()}
+    wide = {r.cluster_id: r for r in triangulate.widest_rays(rays).collect()}
+    for c, r in got.items():
+        assert abs(r.baseline_m - base[c]) < 1e-9
+        assert (r.spread_deg, r.a, r.b) == (wide[c].spread_deg, wide[c].a, wide[c].b)
+    tri = {r.cluster_id: r for r in triangulate.triangulated(m).collect()}
+    assert sorted(tri) == [c * 1000 for c in range(len(sizes))]
+    assert all(abs(tri[c].spread_deg - w.spread_deg) < 0.01 and (tri[c].frame_a, tri[c].frame_b) == (w.a.frame, w.b.frame) for c, w in wide.items())
+    # of clusters without two rays, the first members are shown
+    assert tri[0].reject_reason == "too_few_bearings" and tri[0].frame_a == 0 and tri[0].frame_b is None
+
+
+def test_sorted_members_are_grouped_as_they_come(spark):
+    m = spark.range(200).selectExpr("id % 2 job_id", "concat('c', id % 2) class", "id % 50 cluster_id", "id entry_seq", "id frame_id", "id * 1d timestamp", "1L class_id", "0.5d confidence", "30d lat", "-86d lon", "id * 1d bbox_area", "2d distance_m", "1d obj_bearing", "30d cam_lat", "-86d cam_lng", "0d cam_bearing", "0d elevation_m", "'ocr' gps_source", "'f' image_file", "'t' timestamp_iso")
+    with compiled_methods(spark):
+        c = cluster.summarized(m)
+        rows = {(r.job_id, r.cluster_id): r for r in c.collect()}
+        plan = c._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ObjectHashAggregate" not in plan and plan.count("SortAggregate") == 1
+    assert len(rows) == 50 and rows[1, 7].source_frames == [7, 57, 107, 157] and rows[1, 7].closest.entry_seq == 157
+
+
+def test_cells_meet_by_a_hash_first(spark):
+    rows = spark.createDataFrame([(k % 5, k % 3, k) for k in range(60)], "a long, b long, k long").selectExpr("struct(a, b) _cell", "k")
+    rows = rows.withColumn("_hash", F.xxhash64("_cell"))
+    groups = rows.groupBy("_hash", "_cell").agg(F.count("*").alias("n"), F.min("k").alias("least"))
+    got = join_groups(rows, groups, ["_hash", "_cell"], "n", 60).collect()
+    assert sorted((r.k, r.least) for r in got) == [(k, k % 15) for k in range(60)]
