@@ -852,6 +852,30 @@ def test_tokens_of_texts_without_spaces():
     assert max(map(len, w.parts)) <= LONG
 
 
+def test_tokens_of_columns_and_of_words_with_closing_signs():
+    """Small letters go to the tokenizer many at once, whatever signs close them; ids are those of whole texts, also of columns cut anew and after forgetting."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+
+    from kerbside.llm import token_output
+
+    w = token_output._Words(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choices("abcdefgé", k=rng.randrange(1, 9)))
+    closed = [" ".join(word() + rng.choice(["###", "$$$", ".&&&", "%", ")", "."]) for _ in range(300)) for _ in range(10)]
+    whole, given = w.ids, []
+    w.ids = lambda texts, *more: given.extend(texts) or whole(texts, *more)
+    assert w.encode(closed) == [x.tobytes() for x in whole(closed)]
+    assert len(given) < 300  # of 3,000 words
+    texts = [None, "", " ", "\n\t", "a", "a ", " a\r\nb", "Don't<eos> A\u030a Σ日本。\u3000x", "x" * 300, *closed]
+    want = [[*x.tolist(), 1] for x in whole([t or "" for t in texts])]
+    end = (1).to_bytes(4, "little")
+    for column in (pa.array(["before", *texts, "after"]).slice(1, len(texts)), pa.array(texts, pa.large_string())):
+        w.bytes = token_output.REMEMBERED + 1
+        flat, n = w.column(column, end)
+        assert flat.tolist() == sum(want, []) and n.tolist() == [len(x) for x in want]
+
+
 def edited_copy(rng, words, voc, rate):
     """words, of which a share of rate is replaced, left out, or has another before it."""
     out = []
