@@ -59,18 +59,19 @@ def detections(det: DataFrame) -> DataFrame:
     return det.withColumns({c: F.round(c, n) for c, n in places.items() if c in det.columns})
 
 
-def entries(det: DataFrame) -> DataFrame:
-    """Projected rows with a position, as the clusterer takes them."""
+def entries(det: DataFrame, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """Projected rows with a position, as the clusterer takes them; of columns, where given, no others."""
     d = det.where("obj_lat IS NOT NULL AND obj_lng IS NOT NULL")
     r = lambda c, n: geo.rounded(F.col(c) if isinstance(c, str) else c, n)
-    return d.select(
-        "job_id", "entry_seq", F.col("frame_idx").alias("frame_id"), F.col("ts").alias("timestamp"), "class", "class_id",
-        r("confidence", 3).alias("confidence"), r("obj_lat", 7).alias("lat"), r("obj_lng", 7).alias("lon"),
-        r(F.col("w") * F.col("h") * F.col("image_w_px") * F.col("image_h_px"), 1).alias("bbox_area"),
-        r("distance_m", 2).alias("distance_m"), r("obj_bearing", 1).alias("obj_bearing"),
-        r("cam_lat", 7).alias("cam_lat"), r("cam_lng", 7).alias("cam_lng"), r("cam_bearing", 1).alias("cam_bearing"),
-        r(F.coalesce("ele", F.lit(0.0)), 2).alias("elevation_m"), "gps_source", "image_file", "timestamp_iso",
-    )
+    made = {
+        **{c: F.col(c) for c in ("job_id", "entry_seq")}, "frame_id": F.col("frame_idx"), "timestamp": F.col("ts"), **{c: F.col(c) for c in ("class", "class_id")},
+        "confidence": r("confidence", 3), "lat": r("obj_lat", 7), "lon": r("obj_lng", 7),
+        "bbox_area": r(F.col("w") * F.col("h") * F.col("image_w_px") * F.col("image_h_px"), 1),
+        "distance_m": r("distance_m", 2), "obj_bearing": r("obj_bearing", 1),
+        "cam_lat": r("cam_lat", 7), "cam_lng": r("cam_lng", 7), "cam_bearing": r("cam_bearing", 1),
+        "elevation_m": r(F.coalesce("ele", F.lit(0.0)), 2), **{c: F.col(c) for c in ("gps_source", "image_file", "timestamp_iso")},
+    }
+    return d.select(*(v.alias(c) for c, v in made.items() if columns is None or c in columns))
 
 
 def crops(kept: DataFrame, order: str = "entry_seq") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +16,10 @@ from kerbside.plans.scratch import Scratch
 from kerbside.plans.skew import HEAVY_GROUPS
 
 
+#: Columns of entries that clusters and their triangulation read.
+READ = ("job_id", "class", "entry_seq", "timestamp", "lat", "lon", "frame_id", "cam_lat", "cam_lng", "cam_bearing", "obj_bearing")
+
+
 def local_rays(members: DataFrame) -> DataFrame:
     """Members with camera and bearing, in metres east (x) and north (y) of the cluster's mean camera position. Others are left out; repeated rows are rays each; no members give no rows."""
     r = members.where("cam_lat IS NOT NULL AND cam_lng IS NOT NULL AND obj_bearing IS NOT NULL AND cluster_id IS NOT NULL")
@@ -272,9 +278,8 @@ def triangulated(members: DataFrame) -> DataFrame:
     )
 
 
-def alone() -> dict[str, Column]:
-    """What triangulated finds of a cluster of one member, from its row of cluster.of_one: columns by name, without grouping."""
-    one = lambda c: F.col(f"closest.{c}")
+def alone(one: Callable[[str], Column] = lambda c: F.col(f"closest.{c}")) -> dict[str, Column]:
+    """What triangulated finds of a cluster of one member: columns by name, without grouping. one: gives the member's columns, those of a row of cluster.of_one by default."""
     none = F.lit(None).cast("double")
     posed = one("cam_lat").isNotNull() & one("cam_lng").isNotNull() & one("obj_bearing").isNotNull()
     seen = {"frame": one("frame_id"), **{c: one(c) for c in SEEN[1:]}}

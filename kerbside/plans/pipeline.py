@@ -15,20 +15,21 @@ from kerbside.plans.scratch import Scratch
 class Result:
     """Tables of one run, each planned (and, where it is read more than once, written) when it is first asked for."""
 
-    def __init__(self, spark: SparkSession, boxes: DataFrame, conf: float, suppress_conflicts: bool, write_kept: bool):
+    def __init__(self, spark: SparkSession, boxes: DataFrame, conf: float, suppress_conflicts: bool, write_kept: bool, rays_only: bool = False):
         self._spark, self._boxes, self._conf, self._suppress, self._write_kept = spark, boxes, conf, suppress_conflicts, write_kept
+        self._rays_only = rays_only
         self._scratch = Scratch(spark)
         self._params = P.class_params(spark)
 
     @cached_property
     def kept(self) -> DataFrame:
         kept = detect.confident(detect.named(self._boxes, self._params), self._params, self._conf)
-        kept = detect.projected(detect.crops(kept), self._params)
+        kept = detect.projected(kept if self._rays_only else detect.crops(kept), self._params)
         return self._scratch.write(kept, "kept") if self._write_kept else kept
 
     @cached_property
     def entries(self) -> DataFrame:
-        return self._scratch.write(detect.entries(self.kept), "entries")
+        return self._scratch.write(detect.entries(self.kept, triangulate.READ if self._rays_only else None), "entries")
 
     @cached_property
     def members(self) -> DataFrame:
@@ -55,7 +56,8 @@ class Result:
     @cached_property
     def tri(self) -> DataFrame:
         t = self._scratch.write(self._of_many, "tri")
-        return t.unionByName(self._alone.select(*t.columns))
+        alone = self.members.where("cluster_n = 1").select("job_id", "class", "cluster_id", *(v.alias(c) for c, v in triangulate.alone(F.col).items()))
+        return t.unionByName(alone)
 
     @cached_property
     def placed(self) -> DataFrame:
@@ -70,13 +72,14 @@ class Result:
         return suppress.kept_assets(self.placed, suppress.conflict_pairs(self.placed, P.confusion_pairs(self._spark)), self.entries)
 
 
-def from_boxes(spark: SparkSession, boxes: DataFrame, conf: float = P.DEFAULT_CONF, suppress_conflicts: bool = True, write_kept: bool = False) -> Result:
+def from_boxes(spark: SparkSession, boxes: DataFrame, conf: float = P.DEFAULT_CONF, suppress_conflicts: bool = True, write_kept: bool = False, rays_only: bool = False) -> Result:
     """boxes (see scenes.SCENE for the columns) through filter, projection, clusters, triangulation, placement and suppression.
 
     The plan is cut where results are read more than once: entries, members of clusters, placed assets. What a caller
     doesn't read isn't computed. write_kept: kept boxes are written too, for callers that read them beside the assets.
+    rays_only: entries have the columns that triangulation reads, and boxes no crops, for callers that read members and tri alone.
     """
-    return Result(spark, boxes, conf, suppress_conflicts, write_kept)
+    return Result(spark, boxes, conf, suppress_conflicts, write_kept, rays_only)
 
 
 def job_summary(frames: DataFrame, boxes: DataFrame, kept: DataFrame, assets: DataFrame, misses: int = 20, samples: int = 8) -> DataFrame:

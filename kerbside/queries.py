@@ -31,6 +31,16 @@ def _run(s: SparkSession, d: str, suppressed: bool = False) -> Result:
     return from_boxes(s, scenes.scene(s, d), suppress_conflicts=suppressed)
 
 
+def _of_rays(s: SparkSession, d: str) -> Result:
+    """A run of which members and their triangulation alone are read."""
+    return from_boxes(s, scenes.scene(s, d), rays_only=True)
+
+
+def _rays(s: SparkSession, d: str) -> DataFrame:
+    """Rays of clusters of two members or more: those of one have no baseline, spread or solution."""
+    return triangulate.local_rays(_of_rays(s, d).members.where("cluster_n > 1"))
+
+
 def _pairs_of_events(s: SparkSession, d: str) -> DataFrame:
     e = s.read.parquet(f"{d}/events.parquet").select("event_id")
     x = {"lat1": 30.0 + F.col("event_id") % 97 / 100.0, "lon1": -86.0 - F.col("event_id") % 89 / 100.0}
@@ -312,30 +322,30 @@ def cluster_stats(s: SparkSession, d: str) -> DataFrame:
 
 
 def tri_local_xy(s: SparkSession, d: str) -> DataFrame:
-    return triangulate.local_rays(_run(s, d).members).select("entry_seq", (F.round("x", 2) + 0.0).alias("x"), (F.round("y", 2) + 0.0).alias("y"), "n_rays")
+    return triangulate.local_rays(_of_rays(s, d).members).select("entry_seq", (F.round("x", 2) + 0.0).alias("x"), (F.round("y", 2) + 0.0).alias("y"), "n_rays")
 
 
 def tri_baseline(s: SparkSession, d: str) -> DataFrame:
-    return triangulate.baseline(triangulate.local_rays(_run(s, d).members)).select("cluster_id", F.round("baseline_m", 3).alias("baseline_m"))
+    return triangulate.baseline(_rays(s, d)).select("cluster_id", F.round("baseline_m", 3).alias("baseline_m"))
 
 
 def tri_spread(s: SparkSession, d: str) -> DataFrame:
-    return triangulate.spread(triangulate.local_rays(_run(s, d).members)).select("cluster_id", F.round("spread_deg", 3).alias("spread_deg"), "a", "b")
+    return triangulate.spread(_rays(s, d)).select("cluster_id", F.round("spread_deg", 3).alias("spread_deg"), "a", "b")
 
 
 def tri_solve(s: SparkSession, d: str) -> DataFrame:
-    t = triangulate.solved(triangulate.local_rays(_run(s, d).members))
+    t = triangulate.solved(_rays(s, d))
     return t.select("cluster_id", "singular", F.round("raw_lat", 5).alias("raw_lat"), F.round("raw_lon", 5).alias("raw_lon"))
 
 
 def tri_residuals(s: SparkSession, d: str) -> DataFrame:
-    rays = triangulate.local_rays(_run(s, d).members)
+    rays = _rays(s, d)
     t = triangulate.residuals(rays, triangulate.solved(rays))
     return t.select("cluster_id", *(geo.rounded(F.col(c), 2).alias(c) for c in ("residual_m", "closest_m", "farthest_m")))
 
 
 def tri_gates(s: SparkSession, d: str) -> DataFrame:
-    t = _run(s, d).tri
+    t = _of_rays(s, d).tri
     near = lambda c, n: geo.rounded(F.col(c), n).alias(c)
     return t.select("cluster_id", "class", "status", "reject_reason", "n_rays", "n_cluster", near("baseline_m", 1), near("spread_deg", 1), near("residual_m", 1), near("closest_m", 1), near("farthest_m", 1), near("raw_lat", 6), near("raw_lon", 6))
 

@@ -900,6 +900,17 @@ def test_clusters_of_one_member_are_not_grouped(spark):
     assert r.placed.count() == r.tri.count() == sum(sizes.values())
 
 
+def test_triangulation_reads_no_more_than_rays(spark):
+    """A run for triangulation alone has the same clusters and solutions, without crops, texts and boxes' areas in what it writes."""
+    boxes = scenes.scene(spark, "/root/testdata/sf0.001")
+    rays, whole = from_boxes(spark, boxes, suppress_conflicts=False, rays_only=True), from_boxes(spark, boxes, suppress_conflicts=False)
+    assert set(rays.entries.columns) == set(triangulate.READ) < set(whole.entries.columns)
+    assert "image_file" not in rays.kept.columns
+    assert rays.tri.columns == whole.tri.columns
+    both = [sorted(r.tri.select("cluster_id", "status", "reject_reason", "n_rays", "n_cluster", "frame_a", "frame_b").collect(), key=lambda x: x.cluster_id) for r in (rays, whole)]
+    assert both[0] == both[1] and len(both[0]) > 0
+
+
 def test_rounding_by_arithmetic(spark):
     values = [0.5, -0.5, 1.005, 2.675, -2.675, 1e300, float("nan"), float("inf"), -0.0, -1e-12, None, 30.40000005, 86.70000015, 1234567.45, 0.25, 0.35]
     rng = random.Random(9)
